@@ -76,7 +76,10 @@ def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame,
     A missing or empty value (F6) gives ``default(tok)`` (P16 by default). Rows with
     no token keep an empty array. Returns ``df`` plus the array column ``out_name``.
     """
-    view = view.where(F.col("out").isNotNull() & (F.col("out") != "")).select("tok", "out")
+    keep = F.col("out").isNotNull()
+    if dict(view.dtypes)["out"] == "string":
+        keep = keep & (F.col("out") != "")
+    view = view.where(keep).select("tok", "out")
     view, small = bounded_broadcast(view, broadcast_rows)
     base = df.repartition(*keys) if small else df
     ex = base.select(*keys, F.posexplode_outer(tokens).alias("_pos", "tok"))

@@ -287,3 +287,122 @@ def q_error_analysis(spark, d):
     from tessera.operators.report import error_analysis
 
     return error_analysis(scored_examples(spark, d), LO, HI)
+
+
+# ---------------------------------------------------------------- 2.10 splits, caps, batches
+from tessera.operators.split import (  # noqa: E402
+    batches, epoch_batches, exact_split, first_per_group, test_ceil_size, train_first_size, val_first_size,
+)
+
+
+def _split_sql(size_expr: str, first: str, second: str) -> str:
+    return f"""
+WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents)
+SELECT doc_id, CASE WHEN rn <= (SELECT {size_expr} FROM n) THEN '{first}' ELSE '{second}' END AS split FROM r"""
+
+
+@register("split_train_first", _split_sql("floor(n * 0.9::DOUBLE)", "train", "validation"))
+def q_split_train_first(spark, d):
+    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42, train_first_size(0.9))
+
+
+@register("split_val_first", _split_sql("floor(n * (1.0::DOUBLE - 0.9::DOUBLE))", "validation", "train"))
+def q_split_val_first(spark, d):
+    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42, val_first_size(0.9),
+                       ("validation", "train"))
+
+
+@register("split_test_ceil", _split_sql("ceil(0.1::DOUBLE * n)", "test", "train"))
+def q_split_test_ceil(spark, d):
+    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42, test_ceil_size(0.1), ("test", "train"))
+
+
+@register("cap_per_language", """
+SELECT lang, doc_id FROM (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 500""")
+def q_cap_per_language(spark, d):
+    return first_per_group(table(spark, d, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], 500)
+
+
+@register("head_examples", f"""
+WITH {Q.DIRS}
+SELECT direction, conv_id, turn, source, reference, prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY direction ORDER BY conv_id, turn) AS rn FROM dirs) WHERE rn <= 10""")
+def q_head_examples(spark, d):
+    ex = both_direction_examples(spark, d)
+    return first_per_group(ex, ["direction"], PAIR_KEYS, 10).select(
+        "direction", *PAIR_KEYS, "source", "reference", "prediction")
+
+
+@register("batches", """
+SELECT doc_id, rn - 1 AS row_no, (rn - 1) // 16 AS batch_id FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)""")
+def q_batches(spark, d):
+    return batches(table(spark, d, "documents").select("doc_id"), ["doc_id"], 16)
+
+
+@register("epoch_shuffle", """
+SELECT epoch, doc_id, rn - 1 AS row_no, (rn - 1) // 32 AS batch_id FROM (
+  SELECT e.epoch, doc_id, row_number() OVER (PARTITION BY e.epoch ORDER BY md5('42:' || e.epoch || ':' || doc_id), doc_id) AS rn
+  FROM documents, (SELECT unnest([0, 1]) AS epoch) e)""")
+def q_epoch_shuffle(spark, d):
+    return epoch_batches(table(spark, d, "documents").select("doc_id"), "doc_id", 42, 2, 32)
+
+
+# ---------------------------------------------------------------- P14 / P15 encodings
+from tessera.operators.encode import build_vocabulary, encode_fixed, encode_longest  # noqa: E402
+
+
+def _ids_str(c):
+    return F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+
+
+@register("encode_fixed", f"""
+WITH {Q.PAIRS},
+tk AS (SELECT conv_id, turn, {Q.marks('src')} AS s, {Q.words_lower('tgt')} AS t FROM pairs),
+vocab AS (SELECT tok, row_number() OVER (ORDER BY tok) + 1 AS id FROM (
+  SELECT unnest(s) AS tok FROM tk UNION SELECT unnest(t) AS tok FROM tk)),
+sx AS (SELECT conv_id, turn, unnest(s) AS tok, generate_subscripts(s, 1) AS pos FROM tk),
+tx AS (SELECT conv_id, turn, unnest(t) AS tok, generate_subscripts(t, 1) AS pos FROM tk),
+sid AS (SELECT conv_id, turn, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM sx LEFT JOIN vocab v USING (tok) GROUP BY ALL),
+tid AS (SELECT conv_id, turn, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM tx LEFT JOIN vocab v USING (tok) GROUP BY ALL),
+j AS (SELECT p.conv_id, p.turn, coalesce(a.ids, []::BIGINT[]) AS s, coalesce(b.ids, []::BIGINT[]) AS t
+      FROM pairs p LEFT JOIN sid a USING (conv_id, turn) LEFT JOIN tid b USING (conv_id, turn))
+SELECT conv_id, turn,
+  array_to_string(list_resize(s[1:128], 128, 0), ' ') AS input_ids,
+  array_to_string(list_resize(list_resize([]::BIGINT[], least(len(s), 128), 1), 128, 0), ' ') AS attention_mask,
+  array_to_string(list_resize(t[1:128], 128, 0), ' ') AS labels
+FROM j""")
+def q_encode_fixed(spark, d):
+    pairs = conversation_pairs(spark, d)
+    st, tt = SRC_SCRIPT.tokens(F.col("src")), TGT_SCRIPT.tokens(F.col("tgt"))
+    vocab = build_vocabulary(pairs.select(st.alias("t")), pairs.select(tt.alias("t")))
+    enc = encode_fixed(pairs, PAIR_KEYS, st, tt, vocab, 128)
+    return enc.select(*PAIR_KEYS, _ids_str("input_ids"), _ids_str("attention_mask"), _ids_str("labels"))
+
+
+_NORM_SRC = Q.strip(f"regexp_replace(replace(nfc_normalize(src), '.', '. '), '{Q.WS}+', ' ', 'g')")
+
+
+@register("encode_longest", f"""
+WITH {Q.PAIRS},
+tk AS (SELECT conv_id, turn, {Q.marks(_NORM_SRC)} AS s,
+              (row_number() OVER (ORDER BY conv_id, turn) - 1) // 16 AS batch_id FROM pairs),
+vocab AS (SELECT tok, row_number() OVER (ORDER BY tok) + 1 AS id FROM (SELECT DISTINCT unnest(s) AS tok FROM tk)),
+sx AS (SELECT conv_id, turn, unnest(s) AS tok, generate_subscripts(s, 1) AS pos FROM tk),
+sid AS (SELECT conv_id, turn, list(coalesce(v.id, 1) ORDER BY pos) AS ids FROM sx LEFT JOIN vocab v USING (tok) GROUP BY ALL),
+j AS (SELECT k.conv_id, k.turn, k.batch_id, coalesce(a.ids, []::BIGINT[]) AS s FROM tk k LEFT JOIN sid a USING (conv_id, turn)),
+m AS (SELECT *, max(least(len(s), 512)) OVER (PARTITION BY batch_id) AS blen FROM j)
+SELECT conv_id, turn, batch_id,
+  array_to_string(list_resize(s[1:blen], blen, 0), ' ') AS input_ids,
+  array_to_string(list_resize(list_resize([]::BIGINT[], least(len(s), blen), 1), blen, 0), ' ') AS attention_mask
+FROM m""")
+def q_encode_longest(spark, d):
+    pairs = conversation_pairs(spark, d)
+    src = tx.normalise_script(F.col("src"), ".")
+    b = batches(pairs.select(*PAIR_KEYS, src.alias("src_norm")), PAIR_KEYS, 16)
+    toks = SRC_SCRIPT.tokens(F.col("src_norm"))
+    vocab = build_vocabulary(b.select(toks.alias("t")))
+    enc = encode_longest(b, PAIR_KEYS, toks, vocab, "batch_id", 512)
+    return enc.select(*PAIR_KEYS, "batch_id", _ids_str("input_ids"), _ids_str("attention_mask"))
