@@ -76,8 +76,9 @@ class Script:
 TIBETAN = Script("bo", "marks", joiner="")
 ENGLISH = Script("en", "words", joiner=" ")
 # Stand-in for the driver tables, which hold no Tibetan: marks are the space and
-# the full stop, the "script" is Latin-1 letters U+00C0..U+00FF.
-LATIN_MARKS = Script("xx", "marks", mark=" ", ends=(".", "\n"), joiner="", lo=0x00C0, hi=0x00FF)
+# the full stop, the "script" is Latin-1 letters U+00C0..U+00FF. Joined with its
+# mark (a space), so that a translation into it can be tokenised again.
+LATIN_MARKS = Script("xx", "marks", mark=" ", ends=(".", "\n"), joiner=" ", lo=0x00C0, hi=0x00FF)
 
 
 def syllables(col, mark: str = TSHEG, ends: tuple[str, ...] = (SHAD, NYIS_SHAD)) -> Column:

@@ -43,54 +43,65 @@ def clipped_matches(hyp: Column, ref: Column) -> Column:
     return F.aggregate(tagged, init, step, lambda s: s["m"] + F.least(s["ch"], s["cr"]))
 
 
-def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> list[Column]:
-    """``match_n``, ``total_n`` (n = 1..max_order), ``hyp_len``, ``ref_len`` for one row."""
-    cols = []
-    for n in range(1, max_order + 1):
-        cols.append(clipped_matches(word_ngrams(hyp_tokens, n), word_ngrams(ref_tokens, n)).cast("long").alias(f"match_{n}"))
-    for n in range(1, max_order + 1):
-        cols.append(F.greatest(F.size(hyp_tokens) - n + 1, F.lit(0)).cast("long").alias(f"total_{n}"))
-    cols.append(F.size(hyp_tokens).cast("long").alias("hyp_len"))
-    cols.append(F.size(ref_tokens).cast("long").alias("ref_len"))
-    return cols
+def let(value: Column, fn) -> Column:
+    """``fn(v)`` with ``value`` evaluated once per row (bound to a lambda variable).
 
+    Catalyst may inline projected columns into later expressions (a filter on
+    top, a collapsed projection); a bound value is never recomputed inside the
+    n-gram lambdas, whatever gets inlined.
+    """
+    return F.transform(F.array(value), fn).getItem(0)
 
-BLEU_STAT_COLS = [f"match_{n}" for n in range(1, 5)] + [f"total_{n}" for n in range(1, 5)] + ["hyp_len", "ref_len"]
 
+def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> Column:
+    """Struct of ``match_n``, ``total_n`` (n = 1..max_order), ``hyp_len``, ``ref_len`` for one row."""
 
-def chrf_stats(hyp: Column, ref: Column, order: int = 6, strip: bool = True) -> list[Column]:
-    """``chyp_n``, ``cref_n``, ``cmatch_n`` for character n-grams of the texts without whitespace.
+    def body(x):
+        h, r = x["h"], x["r"]
+        cols = []
+        for n in range(1, max_order + 1):
+            cols.append(clipped_matches(word_ngrams(h, n), word_ngrams(r, n)).cast("long").alias(f"match_{n}"))
+        for n in range(1, max_order + 1):
+            cols.append(F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long").alias(f"total_{n}"))
+        cols.append(F.size(h).cast("long").alias("hyp_len"))
+        cols.append(F.size(r).cast("long").alias("ref_len"))
+        return F.struct(*cols)
 
-    Pass column references (see ``with_chrf_stats``): the n-gram lambdas read them per position.
-    """
+    return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r")), body)
+
+
+BLEU_STAT_COLS = [f"match_{n}" for n in range(1, 5)] + [f"total_{n}" for n in range(1, 5)] + ["hyp_len", "ref_len"]
+
+
+def chrf_stats(hyp: Column, ref: Column, order: int = 6) -> Column:
+    """Struct of ``chyp_n``, ``cref_n``, ``cmatch_n``: character n-grams of the texts without whitespace."""
     from tessera.functions.text import WS_RUN
 
-    h = F.regexp_replace(hyp, WS_RUN, "") if strip else hyp
-    r = F.regexp_replace(ref, WS_RUN, "") if strip else ref
-    cols = []
-    for n in range(1, order + 1):
-        cols.append(F.greatest(F.length(h) - n + 1, F.lit(0)).cast("long").alias(f"chyp_{n}"))
-        cols.append(F.greatest(F.length(r) - n + 1, F.lit(0)).cast("long").alias(f"cref_{n}"))
-        cols.append(clipped_matches(char_ngrams(h, n), char_ngrams(r, n)).cast("long").alias(f"cmatch_{n}"))
-    return cols
+    def body(x):
+        h, r = x["h"], x["r"]
+        cols = []
+        for n in range(1, order + 1):
+            cols.append(F.greatest(F.length(h) - n + 1, F.lit(0)).cast("long").alias(f"chyp_{n}"))
+            cols.append(F.greatest(F.length(r) - n + 1, F.lit(0)).cast("long").alias(f"cref_{n}"))
+            cols.append(clipped_matches(char_ngrams(h, n), char_ngrams(r, n)).cast("long").alias(f"cmatch_{n}"))
+        return F.struct(*cols)
+
+    return let(F.struct(F.regexp_replace(hyp, WS_RUN, "").alias("h"), F.regexp_replace(ref, WS_RUN, "").alias("r")), body)
 
 
 CHRF_STAT_COLS = [f"{k}_{n}" for n in range(1, 7) for k in ("chyp", "cref", "cmatch")]
 
 
 def with_bleu_stats(df, keep: list[str], hyp_tokens: Column, ref_tokens: Column, max_order: int = 4):
-    """Per-row BLEU statistics. The token arrays are projected first: n-gram lambdas
-    then read a column instead of re-running the tokeniser for every position."""
-    t = df.select(*keep, hyp_tokens.alias("_h"), ref_tokens.alias("_r"))
-    return t.select(*keep, *bleu_stats(F.col("_h"), F.col("_r"), max_order))
+    """Per-row BLEU statistics as columns."""
+    t = df.select(*keep, bleu_stats(hyp_tokens, ref_tokens, max_order).alias("_bs"))
+    return t.select(*keep, *[F.col(f"_bs.{c}").alias(c) for c in BLEU_STAT_COLS])
 
 
 def with_chrf_stats(df, keep: list[str], hyp: Column, ref: Column, order: int = 6):
-    """Per-row chrF statistics over the texts without whitespace (projected first)."""
-    from tessera.functions.text import WS_RUN
-
-    t = df.select(*keep, F.regexp_replace(hyp, WS_RUN, "").alias("_h"), F.regexp_replace(ref, WS_RUN, "").alias("_r"))
-    return t.select(*keep, *chrf_stats(F.col("_h"), F.col("_r"), order, strip=False))
+    """Per-row chrF statistics as columns."""
+    t = df.select(*keep, chrf_stats(hyp, ref, order).alias("_cs"))
+    return t.select(*keep, *[F.col(f"_cs.{c}").alias(c) for c in CHRF_STAT_COLS])
 
 
 def sum_stats(df, cols: list[str], by: list[str] | None = None):

@@ -21,28 +21,33 @@ from pyspark.sql import Column, functions as F
 ORDERS = 4
 
 
-def _c(name: str) -> Column:
-    return F.col(name).cast("double")
+def _getter(get):
+    """Statistics are read by name from columns (aggregated frames) or from a struct."""
+    g = get or F.col
+    return lambda name: g(name).cast("double")
 
 
-def brevity_penalty_hf() -> Column:
+def brevity_penalty_hf(get=None) -> Column:
+    _c = _getter(get)
     h, r = _c("hyp_len"), _c("ref_len")
     return F.when(h > r, F.lit(1.0)).when(h == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - r / h))
 
 
-def bleu_unsmoothed() -> Column:
+def bleu_unsmoothed(get=None) -> Column:
     """A5, 0-1."""
+    _c = _getter(get)
     ps = [F.when(_c(f"total_{n}") > 0, _c(f"match_{n}") / _c(f"total_{n}")).otherwise(F.lit(0.0)) for n in range(1, ORDERS + 1)]
     all_pos = ps[0] > 0
     for p in ps[1:]:
         all_pos = all_pos & (p > 0)
     logs = sum((F.log(F.when(p > 0, p).otherwise(F.lit(1.0))) for p in ps), F.lit(0.0))
     geo = F.when(all_pos, F.exp(logs / ORDERS)).otherwise(F.lit(0.0))
-    return geo * brevity_penalty_hf()
+    return geo * brevity_penalty_hf(get)
 
 
-def bleu_exp(effective_order: bool = False) -> Column:
+def bleu_exp(effective_order: bool = False, get=None) -> Column:
     """A4 (corpus) / A6 (``effective_order=True``), 0-100."""
+    _c = _getter(get)
     h, r = _c("hyp_len"), _c("ref_len")
     bp = F.when(h < r, F.when(h > 0, F.exp(F.lit(1.0) - r / h)).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
     zeros = F.lit(0)
@@ -63,8 +68,9 @@ def bleu_exp(effective_order: bool = False) -> Column:
     return F.when(any_match & (eff > 0), score).otherwise(F.lit(0.0))
 
 
-def chrf(order: int = 6, beta: float = 2.0) -> Column:
+def chrf(order: int = 6, beta: float = 2.0, get=None) -> Column:
     """A8, 0-100, from ``chyp_n``, ``cref_n``, ``cmatch_n``."""
+    _c = _getter(get)
     eps = 1e-16
     factor = beta ** 2
     sp, sr, eff = F.lit(0.0), F.lit(0.0), F.lit(0)
@@ -78,6 +84,13 @@ def chrf(order: int = 6, beta: float = 2.0) -> Column:
     return F.when(ap + ar > 0, F.lit(100.0) * (1 + factor) * ap * ar / (F.lit(factor) * ap + ar)).otherwise(F.lit(0.0))
 
 
+def sentence_bleu(hyp_tokens: Column, ref_tokens: Column) -> Column:
+    """A6 for one row, 0-100 (statistics bound once per row)."""
+    from tessera.operators.metrics.ngrams import bleu_stats, let
+
+    return let(bleu_stats(hyp_tokens, ref_tokens), lambda s: bleu_exp(True, get=lambda n: s[n]))
+
+
 def r6(col: Column) -> Column:
     """Scores are compared at 6 decimals."""
     return F.round(col, 6)

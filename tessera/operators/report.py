@@ -65,3 +65,40 @@ def corpus_scores(hub: DataFrame) -> DataFrame:
     st = sum_stats(b.join(c, keys), BLEU_STAT_COLS + CHRF_STAT_COLS)
     return st.select(r6(bleu_unsmoothed()).alias("bleu"), r6(bleu_exp()).alias("bleu_smoothed"),
                      r6(chrf()).alias("chrf"), "n_rows")
+
+
+def epoch_loss(history: DataFrame, run: str = "run", epoch: str = "epoch", loss: str = "loss") -> DataFrame:
+    """Mean loss per run and epoch (partial aggregation: hot runs are pre-summed per task)."""
+    return history.groupBy(run, epoch).agg(r6(F.avg(loss)).alias("mean_loss"), F.count(F.lit(1)).alias("n_batches"))
+
+
+def logged_batches(history: DataFrame, every: int, batch_col: str = "batch_idx") -> DataFrame:
+    """The rows a logger with interval ``every`` would keep."""
+    return history.where(F.col(batch_col) % every == 0)
+
+
+def best_so_far(history: DataFrame, run: str = "run", step: str = "step", score: str = "bleu",
+                block: int = 1 << 16, start: float = 0.0) -> DataFrame:
+    """Flag rows whose score is strictly above every earlier score of the run (and ``start``).
+
+    A running maximum as a blocked prefix scan, so one huge run is not one task:
+    (1) the maximum per (run, step block) - a partial aggregate; (2) the carry-in
+    per block = the maximum of the earlier blocks, a window over the small block
+    table; (3) the running maximum inside each (run, block), at most ``block``
+    steps, plus the carry.
+    """
+    b = F.floor(F.col(step) / F.lit(block)).cast("long")
+    h = history.withColumn("_blk", b)
+    blocks = h.groupBy(run, "_blk").agg(F.max(score).alias("_bmax"))
+    wb = Window.partitionBy(run).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = blocks.select(run, "_blk", F.max("_bmax").over(wb).alias("_carry"))
+    j = h.join(carry, [run, "_blk"])
+    wi = Window.partitionBy(run, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.greatest(F.max(score).over(wi), F.col("_carry"), F.lit(start))
+    return j.withColumn("is_best", F.col(score) > prev).drop("_blk", "_carry")
+
+
+def final_best(history: DataFrame, run: str = "run", step: str = "step", score: str = "bleu") -> DataFrame:
+    """The best score per run and the first step reaching it."""
+    return history.groupBy(run).agg(F.max(score).alias("best"),
+                                    F.min_by(step, F.struct(-F.col(score), F.col(step))).alias("best_step"))

@@ -188,7 +188,7 @@ def q_translate_corpus(spark, d):
 
 
 @register("translate_reverse", f"""
-WITH {Q.PAIRS}, {Q.DICT}, {Q.REV}, {Q.translate_cte('tr', 'tgt', Q.words_lower, 'rev', '')}
+WITH {Q.PAIRS}, {Q.DICT}, {Q.REV}, {Q.translate_cte('tr', 'tgt', Q.words_lower, 'rev', ' ')}
 SELECT conv_id, turn, translation FROM tr""")
 def q_translate_reverse(spark, d):
     pairs = conversation_pairs(spark, d)
@@ -406,3 +406,129 @@ def q_encode_longest(spark, d):
     vocab = build_vocabulary(b.select(toks.alias("t")))
     enc = encode_longest(b, PAIR_KEYS, toks, vocab, "batch_id", 512)
     return enc.select(*PAIR_KEYS, "batch_id", _ids_str("input_ids"), _ids_str("attention_mask"))
+
+
+# ---------------------------------------------------------------- 2.7 / 2.9 reports
+from tessera.operators.report import best_so_far, corpus_profile, epoch_loss, final_best, split_counts  # noqa: E402
+
+
+def metric_history(spark: SparkSession, d: str) -> DataFrame:
+    """D12 stand-in: events as a training log (run = user, step = event id, day = epoch)."""
+    ev = table(spark, d, "events")
+    return ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"),
+                     F.to_date("ts").alias("epoch"), F.col("value").alias("loss"), F.col("value").alias("bleu"))
+
+
+@register("corpus_profile", f"""
+WITH {Q.PAIRS}
+SELECT count(*) AS n_rows, round(avg(length(src)), 6) AS avg_chars_src, round(avg(length(tgt)), 6) AS avg_chars_tgt FROM pairs""")
+def q_corpus_profile(spark, d):
+    return corpus_profile(conversation_pairs(spark, d))
+
+
+@register("split_counts", """
+WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents),
+s AS (SELECT CASE WHEN rn <= (SELECT floor(n * 0.9::DOUBLE) FROM n) THEN 'train' ELSE 'validation' END AS split FROM r)
+SELECT split, count(*) AS n_rows FROM s GROUP BY split""")
+def q_split_counts(spark, d):
+    return split_counts(q_split_train_first(spark, d))
+
+
+@register("epoch_loss", """
+SELECT user_id AS run, CAST(ts AS DATE) AS epoch, round(avg(value), 6) AS mean_loss, count(*) AS n_batches
+FROM events GROUP BY ALL""")
+def q_epoch_loss(spark, d):
+    return epoch_loss(metric_history(spark, d))
+
+
+@register("best_so_far", """
+SELECT user_id AS run, event_id AS step, value AS bleu,
+  value > greatest(0.0, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY event_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS is_best
+FROM events""")
+def q_best_so_far(spark, d):
+    h = metric_history(spark, d).select("run", "step", "bleu")
+    return best_so_far(h, "run", "step", "bleu", block=1 << 10)
+
+
+@register("final_best", """
+SELECT user_id AS run, max(value) AS best, arg_min(event_id, (-value, event_id)) AS best_step FROM events GROUP BY user_id""")
+def q_final_best(spark, d):
+    return final_best(metric_history(spark, d))
+
+
+# ---------------------------------------------------------------- 2.6 translation jobs, F5
+from tessera.functions.text import ENGLISH  # noqa: E402
+from tessera.operators.filters import quality_filter  # noqa: E402
+from tessera.operators.translate import (  # noqa: E402
+    DictionaryModel, back_translation, fit_dictionary_model, round_trip, synthetic_pairs,
+)
+
+
+def _models(pairs: DataFrame) -> tuple[DictionaryModel, DictionaryModel]:
+    """(en -> xx, xx -> en) dictionary models fitted on the conversation pairs."""
+    en_xx = fit_dictionary_model(pairs, "tgt", "src", TGT_SCRIPT, SRC_SCRIPT, PAIR_KEYS)
+    xx_en = fit_dictionary_model(pairs, "src", "tgt", SRC_SCRIPT, TGT_SCRIPT, PAIR_KEYS)
+    return en_xx, xx_en
+
+
+_DICT2 = Q.dict_cte("dict2", "pairs", Q.words_lower("tgt"), Q.marks("src"))
+_FWD2 = "fwd2 AS (SELECT src AS tok, tgt AS out FROM dict2)"
+
+
+@register("synthetic_pairs", f"""
+WITH {Q.PAIRS}, {_DICT2}, {_FWD2},
+mono AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+{Q.translate_cte('syn', 'text', Q.words_lower, 'fwd2', ' ', rel='mono', keys='doc_id')}
+SELECT m.doc_id, m.text AS orig, s.translation AS trans FROM mono m JOIN syn s USING (doc_id)""")
+def q_synthetic_pairs(spark, d):
+    en_xx, _ = _models(conversation_pairs(spark, d))
+    mono = table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    return synthetic_pairs(mono, en_xx, ["doc_id"])
+
+
+_ROUND_TRIP = f"""{Q.PAIRS}, {Q.DICT}, {Q.FWD}, {_DICT2}, {_FWD2},
+mono AS (SELECT doc_id, text FROM documents),
+{Q.translate_cte('rt1', 'text', Q.words_lower, 'fwd2', ' ', rel='mono', keys='doc_id')},
+{Q.translate_cte('rt2', 'translation', Q.marks, 'fwd', ' ', rel='rt1', keys='doc_id')},
+rt AS (SELECT m.doc_id, m.text AS orig, a.translation AS trans, b.translation AS back
+       FROM mono m JOIN rt1 a USING (doc_id) JOIN rt2 b USING (doc_id))"""
+
+
+@register("round_trip", f"""
+WITH {_ROUND_TRIP}
+SELECT doc_id, orig, trans, back FROM rt""")
+def q_round_trip(spark, d):
+    en_xx, xx_en = _models(conversation_pairs(spark, d))
+    mono = table(spark, d, "documents").select("doc_id", "text")
+    return round_trip(mono, en_xx, xx_en, ["doc_id"])
+
+
+_LATIN = r"'\A[a-zA-Z\s\x0b\p{P}0-9]+\z'"
+
+
+@register("quality_filter", f"""
+WITH {_ROUND_TRIP},
+lat AS (SELECT *, coalesce(regexp_matches(orig, {_LATIN}), false) AS latin FROM rt),
+qin AS (SELECT doc_id, back AS prediction, orig AS reference FROM lat WHERE latin),
+{Q.bleu_row_stats('qin', 'doc_id', rstrip=True)},
+sb AS (SELECT doc_id, {Q.bleu_exp_sql(effective_order=True)} / 100.0 AS bleu FROM (
+  SELECT doc_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in BLEU_STAT_COLS)} FROM st))
+SELECT l.doc_id, l.orig, l.trans FROM lat l JOIN sb USING (doc_id) WHERE l.latin AND sb.bleu >= 0.7
+UNION ALL
+SELECT doc_id, orig, trans FROM lat
+WHERE NOT latin AND length(trans)::DOUBLE / greatest(1, length(orig)) BETWEEN 0.5 AND 2.0""")
+def q_quality_filter(spark, d):
+    return quality_filter(q_round_trip(spark, d), ["doc_id"], threshold=0.7)
+
+
+@register("back_translation_rounds")
+def q_back_translation_rounds(spark, d):
+    pairs = conversation_pairs(spark, d)
+    par = pairs.select(F.col("conv_id").alias("o1"), F.col("turn").alias("o2"),
+                       F.col("tgt").alias("a_text"), F.col("src").alias("b_text"))
+    docs = table(spark, d, "documents")
+    mono_a = docs.where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
+    mono_b = docs.where(F.col("lang") == "fr").select(F.col("doc_id").alias("id"), "text")
+    return back_translation(spark, par, mono_a, mono_b, ENGLISH, SRC_SCRIPT, rounds=2)

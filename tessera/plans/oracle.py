@@ -46,33 +46,39 @@ PAIRS = """pairs AS (
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
-DICT = f"""al AS (
-  SELECT conv_id, turn, pos, s[pos + 1] AS src, t[pos + 1] AS tgt FROM (
-    SELECT conv_id, turn, s, t, unnest(range(0, least(len(s), len(t)))) AS pos FROM (
-      SELECT conv_id, turn, {marks('src')} AS s, {words_lower('tgt')} AS t FROM pairs))),
-dict AS (
-  SELECT src, arg_max(tgt, (conv_id, turn, pos)) AS tgt,
-         arg_min(conv_id, (conv_id, turn, pos)) AS first_conv_id,
-         arg_min(turn, (conv_id, turn, pos)) AS first_turn,
-         arg_min(pos, (conv_id, turn, pos)) AS first_pos
-  FROM al GROUP BY src)"""
+def dict_cte(name: str, rel: str, s_tok: str, t_tok: str, order: str = "conv_id, turn") -> str:
+    """CTE ``name(src, tgt, first_<order>..., first_pos)``: last write wins per source token."""
+    cols = [c.strip() for c in order.split(",")]
+    firsts = ",\n         ".join(f"arg_min({c}, ({order}, pos)) AS first_{c}" for c in [*cols, "pos"])
+    return f"""{name}_al AS (
+  SELECT {order}, pos, s[pos + 1] AS src, t[pos + 1] AS tgt FROM (
+    SELECT {order}, s, t, unnest(range(0, least(len(s), len(t)))) AS pos FROM (
+      SELECT {order}, {s_tok} AS s, {t_tok} AS t FROM {rel}))),
+{name} AS (
+  SELECT src, arg_max(tgt, ({order}, pos)) AS tgt,
+         {firsts}
+  FROM {name}_al GROUP BY src)"""
+
+
+DICT = dict_cte("dict", "pairs", marks("src"), words_lower("tgt"))
 
 REV = """rev AS (
   SELECT tgt AS tok, arg_max(src, (first_conv_id, first_turn, first_pos)) AS out FROM dict GROUP BY tgt)"""
 
 
-def translate_cte(name: str, text: str, tokens_fn, view: str, joiner: str) -> str:
-    """CTE ``name(conv_id, turn, translation)`` over ``pairs``."""
+def translate_cte(name: str, text: str, tokens_fn, view: str, joiner: str, rel: str = "pairs",
+                  keys: str = "conv_id, turn") -> str:
+    """CTE ``name(keys..., translation)`` over ``rel``."""
     return f"""{name}_t AS (
-  SELECT conv_id, turn, unnest(s) AS tok, generate_subscripts(s, 1) AS pos FROM (
-    SELECT conv_id, turn, {tokens_fn(text)} AS s FROM pairs)),
+  SELECT {keys}, unnest(s) AS tok, generate_subscripts(s, 1) AS pos FROM (
+    SELECT {keys}, {tokens_fn(text)} AS s FROM {rel})),
 {name}_j AS (
-  SELECT conv_id, turn, string_agg(coalesce(v.out, '[' || x.tok || ']'), '{joiner}' ORDER BY x.pos) AS translation
+  SELECT {keys}, string_agg(coalesce(v.out, '[' || x.tok || ']'), '{joiner}' ORDER BY x.pos) AS translation
   FROM {name}_t x LEFT JOIN (SELECT tok, out FROM {view} WHERE out IS NOT NULL AND out <> '') v USING (tok)
-  GROUP BY conv_id, turn),
+  GROUP BY {keys}),
 {name} AS (
-  SELECT p.conv_id, p.turn, coalesce(j.translation, '') AS translation
-  FROM pairs p LEFT JOIN {name}_j j USING (conv_id, turn))"""
+  SELECT {", ".join("p." + k.strip() for k in keys.split(","))}, coalesce(j.translation, '') AS translation
+  FROM {rel} p LEFT JOIN {name}_j j USING ({keys}))"""
 
 
 FWD = "fwd AS (SELECT src AS tok, tgt AS out FROM dict)"
@@ -86,7 +92,7 @@ HUB = ",\n".join([
 DIRS = ",\n".join([
     PAIRS, DICT, FWD, REV,
     translate_cte("trf", "src", marks, "fwd", " "),
-    translate_cte("trr", "tgt", words_lower, "rev", ""),
+    translate_cte("trr", "tgt", words_lower, "rev", " "),
     """dirs AS (
   SELECT 'src-tgt' AS direction, p.conv_id, p.turn, p.src AS source, p.tgt AS reference, f.translation AS prediction
   FROM pairs p JOIN trf f USING (conv_id, turn)
