@@ -102,3 +102,25 @@ def final_best(history: DataFrame, run: str = "run", step: str = "step", score:
     """The best score per run and the first step reaching it."""
     return history.groupBy(run).agg(F.max(score).alias("best"),
                                     F.min_by(step, F.struct(-F.col(score), F.col(step))).alias("best_step"))
+
+
+def full_report(hub: DataFrame, keys: list[str], lo: int = 0x0F00, hi: int = 0x0FFF) -> DataFrame:
+    """A10-A13 in one row: metrics, error analysis and the length table."""
+    from tessera.operators.metrics.edit import corpus_edit_rate, corpus_meteor
+
+    hub = hub.persist()  # read by five independent jobs below
+    scores = corpus_scores(hub).select("bleu", "chrf")
+    meteor = corpus_meteor(hub, keys).select(F.col("meteor_exact_stem").alias("meteor"))
+    ter = corpus_edit_rate(hub, keys, shifts=True).select("ter")
+    errors = error_analysis(hub, lo, hi).select("avg_length_diff", "untranslated_percentage")
+    buckets = bleu_by_length(hub).agg(F.array_sort(F.collect_list(F.struct("bucket", "bleu", "count", "percentage"))).alias("length_analysis"))
+    # each part is one aggregated row: joined on a constant key
+    parts = [p.withColumn("_one", F.lit(1)) for p in (scores, meteor, ter, errors, buckets)]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.join(p, "_one")
+    return one.select(
+        F.struct("bleu", "meteor", "chrf", "ter").alias("metrics"),
+        F.struct("avg_length_diff", "untranslated_percentage").alias("error_analysis"),
+        "length_analysis",
+    )

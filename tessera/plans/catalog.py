@@ -532,3 +532,29 @@ def q_back_translation_rounds(spark, d):
     mono_a = docs.where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
     mono_b = docs.where(F.col("lang") == "fr").select(F.col("doc_id").alias("id"), "text")
     return back_translation(spark, par, mono_a, mono_b, ENGLISH, SRC_SCRIPT, rounds=2)
+
+
+# ---------------------------------------------------------------- A7, A9, A10 (rows only: no byte-exact SQL twin)
+from tessera.operators.metrics.edit import corpus_edit_rate, corpus_meteor  # noqa: E402
+
+
+@register("word_error_rate")
+def q_word_error_rate(spark, d):
+    return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=False, name="wer")
+
+
+@register("ter_corpus")
+def q_ter_corpus(spark, d):
+    return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=True, name="ter")
+
+
+@register("meteor_corpus")
+def q_meteor_corpus(spark, d):
+    return corpus_meteor(scored_examples(spark, d), PAIR_KEYS)
+
+
+@register("full_report")
+def q_full_report(spark, d):
+    from tessera.operators.report import full_report
+
+    return full_report(scored_examples(spark, d), PAIR_KEYS, LO, HI)
