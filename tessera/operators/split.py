@@ -34,7 +34,7 @@ def val_first_size(ratio: float = 0.9):
     return lambda n: int(n * (1.0 - ratio))
 
 
-def test_ceil_size(test_share: float = 0.1):
+def ceil_share_size(test_share: float = 0.1):
     """``ceil(test_share * n)`` rows go first (the test part)."""
     return lambda n: int(math.ceil(test_share * n))
 

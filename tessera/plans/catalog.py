@@ -291,7 +291,7 @@ def q_error_analysis(spark, d):
 
 # ---------------------------------------------------------------- 2.10 splits, caps, batches
 from tessera.operators.split import (  # noqa: E402
-    batches, epoch_batches, exact_split, first_per_group, test_ceil_size, train_first_size, val_first_size,
+    batches, epoch_batches, exact_split, first_per_group, ceil_share_size, train_first_size, val_first_size,
 )
 
 
@@ -315,7 +315,7 @@ def q_split_val_first(spark, d):
 
 @register("split_test_ceil", _split_sql("ceil(0.1::DOUBLE * n)", "test", "train"))
 def q_split_test_ceil(spark, d):
-    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42, test_ceil_size(0.1), ("test", "train"))
+    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id", 42, ceil_share_size(0.1), ("test", "train"))
 
 
 @register("cap_per_language", """
