@@ -81,11 +81,16 @@ def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame,
         keep = keep & (F.col("out") != "")
     view = view.where(keep).select("tok", "out")
     view, small = bounded_broadcast(view, broadcast_rows)
-    base = df.repartition(*keys) if small else df
+    if small:
+        # An explicit count: AQE would otherwise merge these (byte-small, CPU-heavy)
+        # partitions and leave the per-row work after the lookup to a few cores.
+        base = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    else:
+        base = df
     ex = base.select(*keys, F.posexplode_outer(tokens).alias("_pos", "tok"))
     j = ex.join(view, "tok", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("out"), default(F.col("tok"))).alias("v")))
-    agg = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_arr"))
+    agg = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_arr"))
     res = agg.select(*keys, F.transform("_arr", lambda x: x["v"]).alias(out_name))
     return base.join(res, keys, "inner")
 

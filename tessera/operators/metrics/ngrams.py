@@ -28,7 +28,7 @@ def char_ngrams(s: Column, n: int) -> Column:
 
 def clipped_matches(hyp: Column, ref: Column) -> Column:
     """Size of the multiset intersection of two string arrays."""
-    tagged = F.array_sort(F.concat(
+    tagged = F.sort_array(F.concat(
         F.transform(hyp, lambda g: F.struct(g.alias("g"), F.lit(1).alias("x"))),
         F.transform(ref, lambda g: F.struct(g.alias("g"), F.lit(0).alias("x"))),
     ))
