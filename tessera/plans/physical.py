@@ -21,11 +21,14 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return ``(df, True)`` wrapped in a broadcast hint when it has at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows. ``max_rows=None`` skips the
+    The check reads at most ``max_rows + 1`` rows of the side, which is persisted
+    first so that the join does not compute it again. ``max_rows=None`` skips the
     check and leaves the choice to Catalyst/AQE (their own size threshold).
     """
     if max_rows is None:
         return df, False
+    # kept (memory, then disk) so the join reuses what the count computed
+    df = df.persist()
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df), True
     return df, False
