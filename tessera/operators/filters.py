@@ -3,8 +3,8 @@
 F5, the synthetic-pair quality filter: when the original is Latin-only (P7) keep
 the pair if the sentence BLEU of the back-translation against the original is at
 least the threshold (score / 100); otherwise keep it if the length ratio
-``len(trans) / max(1, len(orig))`` lies in [0.5, 2.0]. BLEU is only tokenised
-for the Latin rows (the other rows carry empty token arrays).
+``len(trans) / max(1, len(orig))`` lies in [0.5, 2.0]. Only the Latin rows are
+tokenised for BLEU (the other rows carry empty token arrays).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.text import contains_script, latin_only, length_ratio, py_split
 from tessera.functions.tok13a import tokenize_13a
-from tessera.operators.metrics.scores import sentence_bleu
+from tessera.operators.metrics.ngrams import with_bleu_stats
+from tessera.operators.metrics.scores import bleu_exp
 
 
 def paragraph_ok(text, min_words: int = 10):
@@ -32,11 +33,15 @@ def quality_filter(triples: DataFrame, keys: list[str], orig: str = "orig", tran
                    threshold: float = 0.7, with_scores: bool = False) -> DataFrame:
     """F5 over ``(keys..., orig, trans, back)``; returns the kept ``(keys..., orig, trans)`` in input key order."""
     t = triples.withColumn("_latin", latin_only(F.col(orig)))
-    score = sentence_bleu(tokenize_13a(F.col(back), rstrip=True), tokenize_13a(F.col(orig), rstrip=True)) / F.lit(100.0)
+    empty = F.array().cast("array<string>")
+    # only the Latin rows are tokenised; the others carry empty arrays through the counting step
+    hyp = F.when(F.col("_latin"), tokenize_13a(F.col(back), rstrip=True)).otherwise(empty)
+    ref = F.when(F.col("_latin"), tokenize_13a(F.col(orig), rstrip=True)).otherwise(empty)
+    st = with_bleu_stats(t, [*keys, orig, trans, "_latin"], hyp, ref)
+    score = bleu_exp(effective_order=True) / F.lit(100.0)
     ratio = length_ratio(F.col(trans), F.col(orig))
-    # CASE evaluates BLEU for the Latin rows only
     keep = F.when(F.col("_latin"), score >= F.lit(threshold)).otherwise(ratio.between(0.5, 2.0))
-    out = t.withColumn("_keep", keep).where("_keep")
+    out = st.withColumn("_keep", keep).where("_keep")
     cols = [*keys, orig, trans]
     if with_scores:
         out = out.withColumn("bleu", F.when(F.col("_latin"), score)).withColumn("ratio", ratio)

@@ -154,3 +154,13 @@ def test_meteor_corpus(spark, hub):
     want = sum(meteor_row(h.lower().split(), r.lower().split()) for _, h, r in _pairs(60)) / len(_pairs(60))
     assert got.meteor_exact_stem == pytest.approx(round(want, 6), abs=1e-6)
     assert not math.isnan(got.meteor_exact_stem)
+
+
+def test_engines_agree(spark, hub):
+    h, r = tokenize_13a(F.col("prediction")), tokenize_13a(F.col("reference"))
+    a = with_bleu_stats(hub, ["id"], h, r, engine="arrow").orderBy("id").collect()
+    b = with_bleu_stats(hub, ["id"], h, r, engine="jvm").orderBy("id").collect()
+    assert a == b
+    c = with_chrf_stats(hub, ["id"], F.col("prediction"), F.col("reference"), engine="arrow").orderBy("id").collect()
+    d = with_chrf_stats(hub, ["id"], F.col("prediction"), F.col("reference"), engine="jvm").orderBy("id").collect()
+    assert c == d
