@@ -137,8 +137,52 @@ def _candidate_blocks(h, r):
                 yield sh, sr, length
 
 
-def ter_edits(h: list[str], r: list[str]) -> int:
-    """Edits of TER: greedy block shifts that lower the edit distance, then the distance."""
+def distances(hyps: np.ndarray, r_ids: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of K equal-length coded sequences (rows of ``hyps``) to one reference."""
+    k, n = hyps.shape
+    m = len(r_ids)
+    j = np.arange(m + 1)
+    prev = np.broadcast_to(j, (k, m + 1)).copy()
+    t = np.empty((k, m + 1), dtype=np.int64)
+    for i in range(n):
+        t[:, 0] = prev[:, 0] + 1
+        np.minimum(prev[:, :-1] + (r_ids[None, :] != hyps[:, i:i + 1]), prev[:, 1:] + 1, out=t[:, 1:])
+        prev = np.minimum.accumulate(t - j, axis=1) + j
+    return prev[:, m]
+
+
+def _shift_candidates(words, r, align, rerr, herr, checked):
+    """Candidate shifts ``(length, start, target)`` in the order they are tried, and the new count."""
+    out = []
+    for sh, sr, length in _candidate_blocks(words, r):
+        if sum(herr[sh:sh + length]) == 0 or sum(rerr[sr:sr + length]) == 0:
+            continue
+        if sh <= align.get(sr, -2) < sh + length:
+            continue
+        prev_idx = -1
+        for off in range(-1, length):
+            if sr + off == -1:
+                idx = 0
+            elif sr + off in align:
+                idx = align[sr + off] + 1
+            else:
+                break
+            if idx == prev_idx:
+                continue
+            prev_idx = idx
+            out.append((length, sh, idx))
+            checked += 1
+        if checked >= MAX_SHIFT_CANDIDATES:
+            break
+    return out, checked
+
+
+def ter_edits(h: list[str], r: list[str], chunk: int = 256) -> int:
+    """Edits of TER: greedy block shifts that lower the edit distance, then the distance.
+
+    All candidates of one iteration have the same length (a shift permutes the
+    words), so they are scored together in one vectorised DP, ``chunk`` at a time.
+    """
     codes: dict[str, int] = {}
     enc = lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64)
     r_ids = enc(r)
@@ -147,34 +191,20 @@ def ter_edits(h: list[str], r: list[str]) -> int:
     while True:
         score, trace = levenshtein_trace(words, r)
         align, rerr, herr = _alignment(trace)
+        cands, checked = _shift_candidates(words, r, align, rerr, herr, checked)
         best = None
-        for sh, sr, length in _candidate_blocks(words, r):
-            if sum(herr[sh:sh + length]) == 0 or sum(rerr[sr:sr + length]) == 0:
-                continue
-            if sh <= align.get(sr, -2) < sh + length:
-                continue
-            prev_idx = -1
-            for off in range(-1, length):
-                if sr + off == -1:
-                    idx = 0
-                elif sr + off in align:
-                    idx = align[sr + off] + 1
-                else:
-                    break
-                if idx == prev_idx:
-                    continue
-                prev_idx = idx
-                moved = _shifted(words, sh, length, idx)
-                cand = (score - distance(enc(moved), r_ids), length, -sh, -idx, moved)
-                checked += 1
-                if best is None or cand[:4] > best[:4]:
-                    best = cand
-            if checked >= MAX_SHIFT_CANDIDATES:
-                break
-        if best is None or best[0] <= 0 or checked >= MAX_SHIFT_CANDIDATES:
+        if cands:
+            moved = [_shifted(words, sh, length, idx) for length, sh, idx in cands]
+            coded = np.stack([enc(w) for w in moved])
+            d = np.concatenate([distances(coded[i:i + chunk], r_ids) for i in range(0, len(moved), chunk)])
+            for (length, sh, idx), dist, mv in zip(cands, d, moved):
+                key = (score - int(dist), length, -sh, -idx)
+                if best is None or key > best[0]:
+                    best = (key, mv)
+        if best is None or best[0][0] <= 0 or checked >= MAX_SHIFT_CANDIDATES:
             break
         shifts += 1
-        words = best[4]
+        words = best[1]
     return shifts + levenshtein_trace(words, r)[0]
 
 
