@@ -15,6 +15,8 @@ limit the lookup becomes a shuffle join on the token (AQE splits hot tokens).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import Script, missing_marker
@@ -82,9 +84,12 @@ def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame,
     view = view.where(keep).select("tok", "out")
     view, small = bounded_broadcast(view, broadcast_rows)
     if small:
+        # Null keys cannot be re-attached; filtering them here keeps both uses of
+        # ``base`` identical, so Spark reuses one exchange instead of shuffling twice.
         # An explicit count: AQE would otherwise merge these (byte-small, CPU-heavy)
         # partitions and leave the per-row work after the lookup to a few cores.
-        base = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        keyed = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+        base = keyed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     else:
         base = df
     ex = base.select(*keys, F.posexplode_outer(tokens).alias("_pos", "tok"))

@@ -28,10 +28,9 @@ def main():
     for name, key in IDS.items():
         df = spark.read.parquet(f"{src}/{name}.parquet")
         span = df.agg(F.max(key)).first()[0] + 1
-        copies = spark.range(k).withColumnRenamed("id", "_copy")
-        # a k-row constant table joined on a constant key: each row appears k times
-        rep = df.withColumn("_one", F.lit(1)).join(F.broadcast(copies.withColumn("_one", F.lit(1))), "_one")
-        rep = rep.withColumn(key, F.col(key) + F.col("_copy") * F.lit(span)).drop("_one", "_copy")
+        # every row k times, each copy with its ids shifted by a multiple of the id span
+        rep = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        rep = rep.withColumn(key, F.col(key) + F.col("_copy") * F.lit(span)).drop("_copy")
         rep.select(*df.columns).write.mode("overwrite").parquet(f"{dst}/{name}.parquet")
     print("done", dst)
 
