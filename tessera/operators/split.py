@@ -39,19 +39,25 @@ def ceil_share_size(test_share: float = 0.1):
     return lambda n: int(math.ceil(test_share * n))
 
 
-def cut_point(df: DataFrame, h: str, key: str, k: int) -> tuple[str, object]:
+def _histogram(df: DataFrame, h: str, prefix: str) -> list[tuple[str, int]]:
+    """Row counts per next 16-bit hash bucket under ``prefix`` (at most 65,536 rows)."""
+    scope = df.where(F.col(h).startswith(prefix)) if prefix else df
+    bucket = F.substring(F.col(h), len(prefix) + 1, BUCKET_HEX)
+    return sorted((r[0], r[1]) for r in scope.groupBy(bucket.alias("b")).count().collect())
+
+
+def cut_point(df: DataFrame, h: str, key: str, k: int, hist: list[tuple[str, int]] | None = None) -> tuple[str, object]:
     """The k-th smallest ``(h, key)`` (1-based), from prefix histograms."""
     prefix, remaining = "", k
     while True:
-        scope = df.where(F.col(h).startswith(prefix)) if prefix else df
-        bucket = F.substring(F.col(h), len(prefix) + 1, BUCKET_HEX)
-        hist = sorted((r[0], r[1]) for r in scope.groupBy(bucket.alias("b")).count().collect())
+        hist = hist if hist is not None else _histogram(df, h, prefix)
         for b, c in hist:
             if remaining <= c:
                 prefix += b
                 size = c
                 break
             remaining -= c
+        hist = None
         if size <= FINAL_ROWS or len(prefix) >= 32:
             break
     last = (
@@ -65,18 +71,20 @@ def exact_split(df: DataFrame, key: str, seed: int, size_fn, labels=("train", "v
                 split_col: str = "split") -> DataFrame:
     """Label exactly ``size_fn(n)`` rows ``labels[0]``, the rest ``labels[1]``.
 
-    ``key`` must be unique. Deterministic by seed; disjoint and complete.
+    ``key`` must be unique. Deterministic by seed; disjoint and complete. The
+    first histogram also gives ``n``, so the data is read once for it.
     """
     d = df.withColumn("_h", order_hash(key, seed))
-    n = d.count()
+    first = _histogram(d, "_h", "")
+    n = sum(c for _, c in first)
     k = size_fn(n)
     if k <= 0:
         return d.withColumn(split_col, F.lit(labels[1])).drop("_h")
     if k >= n:
         return d.withColumn(split_col, F.lit(labels[0])).drop("_h")
-    ch, ck = cut_point(d, "_h", key, k)
-    first = (F.col("_h") < F.lit(ch)) | ((F.col("_h") == F.lit(ch)) & (F.col(key) <= F.lit(ck)))
-    return d.withColumn(split_col, F.when(first, F.lit(labels[0])).otherwise(F.lit(labels[1]))).drop("_h")
+    ch, ck = cut_point(d, "_h", key, k, first)
+    first_part = (F.col("_h") < F.lit(ch)) | ((F.col("_h") == F.lit(ch)) & (F.col(key) <= F.lit(ck)))
+    return d.withColumn(split_col, F.when(first_part, F.lit(labels[0])).otherwise(F.lit(labels[1]))).drop("_h")
 
 
 def cap(df: DataFrame, order: list, k: int) -> DataFrame:

@@ -46,7 +46,8 @@ def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def both_direction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A14 input: the set and its swap, each with its own dictionary direction."""
     pairs = conversation_pairs(spark, sf_dir)
-    entries = dictionary_entries(pair_dictionary(pairs))
+    # both views read the induced dictionary: computed once
+    entries = dictionary_entries(pair_dictionary(pairs)).persist()
     fwd = translate(pairs, PAIR_KEYS, "src", forward_view(entries), SRC_SCRIPT, TGT_SCRIPT.joiner, "prediction")
     rev = translate(pairs, PAIR_KEYS, "tgt", reverse_view(entries), TGT_SCRIPT, SRC_SCRIPT.joiner, "prediction")
     return fwd.select(F.lit("src-tgt").alias("direction"), *PAIR_KEYS, F.col("src").alias("source"),
