@@ -558,3 +558,60 @@ def q_full_report(spark, d):
     from tessera.operators.report import full_report
 
     return full_report(scored_examples(spark, d), PAIR_KEYS, LO, HI)
+
+
+# ---------------------------------------------------------------- file sources and sinks over derived data
+import uuid  # noqa: E402
+
+from tessera.session import shared_folder  # noqa: E402
+from tessera.sources.sinks import write_corpus, write_pairs_tsv  # noqa: E402
+from tessera.sources.text_files import read_aligned, read_parallel_tsv  # noqa: E402
+
+
+def _scratch(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tessera-{what}-{uuid.uuid4().hex}"
+
+
+_ONE_LINE = "regexp_replace(text, '[\\r\\n\\t]', ' ', 'g')"
+
+
+@register("aligned_files", f"""
+WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {Q.strip(_ONE_LINE)} AS en FROM documents WHERE lang = 'en'),
+     b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {Q.strip(_ONE_LINE)} AS fr FROM documents WHERE lang = 'fr')
+SELECT line_no, en, fr FROM a JOIN b USING (line_no)""")
+def q_aligned_files(spark, d):
+    """K1 then S4/N1: one text per line per language, read back and paired by line number."""
+    out = _scratch(spark, "corpus")
+    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", "lang", "text")
+    write_corpus(docs, out, order=("doc_id",))
+    return read_aligned(spark, f"{out}/lang=en", f"{out}/lang=fr", ("en", "fr"))
+
+
+_CLEAN_SRC = "regexp_replace(src, '[\\r\\n\\t]', ' ', 'g')"
+_CLEAN_TGT = "regexp_replace(tgt, '[\\r\\n\\t]', ' ', 'g')"
+
+
+@register("parallel_tsv_files", f"""
+WITH {Q.PAIRS},
+c AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no, {_CLEAN_SRC} AS s, {_CLEAN_TGT} AS t FROM pairs)
+SELECT line_no, {Q.strip('s')} AS src, {Q.strip('t')} AS tgt FROM c
+WHERE {Q.strip('s')} <> '' AND {Q.strip('t')} <> ''""")
+def q_parallel_tsv_files(spark, d):
+    """K6 then S1: pairs written as TSV in (conv_id, turn) order and parsed back."""
+    out = _scratch(spark, "tsv")
+    write_pairs_tsv(conversation_pairs(spark, d), out, "src", "tgt", order=tuple(PAIR_KEYS))
+    return read_parallel_tsv(spark, out)
+
+
+@register("model_evaluation", f"""
+WITH {Q.DIRS}, {Q.bleu_row_stats("(SELECT * FROM dirs WHERE direction = 'src-tgt')", 'conv_id, turn', rstrip=True)},
+agg AS ({Q.sum_stats_sql('st')})
+SELECT round({Q.bleu_exp_sql()}, 6) AS bleu, n_rows AS count FROM agg""")
+def q_model_evaluation(spark, d):
+    """Translate the test set with the fitted model and score it (corpus BLEU, 0-100)."""
+    from tessera.operators.translate import evaluate
+
+    pairs = conversation_pairs(spark, d)
+    _, xx_en = _models(pairs)
+    test = pairs.select(*PAIR_KEYS, F.col("src").alias("source"), F.col("tgt").alias("reference"))
+    return evaluate(test, xx_en, PAIR_KEYS)
