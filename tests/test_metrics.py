@@ -164,3 +164,20 @@ def test_engines_agree(spark, hub):
     c = with_chrf_stats(hub, ["id"], F.col("prediction"), F.col("reference"), engine="arrow").orderBy("id").collect()
     d = with_chrf_stats(hub, ["id"], F.col("prediction"), F.col("reference"), engine="jvm").orderBy("id").collect()
     assert c == d
+
+
+SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SF01), reason="driver tables not present")
+def test_survey_regression_statistics(spark):
+    """SURVEY 7.6: 13a n-gram statistics of the sf0.01 pairs (assistant text against user text)."""
+    from tessera.plans.derive import conversation_pairs
+
+    pairs = conversation_pairs(spark, SF01)
+    for engine in ("arrow", "jvm"):
+        st = sum_stats(with_bleu_stats(pairs, [], tokenize_13a(F.col("tgt")), tokenize_13a(F.col("src")), engine=engine),
+                       BLEU_STAT_COLS).first()
+        assert [st[f"match_{n}"] for n in range(1, 5)] == [2923, 199, 20, 9]
+        assert [st[f"total_{n}"] for n in range(1, 5)] == [42541, 42308, 42075, 41842]
+        assert (st.hyp_len, st.ref_len) == (42541, 8728)

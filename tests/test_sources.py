@@ -126,3 +126,13 @@ def test_sinks_round_trip(spark, tmpdir_path):
     files = [f for f in os.listdir(f"{tmpdir_path}/rep/metrics") if f.startswith("part-")]
     with open(f"{tmpdir_path}/rep/metrics/{files[0]}", encoding="utf-8") as fh:
         assert json.loads(fh.read()) == {"bleu": 1.0, "ter": 2.0}
+
+
+def test_survey_page_regression(spark):
+    """SURVEY 7.5: sf0.01 pages give 2,358 paragraphs, 1,899 distinct (script filter off)."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        return
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    p = page_paragraphs(pages, 0x0, 0x10FFFF, max_texts=None)
+    row = p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).first()
+    assert (row.n, row.d) == (2358, 1899)
