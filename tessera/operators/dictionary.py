@@ -6,8 +6,8 @@ A dictionary is a table, never a driver-side map, so it can outgrow one machine:
 * a lookup view ``(tok, out)``: one row per key, last write wins.
 
 Translation explodes token positions, joins the lookup view and puts the tokens
-back in position order per row. When the view is small (counted against a
-limit) it is broadcast and the input is hash-partitioned by its row key once, so
+back in position order per row. When the view is small (rows and string bytes
+counted against limits) it is broadcast and the input is hash-partitioned by its row key once, so
 the explode, the regroup and the re-attachment of the other columns all run on
 that one partitioning (one shuffle of the input, none of the tokens). Beyond the
 limit the lookup becomes a shuffle join on the token (AQE splits hot tokens).

@@ -14,22 +14,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.session import shared_folder
 
-# Rows of a lookup table below which it is shipped to every task.
+# Limits below which a lookup table is shipped to every task.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 256 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``(df, True)`` wrapped in a broadcast hint when it has at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_ROWS,
+                      max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Return ``(df, True)`` wrapped in a broadcast hint when it has at most ``max_rows`` rows
+    and at most ``max_bytes`` bytes of string data.
 
-    The check reads at most ``max_rows + 1`` rows of the side, which is persisted
-    first so that the join does not compute it again. ``max_rows=None`` skips the
-    check and leaves the choice to Catalyst/AQE (their own size threshold).
+    The side is persisted first, so the join does not compute it again; rows and
+    string bytes are counted in one aggregate. ``max_rows=None`` skips the check
+    and leaves the choice to Catalyst/AQE (their own size threshold).
     """
     if max_rows is None:
         return df, False
-    # kept (memory, then disk) so the join reuses what the count computed
+    # kept (memory, then disk) so the join reuses what the check computed
     df = df.persist()
-    if df.limit(max_rows + 1).count() <= max_rows:
+    strings = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    size = sum(strings, F.lit(0)) if strings else F.lit(0)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    if row.n <= max_rows and row.b <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

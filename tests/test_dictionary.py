@@ -80,3 +80,13 @@ def test_last_write_wins_and_entries_order(spark):
     assert [(r.src, r.tgt, r.first_line_no, r.first_pos) for r in d] == [("a", "z", 0, 0)]
     e = dictionary_entries(induce_dictionary(pairs, "bo", "en", TIBETAN, ENGLISH, ["line_no"]))
     assert forward_view(e).count() == 1
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from tessera.plans.physical import bounded_broadcast
+
+    view = spark.createDataFrame([("a", "x" * 100), ("b", "y")], "tok string, out string")
+    assert bounded_broadcast(view, max_rows=2)[1] is True
+    assert bounded_broadcast(view, max_rows=1)[1] is False
+    assert bounded_broadcast(view, max_rows=10, max_bytes=50)[1] is False
+    assert bounded_broadcast(view, max_rows=None)[1] is False
