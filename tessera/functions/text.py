@@ -69,9 +69,6 @@ class Script:
             return syllables(col, self.mark, self.ends)
         return words_lower(col)
 
-    def split_class(self) -> str:
-        return "[" + "".join(re.escape(ch) if ch not in "\n" else "\\n" for ch in (self.mark, *self.ends)) + "]"
-
 
 TIBETAN = Script("bo", "marks", joiner="")
 ENGLISH = Script("en", "words", joiner=" ")

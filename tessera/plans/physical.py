@@ -5,14 +5,12 @@
 * ``dense_row_number``: a global 0-based row number in a given order without a
   single-partition window: a range-partitioned sort, per-partition counts (one
   row per partition), prefix offsets over that tiny table, and a broadcast of it.
-* ``cut_lineage``: reliable checkpoint into the shared folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.session import shared_folder
 
 # Limits below which a lookup table is shipped to every task.
 DEFAULT_BROADCAST_ROWS = 2_000_000
@@ -65,8 +63,3 @@ def dense_row_number(df: DataFrame, order: list, name: str = "row_no", partition
         .drop("_mid", "_part", "_first", "_off")
     )
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (never a local checkpoint)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

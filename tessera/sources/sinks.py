@@ -29,11 +29,6 @@ def write_dictionary_tsv(dictionary: DataFrame, path: str, order: list[str] | No
     return dictionary.count()
 
 
-def write_synthetic(df: DataFrame, path: str) -> None:
-    """K3: synthetic pairs per iteration and direction."""
-    df.write.mode("append").partitionBy("iteration", "direction").parquet(path)
-
-
 def write_report(report: DataFrame, path: str, examples: DataFrame | None = None) -> None:
     """K4: the one-row metrics report as JSON; scored examples as JSON lines."""
     report.select(F.to_json(F.struct(*report.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metrics")

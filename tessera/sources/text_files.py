@@ -8,14 +8,12 @@ offset inside the split (from ``monotonically_increasing_id``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
 from tessera.functions.text import py_strip
 from tessera.sources.samples import SEED_PAIRS
 
-PAIR_SCHEMA = "line_no long, src string, tgt string"
-
 
 def with_line_numbers(raw: DataFrame) -> DataFrame:
     """N1 over a ``spark.read.text`` frame: adds ``line_no`` (0-based, over files in path order)."""
@@ -114,5 +112,3 @@ def sample_pairs(spark: SparkSession) -> DataFrame:
 
     return spark.createDataFrame([(i, bo, en) for i, (bo, en) in enumerate(SAMPLE_PAIRS)], "line_no long, bo string, en string")
 
-
-EMPTY_PAIRS = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("src", T.StringType()), T.StructField("tgt", T.StringType())])
