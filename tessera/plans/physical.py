@@ -35,6 +35,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_RO
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     if row.n <= max_rows and row.b <= max_bytes:
         return F.broadcast(df), True
+    # too large to ship: do not hold it in executor memory for the rest of the session
+    df.unpersist(blocking=False)
     return df, False
 
 
