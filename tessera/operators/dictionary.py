@@ -31,7 +31,7 @@ def align_tokens(pairs: DataFrame, src_tokens: Column, tgt_tokens: Column, order
     Returns ``(*order, pos, src, tgt)``.
     """
     z = pairs.select(*order, src_tokens.alias("_s"), tgt_tokens.alias("_t"))
-    z = z.select(*order, F.posexplode(F.arrays_zip("_s", "_t")).alias("pos", "_z"))
+    z = z.select(*order, F.posexplode(F.arrays_zip("_s", "_t")).alias("pos", "_z")).withColumn("pos", F.col("pos").cast("long"))
     return z.where(F.col("_z._s").isNotNull() & F.col("_z._t").isNotNull()).select(
         *order, "pos", F.col("_z._s").alias("src"), F.col("_z._t").alias("tgt")
     )

@@ -45,7 +45,8 @@ SELECT doc_id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens
 FROM (SELECT doc_id, {Q.marks('text')} AS t FROM documents)""")
 def q_syllables(spark, d):
     t = SRC_SCRIPT.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"),
+                                               F.array_join(t, "|").alias("tokens"))
 
 
 @register("words_lower", f"""
@@ -53,7 +54,8 @@ SELECT doc_id, len(t) AS n_tokens, array_to_string(t, '|') AS tokens
 FROM (SELECT doc_id, {Q.words_lower('text')} AS t FROM documents)""")
 def q_words_lower(spark, d):
     t = tx.words_lower(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"),
+                                               F.array_join(t, "|").alias("tokens"))
 
 
 @register("swap_pairs", f"""
@@ -99,7 +101,8 @@ FROM pairs""")
 def q_length_ratio(spark, d):
     p = conversation_pairs(spark, d)
     ratio = tx.length_ratio(F.col("tgt"), F.col("src"))
-    return p.select(*PAIR_KEYS, tx.char_length("src").alias("n_chars_src"), tx.char_length("tgt").alias("n_chars_tgt"),
+    return p.select(*PAIR_KEYS, tx.char_length("src").cast("long").alias("n_chars_src"),
+                    tx.char_length("tgt").cast("long").alias("n_chars_tgt"),
                     r6(ratio).alias("ratio"), ratio.between(0.5, 2.0).alias("ratio_ok"))
 
 
@@ -112,7 +115,7 @@ FROM pairs""")
 def q_length_buckets(spark, d):
     p = conversation_pairs(spark, d)
     n = tx.word_count(F.col("src"))
-    return p.select(*PAIR_KEYS, n.alias("n_words"), tx.length_bucket(n).alias("bucket"))
+    return p.select(*PAIR_KEYS, n.cast("long").alias("n_words"), tx.length_bucket(n).alias("bucket"))
 
 
 # ---------------------------------------------------------------- 2.1 sources over tables
@@ -436,10 +439,11 @@ def q_split_counts(spark, d):
 
 
 @register("epoch_loss", """
-SELECT user_id AS run, CAST(ts AS DATE) AS epoch, round(avg(value), 6) AS mean_loss, count(*) AS n_batches
+SELECT user_id AS run, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS epoch, round(avg(value), 6) AS mean_loss, count(*) AS n_batches
 FROM events GROUP BY ALL""")
 def q_epoch_loss(spark, d):
-    return epoch_loss(metric_history(spark, d))
+    out = epoch_loss(metric_history(spark, d))
+    return out.withColumn("epoch", F.date_format("epoch", "yyyy-MM-dd"))
 
 
 @register("best_so_far", """

@@ -48,7 +48,7 @@ def page_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_te
     text = F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " "))
     paras = (
         pieces.where(F.col("piece").startswith("P"))
-        .select(id_col, "pos", text.alias("text"))
+        .select(id_col, F.col("pos").cast("long").alias("pos"), text.alias("text"))
         .where((F.length("text") > 0) & contains_script(F.col("text"), lo, hi))  # F4
     )
     if max_texts is None:
@@ -66,6 +66,7 @@ def article_paragraphs(articles: DataFrame, topic_col: str = "source", order_col
     WindowGroupLimit before the shuffle: a hot topic ships at most k rows per task.
     """
     paras = articles.select(topic_col, order_col, F.posexplode(F.split(F.col(text_col), sep, -1)).alias("pos", "text"))
+    paras = paras.withColumn("pos", F.col("pos").cast("long"))
     paras = paras.where((F.size(py_split(F.col("text"))) > min_words) & ~F.col("text").startswith("=="))
     w = Window.partitionBy(topic_col).orderBy(order_col, "pos")
     kept = paras.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_topic).drop("_rn")
