@@ -239,6 +239,9 @@ def meteor_row(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float =
 # ------------------------------------------------------------------ Spark jobs
 def _per_row(df: DataFrame, keys: list[str], fn, out_schema: str) -> DataFrame:
     """Run ``fn(hyp_tokens, ref_tokens) -> tuple`` per row in Arrow batches."""
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)
     schema = T._parse_datatype_string(", ".join([f"{k} {t}" for k, t in df.select(*keys).dtypes]) + ", " + out_schema)
     names = [f.name for f in schema.fields][len(keys):]
 

@@ -143,6 +143,9 @@ def with_bleu_stats(df, keep: list[str], hyp_tokens: Column, ref_tokens: Column,
                     engine: str = "arrow"):
     """Per-row BLEU statistics as columns (``engine``: "arrow" or "jvm"; same numbers)."""
     if engine == "arrow" and max_order == 4:
+        from tessera.session import ship_package
+
+        ship_package(df.sparkSession)
         t = df.select(*keep, hyp_tokens.alias("_h"), ref_tokens.alias("_r"))
         t = t.select(*keep, _bleu_stats_arrow(F.col("_h"), F.col("_r")).alias("_bs"))
     else:
@@ -155,6 +158,9 @@ def with_chrf_stats(df, keep: list[str], hyp: Column, ref: Column, order: int =
     from tessera.functions.text import WS_RUN
 
     if engine == "arrow" and order == 6:
+        from tessera.session import ship_package
+
+        ship_package(df.sparkSession)
         t = df.select(*keep, F.regexp_replace(hyp, WS_RUN, "").alias("_h"), F.regexp_replace(ref, WS_RUN, "").alias("_r"))
         t = t.select(*keep, _chrf_stats_arrow(F.col("_h"), F.col("_r")).alias("_cs"))
     else:

@@ -49,6 +49,9 @@ class FunctionModel:
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def apply(self, df: DataFrame, keys: list[str], text_col: str, out_col: str) -> DataFrame:
+        from tessera.session import ship_package
+
+        ship_package(df.sparkSession)
         load, bs, name = self.load, self.batch_size, self.name
         schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
 
