@@ -14,8 +14,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 ORDERS = 4
@@ -95,24 +93,3 @@ def r6(col: Column) -> Column:
     """Scores are compared at 6 decimals."""
     return F.round(col, 6)
 
-
-# Python twins (used by tests and by per-row jobs).
-def py_bleu_exp(m, t, hyp_len, ref_len, effective_order=False):
-    if not any(m):
-        return 0.0
-    bp = 1.0 if hyp_len >= ref_len else (math.exp(1 - ref_len / hyp_len) if hyp_len > 0 else 0.0)
-    k, logs, eff = 1.0, 0.0, ORDERS
-    ps = [0.0] * ORDERS
-    for n in range(ORDERS):
-        if t[n] == 0:
-            break
-        if effective_order:
-            eff = n + 1
-        if m[n] == 0:
-            k *= 2
-            ps[n] = 100.0 / (k * t[n])
-        else:
-            ps[n] = 100.0 * m[n] / t[n]
-    for p in ps[:eff]:
-        logs += math.log(p) if p > 0 else -9999999999
-    return bp * math.exp(logs / eff)
