@@ -110,7 +110,7 @@ _CHRF_SCHEMA = T.StructType([T.StructField(f"{k}_{n}", T.LongType()) for n in ra
 
 
 def _grams(tokens, n):
-    return Counter(tuple(tokens[i:i + n]) for i in range(len(tokens) - n + 1))
+    return Counter(zip(*(tokens[i:] for i in range(n))))
 
 
 @F.pandas_udf(_BLEU_SCHEMA)
