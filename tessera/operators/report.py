@@ -124,3 +124,15 @@ def full_report(hub: DataFrame, keys: list[str], lo: int = 0x0F00, hi: int = 0x0
         F.struct("avg_length_diff", "untranslated_percentage").alias("error_analysis"),
         "length_analysis",
     )
+
+
+def direction_report(examples: DataFrame, keys: list[str], n_examples: int = 10) -> DataFrame:
+    """K5 content: per direction, corpus BLEU (A14) and the first ``n_examples`` examples (L3)
+    in key order. The examples come from a group limit (at most n per direction and task)."""
+    scores = bleu_by_direction(examples)
+    w = Window.partitionBy("direction").orderBy(*keys)
+    head = examples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_examples)
+    firsts = head.groupBy("direction").agg(
+        F.sort_array(F.collect_list(F.struct("_rn", *keys, "source", "reference", "prediction"))).alias("_ex"))
+    return scores.join(firsts, "direction").select(
+        "direction", "bleu", "count", F.transform("_ex", lambda e: e.dropFields("_rn")).alias("examples"))

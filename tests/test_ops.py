@@ -204,17 +204,13 @@ def test_direction_report_sink(spark, tmpdir_path):
     import json
     import os
 
-    from pyspark.sql import Window
-
-    from tessera.operators.report import bleu_by_direction
+    from tessera.operators.report import direction_report
     from tessera.sources.sinks import write_direction_report
 
     ex = spark.createDataFrame([("a-b", i, "s", "the cat sat", "the cat sat") for i in range(12)],
                                "direction string, id long, source string, reference string, prediction string")
-    scores = bleu_by_direction(ex)
-    first = (ex.withColumn("_rn", F.row_number().over(Window.partitionBy("direction").orderBy("id"))).where("_rn <= 10")
-             .groupBy("direction").agg(F.sort_array(F.collect_list(F.struct("id", "source", "reference", "prediction"))).alias("examples")))
-    write_direction_report(scores.join(first, "direction"), f"{tmpdir_path}/rep")
+    write_direction_report(direction_report(ex, ["id"], 10), f"{tmpdir_path}/rep")
     part = [f for f in os.listdir(f"{tmpdir_path}/rep") if f.startswith("part-") and os.path.getsize(f"{tmpdir_path}/rep/{f}")]
     rec = json.loads(open(f"{tmpdir_path}/rep/{part[0]}", encoding="utf-8").readline())
     assert rec["direction"] == "a-b" and len(rec["examples"]) == 10 and rec["bleu"] == 0.0  # 3 tokens: no 4-grams
+    assert [e["id"] for e in rec["examples"]] == list(range(10)) and "_rn" not in rec["examples"][0]
