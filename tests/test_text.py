@@ -78,3 +78,13 @@ TOK_SAMPLES = ["Hello, world!", "It costs $5.00 - really?", "a-b 3-4 x.y 1,000 e
 def test_tok13a_twin(spark):
     assert _one(spark, tokenize_13a, TOK_SAMPLES) == [tok13a(s) for s in TOK_SAMPLES]
     assert _one(spark, lambda c: tokenize_13a(c, rstrip=True), TOK_SAMPLES) == [tok13a(s, True) for s in TOK_SAMPLES]
+
+
+PIECES = list("ab9 0.,-\\`[]^_{}~|!\"#$%&'()*+:;<=>?@/\n\t") + ["&amp;", "&quot;", "&lt;", "&gt;", "<skipped>", "-\n", "é"]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=1, max_size=8))
+def test_tok13a_property(spark, values):
+    assert _one(spark, tokenize_13a, values) == [tok13a(s) for s in values]
+    assert _one(spark, lambda c: tokenize_13a(c, rstrip=True), values) == [tok13a(s, True) for s in values]
