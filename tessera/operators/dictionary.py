@@ -7,10 +7,12 @@ A dictionary is a table, never a driver-side map, so it can outgrow one machine:
 
 Translation explodes token positions, joins the lookup view and puts the tokens
 back in position order per row. When the view is small (rows and string bytes
-counted against limits) it is broadcast and the input is hash-partitioned by its row key once, so
-the explode, the regroup and the re-attachment of the other columns all run on
-that one partitioning (one shuffle of the input, none of the tokens). Beyond the
-limit the lookup becomes a shuffle join on the token (AQE splits hot tokens).
+counted against limits) it is broadcast and the input is hash-partitioned by its
+row key once, so the explode, the regroup and the re-attachment of the other
+columns all run on that one partitioning (one shuffle of the input, none of the
+tokens). A view over the limits is first restricted to the tokens present in the
+input (a map-side combined distinct and a semi-join); only if that is still too
+large does the lookup become a shuffle join on the token (AQE splits hot tokens).
 """
 
 from __future__ import annotations
@@ -82,7 +84,14 @@ def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame,
     if dict(view.dtypes)["out"] == "string":
         keep = keep & (F.col("out") != "")
     view = view.where(keep).select("tok", "out")
-    view, small = bounded_broadcast(view, broadcast_rows)
+    full = view
+    view, small = bounded_broadcast(full, broadcast_rows)
+    if not small and broadcast_rows is not None:
+        # Only the entries of tokens that occur in the input are needed: the distinct
+        # tokens combine map-side, and the restricted view often fits the limits even
+        # when the whole dictionary does not. Then no occurrence is shuffled by token.
+        present = df.select(F.explode(tokens).alias("tok")).distinct()
+        view, small = bounded_broadcast(full.join(present, "tok", "left_semi"), broadcast_rows)
     if small:
         # Null keys cannot be re-attached; filtering them here keeps both uses of
         # ``base`` identical, so Spark reuses one exchange instead of shuffling twice.

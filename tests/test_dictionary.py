@@ -90,3 +90,17 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert bounded_broadcast(view, max_rows=1)[1] is False
     assert bounded_broadcast(view, max_rows=10, max_bytes=50)[1] is False
     assert bounded_broadcast(view, max_rows=None)[1] is False
+
+
+def test_large_dictionary_restricted_to_present_tokens(spark):
+    # 500 entries exceed a 50-row limit, but only 3 tokens occur in the input: the restricted
+    # view is broadcast, and the result equals the shuffle-join path.
+    entries = spark.createDataFrame([(i, f"w{i}", f"t{i}") for i in range(500)], "seq long, src string, tgt string")
+    df = spark.createDataFrame([(0, "w1 w2"), (1, "w3 zz"), (2, "")], "id long, text string")
+    view = forward_view(entries)
+    got = {r.id: r.translation for r in translate(df, ["id"], "text", view, ENGLISH, " ", broadcast_rows=50).collect()}
+    assert got == {0: "t1 t2", 1: "t3 [zz]", 2: ""}
+    plan = translate(df, ["id"], "text", view, ENGLISH, " ", broadcast_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    forced = {r.id: r.translation for r in translate(df, ["id"], "text", view, ENGLISH, " ", broadcast_rows=1).collect()}
+    assert forced == got
