@@ -81,21 +81,26 @@ def best_so_far(history: DataFrame, run: str = "run", step: str = "step", score:
                 block: int = 1 << 16, start: float = 0.0) -> DataFrame:
     """Flag rows whose score is strictly above every earlier score of the run (and ``start``).
 
-    A running maximum as a blocked prefix scan, so one huge run is not one task:
-    (1) the maximum per (run, step block) - a partial aggregate; (2) the carry-in
-    per block = the maximum of the earlier blocks, a window over the small block
-    table; (3) the running maximum inside each (run, block), at most ``block``
-    steps, plus the carry.
+    A running maximum as a two-level blocked prefix scan, so no window partition
+    holds more than ``block`` rows, however large one run is:
+    (1) maxima per (run, block) and per (run, block of blocks) - partial aggregates;
+    (2) carry-in of each super-block (a window over the super-block maxima), then of
+        each block inside its super-block (a window of at most ``block`` rows);
+    (3) the running maximum inside each (run, block), plus the block's carry-in.
     """
-    b = F.floor(F.col(step) / F.lit(block)).cast("long")
-    h = history.withColumn("_blk", b)
-    blocks = h.groupBy(run, "_blk").agg(F.max(score).alias("_bmax"))
-    wb = Window.partitionBy(run).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select(run, "_blk", F.max("_bmax").over(wb).alias("_carry"))
-    j = h.join(carry, [run, "_blk"])
-    wi = Window.partitionBy(run, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    b1 = F.floor(F.col(step) / F.lit(block)).cast("long")
+    h = history.withColumn("_b1", b1).withColumn("_b2", F.floor(F.col("_b1") / F.lit(block)).cast("long"))
+    m1 = h.groupBy(run, "_b2", "_b1").agg(F.max(score).alias("_m1"))
+    m2 = m1.groupBy(run, "_b2").agg(F.max("_m1").alias("_m2"))
+    before = Window.unboundedPreceding
+    c2 = m2.select(run, "_b2", F.max("_m2").over(Window.partitionBy(run).orderBy("_b2").rowsBetween(before, -1)).alias("_c2"))
+    w1 = Window.partitionBy(run, "_b2").orderBy("_b1").rowsBetween(before, -1)
+    c1 = (m1.join(c2, [run, "_b2"])
+          .select(run, "_b1", F.greatest(F.max("_m1").over(w1), F.col("_c2")).alias("_carry")))
+    j = h.join(c1, [run, "_b1"])
+    wi = Window.partitionBy(run, "_b1").orderBy(step).rowsBetween(before, -1)
     prev = F.greatest(F.max(score).over(wi), F.col("_carry"), F.lit(start))
-    return j.withColumn("is_best", F.col(score) > prev).drop("_blk", "_carry")
+    return j.withColumn("is_best", F.col(score) > prev).drop("_b1", "_b2", "_carry")
 
 
 def final_best(history: DataFrame, run: str = "run", step: str = "step", score: str = "bleu") -> DataFrame:

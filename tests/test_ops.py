@@ -214,3 +214,14 @@ def test_direction_report_sink(spark, tmpdir_path):
     rec = json.loads(open(f"{tmpdir_path}/rep/{part[0]}", encoding="utf-8").readline())
     assert rec["direction"] == "a-b" and len(rec["examples"]) == 10 and rec["bleu"] == 0.0  # 3 tokens: no 4-grams
     assert [e["id"] for e in rec["examples"]] == list(range(10)) and "_rn" not in rec["examples"][0]
+
+
+def test_best_so_far_two_levels(spark):
+    rnd = random.Random(9)
+    rows = [(1, step, rnd.uniform(0, 100)) for step in range(0, 3000, 3)]
+    df = spark.createDataFrame(rows, "run long, step long, bleu double")
+    got = {r.step: r.is_best for r in best_so_far(df, block=4).collect()}  # blocks of 4 steps, super-blocks of 16
+    cur = 0.0
+    for _, step, v in rows:
+        assert got[step] == (v > cur)
+        cur = max(cur, v)
