@@ -34,7 +34,7 @@ def py_rstrip(col) -> Column:
 
 def py_split(col) -> Column:
     """``str.split()``: split on whitespace runs, no empty tokens."""
-    return F.filter(F.split(_c(col), WS_RUN), lambda t: t != "")
+    return F.array_remove(F.split(_c(col), WS_RUN), "")
 
 
 def collapse_ws(col) -> Column:
@@ -84,7 +84,7 @@ def syllables(col, mark: str = TSHEG, ends: tuple[str, ...] = (SHAD, NYIS_SHAD))
     Spaces are neither separators nor stripped (the reference keeps ``" ང"``).
     """
     cls = "[" + "".join(re.escape(ch) if ch != "\n" else "\\n" for ch in (mark, *ends)) + "]"
-    return F.filter(F.split(_c(col), cls), lambda t: t != "")
+    return F.array_remove(F.split(_c(col), cls), "")
 
 
 words = syllables  # P2 is an alias of P1 in the reference
