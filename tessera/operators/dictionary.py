@@ -105,7 +105,7 @@ def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame,
     j = ex.join(view, "tok", "left")
     item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("out"), default(F.col("tok"))).alias("v")))
     agg = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_arr"))
-    res = agg.select(*keys, F.transform("_arr", lambda x: x["v"]).alias(out_name))
+    res = agg.select(*keys, F.col("_arr.v").alias(out_name))  # field of each struct, in position order
     return base.join(res, keys, "inner")
 
 
