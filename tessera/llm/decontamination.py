@@ -31,7 +31,6 @@ ERROR_SHARE = 0.05
 MIN_CHARS = 24
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
-GROUP_CHARS = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
 
@@ -130,36 +129,41 @@ class Index:
         self.bitmap[(self.hash >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits between ``pattern`` and any part of ``text``, as (edits, start, end); None if over ``budget``.
+def banded_alignment(pattern: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
+    """Fewest edits between ``pattern`` and a part of ``text`` on the diagonals first .. first + width - 1, as
+    (edits, start, end); None if over ``budget``. Of several ends with the fewest edits, the first counts.
 
-    ``text`` is the part of a document that a band covers, so rows of the table are short;
-    each row is one vector step. Among ends with the fewest edits, the first counts.
+    Cell (i, k) holds the edits of the first i signs of the pattern against a part that ends
+    before sign i + first + k of the text; each row is one vector step over the band.
     """
-    n = len(text)
-    cols = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    rows = [row]
-    for i, ch in enumerate(pattern, 1):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (text != ch), out=new[1:])
-        new = np.minimum.accumulate(new - cols) + cols
+    n, m = len(text), len(pattern)
+    k = np.arange(width)
+    far = m + width + 1
+    rows = [np.where((first + k >= 0) & (first + k <= n), 0, far)]
+    for i in range(1, m + 1):
+        j = i + first + k
+        sign = text[np.clip(j - 1, 0, n - 1)]
+        new = np.where(j >= 1, rows[-1] + (sign != pattern[i - 1]), far)
+        new[:-1] = np.minimum(new[:-1], rows[-1][1:] + 1)      # a sign of the pattern is missing in the text
+        outside = (j < 0) | (j > n)
+        new[outside] = far
+        new = np.minimum.accumulate(new - k) + k               # a sign of the text is left over
+        new[outside] = far
         rows.append(new)
-        row = new
-    end = int(np.argmin(row))
-    edits = int(row[end])
+    end = int(np.argmin(rows[m]))
+    edits = int(rows[m][end])
     if edits > budget:
         return None
-    i, j = len(pattern), end
+    i, at = m, end
     while i:
-        if j and rows[i][j] == rows[i - 1][j - 1] + (text[j - 1] != pattern[i - 1]):
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j] + 1:
+        j = i + first + at
+        if j >= 1 and rows[i][at] == rows[i - 1][at] + (text[j - 1] != pattern[i - 1]):
             i -= 1
+        elif at + 1 < width and rows[i][at] == rows[i - 1][at + 1] + 1:
+            i, at = i - 1, at + 1
         else:
-            j -= 1
-    return edits, j, end
+            at -= 1
+    return edits, first + at, m + first + end
 
 
 def leaks_in(c: np.ndarray, at: np.ndarray, lo: np.ndarray, n: np.ndarray, index: Index) -> list[tuple]:
@@ -187,17 +191,13 @@ def leaks_in(c: np.ndarray, at: np.ndarray, lo: np.ndarray, n: np.ndarray, index
     pass_ = shared >= index.need[key_w[first]]
     found: dict[tuple[int, int], tuple] = {}
     for w, b, k in zip(key_w[first][pass_].tolist(), key_b[first][pass_].tolist(), shared[pass_].tolist()):
-        size, budget = int(index.length[w]), int(index.budget[w])
-        step = budget + 1
-        start = max(0, b * step - budget)
-        end = min(len(c), (b + 2) * step + size + budget)
-        got = banded_alignment(index.texts[w], c[start:end], budget)
+        budget = int(index.budget[w])
+        got = banded_alignment(index.texts[w], c, b * (budget + 1), 2 * (budget + 1), budget)
         if got:
-            edits, s, e = got
-            hit = (index.items[w], index.starts[w], start + s, start + e, edits, k)
-            old = found.get((w, start + e))
-            if old is None or hit[4] < old[4]:
-                found[w, start + e] = hit
+            edits, start, end = got
+            old = found.get((w, end))
+            if old is None or edits < old[4]:
+                found[w, end] = (index.items[w], index.starts[w], start, end, edits, k)
     return sorted(found.values())
 
 
