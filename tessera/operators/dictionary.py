@@ -6,26 +6,23 @@ A dictionary is a table, never a driver-side map, so it can outgrow one machine:
 * a lookup view ``(tok, out)``: one row per key, last write wins.
 
 Translation explodes token positions, joins the lookup view and puts the tokens
-back in position order per row. When the view is small (rows and string bytes
-counted against limits) it is broadcast and the input is hash-partitioned by its
-row key once, so the explode, the regroup and the re-attachment of the other
-columns all run on that one partitioning (one shuffle of the input, none of the
-tokens). A view over the limits is first restricted to the tokens present in the
+back in position order per row. Rows are told apart by a hash of all their columns
+beside their keys, so null and repeated keys lose nothing; equal rows are looked up
+once. When the view is small (rows and string bytes counted against limits) it is
+broadcast and the input is hash-partitioned by the row hash once, so the explode, the
+regroup and the re-attachment of the other columns all run on that one partitioning
+(one shuffle of the input, none of the tokens). A view over the limits is first restricted to the tokens present in the
 input (a map-side combined distinct and a semi-join); only if that is still too
 large does the lookup become a shuffle join on the token (AQE splits hot tokens).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import Script, missing_marker
 from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
-MARKER_RE = "^\\[.*\\]$"
-
 
 def align_tokens(pairs: DataFrame, src_tokens: Column, tgt_tokens: Column, order: list[str]) -> DataFrame:
     """The i-th source token with the i-th target token, up to the shorter list.
@@ -40,17 +37,18 @@ def align_tokens(pairs: DataFrame, src_tokens: Column, tgt_tokens: Column, order
 
 
 def induce_dictionary(pairs: DataFrame, src_col: str, tgt_col: str, src_script: Script, tgt_script: Script,
-                      order: list[str], drop_markers: bool = False) -> DataFrame:
+                      order: list[str]) -> DataFrame:
     """A1: positional alignments over all pairs; last write wins per source token in
     ``(order, pos)`` order; ``first_*`` gives the first time the token was seen.
 
     Both aggregates combine map-side, so a frequent token ships one row per task.
-    ``drop_markers`` leaves out alignments whose target is an unknown-token marker
-    (used when fitting on synthetic rows).
     """
     al = align_tokens(pairs, src_script.tokens(F.col(src_col)), tgt_script.tokens(F.col(tgt_col)), order)
-    if drop_markers:
-        al = al.where(~F.col("tgt").rlike(MARKER_RE))
+    return last_writes(al, order)
+
+
+def last_writes(al: DataFrame, order: list[str]) -> DataFrame:
+    """A1 over aligned tokens ``(*order, pos, src, tgt)``."""
     key = F.struct(*[F.col(c) for c in order], F.col("pos"))
     d = al.groupBy("src").agg(F.max_by("tgt", key).alias("tgt"), F.min(key).alias("_first"))
     return d.select("src", "tgt", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in [*order, "pos"]])
@@ -73,40 +71,74 @@ def reverse_view(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.col("tgt").alias("tok")).agg(F.max_by("src", "seq").alias("out"))
 
 
-def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame, out_name: str,
-               default=missing_marker, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Replace every token by its value in ``view`` (``tok, out``), in position order.
+ROW = "_row"
+COPIES = "_copies"
 
-    A missing or empty value (F6) gives ``default(tok)`` (P16 by default). Rows with
-    no token keep an empty array. Returns ``df`` plus the array column ``out_name``.
+
+def identified_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows of ``df`` with a hash of all their columns (``_row``) and their number (``_copies``).
+
+    Hash-partitioned by ``_row`` with an explicit count: AQE would otherwise merge these
+    (byte-small, CPU-heavy) partitions and leave the per-row work after a lookup to a few
+    cores. All later steps keep this partitioning, so they need no shuffle of their own.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.xxhash64(*df.columns).alias(ROW), "*").repartition(n, ROW)
+    return rows.groupBy(ROW, *df.columns).agg(F.count(F.lit(1)).cast("int").alias(COPIES))
+
+
+def every_copy(df: DataFrame) -> DataFrame:
+    """Each row as often as ``_copies`` says, without the helper columns."""
+    kept = [c for c in df.columns if c not in (ROW, COPIES)]
+    return df.select(*kept, F.explode(F.array_repeat(F.lit(0), F.col(COPIES))).alias("_c")).drop("_c")
+
+
+def small_view(view: DataFrame, tokens_of, broadcast_rows: int | None) -> DataFrame:
+    """The lookup view, broadcast if its size is within the limits; else, if that is small enough, its part for the
+    tokens present (``tokens_of()`` gives them as one column ``tok``: they combine map-side and no occurrence is shuffled)."""
     keep = F.col("out").isNotNull()
     if dict(view.dtypes)["out"] == "string":
         keep = keep & (F.col("out") != "")
-    view = view.where(keep).select("tok", "out")
-    full = view
+    full = view.where(keep).select("tok", "out")
     view, small = bounded_broadcast(full, broadcast_rows)
     if not small and broadcast_rows is not None:
-        # Only the entries of tokens that occur in the input are needed: the distinct
-        # tokens combine map-side, and the restricted view often fits the limits even
-        # when the whole dictionary does not. Then no occurrence is shuffled by token.
-        present = df.select(F.explode(tokens).alias("tok")).distinct()
-        view, small = bounded_broadcast(full.join(present, "tok", "left_semi"), broadcast_rows)
-    if small:
-        # Null keys cannot be re-attached; filtering them here keeps both uses of
-        # ``base`` identical, so Spark reuses one exchange instead of shuffling twice.
-        # An explicit count: AQE would otherwise merge these (byte-small, CPU-heavy)
-        # partitions and leave the per-row work after the lookup to a few cores.
-        keyed = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-        base = keyed.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    else:
-        base = df
-    ex = base.select(*keys, F.posexplode_outer(tokens).alias("_pos", "tok"))
+        view, _ = bounded_broadcast(full.join(tokens_of().distinct(), "tok", "left_semi"), broadcast_rows)
+    return view
+
+
+def lookup_tokens(rows: DataFrame, ids: list[str], tokens: Column, view: DataFrame, out_name: str, default=missing_marker,
+                  broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS, missing_name: str | None = None) -> DataFrame:
+    """``(*ids, out_name)``: the tokens of each row replaced by their values in ``view`` (``tok, out``), in position order.
+
+    ``ids`` must tell the rows apart (nulls allowed). A missing or empty value (F6) gives
+    ``default(tok)``; ``missing_name`` adds an array that says which. Rows with no token keep
+    an empty array.
+    """
+    view = small_view(view, lambda: rows.select(F.explode(tokens).alias("tok")), broadcast_rows)
+    ex = rows.select(*ids, F.posexplode_outer(tokens).alias("_pos", "tok"))
     j = ex.join(view, "tok", "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("out"), default(F.col("tok"))).alias("v")))
-    agg = j.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_arr"))
-    res = agg.select(*keys, F.col("_arr.v").alias(out_name))  # field of each struct, in position order
-    return base.join(res, keys, "inner")
+    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("out"), default(F.col("tok"))).alias("v"),
+                                                      F.col("out").isNull().alias("m")))
+    agg = j.groupBy(*ids).agg(F.sort_array(F.collect_list(item)).alias("_arr"))
+    more = [F.col("_arr.m").alias(missing_name)] if missing_name else []
+    return agg.select(*ids, F.col("_arr.v").alias(out_name), *more)  # fields of each struct, in position order
+
+
+def attach(rows: DataFrame, found: DataFrame, ids: list[str]) -> DataFrame:
+    """Join ``found`` back to ``rows`` on ``ids``, null-safe (one row each)."""
+    other = found.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], *[c for c in found.columns if c not in ids])
+    on = [F.col(c).eqNullSafe(F.col(f"_id{i}")) if c != ROW else F.col(c) == F.col(f"_id{i}") for i, c in enumerate(ids)]
+    return rows.join(other, on).drop(*[f"_id{i}" for i in range(len(ids))])
+
+
+def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame, out_name: str, default=missing_marker,
+               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS, missing_name: str | None = None) -> DataFrame:
+    """``df`` plus the array column ``out_name`` (see ``lookup_tokens``): one output row per input row, also where
+    keys are null or repeat. ``keys`` beside the row hash keep apart what a hash collision would merge."""
+    rows = identified_rows(df)
+    ids = [ROW, *keys]
+    found = lookup_tokens(rows, ids, tokens, view, out_name, default, broadcast_rows, missing_name)
+    return every_copy(attach(rows, found, ids))
 
 
 def translate(df: DataFrame, keys: list[str], text_col: str, view: DataFrame, src_script: Script,

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators.dictionary import map_tokens
-from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, dense_row_number
+from tessera.operators.dictionary import ROW, attach, every_copy, identified_rows, lookup_tokens, map_tokens
+from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, cut_lineage, dense_row_number
 
 # Fixed values of this engine: special ids.
 PAD_ID = 0
@@ -25,13 +25,16 @@ def build_vocabulary(*token_arrays: DataFrame) -> DataFrame:
     for df in token_arrays:
         t = df.select(F.explode(df.columns[0]).alias("tok"))
         toks = t if toks is None else toks.unionByName(t)
-    distinct = toks.distinct()
+    distinct = cut_lineage(toks.distinct(), "vocabulary")  # numbering reads it several times
     return dense_row_number(distinct, ["tok"], "_r").select("tok", (F.col("_r") + N_SPECIAL).alias("id"))
 
 
+def _as_view(vocab: DataFrame) -> DataFrame:
+    return vocab.select("tok", F.col("id").alias("out"))
+
+
 def _ids(df: DataFrame, keys: list[str], tokens: Column, vocab: DataFrame, name: str, broadcast_rows) -> DataFrame:
-    view = vocab.select("tok", F.col("id").alias("out"))
-    return map_tokens(df, keys, tokens, view, name, default=lambda t: F.lit(UNK_ID).cast("long"),
+    return map_tokens(df, keys, tokens, _as_view(vocab), name, default=lambda t: F.lit(UNK_ID).cast("long"),
                       broadcast_rows=broadcast_rows)
 
 
@@ -49,11 +52,12 @@ def mask_to(ids: Column, length: Column) -> Column:
 def encode_fixed(pairs: DataFrame, keys: list[str], src_tokens: Column, tgt_tokens: Column, vocab: DataFrame,
                  max_length: int = 128, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``input_ids``, ``attention_mask``, ``labels`` cut and padded to ``max_length``."""
-    base = pairs.select(*keys, src_tokens.alias("_st"), tgt_tokens.alias("_tt"))
-    a = _ids(base, keys, F.col("_st"), vocab, "_sid", broadcast_rows)
-    b = _ids(base.select(*keys, "_tt"), keys, F.col("_tt"), vocab, "_tid", broadcast_rows).select(*keys, "_tid")
+    rows = identified_rows(pairs.select(*keys, src_tokens.alias("_st"), tgt_tokens.alias("_tt")))  # shuffled once for both sides
+    ids = [ROW, *keys]
+    a, b = (lookup_tokens(rows, ids, F.col(t), _as_view(vocab), out, lambda tok: F.lit(UNK_ID).cast("long"), broadcast_rows)
+            for t, out in (("_st", "_sid"), ("_tt", "_tid")))
     L = F.lit(max_length)
-    return a.join(b, keys).select(
+    return every_copy(attach(attach(rows, a, ids), b, ids)).select(
         *keys,
         pad_to(F.col("_sid"), L).alias("input_ids"),
         mask_to(F.col("_sid"), L).alias("attention_mask"),

@@ -1,16 +1,15 @@
-"""Edit-rate metrics (A9a word error rate, A9b TER) and METEOR.
+"""Edit-rate metrics (A9a word error rate, A9b TER).
 
 Tokens: lower-cased, whitespace-split (the TER defaults: case-insensitive, no
 normalisation, punctuation kept). Corpus rate = 100 * sum(edits) / sum(ref_len);
 empty references with a non-empty hypothesis give 100.
 
-* A9a (shifts off) is native: every distinct word of a pair becomes one BMP code
-  point and Spark's ``levenshtein`` runs on the encoded strings. Pairs with too
-  many distinct words for that code range take the Python path.
-* A9b (TER, block shifts on: greedy, block <= 10 words, distance <= 50, at most
-  1,000 candidates) and A7 (METEOR with exact then Porter-stem alignment) are
-  per-row alignment steps in ``mapInPandas``; sums and means stay in Spark.
-  [pin] the edit distance is exact (no beam), and METEOR has no synonym stage.
+* A9a (shifts off) is native: every distinct word of a pair becomes one code point above the
+  basic plane and Spark's ``levenshtein`` runs on the encoded strings.
+* A9b (TER, block shifts on: greedy, after Snover et al. 2006, "A study of translation edit
+  rate with targeted human annotation") is a per-row alignment step in ``mapInPandas``; sums
+  stay in Spark. Blocks of up to ``max_size`` words move by up to ``max_dist`` words; every
+  such shift is tried. [pin] the edit distance is exact (no beam).
 """
 
 from __future__ import annotations
@@ -22,24 +21,25 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tessera.functions.text import words_lower
 from tessera.operators.metrics.ngrams import let
 
-MAX_NATIVE_VOCAB = 20_000  # 0x4E00 + 20,000 stays below the surrogate block
-MAX_SHIFT_SIZE = 10
-MAX_SHIFT_DIST = 50
-MAX_SHIFT_CANDIDATES = 1000
+FIRST_CODE = 0x10000
+LAST_CODE = 0x10FFFF
+MAX_SHIFT_SIZE = 10  # words in a block, as in the published tool
+MAX_SHIFT_DIST = 50  # words a block may move, as in the published tool
 
 
 def _code_points(words: Column, vocab: Column) -> Column:
     def one(w):
-        return F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(vocab, w)), 4, "0")), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CODE) + F.array_position(vocab, w)), 8, "0")), "UTF-32")
 
     return F.array_join(F.transform(words, one), "")
 
 
 def word_edits(hyp_tokens: Column, ref_tokens: Column) -> Column:
-    """Word-level Levenshtein distance (NULL when the pair has too many distinct words)."""
+    """Word-level Levenshtein distance. A pair may hold 1,048,575 distinct words; more raise an error."""
     def body(x):
-        return F.when(F.size(x["v"]) < MAX_NATIVE_VOCAB,
-                      F.levenshtein(_code_points(x["h"], x["v"]), _code_points(x["r"], x["v"])))
+        return F.when(F.size(x["v"]) <= LAST_CODE - FIRST_CODE,
+                      F.levenshtein(_code_points(x["h"], x["v"]), _code_points(x["r"], x["v"]))).otherwise(
+            F.raise_error(F.lit("a pair holds too many distinct words")).cast("int"))
 
     return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r"),
                         F.array_distinct(F.concat(hyp_tokens, ref_tokens)).alias("v")), body)
@@ -126,13 +126,11 @@ def _shifted(words, start, length, target):
     return words[:start] + words[start + length:length + target] + words[start:start + length] + words[length + target:]
 
 
-def _candidate_blocks(h, r):
+def _candidate_blocks(h, r, max_size, max_dist):
     for sh in range(len(h)):
-        for sr in range(len(r)):
-            if abs(sr - sh) > MAX_SHIFT_DIST:
-                continue
+        for sr in range(max(0, sh - max_dist), min(len(r), sh + max_dist + 1)):
             length = 0
-            while length < MAX_SHIFT_SIZE and sh + length < len(h) and sr + length < len(r) and h[sh + length] == r[sr + length]:
+            while length < max_size and sh + length < len(h) and sr + length < len(r) and h[sh + length] == r[sr + length]:
                 length += 1
                 yield sh, sr, length
 
@@ -151,10 +149,10 @@ def distances(hyps: np.ndarray, r_ids: np.ndarray) -> np.ndarray:
     return prev[:, m]
 
 
-def _shift_candidates(words, r, align, rerr, herr, checked):
-    """Candidate shifts ``(length, start, target)`` in the order they are tried, and the new count."""
+def _shift_candidates(words, r, align, rerr, herr, max_size, max_dist):
+    """Candidate shifts ``(length, start, target)`` in the order they are tried."""
     out = []
-    for sh, sr, length in _candidate_blocks(words, r):
+    for sh, sr, length in _candidate_blocks(words, r, max_size, max_dist):
         if sum(herr[sh:sh + length]) == 0 or sum(rerr[sr:sr + length]) == 0:
             continue
         if sh <= align.get(sr, -2) < sh + length:
@@ -171,13 +169,10 @@ def _shift_candidates(words, r, align, rerr, herr, checked):
                 continue
             prev_idx = idx
             out.append((length, sh, idx))
-            checked += 1
-        if checked >= MAX_SHIFT_CANDIDATES:
-            break
-    return out, checked
+    return out
 
 
-def ter_edits(h: list[str], r: list[str], chunk: int = 256) -> int:
+def ter_edits(h: list[str], r: list[str], chunk: int = 256, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIFT_DIST) -> int:
     """Edits of TER: greedy block shifts that lower the edit distance, then the distance.
 
     All candidates of one iteration have the same length (a shift permutes the
@@ -186,12 +181,12 @@ def ter_edits(h: list[str], r: list[str], chunk: int = 256) -> int:
     codes: dict[str, int] = {}
     enc = lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64)
     r_ids = enc(r)
-    shifts, checked = 0, 0
+    shifts = 0
     words = list(h)
     while True:
         score, trace = levenshtein_trace(words, r)
         align, rerr, herr = _alignment(trace)
-        cands, checked = _shift_candidates(words, r, align, rerr, herr, checked)
+        cands = _shift_candidates(words, r, align, rerr, herr, max_size, max_dist)
         best = None
         if cands:
             moved = [_shifted(words, sh, length, idx) for length, sh, idx in cands]
@@ -201,41 +196,13 @@ def ter_edits(h: list[str], r: list[str], chunk: int = 256) -> int:
                 key = (score - int(dist), length, -sh, -idx)
                 if best is None or key > best[0]:
                     best = (key, mv)
-        if best is None or best[0][0] <= 0 or checked >= MAX_SHIFT_CANDIDATES:
+        if best is None or best[0][0] <= 0:
             break
         shifts += 1
         words = best[1]
     return shifts + levenshtein_trace(words, r)[0]
 
 
-def meteor_row(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR of one pair: exact, then Porter-stem alignment (last-to-first greedy), fragmentation penalty."""
-    from tessera.functions.porter import stem
-
-    h = list(enumerate(hyp))
-    r = list(enumerate(ref))
-    matches = []
-    for key in (lambda w: w, stem):
-        for i in range(len(h))[::-1]:
-            for j in range(len(r))[::-1]:
-                if key(h[i][1]) == key(r[j][1]):
-                    matches.append((h[i][0], r[j][0]))
-                    h.pop(i)
-                    r.pop(j)
-                    break
-    n = len(matches)
-    if not hyp or not ref or n == 0:
-        return 0.0
-    p, rc = n / len(hyp), n / len(ref)
-    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
-    matches.sort()
-    chunks = 1
-    for k in range(n - 1):
-        if not (matches[k + 1][0] == matches[k][0] + 1 and matches[k + 1][1] == matches[k][1] + 1):
-            chunks += 1
-    return (1 - gamma * (chunks / n) ** beta) * fmean
-
-
 # ------------------------------------------------------------------ Spark jobs
 def _per_row(df: DataFrame, keys: list[str], fn, out_schema: str) -> DataFrame:
     """Run ``fn(hyp_tokens, ref_tokens) -> tuple`` per row in Arrow batches."""
@@ -262,11 +229,7 @@ def with_edit_stats(df: DataFrame, keys: list[str], hyp: str = "prediction", ref
     t = df.select(*keys, words_lower(F.col(hyp)).alias("_h"), words_lower(F.col(ref)).alias("_r"))
     if shifts:
         return _per_row(t, keys, lambda h, r: (ter_edits(h, r), len(r)), "edits long, ref_len long")
-    native = t.withColumn("edits", word_edits(F.col("_h"), F.col("_r")).cast("long"))
-    small = native.where(F.col("edits").isNotNull()).select(*keys, "edits", F.size("_r").cast("long").alias("ref_len"))
-    big = _per_row(native.where(F.col("edits").isNull()).select(*keys, "_h", "_r"), keys,
-                   lambda h, r: (levenshtein_trace(h, r)[0], len(r)), "edits long, ref_len long")
-    return small.unionByName(big)
+    return t.select(*keys, word_edits(F.col("_h"), F.col("_r")).cast("long").alias("edits"), F.size("_r").cast("long").alias("ref_len"))
 
 
 def corpus_edit_rate(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference",
@@ -274,14 +237,3 @@ def corpus_edit_rate(df: DataFrame, keys: list[str], hyp: str = "prediction", re
     st = with_edit_stats(df, keys, hyp, ref, shifts)
     agg = st.agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), F.count(F.lit(1)).alias("n_rows"))
     return agg.select(F.round(rate(F.col("edits"), F.col("ref_len")), 6).alias(name), "edits", "ref_len", "n_rows")
-
-
-def with_meteor(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    t = df.select(*keys, words_lower(F.col(hyp)).alias("_h"), words_lower(F.col(ref)).alias("_r"))
-    return _per_row(t, keys, lambda h, r: (meteor_row(h, r),), "meteor_exact_stem double")
-
-
-def corpus_meteor(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Mean sentence METEOR (exact + stem stages)."""
-    m = with_meteor(df, keys, hyp, ref)
-    return m.agg(F.round(F.avg("meteor_exact_stem"), 6).alias("meteor_exact_stem"), F.count(F.lit(1)).alias("n_rows"))

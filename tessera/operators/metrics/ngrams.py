@@ -60,15 +60,15 @@ def let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn).getItem(0)
 
 
-def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> Column:
-    """Struct of ``match_n``, ``total_n`` (n = 1..max_order), ``hyp_len``, ``ref_len`` for one row."""
+def bleu_stats(hyp_tokens: Column, ref_tokens: Column) -> Column:
+    """Struct of ``match_n``, ``total_n`` (n = 1..4), ``hyp_len``, ``ref_len`` for one row."""
 
     def body(x):
         h, r = x["h"], x["r"]
         cols = []
-        for n in range(1, max_order + 1):
+        for n in range(1, 5):
             cols.append(clipped_matches(word_ngrams(h, n), word_ngrams(r, n)).cast("long").alias(f"match_{n}"))
-        for n in range(1, max_order + 1):
+        for n in range(1, 5):
             cols.append(F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long").alias(f"total_{n}"))
         cols.append(F.size(h).cast("long").alias("hyp_len"))
         cols.append(F.size(r).cast("long").alias("ref_len"))
@@ -80,15 +80,17 @@ def bleu_stats(hyp_tokens: Column, ref_tokens: Column, max_order: int = 4) -> Co
 BLEU_STAT_COLS = [f"match_{n}" for n in range(1, 5)] + [f"total_{n}" for n in range(1, 5)] + ["hyp_len", "ref_len"]
 
 
-def chrf_stats(hyp: Column, ref: Column, order: int = 6) -> Column:
+def chrf_stats(hyp: Column, ref: Column) -> Column:
     """Struct of ``chyp_n``, ``cref_n``, ``cmatch_n``: character n-grams of the texts without whitespace."""
     from tessera.functions.text import WS_RUN
 
     def body(x):
         h, r = x["h"], x["r"]
         cols = []
-        for n in range(1, order + 1):
-            cols.append(F.greatest(F.length(h) - n + 1, F.lit(0)).cast("long").alias(f"chyp_{n}"))
+        for n in range(1, 7):
+            # a reference without an n-gram of this order adds nothing to the hypothesis' total
+            total = F.when(F.length(r) >= n, F.greatest(F.length(h) - n + 1, F.lit(0))).otherwise(F.lit(0))
+            cols.append(total.cast("long").alias(f"chyp_{n}"))
             cols.append(F.greatest(F.length(r) - n + 1, F.lit(0)).cast("long").alias(f"cref_{n}"))
             cols.append(clipped_matches(char_ngrams(h, n), char_ngrams(r, n)).cast("long").alias(f"cmatch_{n}"))
         return F.struct(*cols)
@@ -134,37 +136,37 @@ def _chrf_stats_arrow(h: pd.Series, r: pd.Series) -> pd.DataFrame:
         for n in range(1, 7):
             ca = Counter(a[i:i + n] for i in range(len(a) - n + 1))
             cb = Counter(b[i:i + n] for i in range(len(b) - n + 1))
-            out += [max(len(a) - n + 1, 0), max(len(b) - n + 1, 0), sum((ca & cb).values())]
+            # a reference without an n-gram of this order adds nothing to the hypothesis' total
+            out += [len(a) - n + 1 if ca and cb else 0, max(len(b) - n + 1, 0), sum((ca & cb).values())]
         rows.append(out)
     return pd.DataFrame(rows, columns=_CHRF_SCHEMA.fieldNames(), dtype="int64")
 
 
-def with_bleu_stats(df, keep: list[str], hyp_tokens: Column, ref_tokens: Column, max_order: int = 4,
-                    engine: str = "arrow"):
+def with_bleu_stats(df, keep: list[str], hyp_tokens: Column, ref_tokens: Column, engine: str = "arrow"):
     """Per-row BLEU statistics as columns (``engine``: "arrow" or "jvm"; same numbers)."""
-    if engine == "arrow" and max_order == 4:
+    if engine == "arrow":
         from tessera.session import ship_package
 
         ship_package(df.sparkSession)
         t = df.select(*keep, hyp_tokens.alias("_h"), ref_tokens.alias("_r"))
         t = t.select(*keep, _bleu_stats_arrow(F.col("_h"), F.col("_r")).alias("_bs"))
     else:
-        t = df.select(*keep, bleu_stats(hyp_tokens, ref_tokens, max_order).alias("_bs"))
+        t = df.select(*keep, bleu_stats(hyp_tokens, ref_tokens).alias("_bs"))
     return t.select(*keep, *[F.col(f"_bs.{c}").alias(c) for c in BLEU_STAT_COLS])
 
 
-def with_chrf_stats(df, keep: list[str], hyp: Column, ref: Column, order: int = 6, engine: str = "arrow"):
+def with_chrf_stats(df, keep: list[str], hyp: Column, ref: Column, engine: str = "arrow"):
     """Per-row chrF statistics as columns (``engine``: "arrow" or "jvm"; same numbers)."""
     from tessera.functions.text import WS_RUN
 
-    if engine == "arrow" and order == 6:
+    if engine == "arrow":
         from tessera.session import ship_package
 
         ship_package(df.sparkSession)
         t = df.select(*keep, F.regexp_replace(hyp, WS_RUN, "").alias("_h"), F.regexp_replace(ref, WS_RUN, "").alias("_r"))
         t = t.select(*keep, _chrf_stats_arrow(F.col("_h"), F.col("_r")).alias("_cs"))
     else:
-        t = df.select(*keep, chrf_stats(hyp, ref, order).alias("_cs"))
+        t = df.select(*keep, chrf_stats(hyp, ref).alias("_cs"))
     return t.select(*keep, *[F.col(f"_cs.{c}").alias(c) for c in CHRF_STAT_COLS])
 
 

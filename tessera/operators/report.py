@@ -58,11 +58,11 @@ def error_analysis(hub: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF) -> DataFr
 
 
 def corpus_scores(hub: DataFrame) -> DataFrame:
-    """A4/A5/A8 from one pass: BLEU (0-1 and smoothed 0-100) and chrF."""
-    keys = [c for c in hub.columns if c not in ("source", "reference", "prediction")]
-    b = with_bleu_stats(hub, keys, tokenize_13a(F.col("prediction")), tokenize_13a(F.col("reference")))
-    c = with_chrf_stats(hub, keys, F.col("prediction"), F.col("reference"))
-    st = sum_stats(b.join(c, keys), BLEU_STAT_COLS + CHRF_STAT_COLS)
+    """BLEU (0-1 and smoothed 0-100) and chrF. Each statistic is summed over the rows by
+    itself; only the two rows of sums meet."""
+    b = sum_stats(with_bleu_stats(hub, [], tokenize_13a(F.col("prediction")), tokenize_13a(F.col("reference"))), BLEU_STAT_COLS)
+    c = sum_stats(with_chrf_stats(hub, [], F.col("prediction"), F.col("reference")), CHRF_STAT_COLS).drop("n_rows")
+    st = b.withColumn("_one", F.lit(1)).join(c.withColumn("_one", F.lit(1)), "_one")
     return st.select(r6(bleu_unsmoothed()).alias("bleu"), r6(bleu_exp()).alias("bleu_smoothed"),
                      r6(chrf()).alias("chrf"), "n_rows")
 
@@ -88,32 +88,40 @@ def best_so_far(history: DataFrame, run: str = "run", step: str = "step", score:
         each block inside its super-block (a window of at most ``block`` rows);
     (3) the running maximum inside each (run, block), plus the block's carry-in.
     """
+    # rows without a run or step are kept; they are never best and do not count for others
+    counts = F.col(run).isNotNull() & F.col(step).isNotNull()
     b1 = F.floor(F.col(step) / F.lit(block)).cast("long")
     h = history.withColumn("_b1", b1).withColumn("_b2", F.floor(F.col("_b1") / F.lit(block)).cast("long"))
-    m1 = h.groupBy(run, "_b2", "_b1").agg(F.max(score).alias("_m1"))
+    placed = h.where(counts)
+    m1 = placed.groupBy(run, "_b2", "_b1").agg(F.max(score).alias("_m1"))
     m2 = m1.groupBy(run, "_b2").agg(F.max("_m1").alias("_m2"))
     before = Window.unboundedPreceding
     c2 = m2.select(run, "_b2", F.max("_m2").over(Window.partitionBy(run).orderBy("_b2").rowsBetween(before, -1)).alias("_c2"))
     w1 = Window.partitionBy(run, "_b2").orderBy("_b1").rowsBetween(before, -1)
     c1 = (m1.join(c2, [run, "_b2"])
           .select(run, "_b1", F.greatest(F.max("_m1").over(w1), F.col("_c2")).alias("_carry")))
-    j = h.join(c1, [run, "_b1"])
+    j = placed.join(c1, [run, "_b1"])
     wi = Window.partitionBy(run, "_b1").orderBy(step).rowsBetween(before, -1)
     prev = F.greatest(F.max(score).over(wi), F.col("_carry"), F.lit(start))
-    return j.withColumn("is_best", F.col(score) > prev).drop("_b1", "_b2", "_carry")
+    flagged = j.withColumn("is_best", F.coalesce(F.col(score) > prev, F.lit(False)))
+    out = [*history.columns, "is_best"]
+    return flagged.select(*out).unionByName(h.where(~counts).withColumn("is_best", F.lit(False)).select(*out))
 
 
 def final_best(history: DataFrame, run: str = "run", step: str = "step", score: str = "bleu") -> DataFrame:
     """The best score per run and the first step reaching it."""
-    return history.groupBy(run).agg(F.max(score).alias("best"),
-                                    F.min_by(step, F.struct(-F.col(score), F.col(step))).alias("best_step"))
+    first = F.when(F.col(score).isNotNull(), F.struct(-F.col(score), F.col(step)))  # rows without a score name no step
+    return history.groupBy(run).agg(F.max(score).alias("best"), F.min_by(step, first).alias("best_step"))
 
 
 def full_report(hub: DataFrame, keys: list[str], lo: int = 0x0F00, hi: int = 0x0FFF) -> DataFrame:
     """A10-A13 in one row: metrics, error analysis and the length table."""
-    from tessera.operators.metrics.edit import corpus_edit_rate, corpus_meteor
+    from tessera.operators.metrics.edit import corpus_edit_rate
+    from tessera.operators.metrics.meteor import corpus_meteor
 
-    hub = hub.persist()  # read by five independent jobs below
+    from tessera.plans.physical import cut_lineage
+
+    hub = cut_lineage(hub, "report")  # read by five independent jobs below
     scores = corpus_scores(hub).select("bleu", "chrf")
     meteor = corpus_meteor(hub, keys).select(F.col("meteor_exact_stem").alias("meteor"))
     ter = corpus_edit_rate(hub, keys, shifts=True).select("ter")

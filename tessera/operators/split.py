@@ -108,12 +108,8 @@ def batches(df: DataFrame, order: list, size: int, batch_col: str = "batch_id",
 def epoch_batches(df: DataFrame, key: str, seed: int, epochs: int, size: int) -> DataFrame:
     """A fresh seeded order per epoch (``md5(seed:epoch:key)``), batch ids from it."""
     n = df.count()
-    per_epoch = [
-        df.select(F.lit(e).alias("epoch"), key, order_hash(key, seed, e).alias("_h")) for e in range(epochs)
-    ]
-    allx = per_epoch[0]
-    for p in per_epoch[1:]:
-        allx = allx.unionByName(p)
+    salted = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(key).cast("string")))
+    allx = df.select(F.explode(F.array(*[F.lit(e) for e in range(epochs)])).alias("epoch"), key).withColumn("_h", salted)
     r = dense_row_number(allx, ["epoch", "_h", key], "_r")
     pos = F.col("_r") - F.col("epoch") * F.lit(n)
     return r.select("epoch", key, pos.alias("row_no"), F.floor(pos / F.lit(size)).cast("long").alias("batch_id"))

@@ -21,7 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.text import Script, normalise_if
-from tessera.operators.dictionary import dictionary_entries, forward_view, induce_dictionary, translate as translate_by_join
+from tessera.operators.dictionary import (
+    ROW, align_tokens, attach, dictionary_entries, every_copy, forward_view, identified_rows, induce_dictionary, last_writes,
+    lookup_tokens, map_tokens, translate as translate_by_join,
+)
 from tessera.plans.physical import DEFAULT_BROADCAST_ROWS
 from tessera.session import shared_folder
 
@@ -75,9 +78,9 @@ def translate(df: DataFrame, model, keys: list[str], text_col: str, out_col: str
 
 
 def fit_dictionary_model(pairs: DataFrame, src_col: str, tgt_col: str, src: Script, tgt: Script, order: list[str],
-                         drop_markers: bool = False, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DictionaryModel:
+                         broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DictionaryModel:
     """T5: the dictionary model fitted from pairs (last write wins in ``order``)."""
-    d = induce_dictionary(pairs, src_col, tgt_col, src, tgt, order, drop_markers)
+    d = induce_dictionary(pairs, src_col, tgt_col, src, tgt, order)
     return DictionaryModel(forward_view(dictionary_entries(d)), src, tgt, broadcast_rows)
 
 
@@ -89,11 +92,14 @@ def load_model(spark: SparkSession, path: str, src: Script, tgt: Script, fallbac
                broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DictionaryModel:
     """T4: load a saved model; a missing path gives ``fallback`` (or an empty model)."""
     from pyspark.errors import AnalysisException
+    from tessera.sources.text_files import is_missing
 
     try:
         view = spark.read.parquet(path)
         return DictionaryModel(view, src, tgt, broadcast_rows)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         if fallback is not None:
             return fallback
         return DictionaryModel(spark.createDataFrame([], "tok string, out string"), src, tgt, broadcast_rows)
@@ -113,10 +119,23 @@ def generate_translation(df: DataFrame, model, keys: list[str], text_col: str, l
 
 
 def round_trip(mono: DataFrame, there, back, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``(keys..., orig, trans, back)``."""
-    s = synthetic_pairs(mono, there, keys, text_col)
-    b = translate(s, back, keys, "trans", "back")
-    return b.select(*keys, "orig", "trans", "back")
+    """``(keys..., orig, trans, back)``.
+
+    With dictionary models the corpus is shuffled once by its row hash; both lookups and the
+    final re-attachment of the texts run on that partitioning, and only the translations
+    are exchanged once more (so that they are computed once for their two uses).
+    """
+    if not (isinstance(there, DictionaryModel) and isinstance(back, DictionaryModel)):
+        s = synthetic_pairs(mono, there, keys, text_col)
+        return translate(s, back, keys, "trans", "back").select(*keys, "orig", "trans", "back")
+    rows = identified_rows(mono.select(*keys, F.col(text_col).alias("orig")))
+    ids = [ROW, *keys]
+    out = lookup_tokens(rows, ids, there.src.tokens(F.col("orig")), there.view, "_t", broadcast_rows=there.broadcast_rows)
+    out = out.select(*ids, F.array_join("_t", there.tgt.joiner).alias("trans"))
+    out = out.repartition(int(mono.sparkSession.conf.get("spark.sql.shuffle.partitions")), ROW)
+    again = lookup_tokens(out, ids, back.src.tokens(F.col("trans")), back.view, "_b", broadcast_rows=back.broadcast_rows)
+    again = again.select(*ids, F.array_join("_b", back.tgt.joiner).alias("back"))
+    return every_copy(attach(attach(rows, out, ids), again, ids)).select(*keys, "orig", "trans", "back")
 
 
 def evaluate(test: DataFrame, model, keys: list[str], src_col: str = "source", ref_col: str = "reference") -> DataFrame:
@@ -144,39 +163,45 @@ def back_translation(spark: SparkSession, parallel: DataFrame, mono_a: DataFrame
     3. S_b = translate(mono_b, new b->a);
     4. model a->b fitted on P followed by swap(S_b) (the synthetic side swapped).
 
-    P is never extended with earlier rounds' pairs. Markers of unknown tokens are
-    not learnt from synthetic rows. ``quality_threshold`` turns on F5 for the
-    synthetic pairs (off by default). Returns all synthetic pairs with
-    ``iteration`` and ``direction``; everything is written under ``out_dir``.
+    P is never extended with earlier rounds' pairs. In a refit the synthetic text is the
+    source; its tokens carry a flag from the lookup that says which were unknown, and these
+    are not learnt as sources. ``quality_threshold`` turns on F5 for the synthetic pairs (off
+    by default). Returns all synthetic pairs with ``iteration`` and ``direction``; everything
+    is written under ``out_dir``.
     """
     out_dir = out_dir or f"{shared_folder(spark).rstrip('/')}/back-translation-{uuid.uuid4().hex}"
-    par = parallel.select(F.lit(0).alias("origin"), "o1", "o2", "a_text", "b_text")
-
-    def fit(rows: DataFrame, src_col, tgt_col, src, tgt, path):
-        d = induce_dictionary(rows, src_col, tgt_col, src, tgt, ["origin", "o1", "o2"], drop_markers=True)
-        forward_view(dictionary_entries(d)).write.mode("overwrite").parquet(path)
+    order = ["origin", "o1", "o2"]
+
+    def fit(src_col, tgt_col, src, tgt, path, synthetic=None):
+        real = parallel.select(F.lit(0).alias("origin"), "o1", "o2", src_col, tgt_col)
+        al = align_tokens(real, src.tokens(F.col(src_col)), tgt.tokens(F.col(tgt_col)), order)
+        if synthetic is not None:
+            made = synthetic.select(F.lit(1).alias("origin"), F.col("id").alias("o1"), F.lit(0).cast("long").alias("o2"),
+                                    "tokens", "missing", tgt.tokens(F.col("orig")).alias("other"))
+            known = F.transform("tokens", lambda t, i: F.when(~F.get(F.col("missing"), i), t))  # unknown tokens align with nothing
+            al = al.unionByName(align_tokens(made.withColumn("known", known), F.col("known"), F.col("other"), order))
+        forward_view(dictionary_entries(last_writes(al, order))).write.mode("overwrite").parquet(path)
         return DictionaryModel(spark.read.parquet(path), src, tgt)
 
-    ab = fit(par, "a_text", "b_text", a, b, f"{out_dir}/models/a-b/baseline")
-    ba = fit(par, "b_text", "a_text", b, a, f"{out_dir}/models/b-a/baseline")
-    for i in range(1, rounds + 1):
-        s_a = synthetic_pairs(mono_a, ab, ["id"])
-        if quality_threshold is not None:
-            s_a = _filtered(s_a, ba, quality_threshold)
-        s_a.select("id", "orig", "trans").write.mode("overwrite").parquet(f"{out_dir}/synthetic/iteration={i}/direction=a-b")
-        s_a = spark.read.parquet(f"{out_dir}/synthetic/iteration={i}/direction=a-b")  # cut lineage
-        syn = s_a.select(F.lit(1).alias("origin"), F.col("id").alias("o1"), F.lit(0).alias("o2"),
-                         F.col("orig").alias("a_text"), F.col("trans").alias("b_text"))
-        ba = fit(par.unionByName(syn), "b_text", "a_text", b, a, f"{out_dir}/models/b-a/iteration_{i}")
-        s_b = synthetic_pairs(mono_b, ba, ["id"])
+    def generate(mono, model, back_model, i, direction):
+        mono = mono.select("id", F.col("text").alias("orig"))
+        s = map_tokens(mono, ["id"], model.src.tokens(F.col("orig")), model.view, "tokens", broadcast_rows=model.broadcast_rows,
+                       missing_name="missing").withColumn("trans", F.array_join("tokens", model.tgt.joiner))
         if quality_threshold is not None:
-            s_b = _filtered(s_b, ab, quality_threshold)
-        s_b.select("id", "orig", "trans").write.mode("overwrite").parquet(f"{out_dir}/synthetic/iteration={i}/direction=b-a")
-        s_b = spark.read.parquet(f"{out_dir}/synthetic/iteration={i}/direction=b-a")
-        syn = s_b.select(F.lit(1).alias("origin"), F.col("id").alias("o1"), F.lit(0).alias("o2"),
-                         F.col("trans").alias("a_text"), F.col("orig").alias("b_text"))
-        ab = fit(par.unionByName(syn), "a_text", "b_text", a, b, f"{out_dir}/models/a-b/iteration_{i}")
-    return spark.read.parquet(f"{out_dir}/synthetic")
+            good = _filtered(s.select("id", "orig", "trans"), back_model, quality_threshold).select("id")
+            s = s.join(good, "id", "left_semi")
+        path = f"{out_dir}/synthetic/iteration={i}/direction={direction}"
+        s.select("id", "orig", "trans", "tokens", "missing").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)  # cuts the lineage
+
+    ab = fit("a_text", "b_text", a, b, f"{out_dir}/models/a-b/baseline")
+    ba = fit("b_text", "a_text", b, a, f"{out_dir}/models/b-a/baseline")
+    for i in range(1, rounds + 1):
+        s_a = generate(mono_a, ab, ba, i, "a-b")
+        ba = fit("b_text", "a_text", b, a, f"{out_dir}/models/b-a/iteration_{i}", s_a)
+        s_b = generate(mono_b, ba, ab, i, "b-a")
+        ab = fit("a_text", "b_text", a, b, f"{out_dir}/models/a-b/iteration_{i}", s_b)
+    return spark.read.parquet(f"{out_dir}/synthetic").select("id", "orig", "trans", "iteration", "direction")
 
 
 def _filtered(pairs: DataFrame, back_model, threshold: float) -> DataFrame:

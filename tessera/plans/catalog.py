@@ -77,13 +77,11 @@ def q_normalise_text(spark, d):
 
 
 @register("latin_only", r"""
-SELECT doc_id, coalesce(regexp_matches(text, '\A[a-zA-Z\s\x0b\p{P}0-9]+\z'), false) AS is_latin,
-       coalesce(regexp_matches(left(text, 60), '\A[a-zA-Z\s\x0b\p{P}0-9]+\z'), false) AS head_is_latin
+SELECT doc_id, coalesce(regexp_matches(text, '\A[a-zA-Z\s\x0b\p{P}0-9]+\z'), false) AS is_latin
 FROM documents""")
 def q_latin_only(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", tx.latin_only(F.col("text")).alias("is_latin"),
-                       tx.latin_only(F.substring("text", 1, 60)).alias("head_is_latin"))
+    return docs.select("doc_id", tx.latin_only(F.col("text")).alias("is_latin"))
 
 
 @register("contains_script", r"""
@@ -514,9 +512,9 @@ _LATIN = r"'\A[a-zA-Z\s\x0b\p{P}0-9]+\z'"
 
 @register("quality_filter", f"""
 WITH {_ROUND_TRIP},
-lat AS (SELECT *, coalesce(regexp_matches(orig, {_LATIN}), false) AS latin FROM rt),
-qin AS (SELECT doc_id, back AS prediction, orig AS reference FROM lat WHERE latin),
-{Q.bleu_row_stats('qin', 'doc_id', rstrip=True)},
+lat AS MATERIALIZED (SELECT *, coalesce(regexp_matches(orig, {_LATIN}), false) AS latin FROM rt),
+qin AS MATERIALIZED (SELECT doc_id, back AS prediction, orig AS reference FROM lat WHERE latin),
+{Q.bleu_row_stats('qin', 'doc_id', rstrip=True, materialized=True)},
 sb AS (SELECT doc_id, {Q.bleu_exp_sql(effective_order=True)} / 100.0 AS bleu FROM (
   SELECT doc_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in BLEU_STAT_COLS)} FROM st))
 SELECT l.doc_id, l.orig, l.trans FROM lat l JOIN sb USING (doc_id) WHERE l.latin AND sb.bleu >= 0.7
@@ -527,7 +525,41 @@ def q_quality_filter(spark, d):
     return quality_filter(q_round_trip(spark, d), ["doc_id"], threshold=0.7)
 
 
-@register("back_translation_rounds")
+def _refit(name: str, source: str, s_tok: str, t_tok: str) -> str:
+    """CTE ``name(tok, out)``: the pairs' alignments followed by the known tokens of ``source(id, pos, tok, out)``, swapped."""
+    synthetic = f"""
+  UNION ALL SELECT 1, id, 0, pos, out, tok FROM {source} WHERE out IS NOT NULL""" if source else ""
+    return f"""{name} AS MATERIALIZED (
+  SELECT s AS tok, arg_max(t, (origin, o1, o2, pos)) AS out FROM (
+    SELECT 0 AS origin, conv_id AS o1, turn AS o2, pos, s[pos + 1] AS s, t[pos + 1] AS t FROM (
+      SELECT conv_id, turn, s, t, unnest(range(0, least(len(s), len(t)))) AS pos FROM (
+        SELECT conv_id, turn, {s_tok} AS s, {t_tok} AS t FROM pairs)){synthetic})
+  GROUP BY s)"""
+
+
+def _generated(name: str, lang: str, tokens: str, view: str) -> str:
+    """CTE ``name(id, pos, tok, out)``: the tokens of the language's documents with their values."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT id, pos, x.tok, v.out FROM (
+    SELECT doc_id AS id, unnest(s) AS tok, generate_subscripts(s, 1) - 1 AS pos
+    FROM (SELECT doc_id, {tokens} AS s FROM documents WHERE lang = '{lang}')) x LEFT JOIN {view} v USING (tok))"""
+
+
+def _rounds_sql(rounds: int) -> str:
+    a, b = Q.words_lower, Q.marks
+    ctes = [Q.PAIRS, _refit("ab0", "", a("tgt"), b("src"))]
+    parts = []
+    for i in range(1, rounds + 1):
+        ctes += [_generated(f"sa{i}", "en", a("text"), f"ab{i - 1}"), _refit(f"ba{i}", f"sa{i}", b("src"), a("tgt")),
+                 _generated(f"sb{i}", "fr", b("text"), f"ba{i}"), _refit(f"ab{i}", f"sb{i}", a("tgt"), b("src"))]
+        for name, lang, direction in ((f"sa{i}", "en", "a-b"), (f"sb{i}", "fr", "b-a")):
+            parts.append(f"""SELECT d.doc_id AS id, d.text AS orig, coalesce(t.trans, '') AS trans, {i} AS iteration, '{direction}' AS direction
+FROM documents d LEFT JOIN (SELECT id, string_agg(coalesce(out, '[' || tok || ']'), ' ' ORDER BY pos) AS trans FROM {name} GROUP BY id) t
+  ON t.id = d.doc_id WHERE d.lang = '{lang}'""")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("back_translation_rounds", _rounds_sql(3))
 def q_back_translation_rounds(spark, d):
     pairs = conversation_pairs(spark, d)
     par = pairs.select(F.col("conv_id").alias("o1"), F.col("turn").alias("o2"),
@@ -535,14 +567,29 @@ def q_back_translation_rounds(spark, d):
     docs = table(spark, d, "documents")
     mono_a = docs.where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
     mono_b = docs.where(F.col("lang") == "fr").select(F.col("doc_id").alias("id"), "text")
-    return back_translation(spark, par, mono_a, mono_b, ENGLISH, SRC_SCRIPT, rounds=2)
+    return back_translation(spark, par, mono_a, mono_b, ENGLISH, SRC_SCRIPT, rounds=3)
 
 
 # ---------------------------------------------------------------- A7, A9, A10 (rows only: no byte-exact SQL twin)
-from tessera.operators.metrics.edit import corpus_edit_rate, corpus_meteor  # noqa: E402
-
-
-@register("word_error_rate")
+from tessera.operators.metrics.edit import corpus_edit_rate  # noqa: E402
+from tessera.operators.metrics.meteor import corpus_meteor  # noqa: E402
+
+
+@register("word_error_rate", f"""
+WITH RECURSIVE {Q.HUB},
+w AS MATERIALIZED (SELECT row_number() OVER () AS id, {Q.words_lower('prediction')} AS h, {Q.words_lower('reference')} AS r FROM hub),
+dp AS (
+  SELECT id, 0 AS i, range(0, len(r) + 1) AS prev FROM w
+  UNION ALL
+  SELECT dp.id, dp.i + 1,
+    list_reduce(list_prepend([dp.i + 1], list_transform(range(1, len(w.r) + 1), lambda j:
+        [least(dp.prev[j + 1] + 1, dp.prev[j] + CASE WHEN w.h[dp.i + 1] = w.r[j] THEN 0 ELSE 1 END)])),
+      lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1)))
+  FROM dp JOIN w USING (id) WHERE dp.i < len(w.h)
+),
+e AS (SELECT w.id, len(w.r) AS ref_len, dp.prev[len(w.r) + 1] AS edits FROM dp JOIN w ON w.id = dp.id AND dp.i = len(w.h)),
+s AS (SELECT sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, count(*) AS n_rows FROM e)
+SELECT round(CASE WHEN ref_len > 0 THEN 100.0::DOUBLE * edits / ref_len WHEN edits > 0 THEN 100.0 ELSE 0.0 END, 6) AS wer, edits, ref_len, n_rows FROM s""")
 def q_word_error_rate(spark, d):
     return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=False, name="wer")
 
@@ -619,3 +666,179 @@ def q_model_evaluation(spark, d):
     _, xx_en = _models(pairs)
     test = pairs.select(*PAIR_KEYS, F.col("src").alias("source"), F.col("tgt").alias("reference"))
     return evaluate(test, xx_en, PAIR_KEYS)
+
+
+# ---------------------------------------------------------------- files of the translation workflow, written and read back
+from tessera.operators.report import bleu_by_length, corpus_scores, direction_report, error_analysis  # noqa: E402
+from tessera.operators.translate import generate_translation, load_model, save_model  # noqa: E402
+from tessera.sources.sinks import write_dictionary_tsv, write_direction_report, write_report  # noqa: E402
+from tessera.sources.text_files import (  # noqa: E402
+    read_dictionary, read_monolingual, read_parallel_with_seeds, read_split_table,
+)
+
+_DICT_FILE = f"""{Q.PAIRS}, {Q.DICT},
+entries AS (SELECT row_number() OVER (ORDER BY first_conv_id, first_turn, first_pos) - 1 AS seq, src, tgt FROM dict)"""
+
+
+def _dictionary_file(spark, d):
+    out = _scratch(spark, "dictionary")
+    write_dictionary_tsv(pair_dictionary(conversation_pairs(spark, d)), out)
+    return read_dictionary(spark, out)
+
+
+@register("dictionary_file", f"""
+WITH {_DICT_FILE}
+SELECT seq, src, tgt FROM entries""")
+def q_dictionary_file(spark, d):
+    """K2 then S6: the dictionary file keeps its order (O1) as ``seq``."""
+    return _dictionary_file(spark, d)
+
+
+@register("translate_with_file", f"""
+WITH {Q.PAIRS}, {Q.DICT}, {Q.FWD}, {Q.translate_cte('tr', 'src', Q.marks, 'fwd', ' ')}
+SELECT conv_id, turn, translation FROM tr""")
+def q_translate_with_file(spark, d):
+    """Induce, write, read, look up."""
+    view = forward_view(_dictionary_file(spark, d))
+    pairs = conversation_pairs(spark, d)
+    return translate(pairs, PAIR_KEYS, "src", view, SRC_SCRIPT, TGT_SCRIPT.joiner).select(*PAIR_KEYS, "translation")
+
+
+@register("monolingual_file", f"""
+WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, {Q.strip(_ONE_LINE)} AS text FROM documents WHERE lang = 'fr')
+SELECT line_no, 'fr' AS lang, text FROM a WHERE text <> ''""")
+def q_monolingual_file(spark, d):
+    """S7 over a file of K1."""
+    out = _scratch(spark, "mono")
+    docs = table(spark, d, "documents").where(F.col("lang") == "fr").select("doc_id", "lang", "text")
+    write_corpus(docs, out, order=("doc_id",))
+    return read_monolingual(spark, f"{out}/lang=fr", "fr")
+
+
+_TSV_LINES = f"""{Q.PAIRS},
+c AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_no,
+             {Q.strip(f"{_CLEAN_SRC} || chr(9) || {_CLEAN_TGT}")} AS v FROM pairs)"""
+
+
+@register("evaluation_tsv", f"""
+WITH {_TSV_LINES}
+SELECT line_no, split_part(v, chr(9), 1) AS src, split_part(v, chr(9), 2) AS tgt FROM c WHERE len(string_split(v, chr(9))) = 2""")
+def q_evaluation_tsv(spark, d):
+    """K6 then S2: fields are not stripped, only lines."""
+    out = _scratch(spark, "tsv")
+    write_pairs_tsv(conversation_pairs(spark, d), out, "src", "tgt", order=tuple(PAIR_KEYS))
+    return read_parallel_tsv(spark, out, strip_fields=False)
+
+
+@register("parallel_with_seeds", f"""
+WITH {_TSV_LINES}
+SELECT line_no, split_part(v, chr(9), 1) AS en, split_part(v, chr(9), 2) AS bo FROM c WHERE len(string_split(v, chr(9))) = 2""")
+def q_parallel_with_seeds(spark, d):
+    """S3 with its file present."""
+    out = _scratch(spark, "parallel")
+    write_pairs_tsv(conversation_pairs(spark, d), f"{out}/en-tib.txt", "src", "tgt", order=tuple(PAIR_KEYS))
+    return read_parallel_with_seeds(spark, out)
+
+
+@register("metrics_file", f"""
+WITH {Q.HUB}, {Q.bleu_row_stats('hub', _KEYS)}, agg AS ({Q.sum_stats_sql('st')}),
+{Q.chrf_stats_sql('hub', _KEYS)}, cagg AS ({Q.sum_chrf_sql('cst')}),
+e AS (SELECT round(avg(len({Q.split_ws('prediction')}) - len({Q.split_ws('reference')})), 6) AS avg_length_diff,
+             round(100.0 * avg(CASE WHEN regexp_matches(prediction, '[\\x{{00C0}}-\\x{{00FF}}]') THEN 1 ELSE 0 END), 6) AS untranslated_percentage FROM hub)
+SELECT (SELECT round({Q.bleu_unsmoothed_sql()}, 6) FROM agg) AS bleu, (SELECT round({Q.chrf_sql()}, 6) FROM cagg) AS chrf,
+       avg_length_diff, untranslated_percentage FROM e""")
+def q_metrics_file(spark, d):
+    """K4: the SQL-expressible columns of the report (A10 without METEOR and TER), written as JSON and read back."""
+    hub = scored_examples(spark, d)
+    errors = error_analysis(hub, LO, HI).select("n_rows", "avg_length_diff", "untranslated_percentage")
+    one = corpus_scores(hub).join(errors, "n_rows").select("bleu", "chrf", "avg_length_diff", "untranslated_percentage")  # one row each
+    out = _scratch(spark, "report")
+    write_report(one, out)
+    return spark.read.schema(one.schema).json(f"{out}/metrics")
+
+
+@register("examples_file", f"""
+WITH {Q.HUB}
+SELECT conv_id, turn, source, reference, prediction FROM hub""")
+def q_examples_file(spark, d):
+    """K4: the scored examples as JSON lines, read back."""
+    hub = scored_examples(spark, d).select(*PAIR_KEYS, "source", "reference", "prediction")
+    out = _scratch(spark, "report")
+    write_report(corpus_scores(hub), out, hub, keys=tuple(PAIR_KEYS))
+    return spark.read.schema(hub.schema).json(f"{out}/translations")
+
+
+@register("length_report", f"""
+WITH {Q.HUB}, {Q.bleu_row_stats('hub', _KEYS)},
+b AS (SELECT st.*, CASE WHEN len({Q.split_ws('h.source')}) <= 5 THEN 'short (1-5 words)'
+            WHEN len({Q.split_ws('h.source')}) <= 15 THEN 'medium (6-15 words)' ELSE 'long (16+ words)' END AS bucket
+      FROM st JOIN hub h USING (conv_id, turn)),
+agg AS ({Q.sum_stats_sql('b', 'bucket')})
+SELECT bucket, round({Q.bleu_unsmoothed_sql()}, 6) AS bleu, n_rows AS count FROM agg""")
+def q_length_report(spark, d):
+    """A10's length table, written as JSON (K4) and read back."""
+    part = bleu_by_length(scored_examples(spark, d)).select("bucket", "bleu", "count")
+    out = _scratch(spark, "report")
+    write_direction_report(part, out)
+    return spark.read.schema(part.schema).json(out)
+
+
+@register("direction_files", f"""
+WITH {Q.DIRS}, {Q.bleu_row_stats('dirs', 'direction, conv_id, turn', rstrip=True)}, agg AS ({Q.sum_stats_sql('st', 'direction')}),
+s AS (SELECT direction, round({Q.bleu_exp_sql()}, 6) AS bleu, n_rows AS count FROM agg),
+x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY conv_id, turn) AS rn FROM dirs) WHERE rn <= 10)
+SELECT direction, s.bleu, s.count, x.conv_id, x.turn, x.source, x.reference, x.prediction FROM s JOIN x USING (direction)""")
+def q_direction_files(spark, d):
+    """K5: one JSON record per direction, read back with a row per example."""
+    rep = direction_report(both_direction_examples(spark, d), PAIR_KEYS, 10)
+    out = _scratch(spark, "directions")
+    write_direction_report(rep, out)
+    back = spark.read.schema(rep.schema).json(out)
+    return back.select("direction", "bleu", "count", F.explode("examples").alias("x")).select("direction", "bleu", "count", "x.*")
+
+
+@register("generate_translation", f"""
+WITH {Q.PAIRS}, {Q.DICT}, {Q.FWD},
+pre AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN {Q.strip(f"regexp_replace(replace(nfc_normalize(text), '.', '. '), '{Q.WS}+', ' ', 'g')")}
+       ELSE text END AS t FROM documents),
+{Q.translate_cte('tr', 't', Q.marks, 'fwd', ' ', rel='pre', keys='doc_id')}
+SELECT doc_id, translation FROM tr""")
+def q_generate_translation(spark, d):
+    """Script normalisation for one source language, then T1."""
+    _, xx_en = _models(conversation_pairs(spark, d))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return generate_translation(docs, xx_en, ["doc_id"], "text", "lang", "fr", ".").select("doc_id", "translation")
+
+
+@register("saved_model", f"""
+WITH {Q.PAIRS}, {Q.DICT}, {Q.FWD}, {Q.translate_cte('tr', 'src', Q.marks, 'fwd', ' ')}
+SELECT conv_id, turn, translation FROM tr""")
+def q_saved_model(spark, d):
+    """T4: a model saved, loaded and applied (T1); a missing path would give the fallback."""
+    pairs = conversation_pairs(spark, d)
+    en_xx, xx_en = _models(pairs)
+    out = _scratch(spark, "model")
+    save_model(xx_en, out)
+    model = load_model(spark, out, SRC_SCRIPT, TGT_SCRIPT, fallback=en_xx)
+    return model.apply(pairs, PAIR_KEYS, "src", "translation").select(*PAIR_KEYS, "translation")
+
+
+_PART = "CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END"
+
+
+@register("split_table", f"""
+WITH n AS (SELECT count(*)::DOUBLE AS n FROM documents WHERE doc_id % 10 <> 0),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents WHERE doc_id % 10 <> 0)
+SELECT doc_id, CASE WHEN rn <= (SELECT floor(n * (1.0::DOUBLE - 0.9::DOUBLE)) FROM n) THEN 'validation' ELSE 'train' END AS split FROM r
+UNION ALL SELECT doc_id, 'test' FROM documents WHERE doc_id % 10 = 0""")
+def q_split_table(spark, d):
+    """S5 without a validation split: one is cut from train, test stays."""
+    out = _scratch(spark, "splits")
+    table(spark, d, "documents").select("doc_id", F.expr(_PART).alias("split")).write.parquet(out)
+    return read_split_table(spark, out, key="doc_id")
+
+
+@register("page_cap", _PAGE_SQL + " ORDER BY page_id, pos LIMIT 300")
+def q_page_cap(spark, d):
+    """L1: the first 300 paragraphs over all pages (the cap is the feature)."""
+    return page_paragraphs(table(spark, d, "pages"), LO, HI, max_texts=300)

@@ -102,16 +102,17 @@ DIRS = ",\n".join([
 ])
 
 
-def bleu_row_stats(src_rel: str, keys: str, rstrip: bool = False) -> str:
+def bleu_row_stats(src_rel: str, keys: str, rstrip: bool = False, materialized: bool = False) -> str:
     """CTE ``st(keys..., match_1..4, total_1..4, hyp_len, ref_len)`` from (keys, prediction, reference)."""
-    return f"""tk AS (SELECT {keys}, {tok13a('prediction', rstrip)} AS h, {tok13a('reference', rstrip)} AS r FROM {src_rel}),
-hg AS (SELECT {keys}, n, g, count(*) AS c FROM (
+    m = "MATERIALIZED " if materialized else ""
+    return f"""tk AS {m}(SELECT {keys}, {tok13a('prediction', rstrip)} AS h, {tok13a('reference', rstrip)} AS r FROM {src_rel}),
+hg AS {m}(SELECT {keys}, n, g, count(*) AS c FROM (
   SELECT {keys}, n, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i:i + n - 1], ' '))) AS g
   FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
-rg AS (SELECT {keys}, n, g, count(*) AS c FROM (
+rg AS {m}(SELECT {keys}, n, g, count(*) AS c FROM (
   SELECT {keys}, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' '))) AS g
   FROM tk, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
-mt AS (SELECT {keys}, n, sum(least(hg.c, rg.c)) AS m FROM hg JOIN rg USING ({keys}, n, g) GROUP BY ALL),
+mt AS {m}(SELECT {keys}, n, sum(least(hg.c, rg.c)) AS m FROM hg JOIN rg USING ({keys}, n, g) GROUP BY ALL),
 st AS (SELECT {', '.join('tk.' + k.strip() for k in keys.split(','))},
   coalesce(sum(CASE WHEN mt.n = 1 THEN mt.m END), 0) AS match_1,
   coalesce(sum(CASE WHEN mt.n = 2 THEN mt.m END), 0) AS match_2,
@@ -169,7 +170,7 @@ crg AS (SELECT {keys}, n, g, count(*) AS c FROM (
   FROM ck, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n)) GROUP BY ALL),
 cmt AS (SELECT {keys}, n, sum(least(chg.c, crg.c)) AS m FROM chg JOIN crg USING ({keys}, n, g) GROUP BY ALL),
 cst AS (SELECT {', '.join('ck.' + k.strip() for k in keys.split(','))},
-  {', '.join(f"greatest(length(any_value(ck.h)) - {n - 1}, 0) AS chyp_{n}, greatest(length(any_value(ck.r)) - {n - 1}, 0) AS cref_{n}, coalesce(sum(CASE WHEN cmt.n = {n} THEN cmt.m END), 0) AS cmatch_{n}" for n in range(1, 7))}
+  {', '.join(f"CASE WHEN length(any_value(ck.r)) >= {n} THEN greatest(length(any_value(ck.h)) - {n - 1}, 0) ELSE 0 END AS chyp_{n}, greatest(length(any_value(ck.r)) - {n - 1}, 0) AS cref_{n}, coalesce(sum(CASE WHEN cmt.n = {n} THEN cmt.m END), 0) AS cmatch_{n}" for n in range(1, 7))}
   FROM ck LEFT JOIN cmt USING ({keys}) GROUP BY {', '.join('ck.' + k.strip() for k in keys.split(','))})"""
 
 

@@ -3,13 +3,15 @@
 * ``bounded_broadcast``: broadcast a side only after counting it against a limit;
   beyond the limit the join stays a shuffle join (AQE may still split skew).
 * ``dense_row_number``: a global 0-based row number in a given order without a
-  single-partition window: a range-partitioned sort, per-partition counts (one
-  row per partition), prefix offsets over that tiny table, and a broadcast of it.
+  single-partition window: literal bucket bounds from a bounded sample, counts per
+  bucket, prefix offsets over that tiny table, and numbers inside each bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 # Limits below which a lookup table is shipped to every task.
@@ -40,28 +42,71 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_RO
     return df, False
 
 
+SAMPLE_PER_BUCKET = 60
+
+
+def _literal(value, kind) -> Column:
+    return F.lit(value).cast(kind)
+
+
+def bucket_bounds(keys: DataFrame, buckets: int) -> list:
+    """Up to ``buckets - 1`` ascending key rows that cut ``keys`` into parts of about equal size.
+
+    From a sample of about ``buckets * SAMPLE_PER_BUCKET`` rows, drawn by a hash of the key.
+    """
+    n = keys.count()
+    if n == 0 or buckets < 2:
+        return []
+    share = min(1.0, buckets * SAMPLE_PER_BUCKET / n)
+    drawn = keys.where(F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = [r[0] for r in drawn.select(F.struct(*keys.columns).alias("k")).orderBy("k").collect()]
+    if not rows:
+        return []
+    at = sorted({len(rows) * b // buckets for b in range(1, buckets)} - {0})
+    return list(dict.fromkeys(rows[i] for i in at))
+
+
+def bucket_of(key: Column, bounds: list, kinds: list) -> Column:
+    """Number of the bucket of ``key`` (a struct) as a search tree of literal comparisons."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*[_literal(v, k).alias(f"c{i}") for i, (v, k) in enumerate(zip(bounds[mid], kinds))])
+        return F.when(key < bound, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
 def dense_row_number(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
-    """Add a 0-based dense row number following ``order`` (must be a total order).
+    """Add a 0-based dense row number following ``order`` (ascending columns, a total order; nulls first).
 
-    Plan: Exchange(rangepartitioning) -> Sort -> {count per partition (tiny) ;
-    rows}. Both branches read the same exchange (reused), so partition ids agree.
+    The bounds of the buckets are taken once, from a bounded sample, and stand in the plan as
+    literals. So every use of the bucket column agrees, whatever Spark prunes or reuses:
+    one branch counts rows per bucket (one row each, summed into offsets), the other
+    numbers the rows inside each bucket.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = (
-        df.repartitionByRange(n, *cols)
-        .sortWithinPartitions(*cols)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_part", F.spark_partition_id())
-    )
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    # Window over one row per partition: bounded by the partition count.
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (
-        ranged.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first"))
-        .drop("_mid", "_part", "_first", "_off")
-    )
+    keyed = df.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(cols)])
+    keys = [f"_k{i}" for i in range(len(cols))]
+    kinds = [f.dataType for f in keyed.select(*keys).schema.fields]
+    key = F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])
+    keyed = keyed.withColumn("_bucket", bucket_of(key, bucket_bounds(keyed.select(*keys), n), kinds))
+    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # a window over one row per bucket
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
+    return (keyed.withColumn("_local", local).join(F.broadcast(offsets), "_bucket")
+            .withColumn(name, F.col("_off") + F.col("_local"))
+            .select(*df.columns, name))
+
+
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` under the cluster's shared folder and read it back: later uses read the same rows."""
+    from tessera.session import shared_folder
 
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,16 +24,19 @@ def write_dictionary_tsv(dictionary: DataFrame, path: str, order: list[str] | No
                          src: str = "src", tgt: str = "tgt") -> int:
     """K2: ``src<TAB>tgt`` in first-insertion order; returns the entry count."""
     order = order or [c for c in dictionary.columns if c.startswith("first_")]
+    dictionary = dictionary.persist()  # written and counted
     ordered = dictionary.orderBy(*order)
     ordered.select(F.concat_ws("\t", _one_line(F.col(src)), _one_line(F.col(tgt))).alias("value")).write.mode("overwrite").text(path)
-    return dictionary.count()
+    n = dictionary.count()
+    dictionary.unpersist(blocking=False)
+    return n
 
 
-def write_report(report: DataFrame, path: str, examples: DataFrame | None = None) -> None:
-    """K4: the one-row metrics report as JSON; scored examples as JSON lines."""
+def write_report(report: DataFrame, path: str, examples: DataFrame | None = None, keys: tuple[str, ...] = ("id",)) -> None:
+    """K4: the one-row metrics report as JSON; scored examples as JSON lines in the order of ``keys``."""
     report.select(F.to_json(F.struct(*report.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/metrics")
     if examples is not None:
-        examples.orderBy("id").write.mode("overwrite").json(f"{path}/translations")
+        examples.orderBy(*keys).write.mode("overwrite").json(f"{path}/translations")
 
 
 def write_direction_report(per_direction: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ the pages are a table and paragraphs are cut by a fixed regular-expression rule
 1. drop comments, scripts and styles;
 2. mark paragraph starts ``<p ...>`` and ends ``</p>``, ``</article>``, ``</body>``;
 3. keep the pieces that follow a start mark;
-4. drop tags, decode entities (``&amp;`` last), collapse ASCII whitespace, trim.
+4. drop tags, decode character references, collapse ASCII whitespace, trim.
 
 A parser nests an unclosed ``<p>`` differently in rare cases; this rule ends a
 paragraph at the next start or end mark.
@@ -15,7 +15,10 @@ paragraph at the next start or end mark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import html
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.text import contains_script, py_split
 
@@ -23,18 +26,21 @@ DROP_BLOCKS = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>
 P_START = "(?i)<p(\\s[^>]*)?>"
 P_END = "(?i)</p>|</article>|</body>"
 TAG = "<[^>]*>"
-# Entities decoded, in this order, with &amp; last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
 
-def _decode(x):
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+@F.pandas_udf(T.StringType())
+def _references(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
+def _decode(x: Column) -> Column:
+    """Character references as signs: decimal, hexadecimal and the standard named ones. A no-break space given as
+    ``&nbsp;`` counts as a space. Texts without ``&`` stay in the JVM."""
+    x = F.replace(x, F.lit("&nbsp;"), F.lit(" "))
+    return F.when(F.contains(x, F.lit("&")), _references(F.when(F.contains(x, F.lit("&")), x))).otherwise(x)
 
 
-def page_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_texts: int | None = 1000,
+def page_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_texts: int | None = None,
                     id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(page_id, pos, text)`` paragraphs holding a code point in [lo, hi], in source order,
     capped at ``max_texts`` (L1) when given."""
@@ -57,8 +63,8 @@ def page_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_te
 
 
 def article_paragraphs(articles: DataFrame, topic_col: str = "source", order_col: str = "doc_id",
-                       text_col: str = "text", sep: str = "\n\n", per_topic: int = 100,
-                       max_texts: int | None = 1000, min_words: int = 10) -> DataFrame:
+                       text_col: str = "text", sep: str = "\n\n", per_topic: int | None = None,
+                       max_texts: int | None = None, min_words: int = 10) -> DataFrame:
     """Split articles on ``sep``; keep paragraphs with more than ``min_words`` words
     not starting with ``==`` (F3); first ``per_topic`` per topic (W1); global cap (L1).
 
@@ -69,7 +75,7 @@ def article_paragraphs(articles: DataFrame, topic_col: str = "source", order_col
     paras = paras.withColumn("pos", F.col("pos").cast("long"))
     paras = paras.where((F.size(py_split(F.col("text"))) > min_words) & ~F.col("text").startswith("=="))
     w = Window.partitionBy(topic_col).orderBy(order_col, "pos")
-    kept = paras.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_topic).drop("_rn")
+    kept = paras if per_topic is None else paras.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_topic).drop("_rn")
     if max_texts is None:
         return kept
     return kept.orderBy(topic_col, order_col, "pos").limit(max_texts)

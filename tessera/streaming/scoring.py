@@ -6,10 +6,11 @@ arrive, so an evaluation or translation job can be fed continuously:
 * ``corpus_scores_stream``: per-row BLEU and chrF statistics, summed in a
   streaming aggregation. The state is one row of counters (BLEU and chrF are
   sums of integer statistics), so it stays constant however long the stream runs.
-* ``translate_stream``: each micro-batch is translated with the dictionary join
-  and appended to a table; the checkpoint makes the output exactly-once.
+* ``translate_stream``: each micro-batch is translated with the dictionary join and
+  written to a folder of its own (``batch_id=N``), overwriting it if the batch is
+  repeated after a restart, so every text is in the output once.
 
-Checkpoints live under the session's shared folder (``spark.checkpoint.dir``).
+The caller names the checkpoint folder, which must outlive the application.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from tessera.functions.tok13a import tokenize_13a
 from tessera.operators.dictionary import translate
 from tessera.operators.metrics.ngrams import BLEU_STAT_COLS, CHRF_STAT_COLS, bleu_stats, chrf_stats
 from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, r6
-from tessera.session import shared_folder
 
 SCORED_SCHEMA = "id long, source string, reference string, prediction string"
 
@@ -43,20 +43,18 @@ def corpus_scores_stream(examples: DataFrame) -> DataFrame:
                        r6(chrf()).alias("chrf"), "n_rows")
 
 
-def start_scores(spark: SparkSession, examples: DataFrame, name: str, checkpoint: str | None = None):
+def start_scores(spark: SparkSession, examples: DataFrame, name: str, checkpoint: str):
     """Run ``corpus_scores_stream`` into an in-memory table ``name`` (complete mode)."""
-    checkpoint = checkpoint or f"{shared_folder(spark).rstrip('/')}/streams/{name}"
     return (corpus_scores_stream(examples).writeStream.outputMode("complete").format("memory").queryName(name)
             .option("checkpointLocation", checkpoint).start())
 
 
 def translate_stream(spark: SparkSession, texts: DataFrame, keys: list[str], text_col: str, view: DataFrame,
-                     src: Script, joiner: str, out_path: str, checkpoint: str | None = None, name: str = "translate"):
-    """Translate every micro-batch by the dictionary join and append it to ``out_path``."""
-    checkpoint = checkpoint or f"{shared_folder(spark).rstrip('/')}/streams/{name}"
+                     src: Script, joiner: str, out_path: str, checkpoint: str):
+    """Translate every micro-batch by the dictionary join into its folder of ``out_path``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         out = translate(batch, keys, text_col, view, src, joiner)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        out.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

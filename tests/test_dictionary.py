@@ -104,3 +104,35 @@ def test_large_dictionary_restricted_to_present_tokens(spark):
     assert "BroadcastHashJoin" in plan
     forced = {r.id: r.translation for r in translate(df, ["id"], "text", view, ENGLISH, " ", broadcast_rows=1).collect()}
     assert forced == got
+
+
+def test_translation_gives_one_row_for_each_row(spark):
+    """Null and repeated keys, equal rows: nothing is lost or merged."""
+    view = spark.createDataFrame([("a", "x"), ("b", "y")], "tok string, out string")
+    df = spark.createDataFrame([(1, "a"), (None, "a b"), (None, "b"), (2, "a"), (2, "b"), (2, "b"), (3, None), (4, "")], "id long, t string")
+    got = sorted(((r.id, r.t, r.translation) for r in translate(df, ["id"], "t", view, ENGLISH, " ").collect()), key=repr)
+    want = [(1, "a", "x"), (2, "a", "x"), (2, "b", "y"), (2, "b", "y"), (3, None, ""), (4, "", ""), (None, "a b", "x y"), (None, "b", "y")]
+    assert got == sorted(want, key=repr)
+
+
+def test_round_trip_gives_one_row_for_each_row(spark):
+    from tessera.operators.translate import DictionaryModel, round_trip
+
+    there = DictionaryModel(spark.createDataFrame([("a", "x"), ("b", "y")], "tok string, out string"), ENGLISH, ENGLISH)
+    back = DictionaryModel(spark.createDataFrame([("x", "a")], "tok string, out string"), ENGLISH, ENGLISH)
+    df = spark.createDataFrame([(1, "a b"), (None, "b"), (1, "a b"), (2, "c")], "id long, text string")
+    got = sorted((tuple(r) for r in round_trip(df, there, back, ["id"]).collect()), key=repr)
+    assert got == sorted([(1, "a b", "x y", "a [y]"), (None, "b", "y", "[y]"), (1, "a b", "x y", "a [y]"), (2, "c", "[c]", "[[c]]")], key=repr)
+
+
+def test_back_translation_learns_no_unknown_token(spark, tmp_path):
+    from tessera.operators.translate import back_translation
+
+    par = spark.createDataFrame([(0, 0, "one two", "un deux")], "o1 long, o2 long, a_text string, b_text string")
+    mono_a = spark.createDataFrame([(0, "one stranger [kept]")], "id long, text string")
+    mono_b = spark.createDataFrame([(0, "un zz")], "id long, text string")
+    back_translation(spark, par, mono_a, mono_b, ENGLISH, ENGLISH, rounds=2, out_dir=str(tmp_path))
+    for direction in ("a-b", "b-a"):
+        for i in (1, 2):
+            keys = {r.tok for r in spark.read.parquet(f"{tmp_path}/models/{direction}/iteration_{i}").collect()}
+            assert not [k for k in keys if k.startswith("[")] and keys

@@ -8,8 +8,9 @@ import twins
 from tessera.functions.porter import stem
 from tessera.functions.tok13a import tokenize_13a
 from tessera.operators.metrics.edit import (
-    corpus_edit_rate, corpus_meteor, distance, levenshtein_trace, meteor_row, ter_edits, with_edit_stats,
+    corpus_edit_rate, distance, levenshtein_trace, ter_edits, with_edit_stats,
 )
+from tessera.operators.metrics.meteor import corpus_meteor, with_meteor
 from tessera.operators.metrics.ngrams import BLEU_STAT_COLS, CHRF_STAT_COLS, sum_stats, with_bleu_stats, with_chrf_stats
 from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, sentence_bleu
 
@@ -137,22 +138,26 @@ def test_porter_published_examples():
 
 
 def test_meteor_row():
-    assert meteor_row([], ["a"]) == 0.0 and meteor_row(["a"], ["b"]) == 0.0
+    assert twins.meteor_row([], ["a"]) == 0.0 and twins.meteor_row(["a"], ["b"]) == 0.0
     # identical 4 words: one chunk, penalty 0.5 * (1/4)^3
-    assert meteor_row(list("abcd"), list("abcd")) == pytest.approx(1 - 0.5 * (1 / 4) ** 3)
+    assert twins.meteor_row(list("abcd"), list("abcd")) == pytest.approx(1 - 0.5 * (1 / 4) ** 3)
     # stem stage: "cats" ~ "cat"
     p, r = 1.0, 1.0
-    assert meteor_row(["cats"], ["cat"]) == pytest.approx((1 - 0.5) * (p * r / (0.9 * p + 0.1 * r)))
+    assert twins.meteor_row(["cats"], ["cat"]) == pytest.approx((1 - 0.5) * (p * r / (0.9 * p + 0.1 * r)))
     # two chunks out of 4 matches
-    v = meteor_row(["a", "b", "x", "c", "d"], ["a", "b", "c", "d"])
+    v = twins.meteor_row(["a", "b", "x", "c", "d"], ["a", "b", "c", "d"])
     p, r = 4 / 5, 1.0
     assert v == pytest.approx((1 - 0.5 * (2 / 4) ** 3) * p * r / (0.9 * p + 0.1 * r))
 
 
 def test_meteor_corpus(spark, hub):
-    got = corpus_meteor(hub, ["id"]).first()
-    want = sum(meteor_row(h.lower().split(), r.lower().split()) for _, h, r in _pairs(60)) / len(_pairs(60))
-    assert got.meteor_exact_stem == pytest.approx(round(want, 6), abs=1e-6)
+    rows = _pairs(60) + [(90, "", "a b"), (91, "a", ""), (92, "cats cat cat dogs", "cat dog cats cat"), (93, "a a b a", "a b a a a")]
+    df = spark.createDataFrame(rows, "id long, prediction string, reference string")
+    want = {i: twins.meteor_row(h.lower().split(), r.lower().split()) for i, h, r in rows}
+    for x in with_meteor(df, ["id"]).collect():
+        assert x.meteor_exact_stem == pytest.approx(want[x.id], abs=1e-9)
+    got = corpus_meteor(df, ["id"]).first()
+    assert got.meteor_exact_stem == pytest.approx(sum(want.values()) / len(want), abs=1e-6)
     assert not math.isnan(got.meteor_exact_stem)
 
 

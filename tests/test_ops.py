@@ -225,3 +225,34 @@ def test_best_so_far_two_levels(spark):
     for _, step, v in rows:
         assert got[step] == (v > cur)
         cur = max(cur, v)
+
+
+def test_dense_row_number_at_scale(spark):
+    """A million rows with an extra column, whatever Spark reuses: exactly 0 .. n - 1, in order; all batches but the last full."""
+    n = 1_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("extra"))
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("false", "true"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            got = batches(df, ["k"], 16)
+            row = got.agg(F.count_distinct("row_no"), F.min("row_no"), F.max("row_no"), F.sum((F.col("row_no") != F.col("k")).cast("int"))).first()
+            assert tuple(row) == (n, 0, n - 1, 0)
+            assert got.groupBy("batch_id").count().where("count <> 16").count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_dense_row_number_nulls_and_strings(spark):
+    df = spark.createDataFrame([("b", 1), (None, 2), ("a", None), ("a", 3), (None, None)], "s string, v long")
+    got = [(r.s, r.v) for r in dense_row_number(df, ["s", "v"], partitions=3).orderBy("row_no").collect()]
+    assert got == [(None, None), (None, 2), ("a", None), ("a", 3), ("b", 1)]
+    assert dense_row_number(df.where("false"), ["s"]).count() == 0
+
+
+def test_best_so_far_keeps_rows_without_step(spark):
+    df = spark.createDataFrame([("r", 1, 0.5), ("r", None, 0.9), ("r", 2, 0.6), ("r", 3, None), (None, 1, 0.7)], "run string, step long, bleu double")
+    got = {(r.run, r.step): r.is_best for r in best_so_far(df, block=2).collect()}
+    assert got == {("r", 1): True, ("r", None): False, ("r", 2): True, ("r", 3): False, (None, 1): False}
+    scores = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 0.9), ("r", 3, None)], "run string, step long, bleu double")
+    assert tuple(final_best(scores).first()) == ("r", 0.9, 2)

@@ -46,7 +46,7 @@ def test_line_numbers_across_splits(spark, tmpdir_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
         df = read_lines(spark, p)
-        assert df.rdd.getNumPartitions() > 5
+        assert spark.read.text(p).rdd.getNumPartitions() > 5
         got = df.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -136,3 +136,64 @@ def test_survey_page_regression(spark):
     p = page_paragraphs(pages, 0x0, 0x10FFFF, max_texts=None)
     row = p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("d")).first()
     assert (row.n, row.d) == (2358, 1899)
+
+
+def test_character_references(spark):
+    """Decimal, hexadecimal and named references are decoded; a script given only by references is found."""
+    body = "<p>&#3906;&#3851; text</p><p>&#xF40;&eacute; &lt;b&gt; A&nbsp;&nbsp;B</p><p>no script &euro;</p>"
+    pages = spark.createDataFrame([(1, body), (2, None)], "page_id long, html string")
+    got = [r.text for r in page_paragraphs(pages).orderBy("pos").collect()]
+    assert got == ["ག་ text".replace("ག", chr(3906)), "ཀé <b> A B"]
+
+
+def test_many_part_files_keep_their_order(spark, tmpdir_path):
+    import os as _os
+
+    names = [f"part-{i}" for i in (99998, 99999, 100000, 100001)] + [f"part-{i:05d}" for i in range(40)]
+    _os.makedirs(f"{tmpdir_path}/parts")
+    want = []
+    for n in sorted(names, key=lambda x: int(x[5:])):
+        lines = [f"{n} {k}" for k in range(int(n[5:]) % 4)]
+        _write(f"{tmpdir_path}/parts/{n}", "".join(line + "\n" for line in lines))
+        want += lines
+    got = sorted((r.line_no, r.value) for r in read_lines(spark, f"{tmpdir_path}/parts").collect())
+    assert got == list(enumerate(want))
+
+
+def test_only_a_missing_path_has_a_substitute(spark, tmpdir_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from tessera.functions.text import ENGLISH
+    from tessera.operators.translate import load_model
+
+    assert read_dictionary(spark, f"{tmpdir_path}/none").count() == 0
+    assert load_model(spark, f"{tmpdir_path}/none", ENGLISH, ENGLISH).view.count() == 0
+    os.makedirs(f"{tmpdir_path}/empty")
+    with pytest.raises(AnalysisException):
+        load_model(spark, f"{tmpdir_path}/empty", ENGLISH, ENGLISH)
+
+
+def test_report_examples_by_keys(spark, tmpdir_path):
+    rep = spark.createDataFrame([(1.0,)], "bleu double")
+    ex = spark.createDataFrame([(1, 2, "p"), (0, 5, "q")], "conv_id long, turn long, prediction string")
+    write_report(rep, f"{tmpdir_path}/rep", ex, keys=("conv_id", "turn"))
+    assert spark.read.json(f"{tmpdir_path}/rep/translations").count() == 2
+
+
+def test_split_table_keeps_other_splits(spark, tmpdir_path):
+    from tessera.sources.text_files import read_split_table
+
+    rows = [("train", i) for i in range(20)] + [("test", i) for i in range(20, 25)]
+    spark.createDataFrame(rows, "split string, doc_id long").write.parquet(f"{tmpdir_path}/t")
+    got = {r.split: r["count"] for r in read_split_table(spark, f"{tmpdir_path}/t", key="doc_id").groupBy("split").count().collect()}
+    assert got == {"train": 20 - int(20 * (1.0 - 0.9)), "validation": int(20 * (1.0 - 0.9)), "test": 5}
+
+
+def test_short_reference_in_chrf(spark):
+    from tessera.operators.metrics.ngrams import with_chrf_stats
+
+    df = spark.createDataFrame([("abcdefgh", "ab")], "p string, r string")
+    for engine in ("arrow", "jvm"):
+        row = with_chrf_stats(df, [], F.col("p"), F.col("r"), engine=engine).first()
+        assert [row[f"chyp_{n}"] for n in range(1, 7)] == [8, 7, 0, 0, 0, 0]

@@ -66,7 +66,7 @@ def chrf_stats(hyp: str, ref: str, order=6):
     for n in range(1, order + 1):
         hc = Counter(h[i:i + n] for i in range(len(h) - n + 1))
         rc = Counter(r[i:i + n] for i in range(len(r) - n + 1))
-        out.append((sum(hc.values()), sum(rc.values()), sum((hc & rc).values())))
+        out.append((sum(hc.values()) if rc else 0, sum(rc.values()), sum((hc & rc).values())))
     return out
 
 
@@ -93,3 +93,33 @@ def levenshtein(a, b):
             cur.append(min(prev[j - 1] + (x != y), prev[j] + 1, cur[j - 1] + 1))
         prev = cur
     return prev[-1]
+
+
+def meteor_row(hyp: list[str], ref: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR of one pair: exact, then Porter-stem alignment (last-to-first greedy), fragmentation penalty."""
+    from tessera.functions.porter import stem
+
+    h = list(enumerate(hyp))
+    r = list(enumerate(ref))
+    matches = []
+    for key in (lambda w: w, stem):
+        for i in range(len(h))[::-1]:
+            for j in range(len(r))[::-1]:
+                if key(h[i][1]) == key(r[j][1]):
+                    matches.append((h[i][0], r[j][0]))
+                    h.pop(i)
+                    r.pop(j)
+                    break
+    n = len(matches)
+    if not hyp or not ref or n == 0:
+        return 0.0
+    p, rc = n / len(hyp), n / len(ref)
+    fmean = p * rc / (alpha * p + (1 - alpha) * rc)
+    matches.sort()
+    chunks = 1
+    for k in range(n - 1):
+        if not (matches[k + 1][0] == matches[k][0] + 1 and matches[k + 1][1] == matches[k][1] + 1):
+            chunks += 1
+    return (1 - gamma * (chunks / n) ** beta) * fmean
+
+
