@@ -3,7 +3,7 @@
 Vectors are scaled to length one and rotated by a seeded random orthogonal matrix, so that
 every block of columns is a fair sample of a vector's energy. Lists come from k-means on a
 bounded sample (``sample_rows``); every vector is put into its nearest list, and a query
-scans its nearest lists. A scan walks the columns block by block: after d of D columns the
+scans its nearest lists, as many as exact searches in the sample need for ``target_recall``. A scan walks the columns block by block: after d of D columns the
 partial squared distance, scaled by D / d, estimates the whole, and a candidate is abandoned
 when the estimate exceeds the query's current k-th distance by more than the error bound
 ``(1 + EPSILON / sqrt(d)) ** 2`` of the hypothesis test. What survives is scored exactly, in
@@ -26,8 +26,8 @@ QUERY_STEP = 50
 LIST_ROWS = 1000
 MAX_LISTS = 4096
 SAMPLE_ROWS = 20_000
-PROBES = 12
-PROBE_SHARE = 0.25
+TARGET_RECALL = 0.98
+TEST_QUERIES = 400
 BLOCK_ROWS = 4096
 QUERY_ROWS = 256
 COLUMNS = 16
@@ -69,6 +69,20 @@ def nearest_lists(x: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def probes_for(x: np.ndarray, centre: np.ndarray, k: int, target: float, seed: int = SEED) -> int:
+    """How many lists a query must scan to find the share ``target`` of its k nearest, by exact search in the sample ``x``."""
+    if len(centre) < 2:
+        return 1
+    rows = np.random.default_rng(seed).choice(len(x), min(TEST_QUERIES, len(x)), replace=False)
+    own = nearest_lists(x, centre, 1)[:, 0]
+    order = nearest_lists(x[rows], centre, len(centre))
+    near = x[rows] @ x.T
+    near[np.arange(len(rows)), rows] = -np.inf
+    best = np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, :k]
+    place = (order[:, None, :] == own[best][:, :, None]).argmax(axis=2)  # how near the neighbour's list is to the query
+    return int(np.quantile(place, target, method="higher")) + 1
+
+
 def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query row, candidate row) that may be among the k nearest of the query; rotated unit vectors."""
     dim = q.shape[1]
@@ -133,7 +147,7 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
-                       probes: int = PROBES, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+                       target_recall: float = TARGET_RECALL, list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its k nearest rows by cosine, itself excluded.
 
     ``queries`` picks the query rows (by ``vec_id``; by default the ids divisible by 50). Null
@@ -162,7 +176,7 @@ def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K,
     n_lists = min(n_lists, max(1, len(x) // 8))
     centres = kmeans(x, n_lists, seed=seed) if n_lists > 1 else np.zeros((1, dim))
     shared = spark.sparkContext.broadcast(centres)
-    n_probes = min(n_lists, max(probes, int(np.ceil(PROBE_SHARE * n_lists)) if n_lists <= 256 else probes))
+    n_probes = probes_for(x, centres, k, target_recall, seed)
 
     @F.pandas_udf("array<int>")
     def lists_of(vectors: pd.Series, n: pd.Series) -> pd.Series:
