@@ -1,9 +1,9 @@
 """Operator 10: licence scans with a positional index of rare words.
 
 Templates (fixed licence notices) are indexed by word: word -> (template, position). Document
-frequencies of the templates' words are counted over all rows; they give the words' IDF. A
-file looks up the ``top_words`` highest-IDF licence words among those it holds (of each
-template), and every occurrence votes for the place where its template would begin. Votes at
+frequencies of the templates' words are counted over all rows; they give the words' IDF. Of
+each template a file looks up the ``top_words`` highest-IDF words that it holds, and every
+occurrence votes for the place where the template would begin. Votes at
 places within ``slack`` words of each other are one alignment. An alignment that enough of
 the template's rare words share is verified by the template's mandatory key phrases, whose
 words must stand consecutively within the aligned span.
@@ -15,7 +15,7 @@ says, and give the base labels.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -70,8 +70,11 @@ def lower_words(text: str | None) -> list[str]:
 
 
 class Index:
+    """Positional index of the templates: word -> [(template, position)], and each template's words by falling IDF."""
+
     def __init__(self, templates: dict[str, list[tuple[str, list[str]]]], idf: dict[str, float], top_words: int):
-        self.labels, self.length, self.need, self.rare, self.keys = [], [], [], [], []
+        self.top = top_words
+        self.labels, self.length, self.need, self.words, self.keys, self.key_words = [], [], [], [], [], []
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for label, notices in sorted(templates.items()):
             for notice, keys in notices:
@@ -79,14 +82,12 @@ class Index:
                 t = len(self.labels)
                 self.labels.append(label)
                 self.length.append(len(w))
+                self.words.append(sorted(set(w), key=lambda x: (-idf.get(x, 0.0), x)))
                 self.keys.append([k.split() for k in keys])
-                rare = sorted(set(w), key=lambda x: (-idf.get(x, 0.0), x))[:top_words]
-                self.rare.append(len(rare))
-                self.need.append(max(2, int(np.ceil(MIN_SHARE * len(rare)))))
+                self.key_words.append(frozenset(x for k in keys for x in k.split()))
+                self.need.append(max(2, int(np.ceil(MIN_SHARE * min(top_words, len(set(w)))))))
                 for i, x in enumerate(w):
-                    if x in rare:
-                        self.postings[x].append((t, i))
-        self.vocabulary = frozenset(self.postings)
+                    self.postings[x].append((t, i))
 
 
 def consecutive(words: list[str], phrase: list[str], lo: int = 0, hi: int | None = None) -> list[int]:
@@ -105,34 +106,38 @@ def consecutive(words: list[str], phrase: list[str], lo: int = 0, hi: int | None
 
 def scan(words: list[str], held: set[str], index: Index, slack: int = SLACK) -> dict[str, float]:
     """Labels of the templates that the index finds and the key phrases confirm, with the share of rare words aligned."""
-    hits = held & index.vocabulary
-    if len(hits) < 2:
+    rare: dict[int, list[str]] = {}
+    for t, keys in enumerate(index.key_words):
+        if keys <= held:  # a template whose key phrases cannot stand in the file is not looked up
+            own = [w for w in index.words[t] if w in held][:index.top]
+            if len(own) >= index.need[t]:
+                rare[t] = own
+    if not rare:
         return {}
+    wanted = {w for own in rare.values() for w in own}
     votes: dict[int, list[tuple[int, str]]] = defaultdict(list)
     for i, w in enumerate(words):
-        if w in hits:
+        if w in wanted:
             for t, pos in index.postings[w]:
-                votes[t].append((i - pos, w))
+                if t in rare and w in rare[t]:
+                    votes[t].append((i - pos, w))
     out: dict[str, float] = {}
     for t, places in votes.items():
-        if len({w for _, w in places}) < index.need[t]:
-            continue
         places.sort()
-        rare = index.rare[t]
-        first, held_now = 0, defaultdict(int)
-        best = 0.0
-        for last, (place, w) in enumerate(places):
-            held_now[w] += 1
+        first, inside, best = 0, Counter(), 0.0
+        for place, w in places:  # a window of places at most ``slack`` apart
+            inside[w] += 1
             while places[first][0] < place - slack:
                 old = places[first][1]
-                held_now[old] -= 1
-                if not held_now[old]:
-                    del held_now[old]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
                 first += 1
-            if len(held_now) >= index.need[t] and len(held_now) / rare > best:
+            share = len(inside) / len(rare[t])
+            if len(inside) >= index.need[t] and share > best:
                 lo, hi = max(0, places[first][0]), place + index.length[t] + slack
                 if all(consecutive(words, k, lo, hi) for k in index.keys[t]):
-                    best = len(held_now) / rare
+                    best = share
         if best:
             out[index.labels[t]] = max(best, out.get(index.labels[t], 0.0))
     return out
