@@ -31,9 +31,9 @@ DROPOUT = 0.1
 SEED = 17
 VARIANTS = 4
 MARK = "▁"
-CACHE_UNITS = 300_000
-CACHE_CHARS = 64
+CACHE_UNITS = 200_000
 SHORT_UNIT = 40
+NONE = 1 << 40
 UNITS = re.compile(f" *[^ \\n{MARK}]+| +|\\n|{MARK}")
 MASK = (1 << 64) - 1
 OUT = "doc_id long, ids array<int>, n_pieces long, n_bytes long, variant int, lossless boolean"
@@ -51,6 +51,32 @@ class Vocabulary:
             self.spelt[i] = p.replace(MARK, " ").encode()
         for b, i in enumerate(byte_ids):
             self.spelt[i] = bytes([b])
+        self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for merging many units at once: sign -> symbol, and pairs of symbols -> (rank, symbol).
+
+        A symbol is a piece id; a sign that only occurs inside pieces gets a number after them.
+        """
+        symbol = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                symbol.setdefault(c, len(self.spelt) + len(symbol) - len(self.ids))
+        self.sign = np.full(0x110000, -1, np.int32)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.sign[ord(c)] = i
+        order = {cost: r for r, cost in enumerate(sorted(set(self.cost.values())))}
+        pairs = {}
+        for p, cost in self.cost.items():
+            for cut in range(1, len(p)):
+                left, right = symbol.get(p[:cut]), symbol.get(p[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = (order[cost], self.ids[p])
+        keys = np.array(sorted(pairs), np.int64)
+        self.pair = np.append(keys, np.iinfo(np.int64).max)
+        self.rank = np.array([pairs[k][0] for k in keys.tolist()] + [NONE], np.int64)
+        self.merged = np.array([pairs[k][1] for k in keys.tolist()] + [-1], np.int32)
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -72,6 +98,65 @@ def _dropped(own: int, left: int, end: int, limit: int) -> bool:
     return (((x ^ (x >> 32)) * 0xBF58476D1CE4E5B9) & MASK) >> 11 < limit
 
 
+def _all_dropped(own: np.ndarray, left: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    x = (own ^ (left * np.uint64(0x9E3779B97F4A7C15) + end * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(11) < np.uint64(limit)
+
+
+def merge_many(symbols: np.ndarray, own: np.ndarray, vocabulary: Vocabulary, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The agendas of many units of the same length together: every round takes the best candidate of each unit.
+
+    ``symbols`` [units, signs]; whether a candidate is dropped depends on its span alone, so dropped
+    ones never enter. A unit leaves when its agenda is empty; the others have merged equally often.
+    Returns the units' numbers and symbols, in groups of those that left together.
+    """
+    out = []
+    live = np.arange(len(symbols))
+    symbols = symbols.copy()
+    n, m = symbols.shape
+    start = np.tile(np.arange(m + 1, dtype=np.uint64), (n, 1))   # where each symbol begins, and the end
+
+    def cost(left, right, begin, end, key):
+        at = np.searchsorted(vocabulary.pair, (left.astype(np.int64) << 32) | right)
+        at[vocabulary.pair[at] != ((left.astype(np.int64) << 32) | right)] = len(vocabulary.pair) - 1
+        rank = vocabulary.rank[at]
+        if limit:
+            rank = np.where(_all_dropped(key, begin, end, limit), NONE, rank)
+        return rank, vocabulary.merged[at]
+
+    shape = (n, m - 1)
+    agenda, becomes = (x.reshape(shape) for x in cost(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), start[:, :-2].ravel(),
+                                                      start[:, 2:].ravel(), np.repeat(own, m - 1)))
+    while len(live):
+        if not agenda.shape[1]:
+            out.append((live, symbols))
+            break
+        best = agenda.argmin(axis=1)
+        done = agenda[np.arange(len(live)), best] == NONE
+        if done.any():
+            out.append((live[done], symbols[done]))
+            go = ~done
+            live, own, symbols, start, agenda, becomes, best = (x[go] for x in (live, own, symbols, start, agenda, becomes, best))
+            if not len(live):
+                break
+        rows = np.arange(len(live))
+        m = symbols.shape[1]
+        made = becomes[rows, best]
+
+        def without(x, at):                                     # each row without its cell ``at``
+            keep = np.arange(x.shape[1]) != at[:, None]
+            return x[keep].reshape(len(x), x.shape[1] - 1)
+
+        symbols, start = without(symbols, best + 1), without(start, best + 1)
+        agenda, becomes = without(agenda, best), without(becomes, best)
+        symbols[rows, best] = made
+        for side in (best - 1, best):                           # the pairs that hold the new symbol
+            some = np.flatnonzero((side >= 0) & (side < m - 2))
+            i, k = some, side[some]
+            agenda[i, k], becomes[i, k] = cost(symbols[i, k], symbols[i, k + 1], start[i, k], start[i, k + 2], own[i])
+    return out
+
+
 def merge_short(symbols: list[str], score: dict[str, float], own: int, limit: int) -> list[str]:
     """The agenda as a list with the cost of merging each symbol with the next: best for short units."""
     none = float("inf")
@@ -148,30 +233,58 @@ def encode_unit(unit: str, vocabulary: Vocabulary, key: int, dropout: float) ->
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
-        self.caches: dict[int, dict[str, array]] = {}
+        self.caches: dict[int, dict[str, bytes]] = {}  # variant -> unit -> its piece ids as 32-bit numbers
         self.held = 0
 
-    def encode(self, text: str, variant: int = 0) -> array:
-        """Piece ids of a text; an empty text has none."""
-        out = array("i")
-        if not text:
-            return out
-        cache = self.caches.setdefault(variant, {})
-        key = xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode())
-        for unit in UNITS.findall(" " + text):
-            ids = cache.get(unit)
-            if ids is None:
-                ids = encode_unit(unit, self.vocabulary, key, self.dropout)
-                if len(unit) <= CACHE_CHARS:
-                    if self.held >= CACHE_UNITS:
-                        for c in self.caches.values():
-                            c.clear()
-                        self.held = 0
-                    cache[unit] = ids
-                    self.held += 1
-            out.extend(ids)
+    def _fill(self, missing: dict[int, set[str]]) -> None:
+        """Put the pieces of the missing units (by variant) into the caches."""
+        v, limit = self.vocabulary, int(self.dropout * (1 << 53))
+        alike: dict[int, list[tuple[int, str]]] = {}
+        for variant, units in missing.items():
+            for u in units:
+                alike.setdefault(len(u), []).append((variant, u))
+        keys = {variant: xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode()) for variant in missing}
+        for size, units in alike.items():
+            many = []
+            if 1 < size <= SHORT_UNIT:
+                signs = np.frombuffer("".join(u.replace(" ", MARK) for _, u in units).encode("utf-32-le"), np.uint32)
+                symbols = v.sign[signs].reshape(-1, size)
+                plain = (symbols >= 0).all(axis=1)
+                many = [x for x, p in zip(units, plain) if p]
+                units = [x for x, p in zip(units, plain) if not p]
+            if many:
+                own = np.array([xxhash.xxh64_intdigest(u.encode(), keys[k]) for k, u in many], np.uint64)
+                for which, rows in merge_many(symbols[plain], own, v, limit):
+                    width = 4 * rows.shape[1]
+                    raw = np.ascontiguousarray(rows, np.int32).tobytes()
+                    spelt = (rows < len(v.spelt)).all(axis=1).tolist()
+                    for x, (i, known) in enumerate(zip(which.tolist(), spelt)):
+                        if known:
+                            k, u = many[i]
+                            self.caches[k][u] = raw[x * width:(x + 1) * width]
+                        else:
+                            units.append(many[i])
+            for k, u in units:
+                self.caches[k][u] = encode_unit(u, v, keys[k], self.dropout).tobytes()
+        self.held += sum(map(len, missing.values()))
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[array]:
+        """Piece ids of each text; an empty text has none."""
+        if self.held >= CACHE_UNITS:
+            self.caches, self.held = {}, 0
+        cut = [UNITS.findall(" " + t) if t else [] for t in texts]
+        used: dict[int, set[str]] = {}
+        for units, variant in zip(cut, variants):
+            used.setdefault(variant, set()).update(units)
+        self._fill({variant: units.difference(self.caches.setdefault(variant, {})) for variant, units in used.items()})
+        out = []
+        for units, variant in zip(cut, variants):
+            out.append(array("i", b"".join(map(self.caches[variant].__getitem__, units))))
         return out
 
+    def encode(self, text: str, variant: int = 0) -> array:
+        return self.encode_all([text], [variant])[0]
+
 
 _ENCODERS: dict[tuple, Encoder] = {}  # a worker process keeps its caches from task to task
 
@@ -183,6 +296,16 @@ def decode(ids, vocabulary: Vocabulary) -> str:
     return raw[1:].decode()
 
 
+def text_blocks(texts: list[str | None], size: int = 1 << 20):
+    """(first, last) index ranges of consecutive texts of about ``size`` signs."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= size or i + 1 == len(texts):
+            yield first, i + 1
+            first, held = i + 1, 0
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_pieces, n_bytes, variant, lossless`` for every row; ``lossless`` is whether decoding gives the text.
@@ -202,17 +325,13 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
         for batch in batches:
             variant = batch.column("variant").to_pylist()
             sizes, every, same, ids_sizes = [], array("i"), [], [0]
-            for t, v in zip(batch.column("text").to_pylist(), variant):
-                if t is None:
-                    sizes.append(None)
-                    same.append(None)
+            texts = batch.column("text").to_pylist()
+            for i, j in text_blocks(texts):
+                for t, ids in zip(texts[i:j], encoder.encode_all([t or "" for t in texts[i:j]], variant[i:j])):
+                    every.extend(ids)
                     ids_sizes.append(len(every))
-                    continue
-                ids = encoder.encode(t, v)
-                every.extend(ids)
-                ids_sizes.append(len(every))
-                sizes.append(len(t.encode()))
-                same.append(decode(ids, shared.value) == t)
+                    sizes.append(None if t is None else len(t.encode()))
+                    same.append(None if t is None else decode(ids, shared.value) == t)
             ends = pa.array(ids_sizes, pa.int32(), mask=np.array([s is None for s in sizes] + [False]))
             n = np.diff(ids_sizes)
             yield pa.RecordBatch.from_arrays(
