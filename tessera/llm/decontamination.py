@@ -31,6 +31,8 @@ ERROR_SHARE = 0.05
 MIN_CHARS = 24
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
+GROUP_CHARS = 1 << 18
+FIELDS = ("item_id", "window_start", "doc_start", "doc_end", "edits", "shared")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 32
 
@@ -129,76 +131,80 @@ class Index:
         self.bitmap[(self.hash >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
 
-def banded_alignment(pattern: np.ndarray, text: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits between ``pattern`` and a part of ``text`` on the diagonals first .. first + width - 1, as
-    (edits, start, end); None if over ``budget``. Of several ends with the fewest edits, the first counts.
+def banded_alignments(patterns: np.ndarray, text: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fewest edits between each row of ``patterns`` [n, m] and a part of ``text`` on its diagonals first .. first + width - 1.
 
-    Cell (i, k) holds the edits of the first i signs of the pattern against a part that ends
-    before sign i + first + k of the text; each row is one vector step over the band.
+    Returns (edits, start, end); of parts with the fewest edits, the one that starts first.
+    Cell (i, k) holds, for the first i signs of a pattern against a part that ends before
+    sign i + first + k of the text, edits * 2**32 + start; all pairs take each row together.
     """
-    n, m = len(text), len(pattern)
+    n, m = patterns.shape
     k = np.arange(width)
-    far = m + width + 1
-    rows = [np.where((first + k >= 0) & (first + k <= n), 0, far)]
+    one = np.int64(1) << 32
+    at = first[:, None] + k
+    row = at + (np.int64(1) << 30)                              # no edit; starts may be negative, so they are shifted
     for i in range(1, m + 1):
-        j = i + first + k
-        sign = text[np.clip(j - 1, 0, n - 1)]
-        new = np.where(j >= 1, rows[-1] + (sign != pattern[i - 1]), far)
-        new[:-1] = np.minimum(new[:-1], rows[-1][1:] + 1)      # a sign of the pattern is missing in the text
-        outside = (j < 0) | (j > n)
-        new[outside] = far
-        new = np.minimum.accumulate(new - k) + k               # a sign of the text is left over
-        new[outside] = far
-        rows.append(new)
-    end = int(np.argmin(rows[m]))
-    edits = int(rows[m][end])
-    if edits > budget:
-        return None
-    i, at = m, end
-    while i:
-        j = i + first + at
-        if j >= 1 and rows[i][at] == rows[i - 1][at] + (text[j - 1] != pattern[i - 1]):
-            i -= 1
-        elif at + 1 < width and rows[i][at] == rows[i - 1][at + 1] + 1:
-            i, at = i - 1, at + 1
-        else:
-            at -= 1
-    return edits, first + at, m + first + end
-
-
-def leaks_in(c: np.ndarray, at: np.ndarray, lo: np.ndarray, n: np.ndarray, index: Index) -> list[tuple]:
-    """Verified windows in the folded text ``c``, given the positions ``at`` of its q-grams that the index holds
-    and their runs (``lo``, ``n``) in it."""
-    total = int(n.sum())
-    post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-    window = index.owner[post]
-    offset = index.offset[post]
-    diagonal = np.repeat(at, n) - offset
-    width = index.budget[window] + 1
-    band = diagonal // width
+        sign = text[np.clip(at + (i - 1), 0, len(text) - 1)]
+        new = row + (sign != patterns[:, i - 1:i]) * one
+        np.minimum(new[:, :-1], row[:, 1:] + one, out=new[:, :-1])  # a sign of the pattern is missing in the text
+        row = np.minimum.accumulate(new - k * one, axis=1) + k * one  # a sign of the text is left over
+    best = np.argmin(row, axis=1)
+    value = row[np.arange(n), best]
+    return value >> 32, (value & (one - 1)) - (np.int64(1) << 30), m + first + best
+
+
+def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
+    """For each text the verified windows: (item_id, window_start, start, end, edits, shared)."""
+    out: list[list[tuple]] = [[] for _ in texts]
+    folds = [folded(t) if t else np.empty(0, np.uint32) for t in texts]
+    if not len(index.hash):
+        return out
+    gap = np.zeros(int(index.budget.max()) + 2, np.uint32)     # costs more than any budget to cross
+    sizes = np.array([len(c) + len(gap) for c in folds], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    c = np.concatenate([x for f in folds for x in (f, gap)]) if folds else np.empty(0, np.uint32)
+    h = qgram_hashes(c, index.q)
+    at = np.flatnonzero(index.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
+    lo = np.searchsorted(index.hash, h[at], side="left")
+    n = np.searchsorted(index.hash, h[at], side="right") - lo
+    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+    if not len(at):
+        return out
+    post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    window, offset = index.owner[post], index.offset[post]
+    doc = np.repeat(np.searchsorted(starts, at, side="right") - 1, n)
+    band = (np.repeat(at, n) - starts[doc] - offset) // (index.budget[window] + 1)
     # a band is two half bands wide: a q-gram counts in the band that starts at its half and in the one before
-    key_w = np.concatenate([window, window])
-    key_b = np.concatenate([band, band - 1])
-    offset = np.concatenate([offset, offset])
-    by = np.lexsort((offset, key_b, key_w))
-    key_w, key_b, offset = key_w[by], key_b[by], offset[by]
-    same_band = (key_w[1:] == key_w[:-1]) & (key_b[1:] == key_b[:-1])
-    new = np.r_[True, ~same_band]
-    fresh = new.copy()
-    fresh[1:] |= offset[1:] != offset[:-1]  # each q-gram of the window once per band
+    window, offset, doc = np.concatenate([window, window]), np.concatenate([offset, offset]), np.concatenate([doc, doc])
+    band = np.concatenate([band, band - 1])
+    by = np.lexsort((offset, band, window, doc))
+    window, band, offset, doc = window[by], band[by], offset[by], doc[by]
+    new = np.r_[True, (window[1:] != window[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])]
+    fresh = new | np.r_[True, offset[1:] != offset[:-1]]       # each q-gram of the window once per band
     first = np.flatnonzero(new)
     shared = np.add.reduceat(fresh.astype(np.int64), first)
-    pass_ = shared >= index.need[key_w[first]]
-    found: dict[tuple[int, int], tuple] = {}
-    for w, b, k in zip(key_w[first][pass_].tolist(), key_b[first][pass_].tolist(), shared[pass_].tolist()):
-        budget = int(index.budget[w])
-        got = banded_alignment(index.texts[w], c, b * (budget + 1), 2 * (budget + 1), budget)
-        if got:
-            edits, start, end = got
-            old = found.get((w, end))
-            if old is None or edits < old[4]:
-                found[w, end] = (index.items[w], index.starts[w], start, end, edits, k)
-    return sorted(found.values())
+    enough = shared >= index.need[window[first]]
+    window, band, doc, shared = window[first][enough], band[first][enough], doc[first][enough], shared[enough]
+    found: dict[tuple[int, int, int], tuple] = {}
+    for m, budget in sorted({(int(index.length[w]), int(index.budget[w])) for w in window}):
+        some = np.flatnonzero((index.length[window] == m) & (index.budget[window] == budget))
+        for a in range(0, len(some), 4096):
+            part = some[a:a + 4096]
+            edits, start, end = banded_alignments(np.stack([index.texts[w] for w in window[part]]), c,
+                                                  starts[doc[part]] + band[part] * (budget + 1), 2 * (budget + 1))
+            for x in np.flatnonzero(edits <= budget):
+                w = int(window[part[x]])
+                d = int(doc[part[x]])
+                s, e = max(0, int(start[x] - starts[d])), min(len(folds[d]), int(end[x] - starts[d]))
+                hit = (index.items[w], index.starts[w], s, e, int(edits[x]), int(shared[part[x]]))
+                old = found.get((d, w, e))
+                if old is None or (hit[4], -hit[5]) < (old[4], -old[5]):
+                    found[d, w, e] = hit
+    for (d, _, _), hit in found.items():
+        out[d].append(hit)
+    for hits in out:
+        hits.sort()
+    return out
 
 
 def leak_finder(spark: SparkSession, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE,
@@ -208,20 +214,14 @@ def leak_finder(spark: SparkSession, items: list[tuple[int, str]], q: int = Q, w
 
     @F.pandas_udf(HITS)
     def leaks(text: pd.Series) -> pd.Series:
-        index = shared.value
-        out = []
-        for t in text:
-            hits: list[tuple] = []
-            c = folded(t) if t else np.empty(0, np.uint32)
-            h = qgram_hashes(c, index.q)
-            if len(h) and len(index.hash):
-                at = np.flatnonzero(index.bitmap[(h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)])
-                lo = np.searchsorted(index.hash, h[at], side="left")
-                n = np.searchsorted(index.hash, h[at], side="right") - lo
-                real = n > 0
-                if real.any():
-                    hits = leaks_in(c, at[real], lo[real], n[real], index)
-            out.append([dict(zip(("item_id", "window_start", "doc_start", "doc_end", "edits", "shared"), x)) for x in hits])
+        texts = list(text)
+        out, at, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t) if t else 0
+            if held >= GROUP_CHARS or i + 1 == len(texts):
+                for hits in find_windows(texts[at:i + 1], shared.value):
+                    out.append([dict(zip(FIELDS, x)) for x in hits])
+                at, held = i + 1, 0
         return pd.Series(out, dtype=object)
 
     return leaks
