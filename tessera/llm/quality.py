@@ -108,7 +108,7 @@ _CACHE: dict[bytes, tuple[int, int]] = {}
 def _token_features(word: bytes) -> tuple[int, int]:
     got = _CACHE.get(word)
     if got is None:
-        if len(_CACHE) > 300_000:
+        if len(_CACHE) >= 100_000:
             _CACHE.clear()
         shape = re.sub(rb"[\x80-\xFFa-z]+", b"a", re.sub(rb"[A-Z]{2,}", b"AA", re.sub(rb"[0-9]+", b"0", word)))[:12]
         got = _CACHE[word] = (zlib.crc32(b"t" + word.lower()) % DIM, zlib.crc32(b"s" + shape) % DIM)
