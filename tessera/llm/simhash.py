@@ -155,7 +155,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, cell_block: int
     """Links ``a, b`` (fp) that connect every pair of distinct fingerprints ``fp`` at ``max_bits`` or fewer differing bits."""
     n = parallelism(fps.sparkSession)
     masks = _masks(max_bits)
-    dealt = (fps.select("fp", embed(F.col("fp")).alias("emb"))
+    # dealt out evenly first: each fingerprint becomes len(masks) rows, so few input files would make few, large tasks
+    dealt = (fps.select("fp").repartition(n).select("fp", embed(F.col("fp")).alias("emb"))
              .select("fp", "emb", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("k", "m"))
              .select(F.xxhash64("k", F.col("emb").bitwiseAND(F.col("m"))).alias("cell"), "fp", "emb"))
     # cells over one block are few: at most len(masks) * n / cell_block of them
