@@ -7,8 +7,9 @@ on bad texts and how common bad texts are. The posterior of each pattern is the
 on which a hashed linear scorer (logistic regression over hashed tokens, token shapes and
 bucketed statistics) is trained; the scorer judges every whole text.
 
-The scorer is fitted on a sample of at most about ``train_rows`` rows, drawn by a hash of
-the id; votes, patterns and scores cover all rows.
+The scorer is fitted on a sample of at most ``train_rows`` rows and ``train_bytes`` bytes of
+text, drawn row by row (rows that share an id or a text are drawn one by one); votes,
+patterns and scores cover all rows.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm.common import prepare
+from tessera.llm.common import materialise, prepare
 
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 128 << 20
 SHARDS = 8
 DIM = 1 << 18
 EPOCHS = 4
@@ -147,7 +149,29 @@ def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], bias), "rows": float(len(pdf))})
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS):
+def training_sample(src: DataFrame, total: int, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """The rows of ``src`` (``_id, text``) to train on: ``text, draw, shard``; ``total`` is how many rows have words.
+
+    Every row has a draw and a shard of its own, by two hashes of its place, id and text. The
+    drawn rows are written, so that each later use reads the same ones. Of them the first in
+    draw order stay, up to both bounds; a first text beyond ``train_bytes`` stays alone. The
+    driver sees the draw and size of about ``train_rows`` rows.
+    """
+    row = [F.monotonically_increasing_id(), F.col("_id"), F.col("text")]
+    drawn = materialise(
+        src.where(F.col("text").rlike(r"\S"))
+        .select("text", F.pmod(F.xxhash64(F.lit("draw"), *row), F.lit(1 << 62)).alias("draw"),
+                F.pmod(F.xxhash64(F.lit("shard"), *row), F.lit(SHARDS)).alias("shard"))
+        .where(F.col("draw") < int((1 << 62) * min(1.0, train_rows / total))), "quality-sample")
+    sizes = drawn.select("draw", F.octet_length("text").cast("long").alias("n")).toArrow()
+    draws, n = sizes["draw"].to_numpy(), sizes["n"].to_numpy()
+    by = np.argsort(draws)
+    fits = int(np.searchsorted(np.cumsum(n[by]), train_bytes, side="right"))
+    stay = by[:min(max(fits, 1), train_rows)]
+    return drawn.where(F.col("draw") <= int(draws[stay[-1]])) if len(stay) else drawn
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES):
     """(labellers' EM result, weights, bias) learnt from ``docs``; weights are None for a table without words."""
     spark = docs.sparkSession
 
@@ -167,11 +191,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
     def bad_of(p: pd.Series) -> pd.Series:
         return p.map(bad.value).astype(float)
 
-    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    sample = (src.withColumn("draw", draw).where(F.col("draw") < int((1 << 30) * min(1.0, train_rows / total)))
-              .select("text", "draw", pattern_of("text").alias("p")).where("p is not null")
-              .select("text", "draw", bad_of("p").alias("bad")))
-    trained = sample.withColumn("shard", F.pmod("draw", F.lit(SHARDS))).groupBy("shard").applyInPandas(
+    sample = (training_sample(src, total, train_rows, train_bytes).select("text", "draw", "shard", pattern_of("text").alias("p"))
+              .where("p is not null").select("text", "draw", "shard", bad_of("p").alias("bad")))
+    trained = sample.groupBy("shard").applyInPandas(
         lambda pdf: _train_shard(pdf), "at int, w double, rows double")
     trained = trained.groupBy("at").agg(F.sum(F.col("w") * F.col("rows")).alias("w"), F.max("rows"), F.sum("rows").alias("n")).collect()
     weights, rows = np.zeros(DIM), max((r["n"] for r in trained), default=1.0)
