@@ -2,13 +2,22 @@
 
 Texts are compared as lower-cased characters with every run of other signs as one space.
 A benchmark item is cut into overlapping windows of ``window`` characters (a shorter item is
-one window). A window leaks into a document if some part of the document is within
-``budget(window length)`` edits of it. By the q-gram lemma such a part shares at least
+one window), which start at most a budget's edits and one apart: a passage that lies between
+two windows is within the budget of one. A window leaks into a document if some part of the
+document is within ``budget(window length)`` edits of it. By the q-gram lemma such a part shares at least
 ``length - q + 1 - budget * q`` q-grams with the window, on diagonals at most ``budget``
 apart. So shared q-grams are counted per window and diagonal band; the bands are
 ``2 * budget + 2`` wide and overlap by half, so every run of ``budget + 1`` diagonals lies
 in one band. Bands that reach the bound are verified by a banded alignment.
 
+For copies with replaced words there are wide windows besides: the whole item, or parts of
+``wide`` characters that overlap by half. A wide window leaks if a part of the document is
+within ``wide_share`` of its length in edits and shares an eighth of its q-grams with it on
+one band; the lemma gives no bound there, so the shared q-grams belong to the rule.
+
+The index holds every q-gram of an item once with its place. Shared q-grams are counted per
+item and band first, and per window only where the item has enough of them.
+
 The documents are read once per block of benchmark items; a block holds at most
 ``block_chars`` characters (so what is broadcast is bounded), and a benchmark within one
 block costs one pass.
@@ -26,8 +35,10 @@ from tessera.llm.common import prepare
 
 Q = 12
 WINDOW = 72
-STRIDE = 24
+STRIDE = 4
 ERROR_SHARE = 0.05
+WIDE = 512
+WIDE_SHARE = 0.15
 MIN_CHARS = 24
 BLOCK_CHARS = 8_000_000
 BITMAP_BITS = 22
@@ -95,41 +106,81 @@ def budget_of(length: int, share: float = ERROR_SHARE, q: int = Q) -> int:
     return max(0, min(int(share * length), (length - q) // q))
 
 
+class Windows:
+    """The windows of all items of one kind: ``count`` windows of ``length`` characters an item, ``stride`` apart, the last at the item's end."""
+
+    def __init__(self, sizes: np.ndarray, window: int, stride: int, q: int, budget, need):
+        self.stride = stride
+        self.length = np.minimum(sizes, window)
+        self.last = sizes - self.length
+        self.count = -(-self.last // stride) + 1
+        self.first = np.cumsum(self.count) - self.count
+        self.budget = np.array([budget(int(n)) for n in self.length], np.int64)
+        grams = self.length - q + 1
+        self.need = np.array([need(int(n), int(e)) for n, e in zip(grams, self.budget)], np.int64)
+        self.reach = grams - 1                                  # from a window's start to its last q-gram
+
+    def start(self, item: np.ndarray, number: np.ndarray) -> np.ndarray:
+        return np.minimum(number * self.stride, self.last[item])
+
+
 class Index:
-    """Windows of one block of benchmark items and their q-grams, sorted by hash."""
+    """The q-grams of one block of benchmark items with their places, sorted by hash, and the items' windows."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, share: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], q: int, window: int, stride: int, share: float, min_chars: int,
+                 wide: int = 0, wide_share: float = 0.0):
         self.q = q
-        self.items: list[int] = []
-        self.starts: list[int] = []
-        self.texts: list[np.ndarray] = []
-        hashes, owners, offsets = [], [], []
+        self.ids: list[int] = []
+        folds, hashes, owners, offsets = [], [], [], []
         for item, text in items:
             c = folded(text)
             if len(c) < max(min_chars, q):
                 continue
-            last = max(0, len(c) - window)
-            for s in sorted({*range(0, last, stride), last}):
-                w = c[s:s + window]
-                h = qgram_hashes(w, q)
-                owners.append(np.full(len(h), len(self.texts)))
-                offsets.append(np.arange(len(h)))
-                hashes.append(h)
-                self.items.append(item)
-                self.starts.append(s)
-                self.texts.append(w)
-        empty = np.empty(0, np.int64)
+            h = qgram_hashes(c, q)
+            owners.append(np.full(len(h), len(self.ids), np.int32))
+            offsets.append(np.arange(len(h), dtype=np.int32))
+            hashes.append(h)
+            self.ids.append(item)
+            folds.append(c)
+        empty = np.empty(0, np.int32)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         by = np.argsort(h, kind="stable")
         self.hash = h[by]
         self.owner = np.concatenate(owners)[by] if owners else empty
         self.offset = np.concatenate(offsets)[by] if offsets else empty
-        self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.budget = np.array([budget_of(int(n), share, q) for n in self.length], np.int64)
-        self.need = self.length - q + 1 - self.budget * q
+        self.signs = np.concatenate(folds) if folds else np.empty(0, np.uint32)
+        sizes = np.array([len(c) for c in folds], np.int64)
+        self.begin = np.cumsum(sizes) - sizes
+        self.kinds = [Windows(sizes, window, stride, q, lambda n: budget_of(n, share, q), lambda grams, e: grams - e * q)]
+        if wide:
+            self.kinds.append(Windows(sizes, wide, max(1, wide // 2), q, lambda n: int(wide_share * n),
+                                      lambda grams, e: max(1, grams // 8, grams - e * q)))
         self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
         self.bitmap[(self.hash >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
 
+    def _spread(self) -> tuple[np.ndarray, np.ndarray]:
+        k = self.kinds[0]
+        item = np.repeat(np.arange(len(self.ids)), k.count)
+        return item, k.start(item, np.arange(len(item)) - k.first[item])
+
+    @property
+    def items(self) -> list[int]:
+        """The item of each narrow window."""
+        return [self.ids[i] for i in self._spread()[0].tolist()]
+
+    @property
+    def starts(self) -> list[int]:
+        return self._spread()[1].tolist()
+
+    @property
+    def texts(self) -> list[np.ndarray]:
+        return [self.signs[a:a + n] for a, n in zip((self.begin[self._spread()[0]] + self._spread()[1]).tolist(),
+                                                    self.kinds[0].length[self._spread()[0]].tolist())]
+
+    @property
+    def budget(self) -> np.ndarray:
+        return self.kinds[0].budget[self._spread()[0]]
+
 
 def banded_alignments(patterns: np.ndarray, text: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fewest edits between each row of ``patterns`` [n, m] and a part of ``text`` on its diagonals first .. first + width - 1.
@@ -159,7 +210,7 @@ def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
     folds = [folded(t) if t else np.empty(0, np.uint32) for t in texts]
     if not len(index.hash):
         return out
-    gap = np.zeros(int(index.budget.max()) + 2, np.uint32)     # costs more than any budget to cross
+    gap = np.zeros(max(int(k.budget.max()) for k in index.kinds) + 2, np.uint32)  # costs more than any budget to cross
     sizes = np.array([len(c) + len(gap) for c in folds], np.int64)
     starts = np.cumsum(sizes) - sizes
     c = np.concatenate([x for f in folds for x in (f, gap)]) if folds else np.empty(0, np.uint32)
@@ -171,46 +222,74 @@ def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
     if not len(at):
         return out
     post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    window, offset = index.owner[post], index.offset[post]
+    item, offset = index.owner[post].astype(np.int64), index.offset[post].astype(np.int64)
     doc = np.repeat(np.searchsorted(starts, at, side="right") - 1, n)
-    band = (np.repeat(at, n) - starts[doc] - offset) // (index.budget[window] + 1)
+    diagonal = np.repeat(at, n) - starts[doc] - offset
+    for kind in index.kinds:
+        found: dict[tuple, tuple] = {}
+        doc_of, item_of, start_of, band, shared = _candidates(kind, doc, item, offset, diagonal)
+        sizes_of, budget_of_item = kind.length[item_of], kind.budget[item_of]
+        for m, budget in sorted(set(zip(sizes_of.tolist(), budget_of_item.tolist()))):
+            some = np.flatnonzero((sizes_of == m) & (budget_of_item == budget))
+            for a in range(0, len(some), 4096):
+                part = some[a:a + 4096]
+                patterns = index.signs[(index.begin[item_of[part]] + start_of[part])[:, None] + np.arange(m)]
+                first = starts[doc_of[part]] + start_of[part] + band[part] * (budget + 1)
+                edits, start, end = banded_alignments(patterns, c, first, 2 * (budget + 1))
+                for x in np.flatnonzero(edits <= budget):
+                    y = part[x]
+                    d, i, w = int(doc_of[y]), int(item_of[y]), int(start_of[y])
+                    s, e = max(0, int(start[x] - starts[d])), min(len(folds[d]), int(end[x] - starts[d]))
+                    hit = (index.ids[i], w, s, e, int(edits[x]), int(shared[y]))
+                    old = found.get((d, i, w, e))
+                    if old is None or (hit[4], -hit[5]) < (old[4], -old[5]):
+                        found[d, i, w, e] = hit
+        for (d, *_), hit in found.items():
+            out[d].append(hit)
+    for hits in out:
+        hits.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
+    return out
+
+
+def _candidates(kind: Windows, doc: np.ndarray, item: np.ndarray, offset: np.ndarray, diagonal: np.ndarray):
+    """The (document, item, window start, band, shared q-grams) that reach the bound of their window."""
+    band = diagonal // (kind.budget[item] + 1)
     # a band is two half bands wide: a q-gram counts in the band that starts at its half and in the one before
-    window, offset, doc = np.concatenate([window, window]), np.concatenate([offset, offset]), np.concatenate([doc, doc])
+    item, offset, doc = np.concatenate([item, item]), np.concatenate([offset, offset]), np.concatenate([doc, doc])
     band = np.concatenate([band, band - 1])
-    by = np.lexsort((offset, band, window, doc))
-    window, band, offset, doc = window[by], band[by], offset[by], doc[by]
-    new = np.r_[True, (window[1:] != window[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])]
-    fresh = new | np.r_[True, offset[1:] != offset[:-1]]       # each q-gram of the window once per band
+    by = np.lexsort((offset, band, item, doc))
+    item, band, offset, doc = item[by], band[by], offset[by], doc[by]
+    new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])]
+    fresh = new | np.r_[True, offset[1:] != offset[:-1]]       # each q-gram of the item once per band
+    item, band, offset, doc, new = item[fresh], band[fresh], offset[fresh], doc[fresh], new[fresh]
     first = np.flatnonzero(new)
-    shared = np.add.reduceat(fresh.astype(np.int64), first)
-    enough = shared >= index.need[window[first]]
-    window, band, doc, shared = window[first][enough], band[first][enough], doc[first][enough], shared[enough]
-    found: dict[tuple[int, int, int], tuple] = {}
-    for m, budget in sorted({(int(index.length[w]), int(index.budget[w])) for w in window}):
-        some = np.flatnonzero((index.length[window] == m) & (index.budget[window] == budget))
-        for a in range(0, len(some), 4096):
-            part = some[a:a + 4096]
-            edits, start, end = banded_alignments(np.stack([index.texts[w] for w in window[part]]), c,
-                                                  starts[doc[part]] + band[part] * (budget + 1), 2 * (budget + 1))
-            for x in np.flatnonzero(edits <= budget):
-                w = int(window[part[x]])
-                d = int(doc[part[x]])
-                s, e = max(0, int(start[x] - starts[d])), min(len(folds[d]), int(end[x] - starts[d]))
-                hit = (index.items[w], index.starts[w], s, e, int(edits[x]), int(shared[part[x]]))
-                old = found.get((d, w, e))
-                if old is None or (hit[4], -hit[5]) < (old[4], -old[5]):
-                    found[d, w, e] = hit
-    for (d, _, _), hit in found.items():
-        out[d].append(hit)
-    for hits in out:
-        hits.sort()
-    return out
+    size = np.diff(np.r_[first, len(item)])
+    enough = size >= kind.need[item[first]]                    # no window has more than its item
+    first, size = first[enough], size[enough]
+    # the windows that hold a shared q-gram of a group, from its first to its last
+    own = item[first]
+    low = -(-np.maximum(offset[first] - kind.reach[own], 0) // kind.stride)
+    end = offset[first + size - 1]
+    high = np.where(end >= kind.last[own], kind.count[own] - 1, end // kind.stride)
+    many = np.maximum(high - low + 1, 0)
+    group = np.repeat(np.arange(len(first)), many)
+    number = np.arange(len(group)) - np.repeat(np.cumsum(many) - many, many) + low[group]
+    start = kind.start(own[group], number)
+    # offsets of all groups as one rising sequence, so that one search counts those inside each window
+    keep = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    rising = np.repeat(np.arange(len(first), dtype=np.int64) << 32, size) + offset[keep]
+    base = group.astype(np.int64) << 32
+    shared = (np.searchsorted(rising, base + start + kind.reach[own[group]], side="right")
+              - np.searchsorted(rising, base + start, side="left"))
+    hit = shared >= kind.need[own[group]]
+    group, start, shared = group[hit], start[hit], shared[hit]
+    return doc[first[group]], own[group], start, band[first[group]], shared
 
 
 def leak_finder(spark: SparkSession, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE,
-                share: float = ERROR_SHARE, min_chars: int = MIN_CHARS):
+                share: float = ERROR_SHARE, min_chars: int = MIN_CHARS, wide: int = WIDE, wide_share: float = WIDE_SHARE):
     """Column function: text -> array of the verified windows of ``items`` in it."""
-    shared = spark.sparkContext.broadcast(Index(items, q, window, stride, share, min_chars))
+    shared = spark.sparkContext.broadcast(Index(items, q, window, stride, share, min_chars, wide, wide_share))
 
     @F.pandas_udf(HITS)
     def leaks(text: pd.Series) -> pd.Series:

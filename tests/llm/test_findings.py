@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import decontamination, quality
 
 
 def test_op8_sample_is_bounded_under_one_key(spark):
@@ -25,3 +25,59 @@ def test_op8_null_ids_do_not_make_the_sample(spark):
     drawn = quality.training_sample(spark.createDataFrame(rows, "_id long, text string"), 6000, 900)
     numbers = [int(r["text"].split()[1]) for r in drawn.collect()]
     assert 0.25 < np.mean([i % 3 == 0 for i in numbers]) < 0.42
+
+
+def best_edits(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i] + [0] * len(text)
+        for j, t in enumerate(text, 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != t))
+        row = new
+    return min(row)
+
+
+def prose(rnd, size):
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(size)]
+    return " ".join(words)
+
+
+DEFAULTS = (decontamination.Q, decontamination.WINDOW, decontamination.STRIDE, decontamination.ERROR_SHARE, decontamination.MIN_CHARS,
+            decontamination.WIDE, decontamination.WIDE_SHARE)
+
+
+def test_op1_finds_unaligned_passages():
+    rnd = random.Random(11)
+    items = [(i, prose(rnd, 36)) for i in range(6)]
+    index = decontamination.Index(items, *DEFAULTS)
+    for size in (72, 76, 80, 84, 90):
+        texts, owners = [], []
+        for i, t in items:
+            for _ in range(5):
+                at = rnd.randint(1, len(t) - size - 1)
+                passage = t[at:at + size].strip()
+                if len(decontamination.folded(passage)) == size:
+                    texts.append(f"{prose(rnd, 12)} {passage} {prose(rnd, 12)}")
+                    owners.append(i)
+        for i, hits in zip(owners, decontamination.find_windows(texts, index)):
+            assert i in {h[0] for h in hits}
+
+
+def test_op1_finds_replaced_words():
+    rnd = random.Random(12)
+    items = [(i, prose(rnd, 36)) for i in range(8)]
+    texts = []
+    for _, t in items:
+        words = t.split()
+        for k in range(4, len(words), 8):
+            words[k] = prose(rnd, 1)
+        texts.append(f"{prose(rnd, 20)} {' '.join(words)} {prose(rnd, 20)}")
+    texts.append(prose(rnd, 200))
+    index = decontamination.Index(items, *DEFAULTS)
+    found = decontamination.find_windows(texts, index)
+    assert [{h[0] for h in hits} for hits in found] == [*({i} for i, _ in items), set()]
+    for (_, t), text, hits in zip(items, texts, found):
+        allowed = int(decontamination.WIDE_SHARE * len(t))
+        whole = [h for h in hits if h[3] - h[2] > decontamination.WINDOW + 3]
+        assert best_edits(t, text) == min(h[4] for h in whole) <= allowed
+        assert not [h for h in whole if best_edits(t, text[h[2]:h[3]]) > h[4]]
