@@ -3,12 +3,13 @@
 The vocabulary is that of a SentencePiece BPE model with byte fallback; the file is read on
 the driver and shipped (its size is the vocabulary's). Encoding merges neighbouring symbols
 by an agenda of candidates, highest score first and leftmost among equals. A candidate that
-comes up is skipped for good if a keyed hash of (seed, variant, unit, place) falls under the
-dropout rate, so the same key gives the same segmentation on every run and retry.
+comes up is skipped for good if a keyed hash of (seed, row, number of the unit in the text,
+unit, span) falls under the dropout rate, so a row is cut alike on every run and retry.
 
 A text is cut into units that no piece crosses (spaces and the signs after them, line ends);
-a unit's pieces depend on the unit and the variant alone and are kept in a bounded cache. The
-variant of a row is a hash of its key modulo ``variants``, so copies of a text in different
+a unit's pieces depend on which of its spans are dropped. The pieces of a unit and a set of
+dropped spans are kept in a bounded cache; the draws themselves are made for every unit of
+every text. The key of a row (``variant``) is a 64-bit hash of its id and text: copies in different
 rows are segmented differently. Decoding gives back exactly the text: a sign U+2581 in the
 text, which pieces use for the space, is written as bytes.
 """
@@ -29,14 +30,14 @@ from tessera.llm.common import prepare
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
 MARK = "▁"
 CACHE_UNITS = 200_000
 SHORT_UNIT = 40
+MASK_BITS = 40  # a unit with more spans that may merge is not cached
 NONE = 1 << 40
 UNITS = re.compile(f" *[^ \\n{MARK}]+| +|\\n|{MARK}")
 MASK = (1 << 64) - 1
-OUT = "doc_id long, ids array<int>, n_pieces long, n_bytes long, variant int, lossless boolean"
+OUT = "doc_id long, ids array<int>, n_pieces long, n_bytes long, variant long, lossless boolean"
 
 
 class Vocabulary:
@@ -213,11 +214,10 @@ def merge_long(symbols: list[str], score: dict[str, float], own: int, limit: int
     return [s for s in live if s is not None]
 
 
-def encode_unit(unit: str, vocabulary: Vocabulary, key: int, dropout: float) -> array:
-    """Piece ids of one unit. ``key`` and the unit decide which candidates are dropped."""
+def encode_unit(unit: str, vocabulary: Vocabulary, own: int, dropout: float) -> array:
+    """Piece ids of one unit. ``own`` decides which candidates are dropped."""
     if unit == MARK:
         return array("i", [vocabulary.byte_ids[b] for b in MARK.encode()])
-    own = xxhash.xxh64_intdigest(unit.encode(), key) if dropout else 0
     merge = merge_short if len(unit) <= SHORT_UNIT else merge_long
     ids = vocabulary.ids
     out = array("i")
@@ -230,57 +230,123 @@ def encode_unit(unit: str, vocabulary: Vocabulary, key: int, dropout: float) ->
     return out
 
 
+def spans_of(unit: str, cost: dict[str, float]) -> tuple[list[tuple[int, int]], int]:
+    """The spans of a unit that can come up as candidates; first those that merge without dropout, and how many these are."""
+    n = len(unit)
+    made = {(i, i + 1) for i in range(n)}
+    can = []
+    for size in range(2, n + 1):
+        for i in range(n - size + 1):
+            if unit[i:i + size] in cost and any((i, k) in made and (k, i + size) in made for k in range(i + 1, i + size)):
+                made.add((i, i + size))
+                can.append((i, i + size))
+    symbols, starts, free = list(unit), list(range(n)), []
+    none = float("inf")
+    while len(symbols) > 1:
+        agenda = [cost.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        best = min(agenda)
+        if best == none:
+            break
+        i = agenda.index(best)
+        symbols[i] += symbols[i + 1]
+        del symbols[i + 1], starts[i + 1]
+        free.append((starts[i], starts[i] + len(symbols[i])))
+    taken = set(free)
+    return free + [x for x in can if x not in taken], len(free)
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
-        self.caches: dict[int, dict[str, bytes]] = {}  # variant -> unit -> its piece ids as 32-bit numbers
-        self.held = 0
-
-    def _fill(self, missing: dict[int, set[str]]) -> None:
-        """Put the pieces of the missing units (by variant) into the caches."""
-        v, limit = self.vocabulary, int(self.dropout * (1 << 53))
-        alike: dict[int, list[tuple[int, str]]] = {}
-        for variant, units in missing.items():
-            for u in units:
-                alike.setdefault(len(u), []).append((variant, u))
-        keys = {variant: xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode()) for variant in missing}
-        for size, units in alike.items():
-            many = []
-            if 1 < size <= SHORT_UNIT:
-                signs = np.frombuffer("".join(u.replace(" ", MARK) for _, u in units).encode("utf-32-le"), np.uint32)
-                symbols = v.sign[signs].reshape(-1, size)
-                plain = (symbols >= 0).all(axis=1)
-                many = [x for x, p in zip(units, plain) if p]
-                units = [x for x, p in zip(units, plain) if not p]
-            if many:
-                own = np.array([xxhash.xxh64_intdigest(u.encode(), keys[k]) for k, u in many], np.uint64)
-                for which, rows in merge_many(symbols[plain], own, v, limit):
-                    width = 4 * rows.shape[1]
-                    raw = np.ascontiguousarray(rows, np.int32).tobytes()
-                    spelt = (rows < len(v.spelt)).all(axis=1).tolist()
-                    for x, (i, known) in enumerate(zip(which.tolist(), spelt)):
-                        if known:
-                            k, u = many[i]
-                            self.caches[k][u] = raw[x * width:(x + 1) * width]
-                        else:
-                            units.append(many[i])
-            for k, u in units:
-                self.caches[k][u] = encode_unit(u, v, keys[k], self.dropout).tobytes()
-        self.held += sum(map(len, missing.values()))
+        self.limit = int(dropout * (1 << 53))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.types: dict[str, int] = {}                 # unit -> its number
+        self.cache: dict[int, bytes] = {}               # number and dropped spans -> piece ids as 32-bit numbers
+        self.first, self.size, self.free, self.hash = array("q"), array("q"), array("q"), array("Q")
+        self.left, self.end = array("Q"), array("Q")
+
+    def _learn(self, unit: str) -> int:
+        """Number a unit and note its spans; size -1: not cached."""
+        at = self.types[unit] = len(self.types)
+        self.first.append(len(self.left))
+        self.hash.append(xxhash.xxh64_intdigest(unit.encode()))
+        spans, free = spans_of(unit.replace(" ", MARK), self.vocabulary.cost) if len(unit) <= SHORT_UNIT and unit != MARK else ([], 0)
+        cached = (len(unit) <= SHORT_UNIT or not self.limit) and len(spans) <= MASK_BITS and at < 1 << 22
+        self.size.append(len(spans) if cached else -1)
+        self.free.append((1 << free) - 1 if cached else 0)
+        if cached:
+            self.left.extend([a for a, _ in spans])
+            self.end.extend([b for _, b in spans])
+        return at
+
+    def _keys(self, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Number and dropped spans of each unit; the same key means the same pieces. Not cached: a number below zero of its own."""
+        first, size, free = (np.array(x, np.int64)[kind] for x in (self.first, self.size, self.free))
+        left, end = np.array(self.left, np.uint64), np.array(self.end, np.uint64)
+        mask = np.zeros(len(kind), np.int64)
+        for a in range(0, len(kind) if self.limit else 0, 1 << 17):
+            n = np.maximum(size[a:a + (1 << 17)], 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            bit = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            span = bit + np.repeat(first[a:a + (1 << 17)], n)
+            hit = np.flatnonzero(_all_dropped(own[a:a + (1 << 17)][owner], left[span], end[span], self.limit))
+            mask[a:a + (1 << 17)] = np.bincount(owner[hit], weights=np.ldexp(1.0, bit[hit]), minlength=len(n)).astype(np.int64)
+        mask[(mask & free) == 0] = 0                            # nothing that would merge is dropped
+        return np.where(size < 0, -1 - np.arange(len(kind)), (kind << MASK_BITS) | mask)
+
+    def _merge(self, units: list[str], own: np.ndarray) -> list[bytes]:
+        """Piece ids of each unit under its own draws."""
+        v = self.vocabulary
+        out: list[bytes | None] = [None] * len(units)
+        alike: dict[int, list[int]] = {}
+        for i, u in enumerate(units):
+            alike.setdefault(len(u), []).append(i)
+        for size, some in alike.items():
+            if not 1 < size <= SHORT_UNIT:
+                continue
+            signs = np.frombuffer("".join(units[i].replace(" ", MARK) for i in some).encode("utf-32-le"), np.uint32)
+            symbols = v.sign[signs].reshape(-1, size)
+            plain = (symbols >= 0).all(axis=1)
+            many = np.array(some)[plain]
+            if not len(many):
+                continue
+            for which, rows in merge_many(symbols[plain], own[many], v, self.limit):
+                width = 4 * rows.shape[1]
+                raw = np.ascontiguousarray(rows, np.int32).tobytes()
+                spelt = (rows < len(v.spelt)).all(axis=1).tolist()
+                for x, (i, known) in enumerate(zip(many[which].tolist(), spelt)):
+                    if known:
+                        out[i] = raw[x * width:(x + 1) * width]
+        return [encode_unit(u, v, int(own[i]), self.dropout).tobytes() if out[i] is None else out[i] for i, u in enumerate(units)]
 
     def encode_all(self, texts: list[str], variants: list[int]) -> list[array]:
         """Piece ids of each text; an empty text has none."""
-        if self.held >= CACHE_UNITS:
-            self.caches, self.held = {}, 0
+        if len(self.types) >= CACHE_UNITS:
+            self._clear()
+        elif len(self.cache) >= 2 * CACHE_UNITS:
+            self.cache = {}
         cut = [UNITS.findall(" " + t) if t else [] for t in texts]
-        used: dict[int, set[str]] = {}
-        for units, variant in zip(cut, variants):
-            used.setdefault(variant, set()).update(units)
-        self._fill({variant: units.difference(self.caches.setdefault(variant, {})) for variant, units in used.items()})
-        out = []
-        for units, variant in zip(cut, variants):
-            out.append(array("i", b"".join(map(self.caches[variant].__getitem__, units))))
-        return out
+        units = [u for c in cut for u in c]
+        get = self.types.get
+        kind = np.array([k if (k := get(u)) is not None else self._learn(u) for u in units], np.int64)
+        sizes = np.array([len(c) for c in cut], np.int64)
+        ends = np.cumsum(sizes)
+        rows = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{x}".encode()) for x in variants], np.uint64)
+        place = (np.arange(len(units)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
+        own = np.repeat(rows, sizes) + place * np.uint64(0x9E3779B97F4A7C15)
+        own = (own ^ np.array(self.hash, np.uint64)[kind]) * np.uint64(0xD6E8FEB86659FD93)
+        own = (own ^ (own >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        keys, at, which = np.unique(self._keys(kind, own), return_index=True, return_inverse=True)
+        pieces = [self.cache.get(k) for k in keys.tolist()]
+        missing = [i for i, x in enumerate(pieces) if x is None]
+        for i, x in zip(missing, self._merge([units[j] for j in at[missing].tolist()], own[at[missing]])):
+            pieces[i] = x
+            if keys[i] >= 0:
+                self.cache[int(keys[i])] = x
+        which = which.tolist()
+        return [array("i", b"".join([pieces[x] for x in which[e - n:e]])) for n, e in zip(sizes.tolist(), ends.tolist())]
 
     def encode(self, text: str, variant: int = 0) -> array:
         return self.encode_all([text], [variant])[0]
@@ -306,19 +372,19 @@ def text_blocks(texts: list[str | None], size: int = 1 << 20):
             first, held = i + 1, 0
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_pieces, n_bytes, variant, lossless`` for every row; ``lossless`` is whether decoding gives the text.
 
     A null text has null ids, n_pieces, n_bytes and lossless; an empty text has no ids. The
-    variant of a row follows its id (null: like the empty id). Repeated rows are encoded
-    alike, each; an empty table gives no rows; other columns are not read.
+    variant of a row is a hash of its id (null: like the empty id) and text. Rows that repeat both
+    are encoded alike, each; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(model))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                      variant_of(F.col(id_col), seed, variants).alias("variant"))
+                      variant_of(F.col(id_col), F.col(text_col), seed).alias("variant"))
 
     def run(batches):
         encoder = _ENCODERS.setdefault((model, dropout, seed), Encoder(shared.value, dropout, seed))
@@ -343,8 +409,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
     return src.mapInArrow(run, OUT)
 
 
-def variant_of(key: Column, seed: int, variants: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))), F.lit(variants)).cast("int")
+def variant_of(key: Column, text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), text.cast("string"))
 
 
 def decode_documents(encoded: DataFrame, spark: SparkSession, model: str = MODEL, ids_col: str = "ids") -> DataFrame:

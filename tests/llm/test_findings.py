@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, quality
+from tessera.llm import bpe_dropout, decontamination, quality
 
 
 def test_op8_sample_is_bounded_under_one_key(spark):
@@ -81,3 +81,27 @@ def test_op1_finds_replaced_words():
         whole = [h for h in hits if h[3] - h[2] > decontamination.WINDOW + 3]
         assert best_edits(t, text) == min(h[4] for h in whole) <= allowed
         assert not [h for h in whole if best_edits(t, text[h[2]:h[3]]) > h[4]]
+
+
+def test_op3_repeated_units_and_rows_vary():
+    vocabulary = bpe_dropout.load_vocabulary()
+    coder = bpe_dropout.Encoder(vocabulary, 0.2)
+    text = " ".join(["international"] * 300)
+    rows = [list(x) for x in coder.encode_all([text] * 40, list(range(40)))]
+    assert len({tuple(x) for x in rows}) == 40
+    assert all(bpe_dropout.decode(x, vocabulary) == text for x in rows)
+    assert len({tuple(coder.encode(f"{'a ' * i}international")[-8:]) for i in range(60)}) > 8
+    assert [list(bpe_dropout.Encoder(vocabulary, 0.2).encode(text, i)) for i in range(3)] == rows[:3]  # whatever the cache holds
+
+
+def test_op3_cached_pieces_are_those_of_the_agenda():
+    vocabulary = bpe_dropout.load_vocabulary()
+    rnd = random.Random(5)
+    coder = bpe_dropout.Encoder(vocabulary, 0.15)
+    units = [" " + "".join(rnd.choice("theonirxas") for _ in range(rnd.randint(1, 20))) for _ in range(60)] * 40
+    own = np.array([rnd.getrandbits(64) for _ in units], np.uint64)
+    kind = np.array([coder.types[u] if u in coder.types else coder._learn(u) for u in units])
+    seen = {}
+    for k, u, x in zip(coder._keys(kind, own).tolist(), units, own.tolist()):
+        assert seen.setdefault(k, p := bpe_dropout.encode_unit(u, vocabulary, x, 0.15)) == p
+    assert len(seen) < len(units)
