@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import chat
+from tessera.llm import chat, conversation_repair, vector_codes
 from tessera.llm.ann import nearest_neighbours
 from tessera.llm.bpe_dropout import encode_documents
 from tessera.llm.common import remainder, table
+from tessera.llm.conversation_repair import repair_conversations
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.language_id import identify
 from tessera.llm.licenses import scan_licenses
@@ -15,6 +16,8 @@ from tessera.llm.lm_scoring import FOLD, score_documents
 from tessera.llm.quality import classify
 from tessera.llm.sharding import assign_shards
 from tessera.llm.simhash import near_duplicates
+from tessera.llm.token_counts import count_tokens
+from tessera.llm.vector_codes import compress_vectors
 
 
 def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +72,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the test damage."""
+    return repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every usable vector."""
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_qgram_decontamination, op2_context_mixing, op3_bpe_dropout, op4_language_id, op5_chat_format,
-                                   op6_simhash, op7_jump_shards, op8_weak_quality, op9_ann, op10_licenses)}
-ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE_SQL}
+                                   op6_simhash, op7_jump_shards, op8_weak_quality, op9_ann, op10_licenses, op11_conversation_repair,
+                                   op12_token_counts, op13_vector_codes)}
+ORACLE: dict[str, str] = {"op5_chat_format": chat.ORACLE_SQL, "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+                          "op13_vector_codes": vector_codes.ORACLE_SQL}
