@@ -5,9 +5,11 @@ place); the lowest is popped, the two symbols become one in a linked list of sym
 pairs with its new neighbours are pushed. An entry whose symbols have changed since is skipped.
 The count is the initial symbols minus the merges; no piece ids are made.
 
-The text is cut at ASCII white space, which no unit crosses and the model drops; each distinct
-chunk is lower-cased, normalised and cut into units by the rules of the model file and counted
-once while it stays in the worker's cache, which is bounded in bytes.
+The text is cut at white space, which no unit crosses and the model drops; each distinct
+chunk is lower-cased, normalised and cut into units by the rules of the model file, and chunks and units
+are counted once while they stay in the worker's cache, which is bounded in bytes. Chunks of common Latin
+signs, where all libraries agree on case and normal form, are cut by the file's pattern
+directly, all others by the public library's own rules.
 """
 
 from __future__ import annotations
@@ -19,19 +21,35 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import prepare
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 #: Longer chunks are counted each time: they are rare and would fill the cache.
 CACHED_CHARS = 64
 #: About what a cached chunk takes beside its characters (key, count and slot).
 ENTRY_BYTES = 160
 
 
+#: Units whose count is kept.
+UNITS = 250_000
+#: Printable ASCII, Latin-1 and Latin Extended-A without the dotted capital I, whose small form is two signs.
+COMMON = re.compile("[!-~\u00A1-\u00AC\u00AE-\u012F\u0131-\u017F]+").fullmatch
+
+
+def byte_signs() -> dict[int, int]:
+    """The sign that stands for a byte in byte-level models: itself if printable, else the next code point from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+
+SIGNS = byte_signs()
+
+
 def model_path(name: str = MODEL) -> str:
     """Where a public tokenizer file lies on this machine."""
     import public_tokenizers
@@ -77,18 +95,34 @@ class PairModel:
         self.end = spec["model"]["end_of_word_suffix"] or ""
         rules = Tokenizer.from_file(path)
         self.normalise, self.units = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
+        cuts = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.cut = regex.compile(cuts[0]).findall if len(cuts) == 1 else None
+        self.counts = {}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        n = 0
-        for unit, _ in self.units(self.normalise(text)):
+    def unit(self, unit: str) -> int:
+        """Tokens of a unit, spelt in the model's signs for bytes."""
+        n = self.counts.get(unit)
+        if n is None:
             symbols = list(unit)
             symbols[-1] += self.end
-            n += len(symbols) - count_merges(symbols, self.ranks)
+            n = len(symbols) - count_merges(symbols, self.ranks)
+            if len(unit) <= CACHED_CHARS:
+                if len(self.counts) >= UNITS:
+                    self.counts.clear()
+                self.counts[unit] = n
         return n
 
+    def plain(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        if self.cut is not None and COMMON(text):
+            units = self.cut(text.lower())
+            if not text.isascii():
+                units = [u.encode().decode("latin-1").translate(SIGNS) for u in units]
+            return sum(map(self.unit, units))
+        return sum(self.unit(u) for u, _ in self.units(self.normalise(text)))
+
     def chunk(self, text: str) -> int:
         """Tokens of a chunk; a special string in it is one token, as the library takes it by default."""
         if self.special is None or "<" not in text:
@@ -121,8 +155,9 @@ class ChunkCounts(dict):
         return n
 
 
-#: ASCII white space only: other spaces stay inside a chunk and are left to the model's own rules.
+#: White space on which Python and the model file agree; Python's four separators (0x1C-0x1F) are signs to the model.
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
+SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 SPAN = 1 << 20
 
 
@@ -134,15 +169,23 @@ def spans(text: str) -> Iterator[list[str]]:
         if n - start > SPAN:
             found = SPACES.search(text, start + SPAN)
             cut = found.end() if found else n
-        yield [c for c in SPACES.split(text[start:cut]) if c]
+        part = text if cut - start == n else text[start:cut]
+        yield [c for c in SPACES.split(part) if c] if SEPARATORS(part) else part.split()
         start = cut
 
 
+_COUNTS: dict[tuple, ChunkCounts] = {}  # one per worker process and model, bounded in bytes
+
+
 def token_counter(path: str | None, cache_bytes: int = CACHE_BYTES):
-    """Column function: text -> number of tokens. The model is loaded once per worker, the cache lasts for a task."""
+    """Column function: text -> number of tokens. Model and cache are kept once per worker process."""
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = ChunkCounts(load_model(path or model_path()), cache_bytes)
+        where = (path or model_path(), cache_bytes)
+        if where not in _COUNTS:
+            _COUNTS.clear()
+            _COUNTS[where] = ChunkCounts(load_model(where[0]), cache_bytes)
+        counts = _COUNTS[where]
         count = counts.__getitem__
         for texts in batches:
             yield pd.Series([sum(sum(map(count, chunks)) for chunks in spans(t)) for t in texts], dtype="int64")
