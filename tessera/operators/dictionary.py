@@ -1,27 +1,38 @@
-"""Dictionary induction and translation by join.
+"""Dictionary induction and translation.
 
 A dictionary is a table, never a driver-side map, so it can outgrow one machine:
 
 * entries ``(seq, src, tgt)``: raw entries in load order (``seq`` may be a struct);
 * a lookup view ``(tok, out)``: one row per key, last write wins.
 
-Translation explodes token positions, joins the lookup view and puts the tokens
-back in position order per row. Rows are told apart by a hash of all their columns
-beside their keys, so null and repeated keys lose nothing; equal rows are looked up
-once. When the view is small (rows and string bytes counted against limits) it is
-broadcast and the input is hash-partitioned by the row hash once, so the explode, the
-regroup and the re-attachment of the other columns all run on that one partitioning
-(one shuffle of the input, none of the tokens). A view over the limits is first restricted to the tokens present in the
-input (a map-side combined distinct and a semi-join); only if that is still too
-large does the lookup become a shuffle join on the token (AQE splits hot tokens).
+Tokens are replaced in one of two ways, chosen by the checked size of the view:
+
+* a view of at most ``LOCAL_ROWS`` rows and ``LOCAL_BYTES`` bytes is sent to the tasks, and each Arrow batch
+  of token lists is looked up as a whole. Every row stays where it is: no shuffle, no row keys,
+  nothing that equal rows, null keys or one very long row could upset;
+* otherwise rows are written once with a number and cut into segments of ``SEGMENT`` tokens, which are dealt
+  out by (row, segment): the tokens of a very long row spread over tasks, and equal rows are as many rows as any.
+  The tokens are joined with the view (broadcast within its limits, else restricted to the tokens present,
+  else by shuffle, where AQE splits hot tokens), put together by (row, segment), and the segments by row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.text import Script, missing_marker
-from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, bounded_broadcast, cut_lineage, spread
+
+# Limits below which a lookup view is held by every Python worker.
+LOCAL_ROWS = 200_000
+LOCAL_BYTES = 16 << 20
+# Tokens in a segment of a row.
+SEGMENT = 4096
 
 
 def align_tokens(pairs: DataFrame, src_tokens: Column, tgt_tokens: Column, order: list[str]) -> DataFrame:
@@ -49,9 +60,28 @@ def induce_dictionary(pairs: DataFrame, src_col: str, tgt_col: str, src_script:
 
 def last_writes(al: DataFrame, order: list[str]) -> DataFrame:
     """A1 over aligned tokens ``(*order, pos, src, tgt)``."""
+    d = dictionary_state(al, order)
+    return d.select("src", "tgt", *[F.col(f"first.{c}").alias(f"first_{c}") for c in [*order, "pos"]])
+
+
+def dictionary_state(al: DataFrame, order: list[str]) -> DataFrame:
+    """What of the aligned tokens ``(*order, pos, src, tgt)`` is needed to go on later: ``src, tgt, last, first``,
+    the value written last with its key ``(*order, pos)`` and the first key. One row per source token."""
     key = F.struct(*[F.col(c) for c in order], F.col("pos"))
-    d = al.groupBy("src").agg(F.max_by("tgt", key).alias("tgt"), F.min(key).alias("_first"))
-    return d.select("src", "tgt", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in [*order, "pos"]])
+    return merge_states(al.select("src", "tgt", key.alias("last"), key.alias("first")))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """One state from several (in any order): last write wins by key, the first key is the least."""
+    every = states[0]
+    for s in states[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("src").agg(F.max_by("tgt", "last").alias("tgt"), F.max("last").alias("last"), F.min("first").alias("first"))
+
+
+def state_view(state: DataFrame) -> DataFrame:
+    """The lookup view ``(tok, out)`` of a state."""
+    return state.select(F.col("src").alias("tok"), F.col("tgt").alias("out"))
 
 
 def dictionary_entries(dictionary: DataFrame) -> DataFrame:
@@ -72,97 +102,136 @@ def reverse_view(entries: DataFrame) -> DataFrame:
 
 
 ROW = "_row"
-COPIES = "_copies"
 
 
-def identified_rows(df: DataFrame) -> DataFrame:
-    """The distinct rows of ``df`` with a hash of all their columns (``_row``) and their number (``_copies``).
+def usable_entries(view: DataFrame) -> DataFrame:
+    """The entries of a view that hold a value (F6: an empty one counts as missing)."""
+    keep = F.col("out").isNotNull() & F.col("tok").isNotNull()
+    if dict(view.dtypes)["out"] == "string":
+        keep = keep & (F.col("out") != "")
+    return view.where(keep).select("tok", "out")
+
+
+def local_view(view: DataFrame, max_rows: int, max_bytes: int = LOCAL_BYTES) -> pa.Table | None:
+    """The view as one Arrow table if it has at most ``max_rows`` rows and ``max_bytes`` bytes of strings, else None."""
+    view = view.persist()
+    try:
+        strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in view.dtypes if t == "string"]
+        size = view.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0)).alias("b")).first()
+        return view.toArrow() if size.n <= max_rows and size.b <= max_bytes else None
+    finally:
+        view.unpersist(blocking=False)
 
-    Hash-partitioned by ``_row`` with an explicit count: AQE would otherwise merge these
-    (byte-small, CPU-heavy) partitions and leave the per-row work after a lookup to a few
-    cores. All later steps keep this partitioning, so they need no shuffle of their own.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.xxhash64(*df.columns).alias(ROW), "*").repartition(n, ROW)
-    return rows.groupBy(ROW, *df.columns).agg(F.count(F.lit(1)).cast("int").alias(COPIES))
 
+@dataclass(frozen=True)
+class Missing:
+    """What stands for a token without a value, as a column function and for an Arrow array of tokens."""
 
-def every_copy(df: DataFrame) -> DataFrame:
-    """Each row as often as ``_copies`` says, without the helper columns."""
-    kept = [c for c in df.columns if c not in (ROW, COPIES)]
-    return df.select(*kept, F.explode(F.array_repeat(F.lit(0), F.col(COPIES))).alias("_c")).drop("_c")
+    column: Callable[[Column], Column]
+    arrow: Callable[[pa.Array], pa.Array | pa.Scalar]
+
+
+#: The token in brackets.
+MARKED = Missing(missing_marker, lambda tokens: pc.binary_join_element_wise("[", tokens, "]", ""))
+
+
+def found_in(tokens: Column, table: pa.Table, kind: T.DataType, missing: Missing, joiner: str | None = None, flags: bool = False) -> Column:
+    """The values of the tokens in ``table`` (``tok, out``): an array, or with ``joiner`` one string; with
+    ``flags`` a struct of the array ``v`` and an array ``m`` that says which were missing."""
+    values = T.ArrayType(kind)
+    out = T.StringType() if joiner is not None else T.StructType().add("v", values).add("m", T.ArrayType(T.BooleanType())) if flags else values
+
+    @F.arrow_udf(out)
+    def find(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        keys, known = table.column("tok").combine_chunks(), table.column("out").combine_chunks()
+        ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())])
+        found = known.take(pc.index_in(flat, value_set=keys.cast(flat.type)))
+        listed = pa.ListArray.from_arrays(ends, pc.coalesce(found, missing.arrow(flat)))
+        if joiner is not None:
+            return pc.binary_join(listed, joiner)
+        if flags:
+            return pa.StructArray.from_arrays([listed, pa.ListArray.from_arrays(ends, found.is_null())], names=["v", "m"])
+        return listed
+
+    # so that a filter on the result is neither moved before the rows are dealt out nor makes it be computed twice
+    return find.asNondeterministic()(tokens)
 
 
 def small_view(view: DataFrame, tokens_of, broadcast_rows: int | None) -> DataFrame:
     """The lookup view, broadcast if its size is within the limits; else, if that is small enough, its part for the
     tokens present (``tokens_of()`` gives them as one column ``tok``: they combine map-side and no occurrence is shuffled)."""
-    keep = F.col("out").isNotNull()
-    if dict(view.dtypes)["out"] == "string":
-        keep = keep & (F.col("out") != "")
-    full = view.where(keep).select("tok", "out")
-    view, small = bounded_broadcast(full, broadcast_rows)
+    view, small = bounded_broadcast(view, broadcast_rows)
     if not small and broadcast_rows is not None:
-        view, _ = bounded_broadcast(full.join(tokens_of().distinct(), "tok", "left_semi"), broadcast_rows)
+        view, _ = bounded_broadcast(view.join(tokens_of().distinct(), "tok", "left_semi"), broadcast_rows)
     return view
 
 
-def lookup_tokens(rows: DataFrame, ids: list[str], tokens: Column, view: DataFrame, out_name: str, default=missing_marker,
-                  broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS, missing_name: str | None = None) -> DataFrame:
-    """``(*ids, out_name)``: the tokens of each row replaced by their values in ``view`` (``tok, out``), in position order.
-
-    ``ids`` must tell the rows apart (nulls allowed). A missing or empty value (F6) gives
-    ``default(tok)``; ``missing_name`` adds an array that says which. Rows with no token keep
-    an empty array.
-    """
-    view = small_view(view, lambda: rows.select(F.explode(tokens).alias("tok")), broadcast_rows)
-    ex = rows.select(*ids, F.posexplode_outer(tokens).alias("_pos", "tok"))
-    j = ex.join(view, "tok", "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce(F.col("out"), default(F.col("tok"))).alias("v"),
-                                                      F.col("out").isNull().alias("m")))
-    agg = j.groupBy(*ids).agg(F.sort_array(F.collect_list(item)).alias("_arr"))
-    more = [F.col("_arr.m").alias(missing_name)] if missing_name else []
-    return agg.select(*ids, F.col("_arr.v").alias(out_name), *more)  # fields of each struct, in position order
-
-
-def attach(rows: DataFrame, found: DataFrame, ids: list[str]) -> DataFrame:
-    """Join ``found`` back to ``rows`` on ``ids``, null-safe (one row each)."""
-    other = found.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(ids)], *[c for c in found.columns if c not in ids])
-    on = [F.col(c).eqNullSafe(F.col(f"_id{i}")) if c != ROW else F.col(c) == F.col(f"_id{i}") for i, c in enumerate(ids)]
-    return rows.join(other, on).drop(*[f"_id{i}" for i in range(len(ids))])
+def segments(tokens: Column, size: int = SEGMENT) -> Column:
+    """The token list cut into lists of ``size`` (one empty list for an empty or null one)."""
+    last = F.floor((F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(1)) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(F.coalesce(tokens, F.array().cast("array<string>")), i * size + 1, size))
 
 
-def map_tokens(df: DataFrame, keys: list[str], tokens: Column, view: DataFrame, out_name: str, default=missing_marker,
-               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS, missing_name: str | None = None) -> DataFrame:
-    """``df`` plus the array column ``out_name`` (see ``lookup_tokens``): one output row per input row, also where
-    keys are null or repeat. ``keys`` beside the row hash keep apart what a hash collision would merge."""
-    rows = identified_rows(df)
-    ids = [ROW, *keys]
-    found = lookup_tokens(rows, ids, tokens, view, out_name, default, broadcast_rows, missing_name)
-    return every_copy(attach(rows, found, ids))
+def joined_tokens(df: DataFrame, tokens: Column, view: DataFrame, out_name: str, default, broadcast_rows: int | None,
+                  missing_name: str | None, segment: int = SEGMENT) -> DataFrame:
+    """``map_tokens`` by joins (see the top of this module)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias(ROW), "*", tokens.alias("_tokens")), "rows")
+    view = small_view(view, lambda: rows.select(F.explode("_tokens").alias("tok")), broadcast_rows)
+    dealt = rows.select(ROW, F.posexplode(segments(F.col("_tokens"), segment)).alias("_seg", "_part")).repartition(n, ROW, "_seg")
+    j = dealt.select(ROW, "_seg", F.posexplode("_part").alias("_pos", "tok")).join(view, "tok", "left")
+    item = F.struct("_pos", F.coalesce(F.col("out"), default(F.col("tok"))).alias("v"), F.col("out").isNull().alias("m"))
+    parts = j.groupBy(ROW, "_seg").agg(F.sort_array(F.collect_list(item)).alias("_arr")).select(
+        F.col(ROW).alias("_id"), F.struct("_seg", F.col("_arr.v").alias("v"), F.col("_arr.m").alias("m")).alias("_part"))
+    whole = parts.groupBy("_id").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    values = [("v", out_name, T.ArrayType(view.schema["out"].dataType))] + ([("m", missing_name, T.ArrayType(T.BooleanType()))] if missing_name else [])
+    return rows.join(whole, F.col(ROW) == F.col("_id"), "left").select(
+        *df.columns, *[F.coalesce(F.flatten(F.col(f"_parts.{f}")), F.array().cast(kind)).alias(name) for f, name, kind in values])
+
+
+def map_tokens(df: DataFrame, tokens: Column, view: DataFrame, out_name: str, missing: Missing = MARKED,
+               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS, missing_name: str | None = None, local_rows: int = LOCAL_ROWS,
+               joiner: str | None = None, dealt: bool = False) -> DataFrame:
+    """``df`` plus the column ``out_name``: the tokens of each row replaced by their values in ``view`` (``tok, out``), as an
+    array, or joined to a string.
+
+    One output row per input row. A missing or empty value (F6) gives ``missing``; ``missing_name`` adds an array
+    that says which. Rows with no token, or null tokens, get an empty array or string. ``dealt`` says that the rows are spread
+    over all cores already.
+    """
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)
+    kind = view.schema["out"].dataType
+    view = usable_entries(view)
+    table = local_view(view, local_rows if broadcast_rows is None else min(local_rows, broadcast_rows))
+    if table is None:
+        out = joined_tokens(df, tokens, view, out_name, missing.column, broadcast_rows, missing_name)
+        return out if joiner is None else out.withColumn(out_name, F.array_join(out_name, joiner))
+    found = found_in(F.coalesce(tokens, F.array().cast("array<string>")), table, kind, missing, joiner, missing_name is not None)
+    df = df if dealt else spread(df)
+    if missing_name is None:
+        return df.withColumn(out_name, found)
+    return df.withColumn("_found", found).select(*df.columns, F.col("_found.v").alias(out_name), F.col("_found.m").alias(missing_name))
 
 
 def translate(df: DataFrame, keys: list[str], text_col: str, view: DataFrame, src_script: Script,
-              joiner: str, out_col: str = "translation", broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """J3 (forward view, joiner ``' '``) / J4 (reverse view, joiner ``''``)."""
-    mapped = map_tokens(df, keys, src_script.tokens(F.col(text_col)), view, "_mapped", broadcast_rows=broadcast_rows)
-    return mapped.withColumn(out_col, F.array_join("_mapped", joiner)).drop("_mapped")
+              joiner: str, out_col: str = "translation", broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
+              local_rows: int = LOCAL_ROWS, dealt: bool = False) -> DataFrame:
+    """J3 (forward view, joiner ``' '``) / J4 (reverse view, joiner ``''``). One output row per input row, also where ``keys`` repeat or are null."""
+    return map_tokens(df, src_script.tokens(F.col(text_col)), view, out_col, broadcast_rows=broadcast_rows, local_rows=local_rows, joiner=joiner, dealt=dealt)
 
 
-def both_ways(pairs: DataFrame, entries: DataFrame, key: str = "line_no", src_col: str = "bo", tgt_col: str = "en",
+def both_ways(pairs: DataFrame, entries: DataFrame, key: str | list[str] = "line_no", src_col: str = "bo", tgt_col: str = "en",
               src_script: Script | None = None, tgt_script: Script | None = None,
               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Original, actual, translated to target (forward) and back to source (reverse)."""
+    """Original, actual, translated to target (forward) and back to source (reverse); one output row per pair."""
     from tessera.functions.text import ENGLISH, TIBETAN
 
     src_script = src_script or TIBETAN
     tgt_script = tgt_script or ENGLISH
-    fwd = translate(pairs, [key], src_col, forward_view(entries), src_script, tgt_script.joiner, "translated_tgt", broadcast_rows)
-    rev = translate(pairs.select(key, tgt_col), [key], tgt_col, reverse_view(entries), tgt_script, src_script.joiner,
-                    "translated_src", broadcast_rows).select(key, "translated_src")
-    return fwd.join(rev, key).select(
-        key,
-        F.col(src_col).alias("original_src"),
-        F.col(tgt_col).alias("actual_tgt"),
-        "translated_tgt",
-        "translated_src",
-    )
+    keys = [key] if isinstance(key, str) else key
+    given = pairs.select(*keys, F.col(src_col).alias("original_src"), F.col(tgt_col).alias("actual_tgt"))
+    out = translate(given, keys, "original_src", forward_view(entries), src_script, tgt_script.joiner, "translated_tgt", broadcast_rows)
+    return translate(out, keys, "actual_tgt", reverse_view(entries), tgt_script, src_script.joiner, "translated_src", broadcast_rows, dealt=True)

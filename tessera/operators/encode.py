@@ -8,9 +8,10 @@ driver-side map).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.operators.dictionary import ROW, attach, every_copy, identified_rows, lookup_tokens, map_tokens
+from tessera.operators.dictionary import Missing, map_tokens
 from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, cut_lineage, dense_row_number
 
 # Fixed values of this engine: special ids.
@@ -33,9 +34,11 @@ def _as_view(vocab: DataFrame) -> DataFrame:
     return vocab.select("tok", F.col("id").alias("out"))
 
 
-def _ids(df: DataFrame, keys: list[str], tokens: Column, vocab: DataFrame, name: str, broadcast_rows) -> DataFrame:
-    return map_tokens(df, keys, tokens, _as_view(vocab), name, default=lambda t: F.lit(UNK_ID).cast("long"),
-                      broadcast_rows=broadcast_rows)
+UNKNOWN = Missing(lambda tok: F.lit(UNK_ID).cast("long"), lambda tokens: pa.scalar(UNK_ID, pa.int64()))
+
+
+def _ids(df: DataFrame, tokens: Column, vocab: DataFrame, name: str, broadcast_rows, dealt: bool = False) -> DataFrame:
+    return map_tokens(df, tokens, _as_view(vocab), name, UNKNOWN, broadcast_rows=broadcast_rows, dealt=dealt)
 
 
 def pad_to(ids: Column, length: Column) -> Column:
@@ -52,12 +55,10 @@ def mask_to(ids: Column, length: Column) -> Column:
 def encode_fixed(pairs: DataFrame, keys: list[str], src_tokens: Column, tgt_tokens: Column, vocab: DataFrame,
                  max_length: int = 128, broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``input_ids``, ``attention_mask``, ``labels`` cut and padded to ``max_length``."""
-    rows = identified_rows(pairs.select(*keys, src_tokens.alias("_st"), tgt_tokens.alias("_tt")))  # shuffled once for both sides
-    ids = [ROW, *keys]
-    a, b = (lookup_tokens(rows, ids, F.col(t), _as_view(vocab), out, lambda tok: F.lit(UNK_ID).cast("long"), broadcast_rows)
-            for t, out in (("_st", "_sid"), ("_tt", "_tid")))
+    both = pairs.select(*keys, src_tokens.alias("_st"), tgt_tokens.alias("_tt"))
+    both = _ids(_ids(both, F.col("_st"), vocab, "_sid", broadcast_rows), F.col("_tt"), vocab, "_tid", broadcast_rows, dealt=True)
     L = F.lit(max_length)
-    return every_copy(attach(attach(rows, a, ids), b, ids)).select(
+    return both.select(
         *keys,
         pad_to(F.col("_sid"), L).alias("input_ids"),
         mask_to(F.col("_sid"), L).alias("attention_mask"),
@@ -70,7 +71,7 @@ def encode_longest(batched: DataFrame, keys: list[str], tokens: Column, vocab: D
     """Pad to the longest (cut) sequence of each batch. Batches are bounded in size,
     so the per-batch window is small."""
     base = batched.select(*keys, batch_col, tokens.alias("_st"))
-    a = _ids(base, keys, F.col("_st"), vocab, "_sid", broadcast_rows)
+    a = _ids(base, F.col("_st"), vocab, "_sid", broadcast_rows)
     n = F.least(F.size("_sid"), F.lit(max_length))
     longest = F.max(n).over(Window.partitionBy(batch_col))
     return a.withColumn("_len", longest).select(

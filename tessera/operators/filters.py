@@ -4,7 +4,7 @@ F5, the synthetic-pair quality filter: when the original is Latin-only (P7) keep
 the pair if the sentence BLEU of the back-translation against the original is at
 least the threshold (score / 100); otherwise keep it if the length ratio
 ``len(trans) / max(1, len(orig))`` lies in [0.5, 2.0]. Only the Latin rows are
-tokenised for BLEU (the other rows carry empty token arrays).
+tokenised for BLEU, and n-grams are counted only where the lengths and the shared tokens leave the threshold in reach.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.text import contains_script, latin_only, length_ratio, py_split
 from tessera.functions.tok13a import tokenize_13a
-from tessera.operators.metrics.ngrams import with_bleu_stats
+from tessera.operators.metrics.ngrams import COUNTED, LENGTHS, SHARED, with_bleu_above
 from tessera.operators.metrics.scores import bleu_exp
 
 
@@ -29,21 +29,34 @@ def script_ok(text, lo: int = 0x0F00, hi: int = 0x0FFF):
     return (F.length(t) > 0) & contains_script(t, lo, hi)
 
 
-def quality_filter(triples: DataFrame, keys: list[str], orig: str = "orig", trans: str = "trans", back: str = "back",
-                   threshold: float = 0.7, with_scores: bool = False) -> DataFrame:
-    """F5 over ``(keys..., orig, trans, back)``; returns the kept ``(keys..., orig, trans)`` in input key order."""
+def decided_pairs(triples: DataFrame, keys: list[str], orig: str = "orig", trans: str = "trans", back: str = "back",
+                  threshold: float = 0.7) -> DataFrame:
+    """F5's decision for every row: ``(keys..., orig, trans, kept, decided_by, bleu, ratio)``.
+
+    ``decided_by`` is "ratio" for an original that is not Latin-only. A Latin-only one is dropped by "lengths" or by "shared
+    tokens" if these bound its sentence BLEU below the threshold; only else ("n-grams") are its n-grams counted and its
+    ``bleu`` known. The bounds never drop a row that the score would keep.
+    """
     t = triples.withColumn("_latin", latin_only(F.col(orig)))
-    empty = F.array().cast("array<string>")
-    # only the Latin rows are tokenised; the others carry empty arrays through the counting step
-    hyp = F.when(F.col("_latin"), tokenize_13a(F.col(back), rstrip=True)).otherwise(empty)
-    ref = F.when(F.col("_latin"), tokenize_13a(F.col(orig), rstrip=True)).otherwise(empty)
-    st = with_bleu_stats(t, [*keys, orig, trans, "_latin"], hyp, ref)
+    # only the Latin rows are tokenised; a missing side counts as empty
+    tokens = [F.when(F.col("_latin"), tokenize_13a(F.coalesce(F.col(c), F.lit("")), rstrip=True)) for c in (back, orig)]
+    st = with_bleu_above(t, [*keys, orig, trans, "_latin"], *tokens, threshold)
     score = bleu_exp(effective_order=True) / F.lit(100.0)
     ratio = length_ratio(F.col(trans), F.col(orig))
-    keep = F.when(F.col("_latin"), score >= F.lit(threshold)).otherwise(ratio.between(0.5, 2.0))
-    out = st.withColumn("_keep", keep).where("_keep")
-    cols = [*keys, orig, trans]
-    if with_scores:
-        out = out.withColumn("bleu", F.when(F.col("_latin"), score)).withColumn("ratio", ratio)
-        cols += ["bleu", "ratio"]
-    return out.select(*cols)
+    by = F.when(~F.col("_latin"), "ratio").when(F.col("decided") == LENGTHS, "lengths").when(F.col("decided") == SHARED, "shared tokens").otherwise("n-grams")
+    kept = F.when(F.col("_latin"), (F.col("decided") == COUNTED) & (score >= F.lit(threshold))).otherwise(F.coalesce(ratio.between(0.5, 2.0), F.lit(False)))
+    return st.select(*keys, orig, trans, kept.alias("kept"), by.alias("decided_by"), F.when(F.col("decided") == COUNTED, score).alias("bleu"), ratio.alias("ratio"))
+
+
+def quality_filter(triples: DataFrame, keys: list[str], orig: str = "orig", trans: str = "trans", back: str = "back",
+                   threshold: float = 0.7, with_scores: bool = False) -> DataFrame:
+    """F5 over ``(keys..., orig, trans, back)``; returns the kept ``(keys..., orig, trans)``."""
+    out = decided_pairs(triples, keys, orig, trans, back, threshold).where("kept")
+    return out.select(*keys, orig, trans, *(["bleu", "ratio"] if with_scores else []))
+
+
+def filter_decisions(triples: DataFrame, keys: list[str], orig: str = "orig", trans: str = "trans", back: str = "back",
+                     threshold: float = 0.7) -> DataFrame:
+    """F5's report: rows and kept rows by what decided them."""
+    d = decided_pairs(triples, keys, orig, trans, back, threshold)
+    return d.groupBy("decided_by").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("kept").cast("long")).alias("n_kept"))

@@ -19,32 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions.text import words_lower
-from tessera.operators.metrics.ngrams import let
+from tessera.operators.metrics.rows import coded_words
 
-FIRST_CODE = 0x10000
-LAST_CODE = 0x10FFFF
 MAX_SHIFT_SIZE = 10  # words in a block, as in the published tool
 MAX_SHIFT_DIST = 50  # words a block may move, as in the published tool
 
 
-def _code_points(words: Column, vocab: Column) -> Column:
-    def one(w):
-        return F.decode(F.unhex(F.lpad(F.hex(F.lit(FIRST_CODE) + F.array_position(vocab, w)), 8, "0")), "UTF-32")
-
-    return F.array_join(F.transform(words, one), "")
-
-
-def word_edits(hyp_tokens: Column, ref_tokens: Column) -> Column:
-    """Word-level Levenshtein distance. A pair may hold 1,048,575 distinct words; more raise an error."""
-    def body(x):
-        return F.when(F.size(x["v"]) <= LAST_CODE - FIRST_CODE,
-                      F.levenshtein(_code_points(x["h"], x["v"]), _code_points(x["r"], x["v"]))).otherwise(
-            F.raise_error(F.lit("a pair holds too many distinct words")).cast("int"))
-
-    return let(F.struct(hyp_tokens.alias("h"), ref_tokens.alias("r"),
-                        F.array_distinct(F.concat(hyp_tokens, ref_tokens)).alias("v")), body)
-
-
 def rate(edits: Column, ref_len: Column) -> Column:
     e, r = edits.cast("double"), ref_len.cast("double")
     return F.when(r > 0, F.lit(100.0) * e / r).when(e > 0, F.lit(100.0)).otherwise(F.lit(0.0))
@@ -229,7 +209,11 @@ def with_edit_stats(df: DataFrame, keys: list[str], hyp: str = "prediction", ref
     t = df.select(*keys, words_lower(F.col(hyp)).alias("_h"), words_lower(F.col(ref)).alias("_r"))
     if shifts:
         return _per_row(t, keys, lambda h, r: (ter_edits(h, r), len(r)), "edits long, ref_len long")
-    return t.select(*keys, word_edits(F.col("_h"), F.col("_r")).cast("long").alias("edits"), F.size("_r").cast("long").alias("ref_len"))
+    from tessera.session import ship_package
+
+    ship_package(df.sparkSession)
+    t = t.select(*keys, F.greatest(F.size("_r"), F.lit(0)).cast("long").alias("ref_len"), coded_words("_h", "_r").alias("_c"))
+    return t.select(*keys, F.levenshtein("_c.h", "_c.r").cast("long").alias("edits"), "ref_len")
 
 
 def corpus_edit_rate(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference",

@@ -1,9 +1,7 @@
-"""METEOR (A7) as joins: exact matches, then matches of Porter stems, then the fragmentation penalty.
+"""METEOR (A7): exact matches, then matches of Porter stems, then the fragmentation penalty.
 
 The alignment takes words from last to first, each with the last free equal word of the
-other side. So the k-th last occurrence of a word on one side meets the k-th last on the
-other: numbering the occurrences per row turns each stage into an equi-join. Stems are
-computed once per distinct word. Windows hold one row's words at most.
+other side. It is counted within a row, in Arrow batches; nothing is shuffled.
 
 [pin] tokens are lower-cased and split on white space (a word tokeniser would also part
 punctuation); there is no synonym stage.
@@ -11,62 +9,25 @@ punctuation); there is no synonym stage.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.text import words_lower
-
-ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5  # weight of precision, power and weight of the fragmentation penalty
-
-
-def _words(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("_row", F.posexplode(side).alias(f"{side}_pos", "word"))
-
-
-def _numbered(words: DataFrame, side: str, key: str) -> DataFrame:
-    last = Window.partitionBy("_row", key).orderBy(F.desc(f"{side}_pos"))
-    return words.withColumn("_k", F.row_number().over(last))
-
-
-def _matches(h: DataFrame, r: DataFrame, key: str) -> DataFrame:
-    return _numbered(h, "h", key).join(_numbered(r, "r", key).select("_row", key, "_k", "r_pos"), ["_row", key, "_k"]).select(
-        "_row", "h_pos", "r_pos")
-
-
-def stems(words: DataFrame) -> DataFrame:
-    """``word, stem`` for the distinct ``word`` values."""
-    @F.pandas_udf("string")
-    def porter(word: pd.Series) -> pd.Series:
-        from tessera.functions.porter import stem
-
-        return word.map(stem)
-
-    return words.select("word").distinct().withColumn("stem", porter("word"))
+from tessera.operators.metrics.rows import meteor_score, meteor_stats
 
 
 def with_meteor(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """``(keys..., meteor_exact_stem)`` for every row."""
-    from tessera.plans.physical import cut_lineage
+    """``(keys..., meteor_exact, meteor_exact_stem)`` for every row."""
     from tessera.session import ship_package
 
     ship_package(df.sparkSession)
-    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), *keys, words_lower(F.col(hyp)).alias("h"),
-                                 words_lower(F.col(ref)).alias("r")), "meteor")
-    h, r = _words(rows, "h"), _words(rows, "r")
-    exact = cut_lineage(_matches(h, r, "word"), "meteor")
-    h_left, r_left = h.join(exact, ["_row", "h_pos"], "left_anti"), r.join(exact, ["_row", "r_pos"], "left_anti")
-    stem = cut_lineage(stems(h_left.select("word").unionByName(r_left.select("word"))), "meteor")
-    both = exact.unionByName(_matches(h_left.join(stem, "word"), r_left.join(stem, "word"), "stem"))
-    order = Window.partitionBy("_row").orderBy("h_pos")
-    starts = ~((F.col("h_pos") - F.lag("h_pos").over(order) == 1) & (F.col("r_pos") - F.lag("r_pos").over(order) == 1))
-    sums = both.withColumn("_start", F.coalesce(starts, F.lit(True))).groupBy("_row").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_start").cast("int")).alias("chunks"))
-    n, p, c = F.col("n").cast("double"), F.col("n") / F.size("h"), F.col("n") / F.size("r")
-    score = (F.lit(1.0) - F.lit(GAMMA) * F.pow(F.col("chunks") / n, F.lit(BETA))) * p * c / (F.lit(ALPHA) * p + F.lit(1 - ALPHA) * c)
-    return rows.join(sums, "_row", "left").select(*keys, F.coalesce(score, F.lit(0.0)).alias("meteor_exact_stem"))
+    rows = df.select(*keys, words_lower(F.col(hyp)).alias("_h"), words_lower(F.col(ref)).alias("_r"))
+    rows = rows.select(*keys, F.size("_h").alias("_nh"), F.size("_r").alias("_nr"), meteor_stats("_h", "_r").alias("_m"))
+    return rows.select(*keys, meteor_score(F.col("_m.m_exact"), F.col("_m.c_exact"), F.col("_nh"), F.col("_nr")).alias("meteor_exact"),
+                       meteor_score(F.col("_m.m_all"), F.col("_m.c_all"), F.col("_nh"), F.col("_nr")).alias("meteor_exact_stem"))
 
 
 def corpus_meteor(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Mean sentence METEOR (exact and stem stages)."""
+    """Mean sentence METEOR, with equal words only and with stems."""
     m = with_meteor(df, keys, hyp, ref)
-    return m.agg(F.round(F.avg("meteor_exact_stem"), 6).alias("meteor_exact_stem"), F.count(F.lit(1)).alias("n_rows"))
+    return m.agg(F.round(F.avg("meteor_exact"), 6).alias("meteor_exact"), F.round(F.avg("meteor_exact_stem"), 6).alias("meteor_exact_stem"),
+                 F.count(F.lit(1)).alias("n_rows"))

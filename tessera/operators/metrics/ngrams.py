@@ -12,6 +12,7 @@ aggregate.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pandas as pd
@@ -115,30 +116,45 @@ def _grams(tokens, n):
     return Counter(zip(*(tokens[i:] for i in range(n))))
 
 
+def clipped(a: Counter, b: Counter) -> int:
+    """Size of the multiset intersection."""
+    if len(a) > len(b):
+        a, b = b, a
+    return sum(min(n, b[g]) for g, n in a.items() if g in b)
+
+
+def bleu_counts(a: list[str], b: list[str]) -> list[int]:
+    """``match_n``, ``total_n`` (n = 1..4) and the two lengths of a row. Without matches of an order there are none of a higher one."""
+    m = [0, 0, 0, 0]
+    for n in range(1, 5):
+        if len(a) >= n and len(b) >= n:
+            m[n - 1] = clipped(_grams(a, n), _grams(b, n))
+        if not m[n - 1]:
+            break
+    return m + [max(len(a) - n + 1, 0) for n in range(1, 5)] + [len(a), len(b)]
+
+
 @F.pandas_udf(_BLEU_SCHEMA)
 def _bleu_stats_arrow(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(h, r):
-        a = [] if a is None else list(a)
-        b = [] if b is None else list(b)
-        m = [sum((_grams(a, n) & _grams(b, n)).values()) if len(a) >= n and len(b) >= n else 0 for n in range(1, 5)]
-        rows.append(m + [max(len(a) - n + 1, 0) for n in range(1, 5)] + [len(a), len(b)])
+    rows = [bleu_counts([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(h, r)]
     return pd.DataFrame(rows, columns=_BLEU_SCHEMA.fieldNames(), dtype="int64")
 
 
+def chrf_counts(a: str, b: str) -> list[int]:
+    """``chyp_n``, ``cref_n``, ``cmatch_n`` (n = 1..6) of a row."""
+    out, shared = [], True
+    for n in range(1, 7):
+        na, nb = max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)
+        m = clipped(Counter([a[i:i + n] for i in range(na)]), Counter([b[i:i + n] for i in range(nb)])) if shared and na and nb else 0
+        shared = m > 0
+        # a reference without an n-gram of this order adds nothing to the hypothesis' total
+        out += [na if nb else 0, nb, m]
+    return out
+
+
 @F.pandas_udf(_CHRF_SCHEMA)
 def _chrf_stats_arrow(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, b in zip(h, r):
-        a = "" if a is None else a
-        b = "" if b is None else b
-        out = []
-        for n in range(1, 7):
-            ca = Counter(a[i:i + n] for i in range(len(a) - n + 1))
-            cb = Counter(b[i:i + n] for i in range(len(b) - n + 1))
-            # a reference without an n-gram of this order adds nothing to the hypothesis' total
-            out += [len(a) - n + 1 if ca and cb else 0, max(len(b) - n + 1, 0), sum((ca & cb).values())]
-        rows.append(out)
+    rows = [chrf_counts(a or "", b or "") for a, b in zip(h, r)]
     return pd.DataFrame(rows, columns=_CHRF_SCHEMA.fieldNames(), dtype="int64")
 
 
@@ -174,3 +190,57 @@ def sum_stats(df, cols: list[str], by: list[str] | None = None):
     """Corpus statistics: sums of the per-row statistics (grouped by ``by``)."""
     aggs = [F.sum(c).alias(c) for c in cols] + [F.count(F.lit(1)).alias("n_rows")]
     return df.groupBy(*(by or [])).agg(*aggs)
+
+
+# ---------------------------------------------------------------- BLEU against a threshold
+def bleu_bound(h: int, r: int, matches: int) -> float:
+    """No less than the sentence BLEU (0-1, A6) of ``h`` and ``r`` tokens with at most ``matches`` shared ones.
+
+    An order has at most as many matches as there are shared tokens, and as the shorter side has n-grams; without any match
+    its smoothed precision is at most that of half a match.
+    """
+    if not h or not matches:
+        return 0.0
+    log, orders = 0.0, 0
+    for n in range(1, 5):
+        total = h - n + 1
+        if total > 0:
+            log += math.log(max(min(matches, total, r - n + 1), 0.5) / total)
+            orders += 1
+    return math.exp(min(0.0, 1 - r / h) + log / orders)
+
+
+LENGTHS, SHARED, COUNTED = 1, 2, 3  # what decided a row
+
+
+def bleu_counts_above(a: list[str], b: list[str], threshold: float) -> tuple[int, list[int]]:
+    """How the row was decided, and its statistics. A row whose bound from the two lengths, or from its shared tokens,
+    is below the threshold has statistics zero; its n-grams are not counted."""
+    least = threshold - 1e-9
+    if bleu_bound(len(a), len(b), min(len(a), len(b))) < least:
+        return LENGTHS, [0] * 10
+    if bleu_bound(len(a), len(b), clipped(Counter(a), Counter(b))) < least:
+        return SHARED, [0] * 10
+    return COUNTED, bleu_counts(a, b)
+
+
+_ABOVE_SCHEMA = T.StructType([T.StructField("decided", T.IntegerType()), *_BLEU_SCHEMA.fields])
+
+
+def with_bleu_above(df, keep: list[str], hyp_tokens: Column, ref_tokens: Column, threshold: float):
+    """Like ``with_bleu_stats`` with a column ``decided``: null tokens are not looked at (0), rows that cannot reach
+    ``threshold`` (0-1) are decided by their lengths (1) or shared tokens (2), the others are counted (3)."""
+    from tessera.session import ship_package
+
+    @F.pandas_udf(_ABOVE_SCHEMA)
+    def counted(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, b in zip(h, r):
+            decided, stats = (0, [0] * 10) if a is None or b is None else bleu_counts_above(list(a), list(b), threshold)
+            rows.append((decided, *stats))
+        return pd.DataFrame(rows, columns=_ABOVE_SCHEMA.fieldNames())
+
+    ship_package(df.sparkSession)
+    t = df.select(*keep, hyp_tokens.alias("_h"), ref_tokens.alias("_r"))
+    t = t.select(*keep, counted.asNondeterministic()("_h", "_r").alias("_bs"))
+    return t.select(*keep, *[F.col(f"_bs.{c}").alias(c) for c in ("decided", *BLEU_STAT_COLS)])

@@ -1,7 +1,8 @@
 """Reports over the hub table ``(id..., source, reference, prediction)``.
 
 Everything is a distributed aggregate: per-row statistics, then sums that
-combine map-side; nothing is gathered on the driver but the final rows.
+combine map-side; nothing is gathered on the driver but the final rows. ``evaluation_report`` takes
+all metrics for all rows, directions and length buckets from one pass.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.functions import text as tx
 from tessera.functions.tok13a import tokenize_13a
 from tessera.operators.metrics.ngrams import BLEU_STAT_COLS, CHRF_STAT_COLS, sum_stats, with_bleu_stats, with_chrf_stats
+from tessera.operators.metrics.rows import summed, with_row_stats
 from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, r6
 
 
@@ -114,29 +116,48 @@ def final_best(history: DataFrame, run: str = "run", step: str = "step", score:
     return history.groupBy(run).agg(F.max(score).alias("best"), F.min_by(step, first).alias("best_step"))
 
 
+def evaluation_report(examples: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF) -> DataFrame:
+    """A4-A9a and A11-A14 in one pass over ``examples`` (``direction, source, reference, prediction``).
+
+    The row statistics are summed under GROUPING SETS, so one shuffle of a few rows per task gives a row for all examples
+    (``level`` "all"), one per direction, per source-length bucket, and per direction and bucket. Empty groups are left out;
+    no examples give one row "all" with no scores.
+    """
+    rows = with_row_stats(examples, ["direction"], lo=lo, hi=hi)
+    sets = [[], ["direction"], ["bucket"], ["direction", "bucket"]]
+    st = rows.groupingSets([[F.col(c) for c in s] for s in sets], F.col("direction"), F.col("bucket")).agg(
+        F.grouping_id("direction", "bucket").alias("_g"), *summed())
+    level = F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "direction").when(F.col("_g") == 2, "bucket").otherwise("direction, bucket")
+    return st.select(level.alias("level"), "direction", "bucket", "n_rows", *report_scores())
+
+
+def report_scores() -> list:
+    """The metrics as columns over summed row statistics."""
+    from tessera.operators.metrics.edit import rate
+
+    n = F.col("n_rows")
+    return [r6(bleu_unsmoothed()).alias("bleu"), r6(bleu_exp(get=lambda c: F.col(f"s_{c}"))).alias("bleu_smoothed"), r6(chrf()).alias("chrf"),
+            r6("meteor_exact").alias("meteor_exact"), r6("meteor_exact_stem").alias("meteor_exact_stem"),
+            r6(rate(F.col("edits"), F.col("ref_words"))).alias("wer"), r6(F.col("word_diff") / n).alias("avg_length_diff"),
+            r6(F.col("script") * 100.0 / n).alias("untranslated_percentage")]
+
+
 def full_report(hub: DataFrame, keys: list[str], lo: int = 0x0F00, hi: int = 0x0FFF) -> DataFrame:
-    """A10-A13 in one row: metrics, error analysis and the length table."""
-    from tessera.operators.metrics.edit import corpus_edit_rate
-    from tessera.operators.metrics.meteor import corpus_meteor
-
-    from tessera.plans.physical import cut_lineage
-
-    hub = cut_lineage(hub, "report")  # read by five independent jobs below
-    scores = corpus_scores(hub).select("bleu", "chrf")
-    meteor = corpus_meteor(hub, keys).select(F.col("meteor_exact_stem").alias("meteor"))
-    ter = corpus_edit_rate(hub, keys, shifts=True).select("ter")
-    errors = error_analysis(hub, lo, hi).select("avg_length_diff", "untranslated_percentage")
-    buckets = bleu_by_length(hub).agg(F.array_sort(F.collect_list(F.struct("bucket", "bleu", "count", "percentage"))).alias("length_analysis"))
-    # each part is one aggregated row: joined on a constant key
-    parts = [p.withColumn("_one", F.lit(1)) for p in (scores, meteor, ter, errors, buckets)]
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.join(p, "_one")
+    """A10-A13 in one row: metrics, error analysis and the length table (D9), from one pass over the hub."""
+    st = with_row_stats(hub, [], lo=lo, hi=hi).groupingSets([[], [F.col("bucket")]], F.col("bucket")).agg(F.grouping_id("bucket").alias("_all"), *summed())
+    scores = st.select("_all", "bucket", F.col("n_rows").alias("count"), *report_scores())
+    whole = F.col("_all") == 1
+
+    def of_all(*names):
+        return [F.max(F.when(whole, F.col(c))).alias(c) for c in names]
+
+    one = scores.agg(*of_all("bleu", "bleu_smoothed", "meteor_exact", "meteor_exact_stem", "chrf", "wer", "avg_length_diff", "untranslated_percentage", "count"),
+                     F.array_sort(F.collect_list(F.when(~whole, F.struct("bucket", "bleu", "count")))).alias("_buckets"))
     return one.select(
-        F.struct("bleu", "meteor", "chrf", "ter").alias("metrics"),
+        F.struct("bleu", "bleu_smoothed", "meteor_exact", "meteor_exact_stem", "chrf", "wer").alias("metrics"),
         F.struct("avg_length_diff", "untranslated_percentage").alias("error_analysis"),
-        "length_analysis",
-    )
+        F.transform("_buckets", lambda b: F.struct(b["bucket"].alias("bucket"), b["bleu"].alias("bleu"), b["count"].alias("count"),
+                                                   r6(tx.percentage(b["count"], F.col("count"))).alias("percentage"))).alias("length_analysis"))
 
 
 def direction_report(examples: DataFrame, keys: list[str], n_examples: int = 10) -> DataFrame:

@@ -6,9 +6,9 @@
   per Python worker and applied with ``mapInPandas`` in fixed-size batches (the
   hook for neural models, which are not part of this engine).
 
-The back-translation loop (T6) writes every round's models and synthetic pairs
-to the shared folder and reads them back, so each round starts from a short
-lineage (and survives lost executors).
+The back-translation loop (T6) writes and commits every round's models and synthetic pairs
+in the shared folder and reads them back, so each round starts from a short
+lineage, survives lost executors and can be taken up again after a stop.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.text import Script, normalise_if
 from tessera.operators.dictionary import (
-    ROW, align_tokens, attach, dictionary_entries, every_copy, forward_view, identified_rows, induce_dictionary, last_writes,
-    lookup_tokens, map_tokens, translate as translate_by_join,
+    align_tokens, dictionary_entries, dictionary_state, forward_view, induce_dictionary, map_tokens, merge_states, state_view,
+    translate as translate_by_join,
 )
 from tessera.plans.physical import DEFAULT_BROADCAST_ROWS
 from tessera.session import shared_folder
@@ -36,8 +36,8 @@ class DictionaryModel:
     tgt: Script
     broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS
 
-    def apply(self, df: DataFrame, keys: list[str], text_col: str, out_col: str) -> DataFrame:
-        return translate_by_join(df, keys, text_col, self.view, self.src, self.tgt.joiner, out_col, self.broadcast_rows)
+    def apply(self, df: DataFrame, keys: list[str], text_col: str, out_col: str, dealt: bool = False) -> DataFrame:
+        return translate_by_join(df, keys, text_col, self.view, self.src, self.tgt.joiner, out_col, self.broadcast_rows, dealt=dealt)
 
 
 _LOADED: dict[str, Callable] = {}
@@ -119,23 +119,11 @@ def generate_translation(df: DataFrame, model, keys: list[str], text_col: str, l
 
 
 def round_trip(mono: DataFrame, there, back, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``(keys..., orig, trans, back)``.
-
-    With dictionary models the corpus is shuffled once by its row hash; both lookups and the
-    final re-attachment of the texts run on that partitioning, and only the translations
-    are exchanged once more (so that they are computed once for their two uses).
-    """
-    if not (isinstance(there, DictionaryModel) and isinstance(back, DictionaryModel)):
-        s = synthetic_pairs(mono, there, keys, text_col)
-        return translate(s, back, keys, "trans", "back").select(*keys, "orig", "trans", "back")
-    rows = identified_rows(mono.select(*keys, F.col(text_col).alias("orig")))
-    ids = [ROW, *keys]
-    out = lookup_tokens(rows, ids, there.src.tokens(F.col("orig")), there.view, "_t", broadcast_rows=there.broadcast_rows)
-    out = out.select(*ids, F.array_join("_t", there.tgt.joiner).alias("trans"))
-    out = out.repartition(int(mono.sparkSession.conf.get("spark.sql.shuffle.partitions")), ROW)
-    again = lookup_tokens(out, ids, back.src.tokens(F.col("trans")), back.view, "_b", broadcast_rows=back.broadcast_rows)
-    again = again.select(*ids, F.array_join("_b", back.tgt.joiner).alias("back"))
-    return every_copy(attach(attach(rows, out, ids), again, ids)).select(*keys, "orig", "trans", "back")
+    """``(keys..., orig, trans, back)``. With small dictionaries both lookups happen where the row is, without a shuffle."""
+    s = synthetic_pairs(mono, there, keys, text_col)
+    if isinstance(there, DictionaryModel) and isinstance(back, DictionaryModel):
+        return back.apply(s, keys, "trans", "back", dealt=True).select(*keys, "orig", "trans", "back")
+    return translate(s, back, keys, "trans", "back").select(*keys, "orig", "trans", "back")
 
 
 def evaluate(test: DataFrame, model, keys: list[str], src_col: str = "source", ref_col: str = "reference") -> DataFrame:
@@ -150,6 +138,28 @@ def evaluate(test: DataFrame, model, keys: list[str], src_col: str = "source", r
     return st.select(r6(bleu_exp()).alias("bleu"), F.col("n_rows").alias("count"))
 
 
+def written_once(spark: SparkSession, out_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` under ``out_dir``: read if an earlier run has committed it, else made, written and committed.
+
+    The commit marker is a table of one row, written after the data; data without its marker (a run that
+    was stopped) is written again.
+    """
+    from pyspark.errors import AnalysisException
+    from tessera.sources.text_files import is_missing
+
+    path, marker = f"{out_dir}/{name}", f"{out_dir}/commits/{name}"
+    try:
+        done = spark.read.schema("name string").json(marker).count() == 1
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
+        done = False
+    if not done:
+        make().write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(marker)
+    return spark.read.parquet(path)
+
+
 def back_translation(spark: SparkSession, parallel: DataFrame, mono_a: DataFrame, mono_b: DataFrame,
                      a: Script, b: Script, rounds: int = 3, quality_threshold: float | None = None,
                      out_dir: str | None = None) -> DataFrame:
@@ -163,44 +173,52 @@ def back_translation(spark: SparkSession, parallel: DataFrame, mono_a: DataFrame
     3. S_b = translate(mono_b, new b->a);
     4. model a->b fitted on P followed by swap(S_b) (the synthetic side swapped).
 
-    P is never extended with earlier rounds' pairs. In a refit the synthetic text is the
+    P is never extended with earlier rounds' pairs. It is aligned once per direction, into a stored dictionary state (last
+    write and first key per token); a refit merges that state with the state of the round's synthetic pairs,
+    so a round reads only its synthetic side. In a refit the synthetic text is the
     source; its tokens carry a flag from the lookup that says which were unknown, and these
     are not learnt as sources. ``quality_threshold`` turns on F5 for the synthetic pairs (off
-    by default). Returns all synthetic pairs with ``iteration`` and ``direction``; everything
-    is written under ``out_dir``.
+    by default). Returns all synthetic pairs with ``iteration`` and ``direction``.
+
+    Everything is written under ``out_dir`` and committed step by step: a run that is started again with the same
+    ``out_dir`` and inputs goes on after the last committed step.
     """
     out_dir = out_dir or f"{shared_folder(spark).rstrip('/')}/back-translation-{uuid.uuid4().hex}"
     order = ["origin", "o1", "o2"]
 
-    def fit(src_col, tgt_col, src, tgt, path, synthetic=None):
-        real = parallel.select(F.lit(0).alias("origin"), "o1", "o2", src_col, tgt_col)
-        al = align_tokens(real, src.tokens(F.col(src_col)), tgt.tokens(F.col(tgt_col)), order)
-        if synthetic is not None:
-            made = synthetic.select(F.lit(1).alias("origin"), F.col("id").alias("o1"), F.lit(0).cast("long").alias("o2"),
-                                    "tokens", "missing", tgt.tokens(F.col("orig")).alias("other"))
-            known = F.transform("tokens", lambda t, i: F.when(~F.get(F.col("missing"), i), t))  # unknown tokens align with nothing
-            al = al.unionByName(align_tokens(made.withColumn("known", known), F.col("known"), F.col("other"), order))
-        forward_view(dictionary_entries(last_writes(al, order))).write.mode("overwrite").parquet(path)
-        return DictionaryModel(spark.read.parquet(path), src, tgt)
+    def real_state(src_col, tgt_col, src, tgt, direction):
+        real = parallel.select(F.lit(0).alias("origin"), F.col("o1").cast("long"), F.col("o2").cast("long"), src_col, tgt_col)
+        return written_once(spark, out_dir, f"states/{direction}", lambda: dictionary_state(
+            align_tokens(real, src.tokens(F.col(src_col)), tgt.tokens(F.col(tgt_col)), order), order))
+
+    def refit(state, synthetic, src, tgt, direction, i):
+        made = synthetic.select(F.lit(1).alias("origin"), F.col("id").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"),
+                                "tokens", "missing", tgt.tokens(F.col("orig")).alias("other"))
+        known = F.transform("tokens", lambda t, i: F.when(~F.get(F.col("missing"), i), t))  # unknown tokens align with nothing
+        learnt = dictionary_state(align_tokens(made.withColumn("known", known), F.col("known"), F.col("other"), order), order)
+        return DictionaryModel(written_once(spark, out_dir, f"models/{direction}/iteration_{i}",
+                                            lambda: state_view(merge_states(state, learnt))), src, tgt)
 
     def generate(mono, model, back_model, i, direction):
-        mono = mono.select("id", F.col("text").alias("orig"))
-        s = map_tokens(mono, ["id"], model.src.tokens(F.col("orig")), model.view, "tokens", broadcast_rows=model.broadcast_rows,
-                       missing_name="missing").withColumn("trans", F.array_join("tokens", model.tgt.joiner))
-        if quality_threshold is not None:
-            good = _filtered(s.select("id", "orig", "trans"), back_model, quality_threshold).select("id")
-            s = s.join(good, "id", "left_semi")
-        path = f"{out_dir}/synthetic/iteration={i}/direction={direction}"
-        s.select("id", "orig", "trans", "tokens", "missing").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)  # cuts the lineage
-
-    ab = fit("a_text", "b_text", a, b, f"{out_dir}/models/a-b/baseline")
-    ba = fit("b_text", "a_text", b, a, f"{out_dir}/models/b-a/baseline")
+        def pairs():
+            given = mono.select("id", F.col("text").alias("orig"))
+            s = map_tokens(given, model.src.tokens(F.col("orig")), model.view, "tokens", broadcast_rows=model.broadcast_rows,
+                           missing_name="missing").withColumn("trans", F.array_join("tokens", model.tgt.joiner))
+            if quality_threshold is not None:
+                good = _filtered(s.select("id", "orig", "trans"), back_model, quality_threshold).select("id")
+                s = s.join(good, "id", "left_semi")
+            return s.select("id", "orig", "trans", "tokens", "missing")
+
+        return written_once(spark, out_dir, f"synthetic/iteration={i}/direction={direction}", pairs)  # cuts the lineage
+
+    states = {"a-b": real_state("a_text", "b_text", a, b, "a-b"), "b-a": real_state("b_text", "a_text", b, a, "b-a")}
+    ab, ba = (DictionaryModel(written_once(spark, out_dir, f"models/{d}/baseline", lambda s=s: state_view(s)), src, tgt)
+              for (d, s), (src, tgt) in zip(states.items(), ((a, b), (b, a))))
     for i in range(1, rounds + 1):
         s_a = generate(mono_a, ab, ba, i, "a-b")
-        ba = fit("b_text", "a_text", b, a, f"{out_dir}/models/b-a/iteration_{i}", s_a)
+        ba = refit(states["b-a"], s_a, b, a, "b-a", i)
         s_b = generate(mono_b, ba, ab, i, "b-a")
-        ab = fit("a_text", "b_text", a, b, f"{out_dir}/models/a-b/iteration_{i}", s_b)
+        ab = refit(states["a-b"], s_b, a, b, "a-b", i)
     return spark.read.parquet(f"{out_dir}/synthetic").select("id", "orig", "trans", "iteration", "direction")
 
 

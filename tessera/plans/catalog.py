@@ -18,7 +18,7 @@ from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, r6
 from tessera.plans import oracle as Q
 from tessera.plans.derive import (
     PAIR_KEYS, SRC_SCRIPT, TGT_SCRIPT, both_direction_examples, conversation_pairs, pair_dictionary,
-    scored_examples, table,
+    scored_examples, table, translated_pairs,
 )
 from tessera.plans.physical import dense_row_number
 from tessera.sources.web import article_paragraphs, page_paragraphs
@@ -204,12 +204,7 @@ SELECT f.conv_id, f.turn, f.source AS original_src, f.reference AS actual_tgt,
 FROM dirs f JOIN dirs r ON f.conv_id = r.conv_id AND f.turn = r.turn
 WHERE f.direction = 'src-tgt' AND r.direction = 'tgt-src'""")
 def q_translate_both(spark, d):
-    ex = both_direction_examples(spark, d)
-    f = ex.where(F.col("direction") == "src-tgt").select(*PAIR_KEYS, F.col("source").alias("original_src"),
-                                                           F.col("reference").alias("actual_tgt"),
-                                                           F.col("prediction").alias("translated_tgt"))
-    r = ex.where(F.col("direction") == "tgt-src").select(*PAIR_KEYS, F.col("prediction").alias("translated_src"))
-    return f.join(r, PAIR_KEYS)
+    return translated_pairs(spark, d)
 
 
 # ---------------------------------------------------------------- 2.8 metrics
@@ -462,7 +457,7 @@ def q_final_best(spark, d):
 
 # ---------------------------------------------------------------- 2.6 translation jobs, F5
 from tessera.functions.text import ENGLISH  # noqa: E402
-from tessera.operators.filters import quality_filter  # noqa: E402
+from tessera.operators.filters import filter_decisions, quality_filter  # noqa: E402
 from tessera.operators.translate import (  # noqa: E402
     DictionaryModel, back_translation, fit_dictionary_model, round_trip, synthetic_pairs,
 )
@@ -510,21 +505,41 @@ def q_round_trip(spark, d):
 _LATIN = r"'\A[a-zA-Z\s\x0b\p{P}0-9]+\z'"
 
 
-@register("quality_filter", f"""
-WITH {_ROUND_TRIP},
+_BOUNDED = f"""{_ROUND_TRIP},
 lat AS MATERIALIZED (SELECT *, coalesce(regexp_matches(orig, {_LATIN}), false) AS latin FROM rt),
-qin AS MATERIALIZED (SELECT doc_id, back AS prediction, orig AS reference FROM lat WHERE latin),
+tok AS MATERIALIZED (SELECT doc_id, {Q.tok13a('back', True)} AS h, {Q.tok13a('orig', True)} AS r FROM lat WHERE latin),
+shared AS (
+  SELECT doc_id, sum(least(a.c, b.c)) AS m FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(h) AS w FROM tok) GROUP BY ALL) a
+  JOIN (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(r) AS w FROM tok) GROUP BY ALL) b USING (doc_id, w) GROUP BY doc_id),
+bound AS MATERIALIZED (
+  SELECT doc_id, {Q.bleu_bound_sql('len(h)', 'len(r)', 'least(len(h), len(r))')} AS by_lengths,
+         {Q.bleu_bound_sql('len(h)', 'len(r)', 'coalesce(m, 0)')} AS by_shared FROM tok LEFT JOIN shared USING (doc_id)),
+qin AS MATERIALIZED (SELECT doc_id, back AS prediction, orig AS reference FROM lat JOIN bound USING (doc_id) WHERE by_shared >= 0.7 - 1e-9),
 {Q.bleu_row_stats('qin', 'doc_id', rstrip=True, materialized=True)},
 sb AS (SELECT doc_id, {Q.bleu_exp_sql(effective_order=True)} / 100.0 AS bleu FROM (
-  SELECT doc_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in BLEU_STAT_COLS)} FROM st))
-SELECT l.doc_id, l.orig, l.trans FROM lat l JOIN sb USING (doc_id) WHERE l.latin AND sb.bleu >= 0.7
-UNION ALL
-SELECT doc_id, orig, trans FROM lat
-WHERE NOT latin AND length(trans)::DOUBLE / greatest(1, length(orig)) BETWEEN 0.5 AND 2.0""")
+  SELECT doc_id, {', '.join(f'{c}::DOUBLE AS {c}' for c in BLEU_STAT_COLS)} FROM st)),
+decided AS (
+  SELECT l.doc_id, l.orig, l.trans, CASE WHEN NOT latin THEN 'ratio' WHEN by_lengths < 0.7 - 1e-9 THEN 'lengths'
+           WHEN by_shared < 0.7 - 1e-9 THEN 'shared tokens' ELSE 'n-grams' END AS decided_by,
+         CASE WHEN latin THEN coalesce(sb.bleu >= 0.7, false) ELSE length(trans)::DOUBLE / greatest(1, length(orig)) BETWEEN 0.5 AND 2.0 END AS kept
+  FROM lat l LEFT JOIN bound USING (doc_id) LEFT JOIN sb USING (doc_id))"""
+
+
+@register("quality_filter", f"""
+WITH {_BOUNDED}
+SELECT doc_id, orig, trans FROM decided WHERE kept""")
 def q_quality_filter(spark, d):
     return quality_filter(q_round_trip(spark, d), ["doc_id"], threshold=0.7)
 
 
+@register("filter_decisions", f"""
+WITH {_BOUNDED}
+SELECT decided_by, count(*) AS n_rows, sum(kept::INT)::BIGINT AS n_kept FROM decided GROUP BY decided_by""")
+def q_filter_decisions(spark, d):
+    """how many rows each rule decided and kept; what "lengths" and "shared tokens" decide needs no n-grams."""
+    return filter_decisions(q_round_trip(spark, d), ["doc_id"], threshold=0.7)
+
+
 def _refit(name: str, source: str, s_tok: str, t_tok: str) -> str:
     """CTE ``name(tok, out)``: the pairs' alignments followed by the known tokens of ``source(id, pos, tok, out)``, swapped."""
     synthetic = f"""
@@ -572,23 +587,12 @@ def q_back_translation_rounds(spark, d):
 
 # ---------------------------------------------------------------- A7, A9, A10 (rows only: no byte-exact SQL twin)
 from tessera.operators.metrics.edit import corpus_edit_rate  # noqa: E402
-from tessera.operators.metrics.meteor import corpus_meteor  # noqa: E402
+from tessera.operators.metrics.meteor import corpus_meteor, with_meteor  # noqa: E402
 
 
 @register("word_error_rate", f"""
-WITH RECURSIVE {Q.HUB},
-w AS MATERIALIZED (SELECT row_number() OVER () AS id, {Q.words_lower('prediction')} AS h, {Q.words_lower('reference')} AS r FROM hub),
-dp AS (
-  SELECT id, 0 AS i, range(0, len(r) + 1) AS prev FROM w
-  UNION ALL
-  SELECT dp.id, dp.i + 1,
-    list_reduce(list_prepend([dp.i + 1], list_transform(range(1, len(w.r) + 1), lambda j:
-        [least(dp.prev[j + 1] + 1, dp.prev[j] + CASE WHEN w.h[dp.i + 1] = w.r[j] THEN 0 ELSE 1 END)])),
-      lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1)))
-  FROM dp JOIN w USING (id) WHERE dp.i < len(w.h)
-),
-e AS (SELECT w.id, len(w.r) AS ref_len, dp.prev[len(w.r) + 1] AS edits FROM dp JOIN w ON w.id = dp.id AND dp.i = len(w.h)),
-s AS (SELECT sum(edits)::BIGINT AS edits, sum(ref_len)::BIGINT AS ref_len, count(*) AS n_rows FROM e)
+WITH RECURSIVE {Q.HUB}, e AS ({Q.word_edit_rows('hub', _KEYS)}),
+s AS (SELECT sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_len, count(*) AS n_rows FROM e)
 SELECT round(CASE WHEN ref_len > 0 THEN 100.0::DOUBLE * edits / ref_len WHEN edits > 0 THEN 100.0 ELSE 0.0 END, 6) AS wer, edits, ref_len, n_rows FROM s""")
 def q_word_error_rate(spark, d):
     return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=False, name="wer")
@@ -604,11 +608,60 @@ def q_meteor_corpus(spark, d):
     return corpus_meteor(scored_examples(spark, d), PAIR_KEYS)
 
 
-@register("full_report")
+@register("meteor_exact", f"""
+WITH {Q.HUB}, {Q.meteor_rows('hub', _KEYS)}
+SELECT conv_id, turn, round(meteor, 6) AS meteor_exact FROM mrow""")
+def q_meteor_exact(spark, d):
+    """A7 of every pair, equal words only."""
+    return with_meteor(scored_examples(spark, d), PAIR_KEYS).select(*PAIR_KEYS, r6("meteor_exact").alias("meteor_exact"))
+
+
+_DIR_KEYS = "direction, conv_id, turn"
+_REPORT_ROWS = f"""bs AS (WITH {Q.bleu_row_stats('dirs', _DIR_KEYS)} SELECT * FROM st),
+ss AS (WITH {Q.bleu_row_stats('dirs', _DIR_KEYS, rstrip=True)} SELECT {_DIR_KEYS}, {', '.join(f'{c} AS s_{c}' for c in BLEU_STAT_COLS)} FROM st),
+cs AS (WITH {Q.chrf_stats_sql('dirs', _DIR_KEYS)} SELECT * FROM cst),
+ms AS (WITH {Q.meteor_rows('dirs', _DIR_KEYS)} SELECT * FROM mrow),
+es AS ({Q.word_edit_rows('dirs', _DIR_KEYS)}),
+xs AS (SELECT {_DIR_KEYS}, {Q.bucket_sql('source')} AS bucket, len({Q.split_ws('prediction')}) - len({Q.split_ws('reference')}) AS word_diff,
+              CASE WHEN regexp_matches(prediction, '[\\x{{00C0}}-\\x{{00FF}}]') THEN 1 ELSE 0 END AS script FROM dirs),
+rs AS (SELECT * FROM xs JOIN bs USING ({_DIR_KEYS}) JOIN ss USING ({_DIR_KEYS}) JOIN cs USING ({_DIR_KEYS}) JOIN ms USING ({_DIR_KEYS}) JOIN es USING ({_DIR_KEYS}))"""
+_REPORT_SUMS = ", ".join(f"sum({c})::DOUBLE AS {c}" for c in [*BLEU_STAT_COLS, *[f"s_{c}" for c in BLEU_STAT_COLS], *CHRF_STAT_COLS, "edits", "ref_words",
+                                                              "word_diff", "script"])
+_REPORT_SCORES = f"""round({Q.bleu_unsmoothed_sql()}, 6) AS bleu, round({Q.bleu_exp_sql(prefix='s_')}, 6) AS bleu_smoothed, round({Q.chrf_sql()}, 6) AS chrf,
+  round(meteor, 6) AS meteor_exact, round(CASE WHEN ref_words > 0 THEN 100.0 * edits / ref_words WHEN edits > 0 THEN 100.0 ELSE 0.0 END, 6) AS wer,
+  round(word_diff / n_rows, 6) AS avg_length_diff, round(100.0 * script / n_rows, 6) AS untranslated_percentage"""
+
+
+@register("evaluation_report", f"""
+WITH RECURSIVE {Q.DIRS}, {_REPORT_ROWS},
+agg AS (SELECT direction, bucket, grouping(direction, bucket) AS g, count(*) AS n_rows, avg(meteor) AS meteor, {_REPORT_SUMS}
+        FROM rs GROUP BY GROUPING SETS ((), (direction), (bucket), (direction, bucket)))
+SELECT CASE g WHEN 3 THEN 'all' WHEN 1 THEN 'direction' WHEN 2 THEN 'bucket' ELSE 'direction, bucket' END AS level, direction, bucket, n_rows,
+  {_REPORT_SCORES}
+FROM agg""")
+def q_evaluation_report(spark, d):
+    """A4-A9a, A11-A14 of both directions, by length and overall, from one pass."""
+    from tessera.operators.report import evaluation_report
+
+    return evaluation_report(both_direction_examples(spark, d), LO, HI).drop("meteor_exact_stem")
+
+
+@register("full_report", f"""
+WITH RECURSIVE {Q.DIRS}, {_REPORT_ROWS},
+agg AS (SELECT bucket, grouping(bucket) AS g, count(*) AS n_rows, avg(meteor) AS meteor, {_REPORT_SUMS}
+        FROM rs WHERE direction = 'src-tgt' GROUP BY GROUPING SETS ((), (bucket))),
+sc AS (SELECT bucket, g, n_rows, {_REPORT_SCORES} FROM agg),
+b AS (SELECT string_agg(bucket || ': ' || (round(bleu * 1000000)::BIGINT) || ' of ' || n_rows, '; ' ORDER BY bucket) AS length_analysis FROM sc WHERE g = 0)
+SELECT bleu, bleu_smoothed, meteor_exact, chrf, wer, avg_length_diff, untranslated_percentage, length_analysis FROM sc, b WHERE g = 1""")
 def q_full_report(spark, d):
+    """A10-A13 in one row; the length table as text (BLEU in millionths)."""
     from tessera.operators.report import full_report
 
-    return full_report(scored_examples(spark, d), PAIR_KEYS, LO, HI)
+    rep = full_report(scored_examples(spark, d), PAIR_KEYS, LO, HI)
+    table_text = F.array_join(F.transform("length_analysis", lambda b: F.concat(
+        b["bucket"], F.lit(": "), F.round(b["bleu"] * 1_000_000).cast("long").cast("string"), F.lit(" of "), b["count"].cast("string"))), "; ")
+    return rep.select("metrics.bleu", "metrics.bleu_smoothed", "metrics.meteor_exact", "metrics.chrf", "metrics.wer", "error_analysis.*",
+                      table_text.alias("length_analysis"))
 
 
 # ---------------------------------------------------------------- file sources and sinks over derived data

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import ENGLISH, LATIN_MARKS
-from tessera.operators.dictionary import dictionary_entries, forward_view, induce_dictionary, reverse_view, translate
+from tessera.operators.dictionary import both_ways, dictionary_entries, forward_view, induce_dictionary, translate
+from tessera.plans.physical import cut_lineage
 
 PAIR_KEYS = ["conv_id", "turn"]
 SRC_SCRIPT = LATIN_MARKS  # source side of the stand-in corpus: marks, case kept
@@ -43,14 +44,18 @@ def scored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*PAIR_KEYS, F.col("src").alias("source"), F.col("tgt").alias("reference"), "prediction")
 
 
+def translated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with both translations beside each other, each with its own dictionary direction."""
+    pairs = cut_lineage(conversation_pairs(spark, sf_dir), "pairs")  # read for the dictionary and for the translations
+    entries = cut_lineage(dictionary_entries(pair_dictionary(pairs)), "entries")  # both views read it
+    return both_ways(pairs, entries, PAIR_KEYS, "src", "tgt", SRC_SCRIPT, TGT_SCRIPT)
+
+
 def both_direction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A14 input: the set and its swap, each with its own dictionary direction."""
-    pairs = conversation_pairs(spark, sf_dir)
-    # both views read the induced dictionary: computed once
-    entries = dictionary_entries(pair_dictionary(pairs)).persist()
-    fwd = translate(pairs, PAIR_KEYS, "src", forward_view(entries), SRC_SCRIPT, TGT_SCRIPT.joiner, "prediction")
-    rev = translate(pairs, PAIR_KEYS, "tgt", reverse_view(entries), TGT_SCRIPT, SRC_SCRIPT.joiner, "prediction")
-    return fwd.select(F.lit("src-tgt").alias("direction"), *PAIR_KEYS, F.col("src").alias("source"),
-                      F.col("tgt").alias("reference"), "prediction").unionByName(
-        rev.select(F.lit("tgt-src").alias("direction"), *PAIR_KEYS, F.col("tgt").alias("source"),
-                   F.col("src").alias("reference"), "prediction"))
+    """A14 input: the set and its swap, two rows per pair from one pass."""
+    def example(direction, source, reference, prediction):
+        return F.struct(F.lit(direction).alias("direction"), *[F.col(k) for k in PAIR_KEYS], F.col(source).alias("source"),
+                        F.col(reference).alias("reference"), F.col(prediction).alias("prediction"))
+
+    return translated_pairs(spark, sf_dir).select(F.inline(F.array(
+        example("src-tgt", "original_src", "actual_tgt", "translated_tgt"), example("tgt-src", "actual_tgt", "original_src", "translated_src"))))

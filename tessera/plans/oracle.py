@@ -7,6 +7,8 @@ RE2 is ``[\\s\\x0b\\p{Z}\\x1c-\\x1f\\x{85}]``.
 
 from __future__ import annotations
 
+import re
+
 WS = r"[\s\x0b\p{Z}\x1c-\x1f\x{85}]"
 NL = "chr(10)"
 
@@ -141,7 +143,12 @@ def bleu_unsmoothed_sql() -> str:
     return f"(CASE WHEN {allpos} THEN exp(({logs}) / 4.0) ELSE 0.0 END) * ({bp})"
 
 
-def bleu_exp_sql(effective_order: bool = False) -> str:
+def bleu_exp_sql(effective_order: bool = False, prefix: str = "") -> str:
+    sql = _bleu_exp_sql(effective_order)
+    return re.sub(r"\b(match_\d|total_\d|hyp_len|ref_len)\b", prefix + r"\1", sql) if prefix else sql
+
+
+def _bleu_exp_sql(effective_order: bool) -> str:
     bp = "CASE WHEN hyp_len < ref_len THEN (CASE WHEN hyp_len > 0 THEN exp(1.0 - ref_len / hyp_len) ELSE 0.0 END) ELSE 1.0 END"
     terms = []
     zeros = []
@@ -186,3 +193,44 @@ def chrf_sql() -> str:
 def sum_chrf_sql(rel: str) -> str:
     cols = [f"{k}_{n}" for n in range(1, 7) for k in ("chyp", "cref", "cmatch")]
     return "SELECT " + ", ".join(f"sum({c})::DOUBLE AS {c}" for c in cols) + f", count(*) AS n_rows FROM {rel}"
+
+
+def bucket_sql(x: str) -> str:
+    n = f"len({split_ws(x)})"
+    return f"CASE WHEN {n} <= 5 THEN 'short (1-5 words)' WHEN {n} <= 15 THEN 'medium (6-15 words)' ELSE 'long (16+ words)' END"
+
+
+def meteor_rows(src_rel: str, keys: str) -> str:
+    """CTE ``mrow(keys..., meteor)``: equal words only; the k-th last occurrence on one side meets the k-th last on the other."""
+    side = "\n".join(f"""m{x} AS (SELECT *, row_number() OVER (PARTITION BY {keys}, w ORDER BY pos DESC) AS k FROM (
+  SELECT {keys}, unnest({x}) AS w, generate_subscripts({x}, 1) AS pos FROM mtok)),""" for x in ("h", "r"))
+    tk = ", ".join("t." + k.strip() for k in keys.split(","))
+    return f"""mtok AS (SELECT {keys}, {words_lower('prediction')} AS h, {words_lower('reference')} AS r FROM {src_rel}),
+{side}
+mm AS (SELECT {keys}, mh.pos AS i, mr.pos AS j FROM mh JOIN mr USING ({keys}, w, k)),
+mc AS (SELECT {keys}, count(*)::DOUBLE AS m, sum(CASE WHEN i - li = 1 AND j - lj = 1 THEN 0 ELSE 1 END)::DOUBLE AS c FROM (
+  SELECT *, lag(i) OVER (PARTITION BY {keys} ORDER BY i) AS li, lag(j) OVER (PARTITION BY {keys} ORDER BY i) AS lj FROM mm) GROUP BY {keys}),
+mrow AS (SELECT {tk}, CASE WHEN m IS NULL THEN 0.0 ELSE (1.0 - 0.5 * pow(c / m, 3.0)) * (m / len(h)) * (m / len(r)) / (0.9 * (m / len(h)) + 0.1 * (m / len(r))) END AS meteor
+  FROM mtok t LEFT JOIN mc USING ({keys}))"""
+
+
+def word_edit_rows(src_rel: str, keys: str) -> str:
+    """Query of ``keys..., edits, ref_words``: the word edit distance of every row, one table row of the programme per step."""
+    wk = ", ".join("w." + k.strip() for k in keys.split(","))
+    return f"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS id, {keys}, {words_lower('prediction')} AS h, {words_lower('reference')} AS r FROM {src_rel}),
+dp AS (
+  SELECT id, 0 AS i, range(0, len(r) + 1) AS prev FROM w
+  UNION ALL
+  SELECT dp.id, dp.i + 1,
+    list_reduce(list_prepend([dp.i + 1], list_transform(range(1, len(w.r) + 1), lambda j:
+        [least(dp.prev[j + 1] + 1, dp.prev[j] + CASE WHEN w.h[dp.i + 1] = w.r[j] THEN 0 ELSE 1 END)])),
+      lambda acc, x: list_append(acc, least(x[1], acc[len(acc)] + 1)))
+  FROM dp JOIN w USING (id) WHERE dp.i < len(w.h)
+)
+SELECT {wk}, len(w.r) AS ref_words, dp.prev[len(w.r) + 1] AS edits FROM dp JOIN w ON w.id = dp.id AND dp.i = len(w.h)"""
+
+
+def bleu_bound_sql(h: str, r: str, m: str) -> str:
+    """An upper bound of the sentence BLEU (0-1) from two lengths and the number of shared tokens."""
+    logs = " + ".join(f"(CASE WHEN {h} >= {n} THEN ln(greatest(least({m}, {h} - {n - 1}, {r} - {n - 1}), 0.5) / ({h} - {n - 1})) ELSE 0 END)" for n in range(1, 5))
+    return f"(CASE WHEN {h} = 0 OR {m} = 0 THEN 0.0 ELSE exp(least(0, 1 - {r}::DOUBLE / {h}) + ({logs}) / least({h}, 4)) END)"

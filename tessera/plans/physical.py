@@ -24,24 +24,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = DEFAULT_BROADCAST_RO
     """Return ``(df, True)`` wrapped in a broadcast hint when it has at most ``max_rows`` rows
     and at most ``max_bytes`` bytes of string data.
 
-    The side is persisted first, so the join does not compute it again; rows and
-    string bytes are counted in one aggregate. ``max_rows=None`` skips the check
-    and leaves the choice to Catalyst/AQE (their own size threshold).
+    The side is written to the shared folder first, so the join reads what the check counted
+    and nothing stays in executor memory; rows and string bytes are counted in one aggregate.
+    ``max_rows=None`` skips the check and leaves the choice to Catalyst/AQE (their own size threshold).
     """
     if max_rows is None:
         return df, False
-    # kept (memory, then disk) so the join reuses what the check computed
-    df = df.persist()
+    df = cut_lineage(df, "lookup")
     strings = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
     size = sum(strings, F.lit(0)) if strings else F.lit(0)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     if row.n <= max_rows and row.b <= max_bytes:
         return F.broadcast(df), True
-    # too large to ship: do not hold it in executor memory for the rest of the session
-    df.unpersist(blocking=False)
     return df, False
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly if it comes from fewer files than there are shuffle partitions, so that work per row uses all
+    cores; data in many files stays where it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 SAMPLE_PER_BUCKET = 60
 
 

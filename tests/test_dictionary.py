@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from golden import GOLDEN_BOTH_WAYS, GOLDEN_DICTIONARY
@@ -136,3 +137,84 @@ def test_back_translation_learns_no_unknown_token(spark, tmp_path):
         for i in (1, 2):
             keys = {r.tok for r in spark.read.parquet(f"{tmp_path}/models/{direction}/iteration_{i}").collect()}
             assert not [k for k in keys if k.startswith("[")] and keys
+
+
+def _rounds_input(spark):
+    par = spark.createDataFrame([(0, 0, "one two", "un deux"), (0, 2, "two one", "deux une")], "o1 long, o2 long, a_text string, b_text string")
+    mono_a = spark.createDataFrame([(0, "one stranger two"), (1, "two two")], "id long, text string")
+    mono_b = spark.createDataFrame([(0, "un zz deux"), (1, "")], "id long, text string")
+    return par, mono_a, mono_b
+
+
+def test_back_translation_goes_on_after_a_stop(spark, tmp_path, monkeypatch):
+    """A run stopped in round 2, before or after the data of a step is there, ends with the rows of an undisturbed run."""
+    from tessera.operators import translate as tr
+
+    def rows(out):
+        return sorted(tuple(r) for r in tr.back_translation(spark, *_rounds_input(spark), ENGLISH, ENGLISH, rounds=3, out_dir=str(out)).collect())
+
+    want = rows(tmp_path / "whole")
+    once = tr.written_once
+
+    class Stop(Exception):
+        pass
+
+    for stop_at, with_data in (("models/b-a/iteration_2", False), ("synthetic/iteration=2/direction=b-a", True)):
+        made = []
+
+        def stopping(sp, out_dir, name, make):
+            if name == stop_at:
+                if with_data:  # the data is written, its commit is not
+                    make().limit(0).write.mode("overwrite").parquet(f"{out_dir}/{name}")
+                raise Stop
+            return once(sp, out_dir, name, make)
+
+        def counting(sp, out_dir, name, make):
+            return once(sp, out_dir, name, lambda: made.append(name) or make())
+
+        out = tmp_path / stop_at.replace("/", "-")
+        monkeypatch.setattr(tr, "written_once", stopping)
+        with pytest.raises(Stop):
+            rows(out)
+        monkeypatch.setattr(tr, "written_once", counting)
+        assert rows(out) == want
+        assert made[0] == stop_at and not [n for n in made if "iteration=1" in n or "iteration_1" in n or "states" in n]
+        monkeypatch.setattr(tr, "written_once", once)
+
+
+def test_dictionary_state_merges(spark):
+    """The state of all pairs is the merge of the states of any parts, in any order."""
+    from tessera.operators.dictionary import align_tokens, dictionary_state, merge_states
+
+    pairs = spark.createDataFrame([(i, f"a b{i % 3} c", f"x{i} y{i % 5} z") for i in range(12)], "line_no long, bo string, en string")
+
+    def state(df):
+        return dictionary_state(align_tokens(df, ENGLISH.tokens(F.col("bo")), ENGLISH.tokens(F.col("en")), ["line_no"]), ["line_no"])
+
+    want = sorted(map(str, state(pairs).collect()))
+    parts = [state(pairs.where(F.col("line_no") % 3 == k)) for k in (2, 0, 1)]
+    assert sorted(map(str, merge_states(*parts).collect())) == want
+    assert sorted(map(str, merge_states(merge_states(parts[0], parts[1]), parts[2], state(pairs.where("false"))).collect())) == want
+
+
+def test_joined_lookup_spreads_a_long_row(spark):
+    """A row with most tokens is cut into segments that are dealt out; equal rows, null keys and empty rows keep their places."""
+    from tessera.operators.dictionary import joined_tokens, map_tokens, usable_entries
+
+    view = spark.createDataFrame([(f"w{i}", f"t{i}") for i in range(50)] + [("e", ""), ("n", None)], "tok string, out string")
+    long_text = " ".join(f"w{i % 60}" for i in range(5000))
+    df = spark.createDataFrame([(1, long_text), (None, "w1 e n"), (2, "w1"), (2, "w1"), (2, "w1"), (3, ""), (4, None)], "id long, text string")
+    tokens = ENGLISH.tokens(F.col("text"))
+    local = map_tokens(df, tokens, view, "out", missing_name="m")
+    for limit in (1000, None):
+        joined = joined_tokens(df, tokens, usable_entries(view), "out", lambda t: F.concat(F.lit("["), t, F.lit("]")), limit, "m", segment=64)
+        assert sorted(map(str, joined.collect())) == sorted(map(str, local.collect()))
+    plan = joined._jdf.queryExecution().toString()
+    assert "_seg" in plan
+
+
+def test_lookup_by_either_way_agrees(spark):
+    view = spark.createDataFrame([("a", "x"), ("b", "y")], "tok string, out string")
+    df = spark.createDataFrame([(1, "a"), (None, "a b"), (2, "b"), (2, "b"), (3, None), (4, "")], "id long, t string")
+    got = [sorted(map(str, translate(df, ["id"], "t", view, ENGLISH, " ", local_rows=n).collect())) for n in (0, 10)]
+    assert got[0] == got[1]
