@@ -1,223 +1,36 @@
-"""Edit-rate metrics (A9a word error rate, A9b TER).
+"""Word error rate.
 
-Tokens: lower-cased, whitespace-split (the TER defaults: case-insensitive, no
-normalisation, punctuation kept). Corpus rate = 100 * sum(edits) / sum(ref_len);
-empty references with a non-empty hypothesis give 100.
-
-* A9a (shifts off) is native: every distinct word of a pair becomes one code point above the
-  basic plane and Spark's ``levenshtein`` runs on the encoded strings.
-* A9b (TER, block shifts on: greedy, after Snover et al. 2006, "A study of translation edit
-  rate with targeted human annotation") is a per-row alignment step in ``mapInPandas``; sums
-  stay in Spark. Blocks of up to ``max_size`` words move by up to ``max_dist`` words; every
-  such shift is tried. [pin] the edit distance is exact (no beam).
+Tokens: lower-cased, white-space-split (case-insensitive, no normalisation, punctuation kept).
+Corpus rate = 100 * sum(edits) / sum(ref_len); empty references with a non-empty hypothesis give
+100. Every distinct word of a pair becomes one code point above the basic plane and Spark's
+``levenshtein`` runs on the coded strings.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.text import words_lower
 from tessera.operators.metrics.rows import coded_words
 
-MAX_SHIFT_SIZE = 10  # words in a block, as in the published tool
-MAX_SHIFT_DIST = 50  # words a block may move, as in the published tool
-
 
 def rate(edits: Column, ref_len: Column) -> Column:
     e, r = edits.cast("double"), ref_len.cast("double")
     return F.when(r > 0, F.lit(100.0) * e / r).when(e > 0, F.lit(100.0)).otherwise(F.lit(0.0))
 
 
-# ------------------------------------------------------------------ per-row Python helpers
-def levenshtein_trace(h: list[str], r: list[str]) -> tuple[int, str]:
-    """Distance and an operation trace rewriting ``h`` into ``r``:
-    ' ' match, 's' substitute, 'i' drop a hypothesis word, 'd' add a reference word."""
-    n, m = len(h), len(r)
-    prev = list(range(m + 1))
-    rows = [prev]
-    for i in range(1, n + 1):
-        cur = [i] + [0] * m
-        hi = h[i - 1]
-        for j in range(1, m + 1):
-            cost = 0 if hi == r[j - 1] else 1
-            cur[j] = min(prev[j - 1] + cost, prev[j] + 1, cur[j - 1] + 1)
-        rows.append(cur)
-        prev = cur
-    ops = []
-    i, j = n, m
-    while i > 0 or j > 0:
-        if i > 0 and j > 0 and rows[i][j] == rows[i - 1][j - 1] + (0 if h[i - 1] == r[j - 1] else 1):
-            ops.append(" " if h[i - 1] == r[j - 1] else "s")
-            i, j = i - 1, j - 1
-        elif i > 0 and rows[i][j] == rows[i - 1][j] + 1:
-            ops.append("i")
-            i -= 1
-        else:
-            ops.append("d")
-            j -= 1
-    return rows[n][m], "".join(reversed(ops))
-
-
-def distance(h_ids: np.ndarray, r_ids: np.ndarray) -> int:
-    """Levenshtein distance of two integer-coded word sequences, one vectorised DP row per word.
-
-    ``cur[j] = min(prev[j-1] + cost, prev[j] + 1, cur[j-1] + 1)``; the left term
-    is resolved with a running minimum of ``t[k] - k``.
-    """
-    m = len(r_ids)
-    j = np.arange(m + 1)
-    prev = j.copy()
-    for hi in h_ids:
-        t = np.empty(m + 1, dtype=np.int64)
-        t[0] = prev[0] + 1
-        t[1:] = np.minimum(prev[:-1] + (r_ids != hi), prev[1:] + 1)
-        prev = np.minimum.accumulate(t - j) + j
-    return int(prev[m])
-
-
-def _alignment(trace: str):
-    ph = pr = -1
-    align, herr, rerr = {}, [], []
-    for op in trace:
-        if op in " s":
-            ph += 1
-            pr += 1
-            align[pr] = ph
-            e = 0 if op == " " else 1
-            herr.append(e)
-            rerr.append(e)
-        elif op == "i":
-            ph += 1
-            herr.append(1)
-        else:
-            pr += 1
-            align[pr] = ph
-            rerr.append(1)
-    return align, rerr, herr
-
-
-def _shifted(words, start, length, target):
-    if target < start:
-        return words[:target] + words[start:start + length] + words[target:start] + words[start + length:]
-    if target > start + length:
-        return words[:start] + words[start + length:target] + words[start:start + length] + words[target:]
-    return words[:start] + words[start + length:length + target] + words[start:start + length] + words[length + target:]
-
-
-def _candidate_blocks(h, r, max_size, max_dist):
-    for sh in range(len(h)):
-        for sr in range(max(0, sh - max_dist), min(len(r), sh + max_dist + 1)):
-            length = 0
-            while length < max_size and sh + length < len(h) and sr + length < len(r) and h[sh + length] == r[sr + length]:
-                length += 1
-                yield sh, sr, length
-
-
-def distances(hyps: np.ndarray, r_ids: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of K equal-length coded sequences (rows of ``hyps``) to one reference."""
-    k, n = hyps.shape
-    m = len(r_ids)
-    j = np.arange(m + 1)
-    prev = np.broadcast_to(j, (k, m + 1)).copy()
-    t = np.empty((k, m + 1), dtype=np.int64)
-    for i in range(n):
-        t[:, 0] = prev[:, 0] + 1
-        np.minimum(prev[:, :-1] + (r_ids[None, :] != hyps[:, i:i + 1]), prev[:, 1:] + 1, out=t[:, 1:])
-        prev = np.minimum.accumulate(t - j, axis=1) + j
-    return prev[:, m]
-
-
-def _shift_candidates(words, r, align, rerr, herr, max_size, max_dist):
-    """Candidate shifts ``(length, start, target)`` in the order they are tried."""
-    out = []
-    for sh, sr, length in _candidate_blocks(words, r, max_size, max_dist):
-        if sum(herr[sh:sh + length]) == 0 or sum(rerr[sr:sr + length]) == 0:
-            continue
-        if sh <= align.get(sr, -2) < sh + length:
-            continue
-        prev_idx = -1
-        for off in range(-1, length):
-            if sr + off == -1:
-                idx = 0
-            elif sr + off in align:
-                idx = align[sr + off] + 1
-            else:
-                break
-            if idx == prev_idx:
-                continue
-            prev_idx = idx
-            out.append((length, sh, idx))
-    return out
-
-
-def ter_edits(h: list[str], r: list[str], chunk: int = 256, max_size: int = MAX_SHIFT_SIZE, max_dist: int = MAX_SHIFT_DIST) -> int:
-    """Edits of TER: greedy block shifts that lower the edit distance, then the distance.
-
-    All candidates of one iteration have the same length (a shift permutes the
-    words), so they are scored together in one vectorised DP, ``chunk`` at a time.
-    """
-    codes: dict[str, int] = {}
-    enc = lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64)
-    r_ids = enc(r)
-    shifts = 0
-    words = list(h)
-    while True:
-        score, trace = levenshtein_trace(words, r)
-        align, rerr, herr = _alignment(trace)
-        cands = _shift_candidates(words, r, align, rerr, herr, max_size, max_dist)
-        best = None
-        if cands:
-            moved = [_shifted(words, sh, length, idx) for length, sh, idx in cands]
-            coded = np.stack([enc(w) for w in moved])
-            d = np.concatenate([distances(coded[i:i + chunk], r_ids) for i in range(0, len(moved), chunk)])
-            for (length, sh, idx), dist, mv in zip(cands, d, moved):
-                key = (score - int(dist), length, -sh, -idx)
-                if best is None or key > best[0]:
-                    best = (key, mv)
-        if best is None or best[0][0] <= 0:
-            break
-        shifts += 1
-        words = best[1]
-    return shifts + levenshtein_trace(words, r)[0]
-
-
-# ------------------------------------------------------------------ Spark jobs
-def _per_row(df: DataFrame, keys: list[str], fn, out_schema: str) -> DataFrame:
-    """Run ``fn(hyp_tokens, ref_tokens) -> tuple`` per row in Arrow batches."""
+def with_edit_stats(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference") -> DataFrame:
+    """Per-row ``(keys..., edits, ref_len)``: the word-level Levenshtein distance. A pair may hold 1,048,575 distinct words; more raise an error."""
     from tessera.session import ship_package
 
     ship_package(df.sparkSession)
-    schema = T._parse_datatype_string(", ".join([f"{k} {t}" for k, t in df.select(*keys).dtypes]) + ", " + out_schema)
-    names = [f.name for f in schema.fields][len(keys):]
-
-    def run(batches):
-        for pdf in batches:
-            res = [fn(list(h), list(r)) for h, r in zip(pdf["_h"], pdf["_r"])]
-            out = pdf[keys].copy()
-            for i, name in enumerate(names):
-                out[name] = pd.Series([x[i] for x in res], index=pdf.index)
-            yield out
-
-    return df.mapInPandas(run, schema)
-
-
-def with_edit_stats(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference",
-                    shifts: bool = False) -> DataFrame:
-    """Per-row ``(keys..., edits, ref_len)``: native Levenshtein (A9a) or TER with shifts."""
     t = df.select(*keys, words_lower(F.col(hyp)).alias("_h"), words_lower(F.col(ref)).alias("_r"))
-    if shifts:
-        return _per_row(t, keys, lambda h, r: (ter_edits(h, r), len(r)), "edits long, ref_len long")
-    from tessera.session import ship_package
-
-    ship_package(df.sparkSession)
     t = t.select(*keys, F.greatest(F.size("_r"), F.lit(0)).cast("long").alias("ref_len"), coded_words("_h", "_r").alias("_c"))
     return t.select(*keys, F.levenshtein("_c.h", "_c.r").cast("long").alias("edits"), "ref_len")
 
 
-def corpus_edit_rate(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference",
-                     shifts: bool = False, name: str = "ter") -> DataFrame:
-    st = with_edit_stats(df, keys, hyp, ref, shifts)
+def corpus_edit_rate(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference", name: str = "wer") -> DataFrame:
+    """Summed edits over summed reference words."""
+    st = with_edit_stats(df, keys, hyp, ref)
     agg = st.agg(F.sum("edits").alias("edits"), F.sum("ref_len").alias("ref_len"), F.count(F.lit(1)).alias("n_rows"))
     return agg.select(F.round(rate(F.col("edits"), F.col("ref_len")), 6).alias(name), "edits", "ref_len", "n_rows")

@@ -14,6 +14,7 @@ from tessera.functions.tok13a import tokenize_13a
 from tessera.operators.metrics.ngrams import BLEU_STAT_COLS, CHRF_STAT_COLS, sum_stats, with_bleu_stats, with_chrf_stats
 from tessera.operators.metrics.rows import summed, with_row_stats
 from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, r6
+from tessera.plans.physical import group_row_number
 
 
 def corpus_profile(pairs: DataFrame, a: str = "src", b: str = "tgt") -> DataFrame:
@@ -74,6 +75,11 @@ def epoch_loss(history: DataFrame, run: str = "run", epoch: str = "epoch", loss:
     return history.groupBy(run, epoch).agg(r6(F.avg(loss)).alias("mean_loss"), F.count(F.lit(1)).alias("n_batches"))
 
 
+def numbered_batches(history: DataFrame, run: str = "run", epoch: str = "epoch", step: str = "step", batch_col: str = "batch_idx") -> DataFrame:
+    """The place of each batch in its run's epoch, from 0 in the order of ``step``. A run with most rows is numbered by many tasks."""
+    return group_row_number(history, [run, epoch], [step], batch_col)
+
+
 def logged_batches(history: DataFrame, every: int, batch_col: str = "batch_idx") -> DataFrame:
     """The rows a logger with interval ``every`` would keep."""
     return history.where(F.col(batch_col) % every == 0)

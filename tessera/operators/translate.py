@@ -3,8 +3,8 @@
 * ``DictionaryModel``: the trainable model on Spark, a lookup view ``(tok, out)``
   fitted from pairs by dictionary induction (T5), used by join (J3/J4).
 * ``FunctionModel``: any batch translator ``list[str] -> list[str]``, loaded once
-  per Python worker and applied with ``mapInPandas`` in fixed-size batches (the
-  hook for neural models, which are not part of this engine).
+  per Python worker and applied to batches of texts of about equal length, cut at a
+  greatest length (the hook for neural models, which are not part of this engine).
 
 The back-translation loop (T6) writes and commits every round's models and synthetic pairs
 in the shared folder and reads them back, so each round starts from a short
@@ -14,18 +14,18 @@ lineage, survives lost executors and can be taken up again after a stop.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions.text import Script, normalise_if
+from tessera.functions.text import Script, normalise_if, py_split
 from tessera.operators.dictionary import (
     align_tokens, dictionary_entries, dictionary_state, forward_view, induce_dictionary, map_tokens, merge_states, state_view,
     translate as translate_by_join,
 )
-from tessera.plans.physical import DEFAULT_BROADCAST_ROWS
+from tessera.plans.physical import DEFAULT_BROADCAST_ROWS, spread
 from tessera.session import shared_folder
 
 
@@ -43,33 +43,62 @@ class DictionaryModel:
 _LOADED: dict[str, Callable] = {}
 
 
+def cut_words(text: Column, length: Column, most: int | None) -> Column:
+    """The first ``most`` words, joined by spaces, of a text of more (``length``) words; other texts as they are."""
+    return text if most is None else F.when(length > most, F.array_join(F.slice(py_split(text), 1, most), " ")).otherwise(text)
+
+
 @dataclass
 class FunctionModel:
-    """``load()`` returns ``fn(list[str]) -> list[str]``; called once per worker process."""
+    """``load()`` returns ``fn(list[str]) -> list[str]``; called once per worker process.
+
+    Texts are cut at ``max_length`` words and results at ``max_new`` words (None: not at all). Rows are sorted by length
+    within their partitions first, so the texts of a batch need about the same padding, and a batch holds at most
+    ``batch_size`` texts and ``batch_words`` words (one longer text is a batch of its own). Null texts count as empty.
+    """
 
     load: Callable[[], Callable[[list[str]], list[str]]]
     batch_size: int = 16
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    max_length: int | None = None
+    max_new: int | None = None
+    batch_words: int = 16_384
 
     def apply(self, df: DataFrame, keys: list[str], text_col: str, out_col: str) -> DataFrame:
         from tessera.session import ship_package
 
         ship_package(df.sparkSession)
-        load, bs, name = self.load, self.batch_size, self.name
-        schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
-
-        def run(batches):
+        load, most, words, name = self.load, self.batch_size, self.batch_words, self.name
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        rows = spread(df).withColumn("_len", F.size(py_split(text)))
+        rows = rows.withColumn("_cut", cut_words(text, F.col("_len"), self.max_length)).sortWithinPartitions("_len")
+        if self.max_length is not None:
+            rows = rows.withColumn("_len", F.least("_len", F.lit(self.max_length)))
+
+        @F.pandas_udf("string")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             fn = _LOADED.get(name)
             if fn is None:
                 fn = _LOADED[name] = load()
-            for pdf in batches:
-                texts = pdf[text_col].fillna("").tolist()
-                out: list[str] = []
-                for i in range(0, len(texts), bs):
-                    out.extend(fn(texts[i:i + bs]))
-                yield pdf.assign(**{out_col: pd.Series(out, index=pdf.index, dtype=object)})
-
-        return df.mapInPandas(run, schema)
+            for texts, lengths in batches:
+                texts, out = texts.tolist(), []
+                for i, j in batch_bounds(lengths.tolist(), most, words):
+                    out.extend(fn(texts[i:j]))
+                yield pd.Series(out, dtype=object)
+
+        done = rows.withColumn(out_col, run.asNondeterministic()("_cut", "_len"))
+        return done.withColumn(out_col, cut_words(F.col(out_col), F.size(py_split(F.col(out_col))), self.max_new)).drop("_len", "_cut")
+
+
+def batch_bounds(lengths: list[int], most: int, words: int) -> list[tuple[int, int]]:
+    """Consecutive ranges of at most ``most`` texts and, where they hold more than one, ``words`` words."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(lengths):
+        if i > first and (i - first == most or held + n > words):
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    return out + [(first, len(lengths))] if lengths else out
 
 
 def translate(df: DataFrame, model, keys: list[str], text_col: str, out_col: str = "translation") -> DataFrame:

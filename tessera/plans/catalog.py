@@ -405,7 +405,9 @@ def q_encode_longest(spark, d):
 
 
 # ---------------------------------------------------------------- 2.7 / 2.9 reports
-from tessera.operators.report import best_so_far, corpus_profile, epoch_loss, final_best, split_counts  # noqa: E402
+from tessera.operators.report import (  # noqa: E402
+    best_so_far, corpus_profile, epoch_loss, final_best, logged_batches, numbered_batches, split_counts,
+)
 
 
 def metric_history(spark: SparkSession, d: str) -> DataFrame:
@@ -439,6 +441,16 @@ def q_epoch_loss(spark, d):
     return out.withColumn("epoch", F.date_format("epoch", "yyyy-MM-dd"))
 
 
+@register("logged_batches", """
+WITH b AS (SELECT user_id AS run, CAST(ts AS DATE) AS epoch, event_id AS step, value AS loss,
+                  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS batch_idx FROM events)
+SELECT run, strftime(epoch, '%Y-%m-%d') AS epoch, step, batch_idx, loss FROM b WHERE batch_idx % 3 = 0""")
+def q_logged_batches(spark, d):
+    """Every third batch of each run's epoch."""
+    history = metric_history(spark, d).select("run", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "step", "loss")
+    return logged_batches(numbered_batches(history), 3).select("run", "epoch", "step", "batch_idx", "loss")
+
+
 @register("best_so_far", """
 SELECT user_id AS run, event_id AS step, value AS bleu,
   value > greatest(0.0, coalesce(max(value) OVER (PARTITION BY user_id ORDER BY event_id
@@ -459,7 +471,7 @@ def q_final_best(spark, d):
 from tessera.functions.text import ENGLISH  # noqa: E402
 from tessera.operators.filters import filter_decisions, quality_filter  # noqa: E402
 from tessera.operators.translate import (  # noqa: E402
-    DictionaryModel, back_translation, fit_dictionary_model, round_trip, synthetic_pairs,
+    DictionaryModel, FunctionModel, back_translation, fit_dictionary_model, round_trip, synthetic_pairs,
 )
 
 
@@ -502,6 +514,21 @@ def q_round_trip(spark, d):
     return round_trip(mono, en_xx, xx_en, ["doc_id"])
 
 
+def _reversing_model():
+    """A stand-in for a neural model: words in reverse order, the batch as the model would get it."""
+    return lambda texts: [" ".join(reversed(t.split())) for t in texts]
+
+
+@register("function_translation", f"""
+WITH t AS (SELECT doc_id, {Q.split_ws("coalesce(text, '')")} AS w FROM documents)
+SELECT doc_id, array_to_string(list_reverse(w[1:64])[1:48], ' ') AS translation, len(w) > 64 AS cut FROM t""")
+def q_function_translation(spark, d):
+    """Any batch function over all documents, texts cut at 64 words and results at 48."""
+    model = FunctionModel(_reversing_model, batch_size=16, max_length=64, max_new=48)
+    return model.apply(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", "translation").select(
+        "doc_id", "translation", (tx.word_count(F.coalesce("text", F.lit(""))) > 64).alias("cut"))
+
+
 _LATIN = r"'\A[a-zA-Z\s\x0b\p{P}0-9]+\z'"
 
 
@@ -585,7 +612,7 @@ def q_back_translation_rounds(spark, d):
     return back_translation(spark, par, mono_a, mono_b, ENGLISH, SRC_SCRIPT, rounds=3)
 
 
-# ---------------------------------------------------------------- A7, A9, A10 (rows only: no byte-exact SQL twin)
+# ---------------------------------------------------------------- A7, A9, A10
 from tessera.operators.metrics.edit import corpus_edit_rate  # noqa: E402
 from tessera.operators.metrics.meteor import corpus_meteor, with_meteor  # noqa: E402
 
@@ -595,12 +622,7 @@ WITH RECURSIVE {Q.HUB}, e AS ({Q.word_edit_rows('hub', _KEYS)}),
 s AS (SELECT sum(edits)::BIGINT AS edits, sum(ref_words)::BIGINT AS ref_len, count(*) AS n_rows FROM e)
 SELECT round(CASE WHEN ref_len > 0 THEN 100.0::DOUBLE * edits / ref_len WHEN edits > 0 THEN 100.0 ELSE 0.0 END, 6) AS wer, edits, ref_len, n_rows FROM s""")
 def q_word_error_rate(spark, d):
-    return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=False, name="wer")
-
-
-@register("ter_corpus")
-def q_ter_corpus(spark, d):
-    return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS, shifts=True, name="ter")
+    return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS)
 
 
 @register("meteor_corpus")
@@ -895,3 +917,42 @@ def q_split_table(spark, d):
 def q_page_cap(spark, d):
     """L1: the first 300 paragraphs over all pages (the cap is the feature)."""
     return page_paragraphs(table(spark, d, "pages"), LO, HI, max_texts=300)
+
+
+# ---------------------------------------------------------------- S7: load where complete, else collect
+from tessera.sources.corpora import load_or_collect  # noqa: E402
+
+
+def _collectors(spark, d):
+    docs = table(spark, d, "documents").where(F.col("lang") == "en").select("source", "doc_id", "text")
+    return {"en": lambda: article_paragraphs(docs, "source", "doc_id", "text", sep="\n", per_topic=100, max_texts=1000),
+            "fr": lambda: page_paragraphs(table(spark, d, "pages"), LO, HI, max_texts=1000)}
+
+
+@register("collected_corpora", f"""
+WITH p AS (
+  SELECT source, doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS pos
+  FROM (SELECT source, doc_id, string_split(text, {Q.NL}) AS parts FROM documents WHERE lang = 'en')),
+f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS rn FROM p
+      WHERE len({Q.split_ws('text')}) > 10 AND NOT starts_with(text, '==')),
+en AS (SELECT row_number() OVER (ORDER BY source, doc_id, pos) - 1 AS line_no, text FROM f WHERE rn <= 100),
+pp AS ({_PAGE_SQL}),
+fr AS (SELECT row_number() OVER (ORDER BY page_id, pos) - 1 AS line_no, text FROM pp),
+al AS (SELECT 'en' AS lang, line_no, text FROM en WHERE line_no < 1000 UNION ALL SELECT 'fr', line_no, text FROM fr WHERE line_no < 1000)
+SELECT lang, line_no, {Q.strip(_ONE_LINE)} AS text FROM al WHERE line_no < 500""")
+def q_collected_corpora(spark, d):
+    """S7 with no files: articles (S9) and pages (S8) are collected, written (K1) and the first 500 texts a language used (L2)."""
+    return load_or_collect(spark, _scratch(spark, "corpora"), _collectors(spark, d), per_lang=500)
+
+
+@register("loaded_corpora", f"""
+WITH a AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS line_no, {Q.strip(_ONE_LINE)} AS text
+           FROM documents WHERE lang IN ('en', 'fr')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY line_no) AS rn FROM a WHERE text <> '')
+SELECT lang, line_no, text FROM b WHERE rn <= 500""")
+def q_loaded_corpora(spark, d):
+    """S7 with the files of both languages there: they are loaded and nothing is collected."""
+    out = _scratch(spark, "corpora")
+    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", "lang", "text")
+    write_corpus(docs, out, order=("doc_id",))
+    return load_or_collect(spark, out, _collectors(spark, d), per_lang=500)

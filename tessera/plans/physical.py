@@ -2,9 +2,8 @@
 
 * ``bounded_broadcast``: broadcast a side only after counting it against a limit;
   beyond the limit the join stays a shuffle join (AQE may still split skew).
-* ``dense_row_number``: a global 0-based row number in a given order without a
-  single-partition window: literal bucket bounds from a bounded sample, counts per
-  bucket, prefix offsets over that tiny table, and numbers inside each bucket.
+* ``dense_row_number`` / ``group_row_number``: row numbers in a given order, over all rows or within
+  groups, without a window over them: a range partitioning written once, and offsets by partition.
 """
 
 from __future__ import annotations
@@ -46,65 +45,49 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
-SAMPLE_PER_BUCKET = 60
+#: monotonically_increasing_id counts from 0 in each partition, above the partition's number.
+ID_BITS = 33
 
 
-def _literal(value, kind) -> Column:
-    return F.lit(value).cast(kind)
+def written_in_order(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, written once, with ``_part`` (partition) and ``_in`` (place in it, from 0).
 
-
-def bucket_bounds(keys: DataFrame, buckets: int) -> list:
-    """Up to ``buckets - 1`` ascending key rows that cut ``keys`` into parts of about equal size.
-
-    From a sample of about ``buckets * SAMPLE_PER_BUCKET`` rows, drawn by a hash of the key.
+    The written numbers stay as they are however often and in whatever part the table is read.
     """
-    n = keys.count()
-    if n == 0 or buckets < 2:
-        return []
-    share = min(1.0, buckets * SAMPLE_PER_BUCKET / n)
-    drawn = keys.where(F.pmod(F.xxhash64(*keys.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = [r[0] for r in drawn.select(F.struct(*keys.columns).alias("k")).orderBy("k").collect()]
-    if not rows:
-        return []
-    at = sorted({len(rows) * b // buckets for b in range(1, buckets)} - {0})
-    return list(dict.fromkeys(rows[i] for i in at))
-
-
-def bucket_of(key: Column, bounds: list, kinds: list) -> Column:
-    """Number of the bucket of ``key`` (a struct) as a search tree of literal comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        bound = F.struct(*[_literal(v, k).alias(f"c{i}") for i, (v, k) in enumerate(zip(bounds[mid], kinds))])
-        return F.when(key < bound, tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged, "ordered")
+    return ranged.withColumn("_part", F.shiftright("_at", ID_BITS)).withColumn("_in", F.col("_at").bitwiseAND((1 << ID_BITS) - 1)).drop("_at")
 
 
 def dense_row_number(df: DataFrame, order: list, name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """Add a 0-based dense row number following ``order`` (ascending columns, a total order; nulls first).
 
-    The bounds of the buckets are taken once, from a bounded sample, and stand in the plan as
-    literals. So every use of the bucket column agrees, whatever Spark prunes or reuses:
-    one branch counts rows per bucket (one row each, summed into offsets), the other
-    numbers the rows inside each bucket.
+    A row's number is its place in its partition of ``written_in_order`` plus the rows of the partitions before (one
+    row per partition, broadcast). The size of the plan does not depend on the number of partitions.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = df.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(cols)])
     keys = [f"_k{i}" for i in range(len(cols))]
-    kinds = [f.dataType for f in keyed.select(*keys).schema.fields]
-    key = F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])
-    keyed = keyed.withColumn("_bucket", bucket_of(key, bucket_bounds(keyed.select(*keys), n), kinds))
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # a window over one row per bucket
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys)) - 1
-    return (keyed.withColumn("_local", local).join(F.broadcast(offsets), "_bucket")
-            .withColumn(name, F.col("_off") + F.col("_local"))
-            .select(*df.columns, name))
+    placed = written_in_order(df.select("*", *[c.alias(k) for c, k in zip(cols, keys)]), keys, partitions)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_off") + F.col("_in")).alias(name))
+
+
+def group_row_number(df: DataFrame, group: list[str], order: list[str], name: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """Add a 0-based dense row number within each group (null is a group, too), following ``order``.
+
+    No window runs over a group's rows: a group is cut by the range partitioning like any rows, and only one row per
+    group and partition is windowed, so a group with a third of all rows is numbered by many tasks.
+    """
+    placed = written_in_order(df, [*group, *order], partitions)
+    per = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spots = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_in").alias("_base")).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_part").alias("_p"), "_base", F.coalesce(F.sum("_n").over(per), F.lit(0)).alias("_off"))
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(spots, on).select(*df.columns, (F.col("_in") - F.col("_base") + F.col("_off")).alias(name))
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -11,13 +11,14 @@ def _one_line(col):
 
 
 def write_corpus(df: DataFrame, path: str, fmt: str = "text", lang_col: str = "lang",
-                 text_col: str = "text", order: tuple[str, ...] = ("line_no",)) -> None:
-    """K1: one folder per language, one text per line, in ``order``."""
+                 text_col: str = "text", order: tuple[str, ...] = ("line_no",), replace_all: bool = True) -> None:
+    """K1: one folder per language, one text per line, in ``order``. Without ``replace_all`` only the folders of the
+    languages written are replaced."""
     out = df.orderBy(lang_col, *order)
     if fmt == "text":
-        out.select(lang_col, _one_line(F.col(text_col)).alias("value")).write.mode("overwrite").partitionBy(lang_col).text(path)
-    else:
-        out.write.mode("overwrite").partitionBy(lang_col).parquet(path)
+        out = out.select(lang_col, _one_line(F.col(text_col)).alias("value"))
+    to = out.write.mode("overwrite").option("partitionOverwriteMode", "static" if replace_all else "dynamic").partitionBy(lang_col)
+    to.text(path) if fmt == "text" else to.parquet(path)
 
 
 def write_dictionary_tsv(dictionary: DataFrame, path: str, order: list[str] | None = None,

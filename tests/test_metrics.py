@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,9 +8,7 @@ from pyspark.sql import functions as F
 import twins
 from tessera.functions.porter import stem
 from tessera.functions.tok13a import tokenize_13a
-from tessera.operators.metrics.edit import (
-    corpus_edit_rate, distance, levenshtein_trace, ter_edits, with_edit_stats,
-)
+from tessera.operators.metrics.edit import corpus_edit_rate, with_edit_stats
 from tessera.operators.metrics.meteor import corpus_meteor, with_meteor
 from tessera.operators.metrics.ngrams import BLEU_STAT_COLS, CHRF_STAT_COLS, sum_stats, with_bleu_stats, with_chrf_stats
 from tessera.operators.metrics.scores import bleu_exp, bleu_unsmoothed, chrf, sentence_bleu
@@ -89,39 +88,6 @@ def test_word_edits_native_matches_python(spark, hub):
     assert wer.wer == pytest.approx(round(100.0 * wer.edits / wer.ref_len, 6))
 
 
-def test_levenshtein_helpers():
-    rnd = random.Random(3)
-    import numpy as np
-    for _ in range(200):
-        a = [rnd.choice("abc") for _ in range(rnd.randint(0, 8))]
-        b = [rnd.choice("abcd") for _ in range(rnd.randint(0, 8))]
-        d = twins.levenshtein(a, b)
-        assert levenshtein_trace(a, b)[0] == d
-        codes = {}
-        enc = lambda ws: np.array([codes.setdefault(w, len(codes)) for w in ws], dtype=np.int64)
-        assert distance(enc(a), enc(b)) == d
-
-
-def test_ter_shift():
-    # one block shift fixes the order: 1 shift, 0 edits left
-    assert ter_edits("c d a b".split(), "a b c d".split()) == 1
-    assert ter_edits([], "a b".split()) == 2
-    assert ter_edits("a b".split(), "a b".split()) == 0
-    rnd = random.Random(5)
-    for _ in range(50):
-        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 9))]
-        b = [rnd.choice("abcde") for _ in range(rnd.randint(0, 9))]
-        assert ter_edits(a, b) <= twins.levenshtein(a, b)
-
-
-def test_ter_corpus_rows(spark, hub):
-    got = corpus_edit_rate(hub, ["id"], shifts=True).first()
-    edits = sum(ter_edits(h.lower().split(), r.lower().split()) for _, h, r in _pairs(60))
-    refs = sum(len(r.split()) for _, _, r in _pairs(60))
-    assert (got.edits, got.ref_len) == (edits, refs)
-    assert got.ter == pytest.approx(round(100.0 * edits / refs, 6))
-
-
 def test_porter_published_examples():
     cases = {"caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed",
              "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
@@ -186,3 +152,80 @@ def test_survey_regression_statistics(spark):
         assert [st[f"match_{n}"] for n in range(1, 5)] == [2923, 199, 20, 9]
         assert [st[f"total_{n}"] for n in range(1, 5)] == [42541, 42308, 42075, 41842]
         assert (st.hyp_len, st.ref_len) == (42541, 8728)
+
+
+# ---------------------------------------------------------------- the pruned filter and the one-pass report
+def test_bleu_bound_is_never_below_the_score():
+    """The bounds from lengths and from shared tokens against the counted score, on random and on near-equal token lists."""
+    from tessera.operators.metrics.ngrams import COUNTED, bleu_bound, bleu_counts_above, clipped
+
+    rnd = random.Random(11)
+    decided = Counter()
+    for i in range(4000):
+        r = [rnd.choice(WORDS) for _ in range(rnd.randint(0, 14))]
+        h = [w for w in r if rnd.random() > 0.1] if i % 2 else [rnd.choice(WORDS) for _ in range(rnd.randint(0, 14))]
+        m, t, a, b = twins.bleu_stats(h, r)
+        score = twins.bleu_exp(m, t, a, b, effective_order=True) / 100
+        assert bleu_bound(a, b, min(a, b)) >= bleu_bound(a, b, clipped(Counter(h), Counter(r))) - 1e-12 >= score - 2e-12, (h, r)
+        for threshold in (0.0, 0.3, 0.7, 1.0):
+            how, stats = bleu_counts_above(h, r, threshold)
+            decided[how] += 1
+            if how == COUNTED:
+                assert stats[:4] == m and stats[4:8] == t
+            else:
+                assert score < threshold
+    assert min(decided.values()) > 100 and len(decided) == 3
+
+
+def test_filter_decisions_and_scores(spark):
+    from tessera.operators.filters import decided_pairs, filter_decisions, quality_filter
+
+    rows = [(1, "the cat sat on the mat", "x", "the cat sat on the mat"), (2, "the cat sat on the mat", "x", "the"), (3, "a b c d", "x", "e f g h"),
+            (4, "été", "abc", "no"), (5, "été", "a" * 40, "no"), (None, "same words here now", "y", "same words here now"), (6, None, "z", None), (7, "", "", "")]
+    df = spark.createDataFrame(rows, "id long, orig string, trans string, back string")
+    got = {r.id: (r.decided_by, r.kept) for r in decided_pairs(df, ["id"]).collect()}
+    assert got == {1: ("n-grams", True), 2: ("lengths", False), 3: ("shared tokens", False), 4: ("ratio", True), 5: ("ratio", False),
+                   None: ("n-grams", True), 6: ("ratio", True), 7: ("ratio", False)}
+    assert {r.id for r in quality_filter(df, ["id"]).collect()} == {1, 4, None, 6}
+    report = {r.decided_by: (r.n_rows, r.n_kept) for r in filter_decisions(df, ["id"]).collect()}
+    assert report == {"n-grams": (2, 2), "lengths": (1, 0), "shared tokens": (1, 0), "ratio": (4, 2)}
+
+
+def test_evaluation_report_in_one_pass(spark, hub):
+    """Every level equals the single metrics over its rows; the plan reads the examples once and shuffles sums only."""
+    from tessera.operators.metrics.meteor import corpus_meteor
+    from tessera.operators.report import bleu_by_length, corpus_scores, error_analysis, evaluation_report, full_report
+
+    hub = hub.withColumn("source", F.concat_ws(" ", "reference", "prediction"))
+    hub = hub.unionByName(spark.createDataFrame([(100, "ends with a dash-\n ", "ends with a dash-", "x"), (101, None, "gone", "y"), (102, "Kept", None, None)],
+                                                "id long, prediction string, reference string, source string"))
+    examples = hub.withColumn("direction", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    report = evaluation_report(examples, 0xC0, 0xFF)
+    got = {(r.level, r.direction, r.bucket): r for r in report.collect()}
+    assert len([k for k in got if k[0] == "all"]) == 1 and sum(k[0] == "direction" for k in got) == 2
+    for key, part in ((("all", None, None), hub), (("direction", "odd", None), hub.where("id % 2 = 1"))):
+        one, scores = got[key], corpus_scores(part).first()
+        assert (one.bleu, one.bleu_smoothed, one.chrf) == (scores.bleu, sum_and_score(part), scores.chrf)
+        assert one.wer == corpus_edit_rate(part, ["id"]).first().wer
+        meteor = corpus_meteor(part, ["id"]).first()
+        assert (one.meteor_exact, one.meteor_exact_stem) == (meteor.meteor_exact, meteor.meteor_exact_stem)
+    complete = hub.where("prediction IS NOT NULL AND reference IS NOT NULL")
+    whole = evaluation_report(complete.withColumn("direction", F.lit("d"))).where("level = 'all'").first()
+    errors = error_analysis(complete).first()
+    assert (whole.avg_length_diff, whole.untranslated_percentage, whole.n_rows) == (errors.avg_length_diff, errors.untranslated_percentage, errors.n_rows)
+    buckets = {r.bucket: (r.bleu, r["count"], r.percentage) for r in bleu_by_length(hub).collect()}
+    assert buckets == {b.bucket: (b.bleu, b["count"], b.percentage) for b in full_report(hub, ["id"]).first().length_analysis}
+    plan = evaluation_report(examples, 0xC0, 0xFF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Expand" in plan
+
+
+def sum_and_score(part):
+    st = sum_stats(with_bleu_stats(part, ["id"], tokenize_13a(F.col("prediction"), True), tokenize_13a(F.col("reference"), True)), BLEU_STAT_COLS)
+    return st.select(F.round(bleu_exp(), 6).alias("b")).first().b
+
+
+def test_meteor_exact_only(spark):
+    df = spark.createDataFrame([(1, "running dogs ran", "runs dogs ran"), (2, "a b", "a b"), (3, "", "x"), (4, None, None)], "id long, prediction string, reference string")
+    got = {r.id: (r.meteor_exact, r.meteor_exact_stem) for r in with_meteor(df, ["id"]).collect()}
+    assert got[1][0] == pytest.approx((1 - 0.5 * (1 / 2) ** 3) * 2 / 3) and got[1][1] > got[1][0]
+    assert got[2][0] == pytest.approx(1 - 0.5 * (1 / 2) ** 3) and got[3] == got[4] == (0.0, 0.0)

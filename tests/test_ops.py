@@ -256,3 +256,40 @@ def test_best_so_far_keeps_rows_without_step(spark):
     assert got == {("r", 1): True, ("r", None): False, ("r", 2): True, ("r", 3): False, (None, 1): False}
     scores = spark.createDataFrame([("r", 1, 0.5), ("r", 2, 0.9), ("r", 3, None)], "run string, step long, bleu double")
     assert tuple(final_best(scores).first()) == ("r", 0.9, 2)
+
+
+def test_group_row_number_of_a_hot_group(spark):
+    """A group with most rows is cut over partitions and numbered without gaps; a null group, repeated orders and an empty table."""
+    from tessera.plans.physical import group_row_number
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("g"),
+                                    ((F.col("id") * 7919) % 30_011).alias("s"))
+    got = group_row_number(df, ["g"], ["s"], partitions=8)
+    want = {}
+    for r in df.orderBy("s").collect():
+        want.setdefault(r.g, []).append(r.s)
+    rows = got.collect()
+    assert len(rows) == 30_000 and all(want[r.g][r.row_no] == r.s for r in rows)
+    spots = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in spots  # no window over a group's rows
+    assert sorted(r.row_no for r in group_row_number(df.select("g", F.lit(1).alias("s")).where("g = 'hot'"), ["g"], ["s"], partitions=3).collect()) == list(range(21_000))
+    assert group_row_number(df.where("false"), ["g"], ["s"]).count() == 0
+
+
+def test_row_number_plan_does_not_grow_with_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 5003).alias("v"))
+    small, large = (len(dense_row_number(df, ["v"], partitions=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (4, 400))
+    assert abs(small - large) < 50
+    assert [r.row_no for r in dense_row_number(df, ["v"], partitions=400).orderBy("v").collect()] == list(range(5000))
+
+
+def test_function_model_cuts_and_batches(spark):
+    from tessera.operators.translate import batch_bounds
+
+    assert batch_bounds([1, 1, 1, 9, 20, 3], 2, 10) == [(0, 2), (2, 4), (4, 5), (5, 6)] and batch_bounds([], 2, 10) == []
+    seen = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9)) or None) for i in range(60)], "id long, t string")
+    model = FunctionModel(lambda: (lambda texts: [f"{len(texts)} {max(len(t.split()) for t in texts)} {t}" for t in texts]), batch_size=4, max_length=5, max_new=4)
+    for r in model.apply(seen, ["id"], "t", "out").collect():
+        n, longest, *rest = r.out.split()
+        words = (r.t or "").split()
+        assert 1 <= int(n) <= 4 and int(longest) <= 5 and rest == words[:5][:2] and (r.t is None) == (r.id % 9 == 0)

@@ -197,3 +197,28 @@ def test_short_reference_in_chrf(spark):
     for engine in ("arrow", "jvm"):
         row = with_chrf_stats(df, [], F.col("p"), F.col("r"), engine=engine).first()
         assert [row[f"chyp_{n}"] for n in range(1, 7)] == [8, 7, 0, 0, 0, 0]
+
+
+def test_load_or_collect(spark, tmpdir_path):
+    """Both languages' files are loaded; with one missing both are collected; a second run loads what the first collected."""
+    from tessera.sources.corpora import load_or_collect
+
+    calls = []
+
+    def collector(lang, texts):
+        def collect():
+            calls.append(lang)
+            return spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+        return collect
+
+    collect = {"en": collector("en", ["one", "two\nlines", " ", "three"]), "bo": collector("bo", ["ཀ", "ཁ"])}
+    out = f"{tmpdir_path}/mono"
+    first = sorted(tuple(r) for r in load_or_collect(spark, out, collect).collect())
+    assert first == [("bo", 0, "ཀ"), ("bo", 1, "ཁ"), ("en", 0, "one"), ("en", 1, "two lines"), ("en", 3, "three")] and calls == ["en", "bo"]
+    again = load_or_collect(spark, out, collect, per_lang=2)
+    assert sorted(tuple(r) for r in again.collect()) == [r for r in first if r != ("en", 3, "three")] and calls == ["en", "bo"]
+    half = f"{tmpdir_path}/half"
+    spark.createDataFrame([("only english",)], "v string").write.text(f"{half}/lang=en")
+    assert sorted(tuple(r) for r in load_or_collect(spark, half, collect).collect()) == first and calls == ["en", "bo"] * 2
+    none = load_or_collect(spark, f"{tmpdir_path}/none", {"en": collector("en", []), "bo": collector("bo", ["x"])})
+    assert [tuple(r) for r in none.collect()] == [("bo", 0, "x")]
