@@ -7,9 +7,9 @@ comes up is skipped for good if a keyed hash of (seed, row, number of the unit i
 unit, span) falls under the dropout rate, so a row is cut alike on every run and retry.
 
 A text is cut into units that no piece crosses (spaces and the signs after them, line ends);
-a unit's pieces depend on which of its spans are dropped. The pieces of a unit and a set of
-dropped spans are kept in a bounded cache; the draws themselves are made for every unit of
-every text. The key of a row (``variant``) is a 64-bit hash of its id and text: copies in different
+a unit's pieces depend on which of its spans are dropped. For each unit a bounded cache keeps its pieces
+without dropout and the spans these merge. Those spans are drawn for every unit of
+every text; only where one is dropped is the unit's agenda run again, with all draws of its own. The key of a row (``variant``) is a 64-bit hash of its id and text: copies in different
 rows are segmented differently. Decoding gives back exactly the text: a sign U+2581 in the
 text, which pieces use for the space, is written as bytes.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ DROPOUT = 0.1
 SEED = 17
 MARK = "▁"
 CACHE_UNITS = 200_000
-SHORT_UNIT = 40
-MASK_BITS = 40  # a unit with more spans that may merge is not cached
+BLOCK_UNITS = 200_000
+LONG_TEXT = 1 << 20  # signs of a text whose units are taken one by one
+SHORT_UNIT = 40  # longer units are merged each time
 NONE = 1 << 40
 UNITS = re.compile(f" *[^ \\n{MARK}]+| +|\\n|{MARK}")
 MASK = (1 << 64) - 1
@@ -104,8 +106,10 @@ def _all_dropped(own: np.ndarray, left: np.ndarray, end: np.ndarray, limit: int)
     return ((x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(11) < np.uint64(limit)
 
 
-def merge_many(symbols: np.ndarray, own: np.ndarray, vocabulary: Vocabulary, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def merge_many(symbols: np.ndarray, own: np.ndarray, vocabulary: Vocabulary, limit: int,
+               spans: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """The agendas of many units of the same length together: every round takes the best candidate of each unit.
+    ``spans`` collects what was merged, as (units' numbers, begins, ends) of every round.
 
     ``symbols`` [units, signs]; whether a candidate is dropped depends on its span alone, so dropped
     ones never enter. A unit leaves when its agenda is empty; the others have merged equally often.
@@ -143,6 +147,8 @@ def merge_many(symbols: np.ndarray, own: np.ndarray, vocabulary: Vocabulary, lim
         rows = np.arange(len(live))
         m = symbols.shape[1]
         made = becomes[rows, best]
+        if spans is not None:
+            spans.append((live, start[rows, best], start[rows, best + 2]))
 
         def without(x, at):                                     # each row without its cell ``at``
             keep = np.arange(x.shape[1]) != at[:, None]
@@ -230,17 +236,9 @@ def encode_unit(unit: str, vocabulary: Vocabulary, own: int, dropout: float) ->
     return out
 
 
-def spans_of(unit: str, cost: dict[str, float]) -> tuple[list[tuple[int, int]], int]:
-    """The spans of a unit that can come up as candidates; first those that merge without dropout, and how many these are."""
-    n = len(unit)
-    made = {(i, i + 1) for i in range(n)}
-    can = []
-    for size in range(2, n + 1):
-        for i in range(n - size + 1):
-            if unit[i:i + size] in cost and any((i, k) in made and (k, i + size) in made for k in range(i + 1, i + size)):
-                made.add((i, i + size))
-                can.append((i, i + size))
-    symbols, starts, free = list(unit), list(range(n)), []
+def free_spans(unit: str, cost: dict[str, float]) -> list[tuple[int, int]]:
+    """The spans that merge without dropout, in their order."""
+    symbols, starts, free = list(unit), list(range(len(unit))), []
     none = float("inf")
     while len(symbols) > 1:
         agenda = [cost.get(a + b, none) for a, b in zip(symbols, symbols[1:])]
@@ -251,110 +249,168 @@ def spans_of(unit: str, cost: dict[str, float]) -> tuple[list[tuple[int, int]],
         symbols[i] += symbols[i + 1]
         del symbols[i + 1], starts[i + 1]
         free.append((starts[i], starts[i] + len(symbols[i])))
-    taken = set(free)
-    return free + [x for x in can if x not in taken], len(free)
+    return free
 
 
 class Encoder:
+    """Units seen last, with their pieces without dropout and the spans that these merge.
+
+    A unit is cut like that unless one of those spans is dropped; only then is it merged under its own draws. At most
+    ``CACHE_UNITS`` units are kept besides those of the block at hand, which are at most ``BLOCK_UNITS``.
+    """
+
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.vocabulary, self.dropout, self.seed = vocabulary, dropout, seed
         self.limit = int(dropout * (1 << 53))
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.types: dict[str, int] = {}                 # unit -> its number
-        self.cache: dict[int, bytes] = {}               # number and dropped spans -> piece ids as 32-bit numbers
-        self.first, self.size, self.free, self.hash = array("q"), array("q"), array("q"), array("Q")
-        self.left, self.end = array("Q"), array("Q")
-
-    def _learn(self, unit: str) -> int:
-        """Number a unit and note its spans; size -1: not cached."""
-        at = self.types[unit] = len(self.types)
-        self.first.append(len(self.left))
-        self.hash.append(xxhash.xxh64_intdigest(unit.encode()))
-        spans, free = spans_of(unit.replace(" ", MARK), self.vocabulary.cost) if len(unit) <= SHORT_UNIT and unit != MARK else ([], 0)
-        cached = (len(unit) <= SHORT_UNIT or not self.limit) and len(spans) <= MASK_BITS and at < 1 << 22
-        self.size.append(len(spans) if cached else -1)
-        self.free.append((1 << free) - 1 if cached else 0)
-        if cached:
-            self.left.extend([a for a, _ in spans])
-            self.end.extend([b for _, b in spans])
-        return at
-
-    def _keys(self, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Number and dropped spans of each unit; the same key means the same pieces. Not cached: a number below zero of its own."""
-        first, size, free = (np.array(x, np.int64)[kind] for x in (self.first, self.size, self.free))
-        left, end = np.array(self.left, np.uint64), np.array(self.end, np.uint64)
-        mask = np.zeros(len(kind), np.int64)
-        for a in range(0, len(kind) if self.limit else 0, 1 << 17):
-            n = np.maximum(size[a:a + (1 << 17)], 0)
-            owner = np.repeat(np.arange(len(n)), n)
-            bit = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            span = bit + np.repeat(first[a:a + (1 << 17)], n)
-            hit = np.flatnonzero(_all_dropped(own[a:a + (1 << 17)][owner], left[span], end[span], self.limit))
-            mask[a:a + (1 << 17)] = np.bincount(owner[hit], weights=np.ldexp(1.0, bit[hit]), minlength=len(n)).astype(np.int64)
-        mask[(mask & free) == 0] = 0                            # nothing that would merge is dropped
-        return np.where(size < 0, -1 - np.arange(len(kind)), (kind << MASK_BITS) | mask)
+        self.plain: list[bytes] = []                    # piece ids as 32-bit numbers
+        self.first, self.size, self.hash = array("q"), array("q"), array("Q")
+        self.left, self.end = array("B"), array("B")
 
-    def _merge(self, units: list[str], own: np.ndarray) -> list[bytes]:
-        """Piece ids of each unit under its own draws."""
+    def _learn(self, units: list[str]) -> None:
+        """Number new short units and note their pieces and spans."""
         v = self.vocabulary
-        out: list[bytes | None] = [None] * len(units)
+        plain = [b""] * len(units)
+        of, left, end = [], [], []                      # every span with its unit
+        for some, symbols in self._alike(units):
+            merged: list = []
+            for which, rows in merge_many(symbols, np.zeros(len(some), np.uint64), v, 0, merged):
+                self._take(plain, some, which, rows)
+            for unit, begin, to in merged:
+                of.append(some[unit])
+                left.append(begin)
+                end.append(to)
+        apart = [i for i, p in enumerate(plain) if not p]  # units with signs that are no symbols
+        for i in apart:
+            plain[i] = encode_unit(units[i], v, 0, 0.0).tobytes()
+            free = free_spans(units[i].replace(" ", MARK), v.cost) if units[i] != MARK else []
+            of.append(np.full(len(free), i))
+            left.append(np.array([x for x, _ in free], np.uint64))
+            end.append(np.array([x for _, x in free], np.uint64))
+        owner, left, end = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (of, left, end))
+        if apart:  # what merged before such a unit was found not to be made of pieces only
+            merged_apart = np.isin(owner, apart)
+            merged_apart[len(owner) - sum(len(x) for x in of[len(of) - len(apart):]):] = False
+            owner, left, end = (x[~merged_apart] for x in (owner, left, end))
+        by = np.argsort(owner, kind="stable")
+        size = np.bincount(owner.astype(np.int64), minlength=len(units))
+        at = len(self.plain)
+        self.types.update(zip(units, range(at, at + len(units))))
+        self.first.frombytes((len(self.left) + np.cumsum(size) - size).astype(np.int64).tobytes())
+        self.size.frombytes(size.astype(np.int64).tobytes())
+        self.left.frombytes(left[by].astype(np.uint8).tobytes())
+        self.end.frombytes(end[by].astype(np.uint8).tobytes())
+        self.plain += plain
+        digest = xxhash.xxh64_intdigest
+        self.hash.extend([digest(u.encode()) for u in units])
+
+    def _alike(self, units: list[str]):
+        """(places, symbols) of the units of equal length whose signs all are symbols."""
         alike: dict[int, list[int]] = {}
         for i, u in enumerate(units):
             alike.setdefault(len(u), []).append(i)
         for size, some in alike.items():
-            if not 1 < size <= SHORT_UNIT:
-                continue
-            signs = np.frombuffer("".join(units[i].replace(" ", MARK) for i in some).encode("utf-32-le"), np.uint32)
-            symbols = v.sign[signs].reshape(-1, size)
-            plain = (symbols >= 0).all(axis=1)
-            many = np.array(some)[plain]
-            if not len(many):
-                continue
-            for which, rows in merge_many(symbols[plain], own[many], v, self.limit):
-                width = 4 * rows.shape[1]
-                raw = np.ascontiguousarray(rows, np.int32).tobytes()
-                spelt = (rows < len(v.spelt)).all(axis=1).tolist()
-                for x, (i, known) in enumerate(zip(many[which].tolist(), spelt)):
-                    if known:
-                        out[i] = raw[x * width:(x + 1) * width]
-        return [encode_unit(u, v, int(own[i]), self.dropout).tobytes() if out[i] is None else out[i] for i, u in enumerate(units)]
+            if 1 < size <= SHORT_UNIT:
+                signs = np.frombuffer("".join([units[i] for i in some]).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+                symbols = self.vocabulary.sign[signs].reshape(-1, size)
+                known = (symbols >= 0).all(axis=1)
+                if known.any():
+                    yield np.array(some)[known], symbols[known]
+
+    def _take(self, out: list, some: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
+        """Put the merged rows that are all pieces into ``out``."""
+        width = 4 * rows.shape[1]
+        raw = np.ascontiguousarray(rows, np.int32).tobytes()
+        spelt = (rows < len(self.vocabulary.spelt)).all(axis=1).tolist()
+        for x, (i, known) in enumerate(zip(some[which].tolist(), spelt)):
+            if known:
+                out[i] = raw[x * width:(x + 1) * width]
+
+    def _touched(self, kind: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Which units have a span dropped that would merge."""
+        first, size = np.frombuffer(self.first, np.int64)[kind], np.frombuffer(self.size, np.int64)[kind]
+        left, end = (np.frombuffer(x, np.uint8).astype(np.uint64) if len(x) else np.empty(0, np.uint64) for x in (self.left, self.end))
+        hit = np.zeros(len(kind), bool)
+        for a in range(0, len(kind), 1 << 17):
+            n = size[a:a + (1 << 17)]
+            owner = np.repeat(np.arange(len(n)), n)
+            span = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:a + (1 << 17)], n)
+            hit[a + owner[_all_dropped(own[a:a + (1 << 17)][owner], left[span], end[span], self.limit)]] = True
+        return hit
 
-    def encode_all(self, texts: list[str], variants: list[int]) -> list[array]:
-        """Piece ids of each text; an empty text has none."""
+    def _merge(self, units: list[str], own: np.ndarray) -> list[bytes]:
+        """Piece ids of each unit under its own draws."""
+        out: list[bytes] = [b""] * len(units)
+        for some, symbols in self._alike(units):
+            for which, rows in merge_many(symbols, own[some], self.vocabulary, self.limit):
+                self._take(out, some, which, rows)
+        return [x or encode_unit(u, self.vocabulary, int(o), self.dropout).tobytes() for x, u, o in zip(out, units, own.tolist())]
+
+    def _encode_units(self, units: list[str], own: np.ndarray) -> list[bytes]:
+        """Piece ids of each unit; ``own`` is a hash of its row and place."""
         if len(self.types) >= CACHE_UNITS:
-            self._clear()
-        elif len(self.cache) >= 2 * CACHE_UNITS:
-            self.cache = {}
-        cut = [UNITS.findall(" " + t) if t else [] for t in texts]
-        units = [u for c in cut for u in c]
-        get = self.types.get
-        kind = np.array([k if (k := get(u)) is not None else self._learn(u) for u in units], np.int64)
-        sizes = np.array([len(c) for c in cut], np.int64)
-        ends = np.cumsum(sizes)
-        rows = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{x}".encode()) for x in variants], np.uint64)
-        place = (np.arange(len(units)) - np.repeat(ends - sizes, sizes)).astype(np.uint64)
-        own = np.repeat(rows, sizes) + place * np.uint64(0x9E3779B97F4A7C15)
-        own = (own ^ np.array(self.hash, np.uint64)[kind]) * np.uint64(0xD6E8FEB86659FD93)
+            self.clear()
+        new = [u for u in dict.fromkeys(units) if u not in self.types and len(u) <= SHORT_UNIT]
+        if new:
+            self._learn(new)
+        kind = np.fromiter(map(self.types.get, units, repeat(-1)), np.int64, len(units))
+        hashes = np.frombuffer(self.hash, np.uint64)[kind] if len(self.hash) else np.zeros(len(kind), np.uint64)
+        long_units = np.flatnonzero(kind < 0)
+        if len(long_units):
+            hashes[long_units] = [xxhash.xxh64_intdigest(units[i].encode()) for i in long_units.tolist()]
+        own = (own ^ hashes) * np.uint64(0xD6E8FEB86659FD93)
         own = (own ^ (own >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        keys, at, which = np.unique(self._keys(kind, own), return_index=True, return_inverse=True)
-        pieces = [self.cache.get(k) for k in keys.tolist()]
-        missing = [i for i, x in enumerate(pieces) if x is None]
-        for i, x in zip(missing, self._merge([units[j] for j in at[missing].tolist()], own[at[missing]])):
+        changed = kind < 0
+        if self.limit and len(self.plain):
+            short = np.flatnonzero(kind >= 0)
+            changed[short[self._touched(kind[short], own[short])]] = True
+        plain = self.plain
+        pieces = [b"" if c else plain[k] for k, c in zip(kind.tolist(), changed.tolist())]
+        anew = np.flatnonzero(changed)
+        for i, x in zip(anew.tolist(), self._merge([units[i] for i in anew.tolist()], own[anew])):
             pieces[i] = x
-            if keys[i] >= 0:
-                self.cache[int(keys[i])] = x
-        which = which.tolist()
-        return [array("i", b"".join([pieces[x] for x in which[e - n:e]])) for n, e in zip(sizes.tolist(), ends.tolist())]
+        return pieces
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[array]:
+        """Piece ids of each text; an empty text has none. At most ``BLOCK_UNITS`` units are in hand at a time."""
+        out = [array("i") for _ in texts]
+        rows, of, places, units = [], [], [], []
+
+        def flush() -> None:
+            sizes = np.array([len(p) for p in places], np.int64)
+            place = np.concatenate([np.arange(p.start, p.stop, dtype=np.uint64) for p in places])
+            own = np.repeat(np.array(rows, np.uint64), sizes) + place * np.uint64(0x9E3779B97F4A7C15)
+            pieces, at = self._encode_units(units, own), 0
+            for t, n in zip(of, sizes.tolist()):
+                out[t].frombytes(b"".join(pieces[at:at + n]))
+                at += n
+            for x in (rows, of, places, units):
+                x.clear()
+
+        for t, (text, variant) in enumerate(zip(texts, variants)):
+            if not text:
+                continue
+            row, place = xxhash.xxh64_intdigest(f"{self.seed}:{variant}".encode()), 0
+            found = iter(UNITS.findall(" " + text)) if len(text) < LONG_TEXT else (m.group() for m in UNITS.finditer(" " + text))
+            while part := list(islice(found, BLOCK_UNITS - len(units))):
+                units += part
+                rows.append(row)
+                of.append(t)
+                places.append(range(place, place + len(part)))
+                place += len(part)
+                if len(units) >= BLOCK_UNITS:
+                    flush()
+        if units:
+            flush()
+        return out
 
     def encode(self, text: str, variant: int = 0) -> array:
         return self.encode_all([text], [variant])[0]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}  # a worker process keeps its caches from task to task
-
-
 def decode(ids, vocabulary: Vocabulary) -> str:
     """The text of piece ids: spelt out, without the space that encoding put before it."""
     spelt = vocabulary.spelt
@@ -387,7 +443,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
                       variant_of(F.col(id_col), F.col(text_col), seed).alias("variant"))
 
     def run(batches):
-        encoder = _ENCODERS.setdefault((model, dropout, seed), Encoder(shared.value, dropout, seed))
+        encoder = Encoder(shared.value, dropout, seed)  # its cache lasts for the task
         for batch in batches:
             variant = batch.column("variant").to_pylist()
             sizes, every, same, ids_sizes = [], array("i"), [], [0]
