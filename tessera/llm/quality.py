@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,26 +118,34 @@ def _token_features(word: bytes) -> tuple[int, int]:
     return got
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features (indexes, values) of a whole text."""
-    raw = (text or "").encode()
-    words = raw.split()
+def features(words: list[bytes], stats: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features (indexes, values) of a whole text's words and statistics."""
     idx, val = [], []
     n = max(len(words), 1)
     for w, c in Counter(words).items():
         t, s = _token_features(w)
         idx += (t, s)
         val += (c / n, 3 * c / n)
-    for name, x in statistics(raw, words).items():
+    for name, x in stats.items():
         step = round(x / 2) if name == "word_length" else int(min(x, 0.99) * 20)
         idx.append(zlib.crc32(f"b{name}{step}".encode()) % DIM)
         val.append(1.0)
     return np.array(idx, np.int64), np.array(val)
 
 
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    raw = (text or "").encode()
+    words = raw.split()
+    return features(words, statistics(raw, words))
+
+
+def _score(i: np.ndarray, x: np.ndarray, w: np.ndarray, bias: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[i] @ x + bias, -30, 30))))
+
+
 def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """AdaGrad logistic regression over one shard of the sample; the target is P(good)."""
-    data = [(*features(t), 1 - b) for t, b in zip(pdf.sort_values("draw")["text"], pdf.sort_values("draw")["bad"])]
+    data = [(*text_features(t), 1 - b) for t, b in zip(pdf.sort_values("draw")["text"], pdf.sort_values("draw")["bad"])]
     w, g, bias = np.zeros(DIM), np.full(DIM, 1e-6), 0.0
     for _ in range(EPOCHS):
         for i, x, y in data:
@@ -211,16 +220,13 @@ def scorer(spark: SparkSession, weights: np.ndarray | None, bias: float):
     shared = spark.sparkContext.broadcast((None if weights is None else weights.astype(np.float32), bias))
 
     @F.pandas_udf("double")
-    def quality(text: pd.Series) -> pd.Series:
+    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = shared.value
-        out = []
-        for t in text:
-            if w is None or t is None or not t.strip():
-                out.append(0.0)
-                continue
-            i, x = features(t)
-            out.append(float(1 / (1 + np.exp(-np.clip(w[i] @ x + b, -30, 30)))))
-        return pd.Series(out, dtype=float)
+        try:
+            for texts in batches:
+                yield pd.Series([0.0 if w is None or t is None or not t.strip() else _score(*text_features(t), w, b) for t in texts], dtype=float)
+        finally:
+            _CACHE.clear()
 
     return quality
 
@@ -236,21 +242,35 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     spark = docs.sparkSession
     prepare(spark)
     labellers, weights, bias = fit(docs, id_col, text_col, train_rows)
-    bad = spark.sparkContext.broadcast(labellers[2])
-
-    @F.pandas_udf("votes string, weak_bad double")
-    def voted(text: pd.Series) -> pd.DataFrame:
-        p = [pattern(t) for t in text]
-        return pd.DataFrame({"votes": pd.Series(p, dtype=object), "weak_bad": [bad.value.get(k, np.nan) if k else np.nan for k in p]})
+    shared = spark.sparkContext.broadcast((labellers[2], None if weights is None else weights.astype(np.float32), bias))
+
+    @F.pandas_udf("votes string, weak_bad double, score double")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bad, w, b = shared.value
+        try:
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    raw = (t or "").encode()
+                    words = raw.split()
+                    if not words:
+                        rows.append((None, None, 0.0))
+                        continue
+                    stats = statistics(raw, words)
+                    p = "".join("-0+"[v + 1] for v in votes(stats))
+                    rows.append((p, bad.get(p), 0.0 if w is None or not t.strip() else _score(*features(words, stats), w, b)))
+                yield pd.DataFrame(rows, columns=["votes", "weak_bad", "score"]).astype({"weak_bad": float, "score": float})
+        finally:
+            _CACHE.clear()
 
-    out = docs.select(F.col(id_col).alias("doc_id"), voted(F.col(text_col).cast("string")).alias("v"),
-                      scorer(spark, weights, bias)(F.col(text_col).cast("string")).alias("score"))
-    return out.select("doc_id", "v.votes", F.nanvl("v.weak_bad", F.lit(None).cast("double")).alias("weak_bad"), "score",
-                      (F.col("score") >= min_score).alias("accepted"))
+    out = docs.select(F.col(id_col).alias("doc_id"), judged(F.col(text_col).cast("string")).alias("v"))
+    return out.select("doc_id", "v.votes", F.nanvl("v.weak_bad", F.lit(None).cast("double")).alias("weak_bad"), "v.score",
+                      (F.col("v.score") >= min_score).alias("accepted"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, **options) -> DataFrame:
-    """The rows that the classifier accepts, all columns kept."""
+    """The rows that the classifier accepts, all columns kept. Null, empty and blank texts go; repeated rows are judged alike and
+    each kept; a very long text is judged whole; an empty table gives no rows."""
     spark = docs.sparkSession
     prepare(spark)
     _, weights, bias = fit(docs, id_col, text_col, **options)
