@@ -4,8 +4,9 @@ Each language has a raw-content zstandard dictionary: whole learning texts of th
 chosen by the order of a hash of their id, up to ``dictionary_bytes``. A text is compressed
 once with every dictionary and belongs to the language that makes it smallest. The score is
 the relative margin to the second smallest, 1 - best / second; predictions with a score
-under ``min_margin`` are rejected (their ``lang_pred`` still names the best language), but for
-texts under ``min_bytes`` folded bytes, which are too short to speak against every language.
+under ``min_margin`` are rejected (their ``lang_pred`` still names the best language). A tie is rejected at any
+length. Sizes are whole bytes, so in a text of under 1 / ``min_margin`` compressed bytes one byte of
+difference is enough, and in longer ones the difference must grow with the length.
 
 Texts and dictionaries are folded first: lower case, and every run of other signs than
 letters as one space. A text is compressed in chunks of ``CHUNK`` bytes, each against the
@@ -28,7 +29,6 @@ from tessera.llm.common import prepare
 
 DICTIONARY_BYTES = 64 << 10
 MIN_MARGIN = 0.004
-MIN_BYTES = 64
 CHUNK = 2048
 LEVEL = 6
 UND = "und"
@@ -56,14 +56,14 @@ def fit_dictionaries(docs: DataFrame, learn: Column, id_col: str = "doc_id", tex
     share = F.lit(0)
     for lang, b in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(int((1 << 30) * min(1.0, 2 * dictionary_bytes / b)))).otherwise(share)
-    drawn = src.where(F.col("draw") < share).select("lang", "draw", F.substring("text", 1, dictionary_bytes).alias("text"))
+    drawn = src.where(F.col("draw") < share).select("lang", "draw", F.substring("text", 1, dictionary_bytes).alias("text")).distinct()  # copies share a draw
     got: dict[str, list[bytes]] = {lang: [] for lang in sizes}
     for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["text"])):
         got[r["lang"]].append(fold(r["text"]))
     missing = [lang for lang, texts in got.items() if not texts]
     if missing:  # a language of few, large texts may miss the draw: its first row by the same order
         for r in src.where(F.col("lang").isin(missing)).groupBy("lang").agg(
-                F.min_by(F.substring(F.encode("text", "utf-8"), 1, dictionary_bytes), "draw").alias("text")).collect():
+                F.min_by(F.substring("text", 1, dictionary_bytes), "draw").alias("text")).collect():
             got[r["lang"]].append(fold(r["text"]))
     # copies teach nothing; the largest language comes first
     return {lang: b" ".join(dict.fromkeys(got[lang]))[:dictionary_bytes] for lang in sorted(got, key=lambda x: (-sizes[x], x))}
@@ -89,11 +89,11 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predictor(spark, dictionaries: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN, min_bytes: int = MIN_BYTES):
+def predictor(spark, dictionaries: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN):
     """Column function: text -> struct(lang_pred, score, accepted).
 
     Null texts, and texts without a letter, are ``und`` with score 0 and rejected. A tie goes
-    to the language with the most learning text, with score 0. With one language there is no
+    to the language with the most learning text, with score 0, and is rejected. With one language there is no
     margin: it is accepted with score 1.
     """
     shared = spark.sparkContext.broadcast(dictionaries)
@@ -102,12 +102,11 @@ def predictor(spark, dictionaries: dict[str, bytes], level: int = LEVEL, min_mar
     def predict(text: pd.Series) -> pd.DataFrame:
         names = list(shared.value)
         packers = _compressors(shared.value, level)
-        best, score, short = [], [], []
+        best, score = [], []
         for t in text:
             if t is None or not names or not has_letter(t):
                 best.append(UND)
                 score.append(0.0)
-                short.append(False)
                 continue
             raw = fold(t)
             chunks = [raw[i:i + CHUNK] for i in range(0, len(raw), CHUNK)]
@@ -115,9 +114,8 @@ def predictor(spark, dictionaries: dict[str, bytes], level: int = LEVEL, min_mar
             i = int(np.argmin(sizes))
             best.append(names[i])
             score.append(1 - sizes[i] / min(s for k, s in enumerate(sizes) if k != i) if len(sizes) > 1 else 1.0)
-            short.append(len(raw) < min_bytes)
         out = pd.DataFrame({"lang_pred": best, "score": np.array(score, float)})
-        out["accepted"] = (out["lang_pred"] != UND) & ((out["score"] >= min_margin) | np.array(short, bool) | (len(names) == 1))
+        out["accepted"] = (out["lang_pred"] != UND) & ((out["score"] >= min_margin) & (out["score"] > 0))
         return out
 
     return predict
@@ -125,7 +123,11 @@ def predictor(spark, dictionaries: dict[str, bytes], level: int = LEVEL, min_mar
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              dictionary_bytes: int = DICTIONARY_BYTES, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, accepted`` for every row (repeated rows each); an empty table gives no rows."""
+    """``doc_id, held_out, lang_pred, score, accepted`` for every row (repeated rows each); an empty table gives no rows.
+
+    Null texts and texts without a letter are ``und``; a very long text is compressed whole, chunk by chunk; rows with a null
+    id are learnt from as ``learn`` says. Other columns are not read.
+    """
     spark = docs.sparkSession
     prepare(spark)
     predict = predictor(spark, fit_dictionaries(docs, learn, id_col, text_col, lang_col, dictionary_bytes), min_margin=min_margin)
@@ -134,7 +136,8 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
 
 def keep_identified(docs: DataFrame, learn: Column, **options) -> DataFrame:
-    """The rows whose language is identified with a sufficient margin, all columns kept."""
+    """The rows whose language is identified with a sufficient margin, all columns kept. Null, empty and letterless texts go;
+    repeated rows are judged alike and each kept; an empty table gives no rows."""
     spark = docs.sparkSession
     prepare(spark)
     margin = options.pop("min_margin", MIN_MARGIN)
