@@ -204,6 +204,12 @@ def components(links: DataFrame, max_steps: int = 100) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def label_classes(classes: DataFrame, max_bits: int, cell_block: int) -> DataFrame:
+    """``classes`` (one row per fingerprint ``fp``) with ``label``, the smallest fingerprint of its component."""
+    labels = materialise(components(link_fingerprints(classes, max_bits, cell_block)), "labels")
+    return classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(*classes.columns, F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS, cell_block: int = CELL_BLOCK) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (the smallest
@@ -211,33 +217,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and word-less texts have fingerprint zero, linked like any other. Rows with a null id
     take part but name no component (null if all ids of a component are null). Repeated rows
-    are returned each. An empty table gives no rows. Other columns are not read.
+    are returned each; a very long text is hashed whole, its bits counted in steps. An empty table gives no
+    rows. Other columns are not read.
     """
     prepare(docs.sparkSession)
     marked = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                                      fingerprint_udf(words)(F.col(text_col).cast("string")).alias("fp")), "fingerprints")
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies")), "classes")
-    labels = materialise(components(link_fingerprints(classes, max_bits, cell_block)), "labels")
-    labelled = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", "n_copies", F.coalesce("label", "fp").alias("label"))
+    labelled = label_classes(classes, max_bits, cell_block)
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_fp = labelled.join(smallest, "label").select("fp", "component_id", "n_copies")
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each component of near-duplicates, all columns kept: the one with the smallest id (of repeated
-    ids, one row). Where no row of a component has an id, one row of each fingerprint stays."""
-    groups = near_duplicates(docs, id_col, **options)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    with_id = docs.join(kept, docs[id_col].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return with_id
-    # only components without any id may keep a row that has none
-    text = options.get("text_col", "text")
-    fp = F.lower(F.lpad(F.hex(fingerprint_udf(options.get("words", SHINGLE_WORDS))(F.col(text).cast("string"))), 16, "0"))
-    alone = groups.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fp")).distinct()
-    rest = nameless.withColumn("_fp", fp).join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return with_id.unionByName(rest)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+             cell_block: int = CELL_BLOCK) -> DataFrame:
+    """One row of each component of near-duplicates, all columns kept.
+
+    The row with the smallest id stays (rows without an id come last); of several such rows the one with the smallest hash of
+    its text, then any one, which a written number fixes for all retries. So every component keeps exactly one row, also where
+    ids repeat or are missing; texts without words are one component. An empty table gives no rows; columns of any name pass.
+    """
+    prepare(docs.sparkSession)
+    text = F.col(f"`{text_col}`").cast("string")
+    row = F.struct(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("at"),
+                   fingerprint_udf(words)(text).alias("fp"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    rows = materialise(docs.select(row.alias("r")).select("r.*"), "rows-to-keep")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "at")
+    classes = materialise(rows.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    kept = label_classes(classes, max_bits, cell_block).groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("doc.*")

@@ -1,11 +1,15 @@
 """Cases that the operators once left out: skewed and missing ids, unaligned passages, replaced words, repeated units."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_dropout, decontamination, quality
+from tessera.llm import bpe_dropout, decontamination, language_id, quality, simhash
 
 
 def test_op8_sample_is_bounded_under_one_key(spark):
@@ -94,14 +98,104 @@ def test_op3_repeated_units_and_rows_vary():
     assert [list(bpe_dropout.Encoder(vocabulary, 0.2).encode(text, i)) for i in range(3)] == rows[:3]  # whatever the cache holds
 
 
-def test_op3_cached_pieces_are_those_of_the_agenda():
-    vocabulary = bpe_dropout.load_vocabulary()
-    rnd = random.Random(5)
-    coder = bpe_dropout.Encoder(vocabulary, 0.15)
-    units = [" " + "".join(rnd.choice("theonirxas") for _ in range(rnd.randint(1, 20))) for _ in range(60)] * 40
-    own = np.array([rnd.getrandbits(64) for _ in units], np.uint64)
-    kind = np.array([coder.types[u] if u in coder.types else coder._learn(u) for u in units])
-    seen = {}
-    for k, u, x in zip(coder._keys(kind, own).tolist(), units, own.tolist()):
-        assert seen.setdefault(k, p := bpe_dropout.encode_unit(u, vocabulary, x, 0.15)) == p
-    assert len(seen) < len(units)
+def plain_encoding(text, variant, vocabulary, dropout, seed=bpe_dropout.SEED):
+    """Unit by unit, every agenda run under its own draws; hashes in Python integers."""
+    full, out = (1 << 64) - 1, []
+    row = xxhash.xxh64_intdigest(f"{seed}:{variant}".encode())
+    for place, unit in enumerate(bpe_dropout.UNITS.findall(" " + text) if text else []):
+        own = (row + place * 0x9E3779B97F4A7C15) & full
+        own = ((own ^ xxhash.xxh64_intdigest(unit.encode())) * 0xD6E8FEB86659FD93) & full
+        own = ((own ^ (own >> 32)) * 0x9E3779B97F4A7C15) & full
+        out += bpe_dropout.encode_unit(unit, vocabulary, own, dropout)
+    return out
+
+
+def test_op3_cached_pieces_are_those_of_the_agenda(monkeypatch):
+    """What the cache of plain pieces and the merging in groups give is what each unit's agenda gives, for common, rare and long units."""
+    vocabulary, rnd = bpe_dropout.load_vocabulary(), random.Random(5)
+    words = ["".join(rnd.choice("theonirxas") for _ in range(rnd.randint(1, 20))) for _ in range(80)]
+    words += ["日本語", "😀x", "naïveté", "▁", "a▁b", "\u0301e", "1234567", "x" * 39, "y" * 41, "z" * 300, "\n", "  ", "été" * 12]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(40)] + ["", " ", "▁▁"]
+    for dropout in (0.0, 0.15, 0.6):
+        want = [plain_encoding(t, i, vocabulary, dropout) for i, t in enumerate(texts)]
+        for block, cache in ((200_000, 200_000), (7, 30)):
+            monkeypatch.setattr(bpe_dropout, "BLOCK_UNITS", block)
+            monkeypatch.setattr(bpe_dropout, "CACHE_UNITS", cache)
+            monkeypatch.setattr(bpe_dropout, "LONG_TEXT", 1 << 20 if block > 7 else 50)
+            coder = bpe_dropout.Encoder(vocabulary, dropout)
+            assert [list(x) for x in coder.encode_all(texts, list(range(len(texts))))] == want
+            assert all(bpe_dropout.decode(x, vocabulary) == t for x, t in zip(want, texts))
+
+
+def test_keep_one_keeps_one_row_of_every_component(spark):
+    """Repeated and missing ids, and columns named like helpers: every component keeps exactly one row."""
+    a, b, c = "alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue yellow black white"
+    rows = [(1, a), (1, b), (5, b), (7, c), (5, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["text"] for r in got.collect()) == sorted([a, b, c])
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(1, a), (1, b), (5, c)}
+    nameless = spark.createDataFrame([(None, a), (None, a + "!"), (None, b), (None, None), (None, "")], "doc_id long, text string")
+    for name in ("_kept_id", "_fp", "fp", "at", "id", "h", "doc", "r", "label", "first", "a.b"):
+        clash = simhash.keep_one(nameless.withColumn(name, F.lit(1)))
+        assert clash.columns == ["doc_id", "text", name]
+        kept = clash.collect()
+        assert len({(r["text"] or "") for r in kept}) == len(kept) and {b} <= {r["text"] for r in kept} and sum(not r["text"] for r in kept) == 1
+
+
+def test_op4_language_of_few_large_texts(spark):
+    """A language whose texts all miss the draw still gets a dictionary; copies of a drawn row reach the driver once."""
+    german = "der hund und die katze laufen durch den garten und sehen die vögel am himmel " * 45_000
+    for i in (1, 2, 3):
+        rows = [(j, "the dog and the cat run through the garden and see the birds", "en") for j in range(100, 140)] + [(i, german, "de")] * 2
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = language_id.fit_dictionaries(df, F.lit(True))
+        assert set(got) == {"en", "de"} and all(isinstance(v, bytes) and 0 < len(v) <= language_id.DICTIONARY_BYTES for v in got.values())
+        assert {r["lang_pred"] for r in language_id.identify(df, F.lit(True)).collect()} == {"en", "de"}
+
+
+def test_op4_sizes_by_plain_compression(spark):
+    """Prediction, score and rejection against sizes from plain zstandard calls; ties are rejected at any length."""
+    import zstandard
+
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat and the dog ran home", "en"), ("le chat est sur le tapis et le chien court", "fr")] * 15)]
+    rows += [(50, "x", None), (51, "the", None), (52, "le chat", None), (53, "the cat et le chien", None), (54, "zzz " * 3000, None), (55, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    books = language_id.fit_dictionaries(df, F.lit(True))
+    accepted = set()
+    for r in language_id.identify(df, F.lit(True)).collect():
+        text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        if not any(map(str.isalpha, text)):
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        raw, sizes = language_id.fold(text), {}
+        for lang, body in books.items():
+            packer = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                              write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(raw[k:k + 2048])) for k in range(0, len(raw), 2048))
+        first, second = sorted(sizes.values())
+        assert sizes[r["lang_pred"]] == first and r["score"] == pytest.approx(1 - first / second)
+        assert r["accepted"] == (first < second and 1 - first / second >= language_id.MIN_MARGIN)
+        accepted.add(r["accepted"])
+    assert accepted == {True, False}
+
+
+def test_op8_against_plain_em_and_scorer(spark):
+    """Votes, posterior and score of every row against a plain run of the same rules over the collected texts."""
+    rnd, words = random.Random(4), "the cat sat on a mat and saw some birds in the old garden".split()
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 60))) for _ in range(60)]
+    texts += ["### $$$ @@@ " * 20, "BUY NOW!! " * 30, "spam spam spam spam " * 30, "", None, "   ", "|||| ---- ==== " * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labellers, weights, bias = quality.fit(df)
+    counts = Counter(p for t in texts if (p := quality.pattern(t)))
+    share, given, posterior = quality.fit_labellers(dict(counts))
+    assert labellers[0] == pytest.approx(share) and labellers[2] == pytest.approx(posterior)
+    for r in quality.classify(df).collect():
+        t = texts[r["doc_id"]]
+        assert r["votes"] == quality.pattern(t)
+        if not (t or "").split():
+            assert (r["weak_bad"], r["score"], r["accepted"]) == (None, 0.0, False)
+            continue
+        total = bias
+        for i, x in zip(*quality.text_features(t)):
+            total += float(np.float32(weights[i])) * x
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and r["weak_bad"] == pytest.approx(posterior[r["votes"]])
