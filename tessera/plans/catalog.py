@@ -21,7 +21,7 @@ from tessera.plans.derive import (
     scored_examples, table, translated_pairs,
 )
 from tessera.plans.physical import dense_row_number
-from tessera.sources.web import article_paragraphs, page_paragraphs
+from tessera.sources.web import article_paragraphs, page_paragraphs, parsed_paragraphs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,6 +152,42 @@ def q_page_paragraphs(spark, d):
     return page_paragraphs(table(spark, d, "pages"), LO, HI, max_texts=None)
 
 
+_VOID_SQL = "['area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr']"
+_ELEMENT_SQL = "</?[a-zA-Z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>"
+_SPAN_TEXT = "array_to_string(texts[s + 1:e + 1], '')"
+for _from, _to in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&middot;", "chr(183)"),
+                   ("&copy;", "chr(169)"), ("&amp;", "'&'")):
+    _SPAN_TEXT = f"replace({_SPAN_TEXT}, '{_from}', {_to})"
+
+
+@register("parsed_paragraphs", rf"""
+WITH RECURSIVE x AS (
+  SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[!?][^>]*>', '', 'g') AS h FROM pages),
+c AS (SELECT page_id, regexp_extract_all(h, '{_ELEMENT_SQL}') AS tags, string_split(regexp_replace(h, '{_ELEMENT_SQL}', chr(1), 'g'), chr(1)) AS texts FROM x),
+ev AS MATERIALIZED (
+  SELECT page_id, i, lower(regexp_extract(tag, '^</?([a-zA-Z][^\s/>]*)', 1)) AS name, starts_with(tag, '</') AS closes, ends_with(tag, '/>') AS bare
+  FROM (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM c)),
+st AS (
+  SELECT page_id, 0::BIGINT AS i, []::STRUCT(name VARCHAR, i BIGINT)[] AS stack, []::STRUCT(s BIGINT, e BIGINT)[] AS done FROM c
+  UNION ALL
+  SELECT page_id, i, CASE WHEN closes AND lvl > 0 THEN stack[1:lvl - 1] WHEN NOT closes AND NOT bare AND NOT list_contains({_VOID_SQL}, name)
+                          THEN list_append(stack, {{'name': name, 'i': i}}) ELSE stack END,
+         CASE WHEN closes AND lvl > 0 THEN list_transform(list_filter(stack[lvl:], lambda y: y.name = 'p'), lambda y: {{'s': y.i, 'e': i - 1}})
+              WHEN NOT closes AND bare AND name = 'p' THEN [{{'s': i, 'e': i - 1}}] ELSE [] END
+  FROM (SELECT ev.*, st.stack, coalesce(len(st.stack) + 1 - list_position(list_reverse(list_transform(st.stack, lambda y: y.name)), ev.name), 0) AS lvl
+        FROM st JOIN ev ON ev.page_id = st.page_id AND ev.i = st.i + 1)),
+sp AS (
+  SELECT page_id, y.s AS s, y.e AS e FROM (SELECT page_id, unnest(done) AS y FROM st)
+  UNION ALL
+  SELECT page_id, y.i AS s, n AS e FROM (SELECT st.page_id, unnest(stack) AS y, len(tags) AS n FROM st JOIN c ON c.page_id = st.page_id AND st.i = len(c.tags)) WHERE y.name = 'p'),
+tx AS (
+  SELECT sp.page_id, row_number() OVER (PARTITION BY sp.page_id ORDER BY s) - 1 AS pos, {Q.strip(_SPAN_TEXT)} AS text FROM sp JOIN c ON c.page_id = sp.page_id)
+SELECT page_id, pos, text FROM tx WHERE regexp_matches(text, '[\x{{00C0}}-\x{{00FF}}]')""")
+def q_parsed_paragraphs(spark, d):
+    """S8 with paragraphs nested as a parser nests them."""
+    return parsed_paragraphs(table(spark, d, "pages"), LO, HI)
+
+
 # ---------------------------------------------------------------- 2.5 joins / 2.7 dictionary
 @register("line_zip", """
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line_no FROM documents WHERE lang = 'en'),

@@ -9,8 +9,9 @@ the pages are a table and paragraphs are cut by a fixed regular-expression rule
 3. keep the pieces that follow a start mark;
 4. drop tags, decode character references, collapse ASCII whitespace, trim.
 
-A parser nests an unclosed ``<p>`` differently in rare cases; this rule ends a
-paragraph at the next start or end mark.
+This rule ends a paragraph at the next start or end mark. ``parsed_paragraphs`` nests paragraphs as a parser
+without implied end tags does: an unclosed ``<p>`` goes on until an element around it ends, and holds the
+text of the paragraphs inside it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tessera.functions.text import contains_script, py_split
+from tessera.functions.text import contains_script, py_split, py_strip
 
 DROP_BLOCKS = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 P_START = "(?i)<p(\\s[^>]*)?>"
@@ -62,6 +63,69 @@ def page_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_te
     return paras.orderBy(id_col, "pos").limit(max_texts)  # L1: the cap is the feature
 
 
+# Elements without content.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+MARKUP = "(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[!?][^>]*>"
+ELEMENT = "</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+CUT = "\u0001"
+
+
+def paragraph_spans(tags: list[str], name: str = "p") -> list[tuple[int, int]]:
+    """For each ``<name>`` in order, the first and last text piece that it holds; piece i stands before tag i.
+
+    An end tag closes the nearest open element of its name and all that were opened inside it; without one it says nothing.
+    """
+    stack, opened, spans = [], {}, []
+    for i, tag in enumerate(tags):
+        what = tag.strip("</>").split(None, 1)[0].split("/", 1)[0].lower()
+        if not tag.startswith("</"):
+            if what in VOID:
+                continue
+            if what == name:
+                spans.append((i + 1, i if tag.endswith("/>") else len(tags)))
+            if not tag.endswith("/>"):
+                stack.append((what, len(spans) - 1))
+                opened[what] = opened.get(what, 0) + 1
+        elif opened.get(what):
+            while True:
+                top, at = stack.pop()
+                opened[top] -= 1
+                if top == name:
+                    spans[at] = (spans[at][0], i)
+                if top == what:
+                    break
+    return spans
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paragraphs(tags: pd.Series, texts: pd.Series) -> pd.Series:
+    out = []
+    for t, pieces in zip(tags, texts):
+        pieces = [html.unescape(x) if "&" in x else x for x in (() if pieces is None else pieces)]
+        out.append(["".join(pieces[a:b + 1]) for a, b in paragraph_spans([] if t is None else list(t))])
+    return pd.Series(out, dtype=object)
+
+
+def parsed_paragraphs(pages: DataFrame, lo: int = 0x0F00, hi: int = 0x0FFF, max_texts: int | None = None,
+                      id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """S8 as a parser nests it: ``(page_id, pos, text)`` of every ``<p>`` in source order (``pos`` counts all of a page from 0)
+    whose stripped text holds a code point in [lo, hi]; capped at ``max_texts`` (L1) when given.
+
+    The text of an element is all text inside it, without separators. Tags and texts are cut by Spark; the nesting of
+    a page is one pass over its tags. Null pages have no paragraphs.
+    """
+    from tessera.plans.physical import spread
+    from tessera.session import ship_package
+
+    ship_package(pages.sparkSession)
+    clean = F.replace(F.regexp_replace(F.col(html_col), MARKUP, ""), F.lit(CUT), F.lit(""))
+    cut = spread(pages.select(id_col, html_col)).select(
+        id_col, F.regexp_extract_all(clean, F.lit(ELEMENT), F.lit(0)).alias("tags"), F.split(F.regexp_replace(clean, ELEMENT, CUT), CUT, -1).alias("texts"))
+    paras = cut.select(id_col, _paragraphs.asNondeterministic()("tags", "texts").alias("p")).select(id_col, F.posexplode("p").alias("pos", "text"))
+    paras = paras.select(id_col, F.col("pos").cast("long").alias("pos"), py_strip(F.col("text")).alias("text")).where(contains_script(F.col("text"), lo, hi))  # F4
+    return paras if max_texts is None else paras.orderBy(id_col, "pos").limit(max_texts)  # L1: the cap is the feature
+
+
 def article_paragraphs(articles: DataFrame, topic_col: str = "source", order_col: str = "doc_id",
                        text_col: str = "text", sep: str = "\n\n", per_topic: int | None = None,
                        max_texts: int | None = None, min_words: int = 10) -> DataFrame:

@@ -222,3 +222,59 @@ def test_load_or_collect(spark, tmpdir_path):
     assert sorted(tuple(r) for r in load_or_collect(spark, half, collect).collect()) == first and calls == ["en", "bo"] * 2
     none = load_or_collect(spark, f"{tmpdir_path}/none", {"en": collector("en", []), "bo": collector("bo", ["x"])})
     assert [tuple(r) for r in none.collect()] == [("bo", 0, "x")]
+
+
+class _Nested(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """Paragraph texts by the standard library's parser and a tag stack: an end tag pops to its nearest open element."""
+
+    VOID = {"br", "img", "hr", "input", "meta", "link"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out, self.skip = [], [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.skip = tag in ("script", "style")
+        if tag in self.VOID or self.skip:
+            return
+        if tag == "p":
+            self.out.append([])
+        self.stack.append((tag, len(self.out) - 1))
+
+    def handle_startendtag(self, tag, attrs):
+        if tag == "p":
+            self.out.append([])
+
+    def handle_endtag(self, tag):
+        self.skip = False
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skip:
+            for t, i in self.stack:
+                if t == "p":
+                    self.out[i].append(data)
+
+
+def test_parsed_paragraphs_against_the_standard_parser(spark):
+    import random
+
+    from tessera.sources.web import parsed_paragraphs
+
+    rnd = random.Random(9)
+    bits = ["<p>", "<p>", "</p>", "<p class=\"a>b\">", "<P>", "</P >", "<div>", "</div>", "<b>", "</b>", "<article>", "</article>", "<br>", "<br/>", "<p/>", "<img src='x>y'>",
+            "<!-- <p>é</p> -->", "<script>var t='</p><p>é';</script>", "<style>p{}</style>", "é ", "text ", "&amp;é ", "&eacute;", "a < b ", "\n", "</section>", "<ul><li>", "</li></ul>"]
+    pages = [(i, "<!DOCTYPE html>" + "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40)))) for i in range(300)]
+    pages += [(300, None), (301, ""), (302, "<p>é" * 200), (303, "<p>" * 50 + "é" + "</p>" * 60)]
+    got = {}
+    for r in parsed_paragraphs(spark.createDataFrame(pages, "page_id long, html string"), 0xC0, 0xFF).collect():
+        got.setdefault(r.page_id, {})[r.pos] = r.text
+    for i, page in pages:
+        parser = _Nested()
+        parser.feed(page or "")
+        parser.close()
+        texts = ["".join(x).strip() for x in parser.out]
+        assert got.get(i, {}) == {k: t for k, t in enumerate(texts) if any("À" <= c <= "ÿ" for c in t)}, page
+    assert len(got[302]) == 200 and len(got[302][0]) == 200
