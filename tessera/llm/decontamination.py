@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -80,6 +81,10 @@ def folded(text: str) -> np.ndarray:
     return c[:-1] if len(c) and c[-1] == SPACE else c
 
 
+def spelt(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def qgram_hashes(c: np.ndarray, q: int = Q) -> np.ndarray:
     """A 64-bit hash of the q characters from each position (len - q + 1 of them), by doubling."""
     n = len(c) - q + 1
@@ -132,9 +137,12 @@ class Index:
         self.q = q
         self.ids: list[int] = []
         folds, hashes, owners, offsets = [], [], [], []
+        short: dict[str, list[int]] = {}
         for item, text in items:
             c = folded(text)
             if len(c) < max(min_chars, q):
+                if len(c):
+                    short.setdefault(f" {spelt(c)} ", []).append(item)
                 continue
             h = qgram_hashes(c, q)
             owners.append(np.full(len(h), len(self.ids), np.int32))
@@ -142,6 +150,11 @@ class Index:
             hashes.append(h)
             self.ids.append(item)
             folds.append(c)
+        self.short = ahocorasick.Automaton()
+        for run, ids in short.items():
+            self.short.add_word(run, (len(run), ids))
+        if short:
+            self.short.make_automaton()
         empty = np.empty(0, np.int32)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         by = np.argsort(h, kind="stable")
@@ -206,10 +219,24 @@ def banded_alignments(patterns: np.ndarray, text: np.ndarray, first: np.ndarray,
 
 def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
     """For each text the verified windows: (item_id, window_start, start, end, edits, shared)."""
-    out: list[list[tuple]] = [[] for _ in texts]
     folds = [folded(t) if t else np.empty(0, np.uint32) for t in texts]
-    if not len(index.hash):
-        return out
+    out = [_short_runs(c, index) for c in folds]
+    if len(index.hash):
+        _long_windows(folds, index, out)
+    for hits in out:
+        hits.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
+    return out
+
+
+def _short_runs(c: np.ndarray, index: Index) -> list[tuple]:
+    """Items too short for a window, where they stand as whole words."""
+    if not len(index.short) or not len(c):
+        return []
+    return [(item, 0, end + 1 - size, end - 1, 0, 0) for end, (size, ids) in index.short.iter(f" {spelt(c)} ") for item in ids]
+
+
+def _long_windows(folds: list[np.ndarray], index: Index, out: list[list[tuple]]) -> None:
+    """Adds the verified windows of each folded text."""
     gap = np.zeros(max(int(k.budget.max()) for k in index.kinds) + 2, np.uint32)  # costs more than any budget to cross
     sizes = np.array([len(c) + len(gap) for c in folds], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -220,7 +247,7 @@ def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
     n = np.searchsorted(index.hash, h[at], side="right") - lo
     at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
     if not len(at):
-        return out
+        return
     post = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     item, offset = index.owner[post].astype(np.int64), index.offset[post].astype(np.int64)
     doc = np.repeat(np.searchsorted(starts, at, side="right") - 1, n)
@@ -246,9 +273,6 @@ def find_windows(texts: list[str | None], index: Index) -> list[list[tuple]]:
                         found[d, i, w, e] = hit
         for (d, *_), hit in found.items():
             out[d].append(hit)
-    for hits in out:
-        hits.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
-    return out
 
 
 def _candidates(kind: Windows, doc: np.ndarray, item: np.ndarray, offset: np.ndarray, diagonal: np.ndarray):
@@ -308,9 +332,9 @@ def leak_finder(spark: SparkSession, items: list[tuple[int, str]], q: int = Q, w
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                      block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about ``block_chars`` characters (null texts left out; an empty benchmark: none)."""
+    """The benchmark's distinct items in blocks of about ``block_chars`` characters (null texts left out; an empty benchmark: none)."""
     src = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"),
-                                                              F.col(text_col).cast("string").alias("text"))
+                                                              F.col(text_col).cast("string").alias("text")).distinct()
     total = src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     blocks = -(-int(total) // block_chars)
     for b in range(blocks):
@@ -322,9 +346,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each (document, item, window) that leaks: ``doc_id, item_id, window_start, doc_start, doc_end,
     edits, shared`` (positions in the folded texts).
 
-    Null and empty texts leak nothing; items shorter than ``min_chars`` folded characters are
-    not searched; repeated rows are reported each; an empty table gives no rows. Columns
-    other than id and text are not read.
+    Null and empty texts leak nothing; items shorter than ``min_chars`` folded characters are found where they
+    stand unchanged as whole words (window 0, no edits, no shared q-grams), items without a letter or digit nowhere;
+    a very long text is searched whole; repeated rows are reported each, repeated items once; an empty
+    table gives no rows. Columns other than id and text are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -342,7 +367,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows in which no window of the benchmark is found, all columns kept."""
+    """The rows in which no window of the benchmark is found, all columns kept: null and empty texts, too; repeated rows each;
+    of an empty table none."""
     spark = docs.sparkSession
     prepare(spark)
     block_chars = options.pop("block_chars", BLOCK_CHARS)
