@@ -35,23 +35,32 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Licence notices (public wording), label -> [(notice, mandatory key phrases)].
+# Licence notices (public wording), label -> [(notice, mandatory key phrases)]. What tells versions apart is a key phrase.
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {0} public license as published by the free software foundation"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
 TEMPLATES = {
     "apache-2.0": [
         ("licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
         ("you may not use this file except in compliance with the license you may obtain a copy of the license at",
          ["except in compliance with the license"]),
     ],
-    "bsd": [
-        ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
-         "following conditions are met", ["redistribution and use in source and binary forms"]),
+    "bsd": [(_BSD, ["redistribution and use in source and binary forms"])],
+    "bsd-3-clause": [
+        ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+         "this software without specific prior written permission", ["neither the name of", "without specific prior written permission"]),
+        ("licensed under the bsd 3 clause license", ["bsd 3 clause license"]),
     ],
-    "cc-by-nc-4.0": [("licensed under cc by nc 4 0", ["cc by nc"])],
-    "cc-by-sa-4.0": [("licensed under cc by sa 4 0", ["cc by sa"])],
-    "gpl-3.0": [
-        ("this work is licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-        ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
-         "license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
+    "bsl-1.0": [("distributed under the boost software license version 1 0", ["boost software license", "version 1 0"])],
+    "cc0-1.0": [
+        ("released under cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
+        ("licensed under cc0 1 0", ["cc0 1 0"]),
+    ],
+    "epl-2.0": [("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+                 ["eclipse public license", "2 0"])],
+    "isc": [
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+         ["permission to use copy modify and", "with or without fee is hereby granted"]),
+        ("released under the isc license", ["isc license"]),
     ],
     "mit": [
         ("released under the mit license", ["mit license"]),
@@ -59,8 +68,22 @@ TEMPLATES = {
          "documentation files", ["permission is hereby granted", "free of charge"]),
     ],
     "mpl-2.0": [
-        ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+        ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license", "2 0"]),
     ],
+    "unlicense": [("this is free and unencumbered software released into the public domain", ["free and unencumbered software"])],
+    "zlib": [("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+              "arising from the use of this software", ["in no event will the authors be held liable"])],
+    # Creative Commons by kind and version, the GNU licences by name and version
+    **{f"cc-by-{kind}-{v}.0": [(f"licensed under cc by {kind.replace('-', ' ')} {v} 0", [f"cc by {kind.replace('-', ' ')} {v} 0"])]
+       for kind in ("nc", "sa", "nd", "nc-sa", "nc-nd") for v in (2, 3, 4)},
+    **{f"{label}-{v}.{minor}": [
+        (f"{_GNU.format(name)} either version {v}{point} of the license or at your option any later version",
+         [f"gnu {name} public license", f"version {v}{point} of the license"]),
+        (f"{_GNU.format(name)} version {v}{point} of the license", [f"gnu {name} public license", f"version {v}{point} of the license"]),
+        (f"this work is licensed under the gnu {name} public license version {v}{point}", [f"gnu {name} public license", f"license version {v}{point}"])]
+       for label, name, v, minor in (("gpl", "general", 2, 0), ("gpl", "general", 3, 0), ("lgpl", "lesser general", 2, 1), ("lgpl", "lesser general", 3, 0),
+                                     ("agpl", "affero general", 3, 0))
+       for point in [f" {minor}" if minor else ""]},
 }
 
 
@@ -152,9 +175,10 @@ def fit_idf(docs: DataFrame, text_col: str = "text", templates=None) -> dict[str
     def held(text: pd.Series) -> pd.Series:
         return pd.Series([sorted(vocabulary.intersection(lower_words(t))) for t in text], dtype=object)
 
-    found = docs.select(held(F.col(text_col).cast("string")).alias("w"))
-    df = {r["w"]: r["count"] for r in found.select(F.explode("w").alias("w")).groupBy("w").count().collect()}
-    total = docs.count()
+    # a null word for every row counts the rows in the same pass
+    found = docs.select(F.explode(F.concat(held(F.col(text_col).cast("string")), F.array(F.lit(None).cast("string")))).alias("w"))
+    df = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}
+    total = df.pop(None, 0)
     return {w: float(np.log((total + 1) / (df.get(w, 0) + 1))) for w in vocabulary}
 
 
@@ -164,7 +188,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``score`` is 1 if a plain phrase stands in the text, else the largest share of a template's
     rare words that one verified alignment holds, else 0. Null texts count as empty: no
-    words, empty labels, score 0. Repeated rows are returned each; an empty table gives no
+    words, empty labels, score 0. A very long text is scanned whole. Repeated rows are returned each; an empty table gives no
     rows; other columns are not read.
     """
     spark = docs.sparkSession

@@ -199,3 +199,32 @@ def test_op8_against_plain_em_and_scorer(spark):
         for i, x in zip(*quality.text_features(t)):
             total += float(np.float32(weights[i])) * x
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and r["weak_bad"] == pytest.approx(posterior[r["votes"]])
+
+
+def test_op1_short_items_are_found_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Then: what is 17 PLUS 25? Nobody knew."), (2, "what is 17 plus 255"), (3, "somewhat is 17 plus 25"), (4, ""), (5, None),
+                                  (6, "What is 17 plus 25? what is 17 plus 25")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "What is 17 plus 25?"), (7, "What is 17 plus 25?"), (8, "?!"), (9, "nobody")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["doc_start"], r["doc_end"], r["edits"]) for r in decontamination.find_leaks(docs, bench).collect())
+    assert got == [(1, 7, 5, 23, 0), (1, 9, 24, 30, 0), (6, 7, 0, 18, 0), (6, 7, 19, 37, 0)]
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()} == {2, 3, 4, 5}
+
+
+def test_op10_versions_and_common_notices(spark):
+    gnu = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+           "the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    want = {
+        gnu.format("General", "2"): "gpl,gpl-2.0", gnu.format("General", "3"): "gpl,gpl-3.0", gnu.format("Lesser General", "2.1"): "gpl,lgpl-2.1",
+        gnu.format("Affero General", "3"): "agpl-3.0,gpl", "Licensed under CC BY-NC 2.0": "cc-by,cc-by-nc-2.0", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "Licensed under CC0 1.0": "cc0-1.0", "Released under the MIT License": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Licensed under the Apache License, Version 2.0": "apache-2.0", "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.": "bsd-3-clause", "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+        "This work is licensed under the GNU General Public License version 3": "gpl,gpl-3.0", "no licence here, only public words": "",
+    }
+    from tessera.llm import licenses
+
+    rows = [(i, f"code line {i} x = 1 {t} end of it all y = 2") for i, t in enumerate(want)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == list(want.values())
