@@ -35,9 +35,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 18
 LAID_ASIDE = 8 << 20
+TOKENS = 2_000_000  # distinct tokens of blocks that a counting task holds before it merges them
 
 COUNTED = "kind int, a long, n long, cells binary"
-SCORED = ("rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_log double, bits double, "
+SCORED = ("rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, hot_known long, hot_log double, bits double, "
           "rare array<long>, rare_n array<int>")
 
 
@@ -81,6 +82,38 @@ def _table_rows(table: np.ndarray, kind: int):
                 yield kind, k * parts + p, 0, press.compress(cells.tobytes())
 
 
+class TokenCounts:
+    """Token hashes and their counts, merged when many have come together."""
+
+    def __init__(self):
+        self.hashes, self.counts, self.held = [], [], 0
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.hashes.append(hashes)
+        self.counts.append(counts)
+        self.held += len(hashes)
+
+    def merge(self) -> int:
+        """Sum the counts of equal hashes; how many there are."""
+        if len(self.hashes) > 1:
+            h, n = np.concatenate(self.hashes), np.concatenate(self.counts)
+            by = np.argsort(h)
+            h = h[by]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            self.hashes, self.counts = [h[new]], [np.add.reduceat(n[by], new)]
+        self.held = sum(map(len, self.hashes))
+        return self.held
+
+    def batches(self, schema: pa.Schema):
+        if self.merge():
+            u, n = self.hashes[0], self.counts[0]
+            for i in range(0, len(u), 1 << 16):
+                part = u[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(part), np.int32)), pa.array(part), pa.array(n[i:i + (1 << 16)]),
+                                                  pa.nulls(len(part), pa.binary())], schema=schema)
+        self.__init__()
+
+
 def _count_task(bits: int):
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
 
@@ -91,15 +124,16 @@ def _count_task(bits: int):
         table = np.zeros((cm.K, 1 << bits), np.uint32)
         aside: list[bytes] = []
         held = 0
+        tokens = TokenCounts()
         for batch in batches:
             texts = [(t or b"").lower() for t in batch.column("text").to_pylist()]
             fold = batch.column("fold").to_pylist()
             for i, j in blocks(texts):
                 h, _ = token_hashes(texts[i:j])
                 u, n = np.unique(h, return_counts=True)
-                u, n = np.append(u, END), np.append(n, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u), pa.array(n.astype(np.int64)),
-                                                  pa.nulls(len(u), pa.binary())], schema=schema)
+                tokens.add(np.append(u, END), np.append(n, j - i).astype(np.int64))
+                if tokens.held > TOKENS and tokens.merge() > TOKENS // 2:
+                    yield from tokens.batches(schema)
                 count = [t for t, f in zip(texts[i:j], fold[i:j]) if not f]
                 if count:
                     cm.count(count, table)
@@ -116,6 +150,7 @@ def _count_task(bits: int):
                     yield rows([r])
                 aside, held = [], 0
                 del own
+        yield from tokens.batches(schema)
         for r in _table_rows(table, 1):
             yield rows([r])
         if aside:
@@ -211,9 +246,9 @@ def _score_task(shared, hot, rate: float):
                 ends = np.r_[0, np.cumsum(np.bincount(pair[new, 0], minlength=j - i))].astype(np.int32)
                 out.append(pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(i, j - i) for c in ("rid", "doc_id", "held_out")]
-                    + [pa.array(tokens), pa.array(known), pa.array(log), pa.array(cost),
+                    + [pa.array([len(t) + 1 for t in texts[i:j]], pa.int64()), pa.array(tokens), pa.array(known), pa.array(log), pa.array(cost),
                        pa.ListArray.from_arrays(ends, pa.array(pair[new, 1])), pa.ListArray.from_arrays(ends, pa.array(times))],
-                    names=["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_log", "bits", "rare", "rare_n"]))
+                    names=["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "hot_known", "hot_log", "bits", "rare", "rare_n"]))
             yield from out
 
     return run
@@ -224,9 +259,10 @@ def score_documents(docs: DataFrame, learn: Column, fold: Column, id_col: str =
     """Scores of all texts by a model learnt from the rows where ``learn`` holds.
 
     ``fold`` picks the learning rows on which the starting weights are fitted. Returns
-    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes_bits``:
+    ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte``:
     ``score`` is the log10 probability of the lower-cased text with its end, ``base_score``
-    that of its tokens with their end under the add-half word model.
+    that of its tokens with their end under the add-half word model, ``bits_per_byte`` the cost per byte of the text with
+    its end. A very long text is scored whole, a chunk at a time.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -266,4 +302,4 @@ def score_documents(docs: DataFrame, learn: Column, fold: Column, id_col: str =
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("hot_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(base_of)).alias("base_score"),
-        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"), "bits")
+        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"), "bits", (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))

@@ -228,3 +228,20 @@ def test_op10_versions_and_common_notices(spark):
     rows = [(i, f"code line {i} x = 1 {t} end of it all y = 2") for i, t in enumerate(want)]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(rows))] == list(want.values())
+
+
+def test_op2_token_counts_merge(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm.lm_scoring import TokenCounts
+
+    rnd, want, held = random.Random(2), Counter(), TokenCounts()
+    for _ in range(30):
+        part = Counter(rnd.randrange(50) - 25 for _ in range(40))
+        want.update(part)
+        held.add(np.array(list(part), np.int64), np.array(list(part.values()), np.int64))
+        if rnd.random() < 0.3:
+            assert held.merge() == len(want)
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+    got = [(a, n) for b in held.batches(schema) for a, n in zip(b.column("a").to_pylist(), b.column("n").to_pylist())]
+    assert got == sorted(want.items()) and not list(held.batches(schema))
