@@ -651,6 +651,7 @@ def q_back_translation_rounds(spark, d):
 # ---------------------------------------------------------------- A7, A9, A10
 from tessera.operators.metrics.edit import corpus_edit_rate  # noqa: E402
 from tessera.operators.metrics.meteor import corpus_meteor, with_meteor  # noqa: E402
+from tessera.operators.metrics.ter import corpus_ter  # noqa: E402
 
 
 @register("word_error_rate", f"""
@@ -661,6 +662,11 @@ def q_word_error_rate(spark, d):
     return corpus_edit_rate(scored_examples(spark, d), PAIR_KEYS)
 
 
+@register("ter_corpus")
+def q_ter_corpus(spark, d):
+    return corpus_ter(scored_examples(spark, d), PAIR_KEYS)
+
+
 @register("meteor_corpus")
 def q_meteor_corpus(spark, d):
     return corpus_meteor(scored_examples(spark, d), PAIR_KEYS)

@@ -229,3 +229,57 @@ def test_meteor_exact_only(spark):
     got = {r.id: (r.meteor_exact, r.meteor_exact_stem) for r in with_meteor(df, ["id"]).collect()}
     assert got[1][0] == pytest.approx((1 - 0.5 * (1 / 2) ** 3) * 2 / 3) and got[1][1] > got[1][0]
     assert got[2][0] == pytest.approx(1 - 0.5 * (1 / 2) ** 3) and got[3] == got[4] == (0.0, 0.0)
+
+
+def plain_ter(h, r, max_dist=50):
+    """The rule of the row-based TER, pair by pair over word lists."""
+    h, r = list(h), list(r)
+    d, shifts = twins.levenshtein(h, r), 0
+    while d > 1:
+        best = None
+        for i in range(len(h)):
+            for j in range(max(0, i - max_dist), min(len(r), i + max_dist + 1)):
+                if i == j or h[i] != r[j] or (i and j and h[i - 1] == r[j - 1]):
+                    continue
+                n = 1
+                while i + n < len(h) and j + n < len(r) and h[i + n] == r[j + n]:
+                    n += 1
+                block, rest = h[i:i + n], h[:i] + h[i + n:]
+                to = {min(j, len(rest))}
+                before = [k + 1 for k in range(max(0, j - n - 1), len(rest)) if j and rest[k] == r[j - 1]]
+                to |= {0} if j == 0 else set(before[:1])
+                after = [k for k in range(max(0, j - n), len(rest)) if j + n < len(r) and rest[k] == r[j + n]]
+                to |= {len(rest)} if j + n == len(r) else set(after[:1])
+                for t in to:
+                    if t != i and abs(t - i) <= max_dist:
+                        new = rest[:t] + block + rest[t:]
+                        key = (twins.levenshtein(new, r), -n, i, t, new)
+                        best = key if best is None or key < best else best
+        if best is None or best[0] >= d:
+            break
+        d, h, shifts = best[0], best[4], shifts + 1
+    return d + shifts
+
+
+def test_ter_by_rows(spark, hub):
+    """Hand-worked shifts, and every row against the same rule over word lists; never above the plain edit distance."""
+    from tessera.operators.metrics.ter import corpus_ter, with_ter_edits
+
+    hand = [(0, "c d a b", "a b c d", 1), (1, "", "a b", 2), (2, "a b", "a b", 0), (3, "x a b c y", "a b c x y", 1), (4, "b c x x a", "a b c", 3),
+            (5, None, "a", 1), (6, "a", None, 1), (7, "q q q x y a b c d", "a b c d q q q x y", 1), (8, " ".join(["w"] * 60 + ["z"]), " ".join(["z"] + ["w"] * 60), 1)]
+    df = spark.createDataFrame([x[:3] for x in hand], "id long, prediction string, reference string")
+    got = {r.id: (r.edits, r.ref_len) for r in with_ter_edits(df, ["id"]).collect()}
+    assert {i: e for i, (e, _) in got.items()} == {x[0]: x[3] for x in hand} and got[6][1] == 0
+    rnd = random.Random(8)
+    pairs = []
+    for i in range(60):
+        r = [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 14))]
+        cut = sorted(rnd.sample(range(len(r) + 1), min(3, len(r) + 1)))
+        h = r[cut[-1]:] + r[cut[0]:cut[-1]] + r[:cut[0]] if i % 2 else [rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 14))]
+        pairs.append((i, " ".join(h), " ".join(r)))
+    df = spark.createDataFrame(pairs, "id long, prediction string, reference string")
+    rows = {r.id: r.edits for r in with_ter_edits(df, ["id"], max_dist=6).collect()}
+    for i, h, r in pairs:
+        assert rows[i] == plain_ter(h.split(), r.split(), 6) <= twins.levenshtein(h.split(), r.split()), (h, r)
+    one = corpus_ter(hub, ["id"]).first()
+    assert one.edits <= corpus_edit_rate(hub, ["id"]).first().edits and one.ter == pytest.approx(round(100.0 * one.edits / one.ref_len, 6))
