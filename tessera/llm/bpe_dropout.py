@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from itertools import islice, repeat
 
 import numpy as np
@@ -122,11 +123,13 @@ def merge_many(symbols: np.ndarray, own: np.ndarray, vocabulary: Vocabulary, lim
     start = np.tile(np.arange(m + 1, dtype=np.uint64), (n, 1))   # where each symbol begins, and the end
 
     def cost(left, right, begin, end, key):
-        at = np.searchsorted(vocabulary.pair, (left.astype(np.int64) << 32) | right)
-        at[vocabulary.pair[at] != ((left.astype(np.int64) << 32) | right)] = len(vocabulary.pair) - 1
+        pair = (left.astype(np.int64) << 32) | right
+        at = np.searchsorted(vocabulary.pair, pair)
+        at[vocabulary.pair[at] != pair] = len(vocabulary.pair) - 1
         rank = vocabulary.rank[at]
-        if limit:
-            rank = np.where(_all_dropped(key, begin, end, limit), NONE, rank)
+        if limit:  # only what could merge is drawn
+            can = np.flatnonzero(rank != NONE)
+            rank[can[_all_dropped(key[can], begin[can], end[can], limit)]] = NONE
         return rank, vocabulary.merged[at]
 
     shape = (n, m - 1)
@@ -309,16 +312,18 @@ class Encoder:
 
     def _alike(self, units: list[str]):
         """(places, symbols) of the units of equal length whose signs all are symbols."""
-        alike: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            alike.setdefault(len(u), []).append(i)
-        for size, some in alike.items():
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        signs = np.frombuffer("".join([units[i] for i in order.tolist()]).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+        sizes = sizes[order]
+        ends = np.cumsum(sizes)
+        for size in np.unique(sizes).tolist():
             if 1 < size <= SHORT_UNIT:
-                signs = np.frombuffer("".join([units[i] for i in some]).replace(" ", MARK).encode("utf-32-le"), np.uint32)
-                symbols = self.vocabulary.sign[signs].reshape(-1, size)
+                a, b = np.searchsorted(sizes, [size, size + 1])
+                symbols = self.vocabulary.sign[signs[ends[a] - size:ends[b - 1]]].reshape(-1, size)
                 known = (symbols >= 0).all(axis=1)
                 if known.any():
-                    yield np.array(some)[known], symbols[known]
+                    yield (order[a:b], symbols) if known.all() else (order[a:b][known], symbols[known])
 
     def _take(self, out: list, some: np.ndarray, which: np.ndarray, rows: np.ndarray) -> None:
         """Put the merged rows that are all pieces into ``out``."""
@@ -353,7 +358,8 @@ class Encoder:
         """Piece ids of each unit; ``own`` is a hash of its row and place."""
         if len(self.types) >= CACHE_UNITS:
             self.clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.types and len(u) <= SHORT_UNIT]
+        # a unit that the block holds once is merged under its draws straight away
+        new = [u for u, n in Counter(units).items() if n > 1 and u not in self.types and len(u) <= SHORT_UNIT]
         if new:
             self._learn(new)
         kind = np.fromiter(map(self.types.get, units, repeat(-1)), np.int64, len(units))
@@ -411,6 +417,9 @@ class Encoder:
         return self.encode_all([text], [variant])[0]
 
 
+_ENCODER: dict[tuple, Encoder] = {}  # one per worker process; its units are bounded
+
+
 def decode(ids, vocabulary: Vocabulary) -> str:
     """The text of piece ids: spelt out, without the space that encoding put before it."""
     spelt = vocabulary.spelt
@@ -443,7 +452,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, dropout: float = DROPO
                       variant_of(F.col(id_col), F.col(text_col), seed).alias("variant"))
 
     def run(batches):
-        encoder = Encoder(shared.value, dropout, seed)  # its cache lasts for the task
+        if (model, dropout, seed) not in _ENCODER:
+            _ENCODER.clear()
+            _ENCODER[model, dropout, seed] = Encoder(shared.value, dropout, seed)
+        encoder = _ENCODER[model, dropout, seed]
         for batch in batches:
             variant = batch.column("variant").to_pylist()
             sizes, every, same, ids_sizes = [], array("i"), [], [0]
