@@ -786,7 +786,7 @@ def q_model_evaluation(spark, d):
 
 
 # ---------------------------------------------------------------- files of the translation workflow, written and read back
-from tessera.operators.report import bleu_by_length, corpus_scores, direction_report, error_analysis  # noqa: E402
+from tessera.operators.report import bleu_by_length, corpus_scores, direction_report  # noqa: E402
 from tessera.operators.translate import generate_translation, load_model, save_model  # noqa: E402
 from tessera.sources.sinks import write_dictionary_tsv, write_direction_report, write_report  # noqa: E402
 from tessera.sources.text_files import (  # noqa: E402
@@ -858,17 +858,16 @@ def q_parallel_with_seeds(spark, d):
 
 
 @register("metrics_file", f"""
-WITH {Q.HUB}, {Q.bleu_row_stats('hub', _KEYS)}, agg AS ({Q.sum_stats_sql('st')}),
-{Q.chrf_stats_sql('hub', _KEYS)}, cagg AS ({Q.sum_chrf_sql('cst')}),
-e AS (SELECT round(avg(len({Q.split_ws('prediction')}) - len({Q.split_ws('reference')})), 6) AS avg_length_diff,
-             round(100.0 * avg(CASE WHEN regexp_matches(prediction, '[\\x{{00C0}}-\\x{{00FF}}]') THEN 1 ELSE 0 END), 6) AS untranslated_percentage FROM hub)
-SELECT (SELECT round({Q.bleu_unsmoothed_sql()}, 6) FROM agg) AS bleu, (SELECT round({Q.chrf_sql()}, 6) FROM cagg) AS chrf,
-       avg_length_diff, untranslated_percentage FROM e""")
+WITH RECURSIVE {Q.DIRS}, {_REPORT_ROWS},
+agg AS (SELECT count(*) AS n_rows, avg(meteor) AS meteor, {_REPORT_SUMS} FROM rs WHERE direction = 'src-tgt'),
+sc AS (SELECT {_REPORT_SCORES} FROM agg)
+SELECT bleu, meteor_exact, chrf, wer, avg_length_diff, untranslated_percentage FROM sc""")
 def q_metrics_file(spark, d):
-    """K4: the SQL-expressible columns of the report (A10 without METEOR and TER), written as JSON and read back."""
-    hub = scored_examples(spark, d)
-    errors = error_analysis(hub, LO, HI).select("n_rows", "avg_length_diff", "untranslated_percentage")
-    one = corpus_scores(hub).join(errors, "n_rows").select("bleu", "chrf", "avg_length_diff", "untranslated_percentage")  # one row each
+    """K4: the report's metrics and error analysis (A10), taken in one pass, written as JSON and read back."""
+    from tessera.operators.report import full_report
+
+    rep = full_report(scored_examples(spark, d), PAIR_KEYS, LO, HI)
+    one = rep.select("metrics.bleu", "metrics.meteor_exact", "metrics.chrf", "metrics.wer", "error_analysis.*")
     out = _scratch(spark, "report")
     write_report(one, out)
     return spark.read.schema(one.schema).json(f"{out}/metrics")
