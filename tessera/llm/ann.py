@@ -120,30 +120,30 @@ def _scan_task(dim: int, k: int, seed: int):
     def run(cands: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(cands) and len(queries):
-            cands = cands.sort_values("rep_id")
+            cands = cands.sort_values(["first_id", "rep_id"])  # ties go to the smaller id
             c64 = np.stack(cands["embedding"].to_numpy()).astype(np.float64)
             cu = unit(c64)
             cr = cu.astype(np.float32) @ turn
             cn = np.linalg.norm(c64, axis=1)
-            ids = cands["rep_id"].to_numpy()
+            ids, firsts = cands["rep_id"].to_numpy(), cands["first_id"].to_numpy()
             for a in range(0, len(queries), QUERY_ROWS):
                 part = queries.iloc[a:a + QUERY_ROWS]
                 q64 = np.stack(part["embedding"].to_numpy()).astype(np.float64)
                 i, j = adaptive_scan(unit(q64).astype(np.float32) @ turn, cr, k)
                 score = np.einsum("nd,nd->n", q64[i], c64[j]) / (np.linalg.norm(q64, axis=1)[i] * cn[j])
-                out.append(pd.DataFrame({"q_rep": part["rep_id"].to_numpy()[i], "rep_id": ids[j], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "rep_id": pd.Series(dtype="int64"),
+                out.append(pd.DataFrame({"q_rep": part["rep_id"].to_numpy()[i], "rep_id": ids[j], "first_id": firsts[j], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"q_rep": pd.Series(dtype="int64"), "rep_id": pd.Series(dtype="int64"), "first_id": pd.Series(dtype="int64"),
                                                         "score": pd.Series(dtype="float64")})
 
     return run
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, embedding``: vectors that take part, one per id (of several, the smallest)."""
+    """``vec_id, embedding``: the rows that take part."""
     x = F.col(vector_col).cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(x, lambda v: v != 0)
     return df.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("vec_id"), x.alias("embedding")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        F.col(id_col).cast("long").alias("vec_id"), x.alias("embedding"))
 
 
 def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -152,8 +152,9 @@ def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K,
 
     ``queries`` picks the query rows (by ``vec_id``; by default the ids divisible by 50). Null
     ids, and vectors that are null, empty, all zero or hold a null or non-finite component,
-    take no part; nor do vectors of another length than the most common one. Repeated
-    rows of an id count once. An empty table gives no rows. Other columns are not read.
+    take no part; nor do vectors of another length than the most common one. Rows that share an
+    id, or repeat a row, are candidates each; a query row that repeats another is answered once, and its own
+    row is left out once. An empty table gives no rows. Other columns are not read.
     """
     spark = df.sparkSession
     prepare(spark, 2000)
@@ -166,7 +167,7 @@ def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K,
     # of each vector the k + 1 smallest ids; the limit per group applies before the shuffle as well
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     reps = materialise(valid.withColumn("_n", place).where(F.col("_n") <= k + 1).groupBy("embedding").agg(
-        F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep_id"), "ids", "embedding"), "distinct")
+        F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("rep_id"), F.col("ids")[0].alias("first_id"), "ids", "embedding"), "distinct")
 
     total = reps.count()
     n_lists = max(1, min(MAX_LISTS, total // list_rows))
@@ -187,11 +188,11 @@ def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K,
     placed = materialise(reps.withColumn("list", lists_of("embedding", F.lit(1))[0]), "lists")
     blocks = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # at most MAX_LISTS rows
     cands = placed.join(F.broadcast(blocks), "list").select(
-        "list", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int").alias("block"), "rep_id", "embedding")
+        "list", F.pmod(F.xxhash64("rep_id"), F.col("blocks")).cast("int").alias("block"), "rep_id", "first_id", "embedding")
 
     wanted = (F.col("vec_id") % QUERY_STEP == 0) if queries is None else queries
     asked = materialise(valid.where(wanted).join(reps.select("embedding", "rep_id"), "embedding").select(
-        F.col("vec_id").alias("query_id"), F.col("rep_id").alias("q_rep")), "queries")
+        F.col("vec_id").alias("query_id"), F.col("rep_id").alias("q_rep")).distinct(), "queries")
     probing = (reps.join(asked.select(F.col("q_rep").alias("rep_id")).distinct(), "rep_id")
                .select("rep_id", "embedding", F.explode(lists_of("embedding", F.lit(n_probes))).alias("list"))
                .join(F.broadcast(blocks), "list")
@@ -199,12 +200,14 @@ def nearest_neighbours(df: DataFrame, queries: Column | None = None, k: int = K,
     n = parallelism(spark)
     found = (cands.repartition(n, "list", "block").groupBy("list", "block")
              .cogroup(probing.repartition(n, "list", "block").groupBy("list", "block"))
-             .applyInPandas(_scan_task(dim, k + 1, seed), "q_rep long, rep_id long, score double"))
-    best = F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep_id"))
+             .applyInPandas(_scan_task(dim, k + 1, seed), "q_rep long, rep_id long, first_id long, score double"))
+    best = F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "first_id", "rep_id"))
     found = found.withColumn("_n", best).where(F.col("_n") <= k + 1).drop("_n")
-    pairs = found.join(reps.select("rep_id", "ids"), "rep_id").select("q_rep", "score", F.explode("ids").alias("vec_id"))
+    first = F.transform("ids", lambda x, i: F.struct(x.alias("vec_id"), ((i == 0) | (F.get(F.col("ids"), i - 1) != x)).alias("first")))
+    pairs = found.join(reps.select("rep_id", first.alias("ids")), "rep_id").select("q_rep", "score", "rep_id", F.inline("ids"))
     best = F.row_number().over(Window.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id"))
     pairs = pairs.withColumn("_n", best).where(F.col("_n") <= k + 1).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (asked.join(pairs, "q_rep").where(F.col("vec_id") != F.col("query_id")).withColumn("rank", rank)
+    rank = F.row_number().over(Window.partitionBy("query_id", "q_rep").orderBy(F.desc("score"), "vec_id"))
+    own = (F.col("rep_id") == F.col("q_rep")) & (F.col("vec_id") == F.col("query_id")) & F.col("first")
+    return (asked.join(pairs, "q_rep").where(~own).withColumn("rank", rank)
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

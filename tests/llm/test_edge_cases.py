@@ -115,5 +115,10 @@ def test_vectors_hard_rows(spark):
             (8, []), (None, [1.0, 1.0]), (9, [1.0, 2.0, 3.0]), (2, [0.0, 1.0]), (10, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit(1)).withColumn("ids", F.lit(2))
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest_neighbours(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 10, 1.0), (0, 3, 2, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 10, 1.0), (0, 3, 2, 0.0), (0, 4, 2, 0.0)]
+    # rows that share the query's id are candidates, too: another vector, and a copy of the query's own row
+    more = df.select("vec_id", "embedding").unionByName(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 3.0])], "vec_id long, embedding array<double>"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest_neighbours(more).collect())
+    assert got == sorted([(0, 1, 0, 1.0), (0, 2, 1, 1.0), (0, 3, 10, 1.0), (0, 4, 0, 0.0), (0, 5, 2, 0.0),
+                          (0, 1, 2, 1.0), (0, 2, 2, 1.0), (0, 3, 0, 0.0), (0, 4, 0, 0.0), (0, 5, 1, 0.0)])
     assert ann.nearest_neighbours(df.where("false")).count() == 0
