@@ -16,8 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, batch_rows: int = 1000) -> None:
-    """Ship the package to the Python workers and keep Arrow batches of whole texts small."""
+    """Ship the package to the Python workers and keep Arrow batches of whole texts small, in rows and in bytes.
+
+    The bound in bytes is the same for all operators, so it holds whichever of them set the rows last.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
