@@ -14,10 +14,12 @@ patterns and scores cover all rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ SYMBOLS = b"#$%&*|~^<>{}[]\\=@+_"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 LABELLERS = ("symbols", "sign_runs", "separators", "upper_case", "shouting", "repeats", "dull_blocks", "word_length")
+SEPARATOR = re.compile(rb"(?<!\S)[|\-_=*#~.:/\\]+(?!\S)")  # a word of separating signs only
 RUN = re.compile(rb"([#$%&*|~^<>=@+!?])\1")
 
 
@@ -53,11 +56,11 @@ def statistics(raw: bytes, words: list[bytes]) -> dict[str, float]:
     return {
         "symbols": (len(raw) - len(raw.translate(None, SYMBOLS))) / signs,
         "sign_runs": sum(1 for w in words if RUN.search(w)) / n if RUN.search(raw) else 0.0,
-        "separators": sum(1 for w in words if not w.strip(b"|-_=*#~.:/\\")) / n,
+        "separators": len(SEPARATOR.findall(raw)) / n,
         "upper_case": upper / max(upper + lower, 1),
         "dull_blocks": _dull_blocks(words),
-        "repeats": sum(a == b for a, b in zip(words, words[1:])) / n,
-        "shouting": sum(1 for w in words if w.endswith((b"!!", b"??"))) / n,
+        "repeats": sum(map(eq, words, words[1:])) / n,
+        "shouting": sum(1 for w in words if w.endswith((b"!!", b"??"))) / n if b"!!" in raw or b"??" in raw else 0.0,
         "word_length": signs / n,
     }
 
@@ -106,6 +109,20 @@ def fit_labellers(counts: dict[str, int], rounds: int = 50) -> tuple[float, np.n
 
 
 _CACHE: dict[bytes, tuple[int, int]] = {}
+_SHAPES: dict[bytes, int] = {}
+#: Small letters and bytes of other signs as "a", digits as "0".
+CLASSES = bytes(ord("a") if c >= 128 or chr(c) in "abcdefghijklmnopqrstuvwxyz" else ord("0") if chr(c) in "0123456789" else c for c in range(256))
+
+
+def _shape_feature(classes: bytes) -> int:
+    """The hashed feature of a token's shape: runs of small letters, of digits and of capitals in short."""
+    got = _SHAPES.get(classes)
+    if got is None:
+        if len(_SHAPES) >= 20_000:
+            _SHAPES.clear()
+        shape = re.sub(rb"a+", b"a", re.sub(rb"[A-Z]{2,}", b"AA", re.sub(rb"0+", b"0", classes)))
+        got = _SHAPES[classes] = zlib.crc32(b"s" + shape) % DIM
+    return got
 
 
 def _token_features(word: bytes) -> tuple[int, int]:
@@ -113,8 +130,7 @@ def _token_features(word: bytes) -> tuple[int, int]:
     if got is None:
         if len(_CACHE) >= 100_000:
             _CACHE.clear()
-        shape = re.sub(rb"[\x80-\xFFa-z]+", b"a", re.sub(rb"[A-Z]{2,}", b"AA", re.sub(rb"[0-9]+", b"0", word)))[:12]
-        got = _CACHE[word] = (zlib.crc32(b"t" + word.lower()) % DIM, zlib.crc32(b"s" + shape) % DIM)
+        got = _CACHE[word] = (zlib.crc32(b"t" + word.lower()) % DIM, _shape_feature(word.translate(CLASSES)))
     return got
 
 
@@ -126,23 +142,44 @@ def features(words: list[bytes], stats: dict[str, float]) -> tuple[np.ndarray, n
         t, s = _token_features(w)
         idx += (t, s)
         val += (c / n, 3 * c / n)
-    for name, x in stats.items():
-        step = round(x / 2) if name == "word_length" else int(min(x, 0.99) * 20)
-        idx.append(zlib.crc32(f"b{name}{step}".encode()) % DIM)
-        val.append(1.0)
+    idx += bucket_features(stats)
+    val += [1.0] * len(stats)
     return np.array(idx, np.int64), np.array(val)
 
 
+def bucket_features(stats: dict[str, float]) -> list[int]:
+    """The hashed feature of each statistic's bucket; its value is one."""
+    steps = ((name, round(x / 2) if name == "word_length" else int(min(x, 0.99) * 20)) for name, x in stats.items())
+    return [zlib.crc32(f"b{name}{step}".encode()) % DIM for name, step in steps]
+
+
+class TokenWeights(dict):
+    """What one occurrence of a token adds to the score of a text, times the text's number of words; bounded."""
+
+    def __init__(self, weights: np.ndarray):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= 100_000:
+            self.clear()
+        t, s = zlib.crc32(b"t" + word.lower()) % DIM, _shape_feature(word.translate(CLASSES))
+        x = self[word] = float(self.weights[t]) + 3 * float(self.weights[s])
+        return x
+
+
+def score(words: list[bytes], stats: dict[str, float], tokens: TokenWeights, bias: float) -> float:
+    """P(good): the scorer's sum over ``features``, word by word."""
+    total = sum(map(tokens.__getitem__, words)) / max(len(words), 1) + sum(tokens.weights[bucket_features(stats)].tolist()) + bias
+    return 1 / (1 + math.exp(-min(max(total, -30.0), 30.0)))
+
+
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     raw = (text or "").encode()
     words = raw.split()
     return features(words, statistics(raw, words))
 
 
-def _score(i: np.ndarray, x: np.ndarray, w: np.ndarray, bias: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(w[i] @ x + bias, -30, 30))))
-
-
 def _train_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """AdaGrad logistic regression over one shard of the sample; the target is P(good)."""
     data = [(*text_features(t), 1 - b) for t, b in zip(pdf.sort_values("draw")["text"], pdf.sort_values("draw")["bad"])]
@@ -222,9 +259,15 @@ def scorer(spark: SparkSession, weights: np.ndarray | None, bias: float):
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = shared.value
+        tokens = None if w is None else TokenWeights(w)
         try:
             for texts in batches:
-                yield pd.Series([0.0 if w is None or t is None or not t.strip() else _score(*text_features(t), w, b) for t in texts], dtype=float)
+                out = []
+                for t in texts:
+                    raw = (t or "").encode()
+                    words = raw.split()
+                    out.append(score(words, statistics(raw, words), tokens, b) if words and tokens is not None else 0.0)
+                yield pd.Series(out, dtype=float)
         finally:
             _CACHE.clear()
 
@@ -247,6 +290,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     @F.pandas_udf("votes string, weak_bad double, score double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bad, w, b = shared.value
+        tokens = None if w is None else TokenWeights(w)
         try:
             for texts in batches:
                 rows = []
@@ -258,7 +302,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
                         continue
                     stats = statistics(raw, words)
                     p = "".join("-0+"[v + 1] for v in votes(stats))
-                    rows.append((p, bad.get(p), 0.0 if w is None or not t.strip() else _score(*features(words, stats), w, b)))
+                    rows.append((p, bad.get(p), score(words, stats, tokens, b) if tokens is not None else 0.0))
                 yield pd.DataFrame(rows, columns=["votes", "weak_bad", "score"]).astype({"weak_bad": float, "score": float})
         finally:
             _CACHE.clear()
