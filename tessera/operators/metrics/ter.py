@@ -35,7 +35,8 @@ def equal_runs(pairs: DataFrame, max_dist: int = MAX_DIST) -> DataFrame:
     """``_row, i, j, l``: the longest runs of l words that stand at i in ``h`` and at another place j, at most ``max_dist`` away, in ``r``."""
     h = _places(pairs, "h", "i").withColumn("b", F.floor(F.col("i") / max_dist))
     r = _places(pairs, "r", "j").withColumn("b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("j") / max_dist) + k)))
-    met = h.join(r, ["_row", "w", "b"]).where((F.col("i") != F.col("j")) & (F.abs(F.col("i") - F.col("j")) <= max_dist)).select(
+    # exploded rows are many more than their plan's estimate: never broadcast
+    met = h.join(r.hint("shuffle_merge"), ["_row", "w", "b"]).where((F.col("i") != F.col("j")) & (F.abs(F.col("i") - F.col("j")) <= max_dist)).select(
         "_row", "i", (F.col("j") - F.col("i")).alias("diagonal"))
     along = Window.partitionBy("_row", "diagonal").orderBy("i")
     runs = met.withColumn("run", F.col("i") - F.row_number().over(along)).groupBy("_row", "diagonal", "run").agg(
@@ -46,7 +47,7 @@ def equal_runs(pairs: DataFrame, max_dist: int = MAX_DIST) -> DataFrame:
 def best_shifts(pairs: DataFrame, max_dist: int = MAX_DIST) -> DataFrame:
     """The pairs (``_row, h, r, d, shifts``) that a shift improves, after the best one: the least distance, then the longest block, the first
     place it comes from and the first it goes to."""
-    moved = equal_runs(pairs, max_dist).join(pairs, "_row").withColumn("rest", F.expr("concat(left(h, i), substring(h, i + l + 1))")).withColumn(
+    moved = equal_runs(pairs, max_dist).join(pairs.hint("shuffle_merge"), "_row").withColumn("rest", F.expr("concat(left(h, i), substring(h, i + l + 1))")).withColumn(
         "to", F.explode(F.array_distinct(F.array(
             F.expr("least(j, length(rest))"),
             F.expr("CASE WHEN j = 0 THEN 0 ELSE nullif(locate(substring(r, j, 1), rest, greatest(1, j - l)), 0) END"),
@@ -74,7 +75,7 @@ def with_ter_edits(df: DataFrame, keys: list[str], hyp: str = "prediction", ref:
             break
         ends = ends.unionByName(state)
     found = ends.groupBy("_row").agg(F.min(F.col("d") + F.col("shifts")).cast("long").alias("edits")).withColumnRenamed("_row", "_r")
-    return rows.join(found, F.col("_row") == F.col("_r")).select(*keys, "edits", "ref_len")
+    return rows.join(found.hint("shuffle_merge"), F.col("_row") == F.col("_r")).select(*keys, "edits", "ref_len")
 
 
 def corpus_ter(df: DataFrame, keys: list[str], hyp: str = "prediction", ref: str = "reference", max_dist: int = MAX_DIST) -> DataFrame:

@@ -283,3 +283,13 @@ def test_ter_by_rows(spark, hub):
         assert rows[i] == plain_ter(h.split(), r.split(), 6) <= twins.levenshtein(h.split(), r.split()), (h, r)
     one = corpus_ter(hub, ["id"]).first()
     assert one.edits <= corpus_edit_rate(hub, ["id"]).first().edits and one.ter == pytest.approx(round(100.0 * one.edits / one.ref_len, 6))
+
+
+def test_ter_rounds_broadcast_no_exploded_words(spark):
+    """The words of all pairs are many more bytes than their table: no round may collect them at the driver."""
+    from tessera.operators.metrics.ter import best_shifts
+
+    pairs = spark.createDataFrame([(0, "abc", "bca", 2, 0), (1, "xy", "xy", 0, 0)], "_row long, h string, r string, d int, shifts int")
+    best = best_shifts(pairs)
+    assert "BroadcastHashJoin" not in best._jdf.queryExecution().executedPlan().toString()
+    assert [(r._row, r.h, r.d, r.shifts) for r in best.collect()] == [(0, "bca", 0, 1)]
