@@ -218,3 +218,33 @@ def test_lookup_by_either_way_agrees(spark):
     df = spark.createDataFrame([(1, "a"), (None, "a b"), (2, "b"), (2, "b"), (3, None), (4, "")], "id long, t string")
     got = [sorted(map(str, translate(df, ["id"], "t", view, ENGLISH, " ", local_rows=n).collect())) for n in (0, 10)]
     assert got[0] == got[1]
+
+
+def test_joined_lookup_ships_distinct_tokens_of_blocks(spark):
+    """Rows in many small blocks, rows of exactly a block and longer ones: values are those of the plain lookup, and what
+    meets the view are the distinct tokens of a block."""
+    from tessera.operators.dictionary import joined_tokens, usable_entries
+
+    known = {f"w{i}": f"t{i}" for i in range(0, 40, 2)}
+    view = spark.createDataFrame(list(known.items()), "tok string, out string")
+    texts = [" ".join(f"w{(i * k) % 45}" for i in range(1, k + 1)) for k in range(0, 30)] * 3 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "tok long, text string").repartition(3)
+    for joiner in (None, " "):
+        out = joined_tokens(df, ENGLISH.tokens(F.col("text")), usable_entries(view), "out", lambda t: F.concat(F.lit("["), t, F.lit("]")), None, "m",
+                            segment=16, joiner=joiner)
+        rows = out.collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            words = (texts[r.tok] or "").split()
+            want = [known.get(w, f"[{w}]") for w in words]
+            assert r.text == texts[r.tok] and r.out == (want if joiner is None else " ".join(want)) and r.m == [w not in known for w in words]
+    assert "keys=[_block" in out._jdf.queryExecution().toString()
+
+
+def test_a_view_of_a_large_vocabulary_is_held_by_the_tasks(spark):
+    """Rows stay where they are for a view of 250,000 entries: nothing but the dealing-out is shuffled."""
+    view = spark.range(250_000).select(F.concat(F.lit("w"), F.col("id")).alias("tok"), F.col("id").cast("string").alias("out"))
+    df = spark.createDataFrame([(1, "w1 w249999 x"), (2, None)], "id long, t string")
+    out = translate(df, ["id"], "t", view, ENGLISH, " ")
+    assert sorted((r.id, r.translation) for r in out.collect()) == [(1, "1 249999 [x]"), (2, "")]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
