@@ -7,6 +7,7 @@ One Arrow function counts within a row; tokenising before it and the sums after
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -64,8 +65,9 @@ def coded(h: list[str], r: list[str]) -> tuple[str, str]:
     return out
 
 
-def _listed(s: pd.Series) -> list[list[str]]:
-    return [[] if x is None else list(x) for x in s]
+def _listed(s: pd.Series) -> Iterator[list[str]]:
+    """One row's list at a time."""
+    return ([] if x is None else list(x) for x in s)
 
 
 _METEOR_SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in METEOR])

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,19 @@ def test_function_model_cuts_and_batches(spark):
         n, longest, *rest = r.out.split()
         words = (r.t or "").split()
         assert 1 <= int(n) <= 4 and int(longest) <= 5 and rest == words[:5][:2] and (r.t is None) == (r.id % 9 == 0)
+
+
+def test_arrow_batches_of_texts_are_bounded_in_bytes(spark):
+    from tessera.session import ship_package
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    ship_package(spark)
+
+    @F.pandas_udf("long")
+    def rows_of_batch(s: pd.Series) -> pd.Series:
+        return pd.Series([len(s)] * len(s))
+
+    texts = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 6 << 20).alias("t"))
+    sizes = [r[0] for r in texts.select(rows_of_batch("t")).collect()]
+    assert len(sizes) == 12 and max(sizes) <= 2
