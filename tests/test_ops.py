@@ -310,3 +310,15 @@ def test_arrow_batches_of_texts_are_bounded_in_bytes(spark):
     texts = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 6 << 20).alias("t"))
     sizes = [r[0] for r in texts.select(rows_of_batch("t")).collect()]
     assert len(sizes) == 12 and max(sizes) <= 2
+
+
+def test_pairs_are_scored_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from tessera.plans import derive
+
+    n = 400
+    turns = [(c, t, role, f"{role} é{c}") for c in range(n) for t, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(derive, "PAIRS_PER_TASK", 10)
+    ex = derive.both_direction_examples(spark, str(tmp_path))
+    sizes = [r["count"] for r in ex.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * n and max(sizes) <= 2 * 25
